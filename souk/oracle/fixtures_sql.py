@@ -158,7 +158,101 @@ def with_ctes(query: str) -> str:
                     needed.append(n)
 
     visit(query)
+    q = query.strip()
     if not needed:
-        return query.strip()
+        return q
     body = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in needed)
-    return f"WITH {body}\n{query.strip()}"
+    m = re.match(r"(?is)^WITH\s+(RECURSIVE\s+)?", q)
+    if m:
+        return f"WITH {m.group(1) or ''}{body},\n{q[m.end():]}"
+    return f"WITH {body}\n{q}"
+
+
+# ---------------------------------------------------------------- change feeds
+CTES["f_catalog"] = """
+SELECT id AS seq, name, description, image_url, price, stock,
+       CASE WHEN id % 15 = 0 THEN 'NO_SUCH' ELSE category_name END AS category_name, seller_id
+FROM m_product_cols WHERE id % 5 = 0"""
+
+CTES["f_products"] = """
+SELECT id AS seq,
+       CASE id % 10 WHEN 0 THEN 'delete' WHEN 1 THEN 'update' ELSE 'add' END AS op,
+       CASE WHEN id % 10 = 2 THEN id + (SELECT count(*) FROM part) ELSE id END AS product_id,
+       name, description, image_url,
+       CAST(CASE WHEN id % 10 = 1 THEN (CASE WHEN id % 40 = 1 THEN 0 ELSE round(price * 1.1, 2) END)
+                 ELSE price END AS DECIMAL(10,2)) AS price,
+       stock,
+       CASE WHEN id % 10 = 2 AND id % 50 = 2 THEN CAST(999999 AS BIGINT) ELSE category_id END AS category_id,
+       CASE WHEN id % 30 = 11 THEN seller_id + 1 ELSE seller_id END AS seller_id
+FROM m_products WHERE id % 10 < 3"""
+
+CTES["f_categories"] = """
+SELECT DISTINCT p_brand AS name FROM part
+UNION ALL SELECT p_type FROM part
+UNION ALL SELECT '  '"""
+
+CTES["f_users"] = """
+SELECT c_custkey AS seq, c_custkey AS user_id,
+       ['seller', 'customer', 'owner'][c_custkey % 3 + 1] AS role,
+       ['active', 'suspended', 'pending', 'gone'][c_custkey % 4 + 1] AS account_status
+FROM customer WHERE c_custkey % 7 = 0"""
+
+CTES["f_order_status"] = """
+SELECT id AS seq, id AS order_id,
+       ['cancelled', 'delivered', 'shipped', 'completed', 'pending'][id % 5 + 1] AS status
+FROM m_orders WHERE id % 6 = 0"""
+
+CTES["f_reviews"] = """
+SELECT i.order_id * 1000000 + i.product_id AS seq, o.user_id, i.product_id,
+       CAST((i.order_id + i.product_id) % 9 - 1 AS INTEGER) AS rating,
+       '  Liked item ' || CAST(i.product_id AS VARCHAR) || chr(9) AS comment
+FROM m_items i JOIN m_orders o ON o.id = i.order_id
+WHERE (i.order_id * 17 + i.product_id) % 5 = 0"""
+
+CTES["f_review_changes"] = """
+SELECT created_at AS changed_at, 'INSERT' AS op, id AS review_id, product_id, rating, 1 AS sign FROM m_reviews
+UNION ALL
+SELECT created_at + INTERVAL 30 DAY, 'DELETE', id, product_id, rating, -1 FROM m_reviews WHERE id % 4 = 0"""
+
+CTES["f_cart"] = """
+SELECT event_id AS seq, ts AS requested_at, user_id,
+       CASE event_type WHEN 'view' THEN 'set' WHEN 'error' THEN 'remove' ELSE 'add' END AS op,
+       CASE WHEN event_type = 'signup' THEN event_id % (SELECT count(*) FROM part) + (SELECT count(*) FROM part)
+            ELSE (event_id * 7) % (SELECT count(*) FROM part) END AS product_id,
+       CAST(floor(value) AS INTEGER) AS quantity
+FROM events"""
+
+CTES["v_default_address"] = """
+SELECT user_id, id, phone, city, address, is_default, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id
+                               ORDER BY CASE WHEN is_default THEN 0 WHEN NOT is_default THEN 1 ELSE 2 END, id) AS rn
+  FROM m_addresses) WHERE rn = 1"""
+
+CTES["f_checkout"] = """
+SELECT co.user_id AS seq, co.user_id, da.id AS address_id,
+       CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'card' ELSE 'cash' END AS payment_method,
+       CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH')
+            THEN right(CAST(4000000000000000 + co.user_id * 7 AS VARCHAR), 4) END AS card_last4
+FROM (SELECT user_id, max(id) AS oid FROM m_orders WHERE status = 'pending' GROUP BY user_id) co
+JOIN orders o ON o.o_orderkey = co.oid
+LEFT JOIN v_default_address da ON da.user_id = co.user_id
+WHERE co.user_id IN (SELECT user_id FROM m_cart)"""
+
+CTES["f_order_events"] = """
+SELECT id AS order_id, 'pending' AS status, created_at AS event_time FROM m_orders
+UNION ALL
+SELECT id, 'completed', created_at + INTERVAL 1 HOUR FROM m_orders WHERE status <> 'pending'
+UNION ALL
+SELECT id, status, created_at + INTERVAL 1 DAY FROM m_orders WHERE status IN ('delivered', 'cancelled')"""
+
+CTES["f_contacts"] = f"""
+SELECT c_custkey AS user_id, {_phone('c_custkey')} AS phone,
+       CAST(4000000000000000 + c_custkey * 7 AS VARCHAR) AS card_number,
+       CASE WHEN c_custkey % 11 = 0 THEN replace({_email('c_name')}, '@', '') ELSE {_email('c_name')} END AS email,
+       c_custkey AS seq
+FROM customer"""
+
+CTES["f_addresses"] = """
+SELECT seq, user_id, ' ' || phone || '  ' AS phone, 'Town ' || CAST(user_id % 7 AS VARCHAR) AS city,
+       'Avenue ' || CAST(user_id AS VARCHAR) || chr(10) AS address
+FROM f_contacts"""

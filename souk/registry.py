@@ -10,7 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.operators import reports
+from pyspark.sql import functions as F
+
+from souk.operators import catalog, changes, listings, reports, reviews
+from souk.sources import feeds
 from souk.sources.fixtures import Fixture
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +43,79 @@ _on_tables("category_revenue", reports.category_revenue)
 _on_tables("category_revenue_net", lambda t: reports.category_revenue(t, net=True))
 _on_tables("cart_totals", reports.cart_totals)
 
+# catalog and listings
+_on_tables("product_catalog", catalog.product_catalog)
+_on_tables("product_catalog_full", catalog.product_catalog_full)
+_on_tables("catalog_search", lambda t: catalog.catalog_search(t, search="Red"))
+_on_tables("seller_catalog", catalog.seller_catalog)
+_on_tables("catalog_card", lambda t: catalog.catalog_card(catalog.catalog_search(t)))
+_on_fixture("catalog_feed_load",
+            lambda fx: catalog.load_catalog_feed(feeds.catalog_feed(fx), fx.categories())[0])
+_on_fixture("catalog_feed_rejects",
+            lambda fx: catalog.load_catalog_feed(feeds.catalog_feed(fx), fx.categories())[1])
+_on_tables("user_listing", listings.user_listing)
+_on_tables("category_listing", listings.category_listing)
+_on_tables("default_address", listings.default_address)
+_on_tables("cart_lines", listings.cart_lines)
+_on_tables("cart_stock_violations", listings.cart_stock_violations)
+_on_tables("blocked_carts", listings.blocked_carts)
+_on_tables("order_history", listings.order_history)
+_on_tables("order_item_lines", listings.order_item_lines)
+_on_tables("admin_order_listing", listings.admin_order_listing)
+_on_tables("admin_product_listing", listings.admin_product_listing)
+_on_tables("admin_review_listing", listings.admin_review_listing)
+
+# reviews
+_on_tables("reviewable_products", reviews.reviewable_products)
+_on_tables("user_reviews", reviews.user_reviews)
+_on_fixture("review_eligibility",
+            lambda fx: reviews.review_eligibility(feeds.review_feed(fx), fx.tables())
+            .select("seq", "user_id", "product_id"))
+_on_fixture("review_submissions", lambda fx: reviews.apply_reviews(fx.tables(), feeds.review_feed(fx))[0])
+_on_fixture("review_rejects", lambda fx: reviews.apply_reviews(fx.tables(), feeds.review_feed(fx))[1])
+
+# change jobs
+_on_fixture("product_changes", lambda fx: changes.apply_product_changes(fx.tables(), feeds.product_feed(fx))[0])
+_on_fixture("product_change_rejects",
+            lambda fx: changes.apply_product_changes(fx.tables(), feeds.product_feed(fx))[1])
+_on_fixture("category_insert_ignore",
+            lambda fx: changes.insert_ignore_categories(fx.categories(), feeds.category_feed(fx)))
+_on_tables("mark_delivered", lambda t: changes.mark_delivered(t.orders))
+_on_fixture("user_changes", lambda fx: changes.apply_user_changes(fx.users(), feeds.user_feed(fx)))
+_on_fixture("order_status_changes",
+            lambda fx: changes.apply_order_status(fx.orders(), feeds.order_status_feed(fx)))
+_on_fixture("cart_changes", lambda fx: changes.apply_cart_changes(fx.tables(), feeds.cart_feed(fx))[0])
+_on_fixture("cart_change_rejects", lambda fx: changes.apply_cart_changes(fx.tables(), feeds.cart_feed(fx))[1])
+_on_fixture("address_upsert",
+            lambda fx: changes.upsert_addresses(fx.tables(), feeds.address_feed(fx))[0])
+_on_fixture("address_rejects",
+            lambda fx: changes.upsert_addresses(fx.tables(), feeds.address_feed(fx))[1])
+
+
+def _rating_summary_upsert(t):
+    """Stale summary (reviews before 1997, products with id % 3 <> 0) upserted with
+    fresh rows for every product the stale copy misses or got reviews since."""
+    cutoff = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
+    stale = reports.rating_summary(t.with_(reviews=t.reviews.filter(F.col("created_at") < cutoff))) \
+        .filter(F.col("product_id") % 3 != 0)
+    touched = t.reviews.filter(F.col("created_at") >= cutoff).select("product_id")
+    fresh = reports.rating_summary(t)
+    updates = fresh.join(stale.select("product_id"), "product_id", "left_anti").unionByName(
+        fresh.join(touched, "product_id", "left_semi"))
+    return changes.upsert(stale, updates.dropDuplicates(["product_id"]), ["product_id"])
+
+
+_on_tables("rating_summary_upsert", _rating_summary_upsert)
+
+
+def _cascade_category(t):
+    """Delete the lowest-id category that has products; report rows left per table."""
+    victim = t.products.agg(F.min("category_id").alias("id"))
+    return changes.table_row_counts(changes.cascade_delete(t, "categories", victim))
+
+
+_on_tables("cascade_delete_category", _cascade_category)
+
 
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
