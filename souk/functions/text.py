@@ -51,7 +51,7 @@ def luhn_valid(c: Column) -> Column:
     rev = F.split(F.reverse(d), "")
 
     def weigh(x, i):
-        v = x.cast("int")
+        v = x.try_cast("int")
         doubled = v * 2
         return F.when(i % 2 == 1, F.when(doubled > 9, doubled - 9).otherwise(doubled)).otherwise(v)
 

@@ -446,5 +446,150 @@ UNION ALL SELECT 'payments', count(*) FROM m_payments
 UNION ALL SELECT 'invoices', count(*) FROM m_invoices"""
 
 
+
+# ---------------------------------------------------------------- data quality
+_STAGED = """rv AS (SELECT id, user_id, product_id, rating FROM m_reviews
+       UNION ALL SELECT seq, user_id, product_id, rating FROM f_reviews)"""
+
+SQL["dq_row_checks"] = f"""
+WITH {_STAGED}
+SELECT 'users' AS table_name, 'email length 5-100' AS rule, id AS record_id FROM m_users
+  WHERE NOT (length(email) BETWEEN 5 AND 100)
+UNION ALL SELECT 'users', 'role allowed', id FROM m_users WHERE NOT (role IN ('admin', 'seller', 'customer'))
+UNION ALL SELECT 'users', 'account_status allowed', id FROM m_users
+  WHERE NOT (account_status IN ('pending', 'active', 'suspended'))
+UNION ALL SELECT 'users', 'name not null', id FROM m_users WHERE name IS NULL
+UNION ALL SELECT 'users', 'email not null', id FROM m_users WHERE email IS NULL
+UNION ALL SELECT 'cart', 'quantity > 0', id FROM m_cart WHERE NOT (quantity > 0)
+UNION ALL SELECT 'orders', 'status allowed', id FROM m_orders
+  WHERE NOT (status IN ('pending', 'completed', 'delivered', 'cancelled'))
+UNION ALL SELECT 'order_items', 'quantity > 0', id FROM m_items WHERE NOT (quantity > 0)
+UNION ALL SELECT 'order_items', 'price not null', id FROM m_items WHERE price IS NULL
+UNION ALL SELECT 'reviews', 'rating 1-5', id FROM rv WHERE NOT (rating BETWEEN 1 AND 5)
+UNION ALL SELECT 'payments', 'card_last4 4 chars', id FROM m_payments
+  WHERE NOT (card_last4 IS NULL OR length(card_last4) = 4)
+UNION ALL SELECT 'payments', 'payment_method allowed', id FROM m_payments WHERE NOT (payment_method IN ('card', 'cash'))
+UNION ALL SELECT 'payments', 'payment_status allowed', id FROM m_payments
+  WHERE NOT (payment_status IN ('pending', 'paid'))
+UNION ALL SELECT 'products', 'name not null', id FROM m_products WHERE name IS NULL
+UNION ALL SELECT 'products', 'price not null', id FROM m_products WHERE price IS NULL"""
+
+_EMAIL_RE = ("^[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+             "(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+$")
+_CARD = "regexp_replace(card_number, '\\D+', '', 'g')"
+
+SQL["dq_contacts"] = f"""
+SELECT user_id,
+       coalesce(regexp_matches(email, '{_EMAIL_RE}') AND length(email) <= 100, false) AS email_ok,
+       coalesce(length(regexp_replace(phone, '\\D+', '', 'g')) BETWEEN 10 AND 15, false) AS phone_ok,
+       coalesce(length({_CARD}) BETWEEN 13 AND 19 AND
+                list_sum(list_transform(string_split(reverse({_CARD}), ''), lambda x, i:
+                    CASE WHEN i % 2 = 0
+                         THEN CASE WHEN 2 * TRY_CAST(x AS INTEGER) > 9 THEN 2 * TRY_CAST(x AS INTEGER) - 9
+                                   ELSE 2 * TRY_CAST(x AS INTEGER) END
+                         ELSE TRY_CAST(x AS INTEGER) END)) % 10 = 0, false) AS card_ok
+FROM f_contacts"""
+
+
+def _dup(table, cols, expr, src):
+    return (f"SELECT '{table}' AS table_name, '{cols}' AS key_columns, {expr} AS key_value, "
+            f"count(*) AS occurrences FROM {src} GROUP BY {expr} HAVING count(*) > 1")
+
+
+def _pair(a, b):
+    return f"concat_ws('|', CAST({a} AS VARCHAR), CAST({b} AS VARCHAR))"
+
+
+SQL["dq_unique"] = f"WITH {_STAGED}\n" + "\nUNION ALL ".join([
+    _dup("users", "lower(email)", "lower(email)", "m_users"),
+    _dup("categories", "lower(name)", "lower(name)", "m_categories"),
+    _dup("cart", "user_id,product_id", _pair("user_id", "product_id"), "m_cart"),
+    _dup("order_items", "order_id,product_id", _pair("order_id", "product_id"), "m_items"),
+    _dup("reviews", "user_id,product_id", _pair("user_id", "product_id"), "rv"),
+    _dup("reviews", "id", "CAST(id AS VARCHAR)", "rv"),
+    _dup("payments", "order_id", "CAST(order_id AS VARCHAR)", "m_payments"),
+    _dup("invoices", "order_id", "CAST(order_id AS VARCHAR)", "m_invoices"),
+    _dup("invoices", "invoice_number", "invoice_number", "m_invoices"),
+])
+
+
+def _fk(child, src, col, parent):
+    return (f"SELECT '{child}' AS table_name, '{col}' AS column_name, id AS record_id, {col} AS missing_key "
+            f"FROM {src} WHERE {col} IS NOT NULL AND {col} NOT IN (SELECT id FROM {parent})")
+
+
+SQL["dq_references"] = "WITH np AS (" + SQL["product_changes"].strip() + ")\n" + "\nUNION ALL ".join([
+    _fk("user_addresses", "m_addresses", "user_id", "m_users"),
+    _fk("products", "np", "category_id", "m_categories"),
+    _fk("products", "np", "seller_id", "m_users"),
+    _fk("cart", "m_cart", "user_id", "m_users"),
+    _fk("cart", "m_cart", "product_id", "np"),
+    _fk("orders", "m_orders", "user_id", "m_users"),
+    _fk("orders", "m_orders", "delivery_address_id", "m_addresses"),
+    _fk("order_items", "m_items", "order_id", "m_orders"),
+    _fk("order_items", "m_items", "product_id", "np"),
+    _fk("reviews", "m_reviews", "user_id", "m_users"),
+    _fk("reviews", "m_reviews", "product_id", "np"),
+    _fk("payments", "m_payments", "order_id", "m_orders"),
+    _fk("invoices", "m_invoices", "order_id", "m_orders"),
+])
+
+# ---------------------------------------------------------------- checkout (sequential, one cart per step)
+_OK = ("list_aggregate(list_transform(cl.pids, lambda p, i: "
+       "coalesce(map_extract_value(st.used, p), 0) + cl.qtys[i] <= cl.stocks[i]), 'bool_and')")
+_CHECKOUT_CTES = f"""
+WITH RECURSIVE req AS (SELECT * FROM f_checkout),
+ln AS (SELECT r.seq, c.product_id, c.quantity, p.price, p.stock
+       FROM req r JOIN m_cart c ON c.user_id = r.user_id JOIN m_products p ON p.id = c.product_id),
+q AS (SELECT seq, CAST(sum(quantity * price) AS {M}) AS subtotal FROM ln GROUP BY seq),
+cand AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM q WHERE subtotal > 0),
+cl AS (SELECT c.rn, list(ln.product_id ORDER BY ln.product_id) AS pids,
+              list(CAST(ln.quantity AS BIGINT) ORDER BY ln.product_id) AS qtys,
+              list(CAST(ln.stock AS BIGINT) ORDER BY ln.product_id) AS stocks
+       FROM cand c JOIN ln ON ln.seq = c.seq GROUP BY c.rn),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(MAP() AS MAP(BIGINT, BIGINT)) AS used, CAST(NULL AS BOOLEAN) AS ok
+  UNION ALL
+  SELECT st.rn + 1,
+         CASE WHEN {_OK}
+              THEN map_concat(st.used, map_from_entries(list_transform(cl.pids, lambda p, i:
+                     {{'k': p, 'v': coalesce(map_extract_value(st.used, p), 0) + cl.qtys[i]}})))
+              ELSE st.used END,
+         {_OK}
+  FROM st JOIN cl ON cl.rn = st.rn + 1),
+dec AS (SELECT c.seq, st.ok FROM st JOIN cand c ON c.rn = st.rn),
+acc AS (SELECT seq, (SELECT max(id) FROM m_orders) + row_number() OVER (ORDER BY seq) AS order_id
+        FROM dec WHERE ok)"""
+
+SQL["checkout_decisions"] = _CHECKOUT_CTES + f"""
+SELECT r.seq, r.user_id,
+       CASE WHEN acc.seq IS NOT NULL THEN 'accepted' ELSE 'rejected' END AS decision,
+       CASE WHEN coalesce(q.subtotal, 0) <= 0 THEN 'Cart is empty'
+            WHEN acc.seq IS NULL THEN 'Insufficient stock' END AS reason,
+       CAST(coalesce(q.subtotal, 0) AS {M}) AS subtotal,
+       CASE WHEN acc.seq IS NOT NULL THEN CAST(round(q.subtotal * 0.05, 2) AS {M}) END AS tax_amount,
+       CASE WHEN acc.seq IS NOT NULL THEN CAST(q.subtotal + 10.00 + round(q.subtotal * 0.05, 2) AS {M}) END
+         AS total_amount,
+       acc.order_id
+FROM req r LEFT JOIN q ON q.seq = r.seq LEFT JOIN acc ON acc.seq = r.seq"""
+
+SQL["checkout_stock"] = _CHECKOUT_CTES + """
+SELECT p.id, CAST(p.stock - coalesce(u.used, 0) AS INTEGER) AS stock
+FROM m_products p
+LEFT JOIN (SELECT ln.product_id, sum(ln.quantity) AS used FROM ln JOIN acc ON acc.seq = ln.seq GROUP BY 1) u
+  ON u.product_id = p.id"""
+
+SQL["checkout_orders"] = _CHECKOUT_CTES + f"""
+SELECT acc.order_id AS id, r.user_id, r.address_id AS delivery_address_id, 'pending' AS status,
+       {T0} AS created_at, q.subtotal,
+       CAST(round(q.subtotal * 0.05, 2) AS {M}) AS tax_amount,
+       CAST(q.subtotal + 10.00 + round(q.subtotal * 0.05, 2) AS {M}) AS total_amount,
+       r.payment_method, CASE WHEN r.payment_method = 'card' THEN r.card_last4 END AS card_last4,
+       CASE WHEN r.payment_method = 'card' THEN 'paid' ELSE 'pending' END AS payment_status,
+       'INV-' || lpad(CAST(acc.order_id AS VARCHAR), CAST(greatest(4, length(CAST(acc.order_id AS VARCHAR)))
+                      AS INTEGER), '0') AS invoice_number
+FROM acc JOIN req r ON r.seq = acc.seq JOIN q ON q.seq = acc.seq"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in SQL.items()}

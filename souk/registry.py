@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from souk.operators import catalog, changes, listings, reports, reviews
+from souk.operators import catalog, changes, checkout, listings, quality, reports, reviews
 from souk.sources import feeds
 from souk.sources.fixtures import Fixture
 
@@ -117,5 +117,32 @@ def _cascade_category(t):
 _on_tables("cascade_delete_category", _cascade_category)
 
 
+
+# data quality
+def _staged_reviews(fx):
+    """Reviews plus the raw review feed staged as rows (unclamped, unchecked)."""
+    staged = feeds.review_feed(fx).select(F.col("seq").alias("id"), "user_id", "product_id", "rating",
+                                          "comment", F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    t = fx.tables()
+    return t.with_(reviews=t.reviews.unionByName(staged))
+
+
+_on_fixture("dq_row_checks", lambda fx: quality.check_rows(_staged_reviews(fx)))
+_on_fixture("dq_unique", lambda fx: quality.check_unique(_staged_reviews(fx)))
+_on_fixture("dq_contacts", lambda fx: quality.check_contacts(feeds.contacts(fx)))
+_on_fixture("dq_references", lambda fx: quality.check_references(fx.tables().with_(
+    products=changes.apply_product_changes(fx.tables(), feeds.product_feed(fx))[0])))
+
+
+# checkout
+def _checkout(fx):
+    return checkout.checkout(fx.tables(), feeds.checkout_requests(fx))
+
+
+_on_fixture("checkout_decisions", lambda fx: _checkout(fx).decisions)
+_on_fixture("checkout_stock", lambda fx: _checkout(fx).stock)
+_on_fixture("checkout_orders", lambda fx: _checkout(fx).orders)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
