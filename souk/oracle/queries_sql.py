@@ -591,5 +591,65 @@ SELECT acc.order_id AS id, r.user_id, r.address_id AS delivery_address_id, 'pend
 FROM acc JOIN req r ON r.seq = acc.seq JOIN q ON q.seq = acc.seq"""
 
 
+
+# ---------------------------------------------------------------- audit and streams
+SQL["audit_log"] = "WITH np AS (" + SQL["product_changes"].strip() + f"""),
+st AS (
+  SELECT f.seq, f.order_id,
+         CASE WHEN f.status IN ('pending', 'completed', 'delivered', 'cancelled') THEN f.status ELSE 'pending' END
+           AS new_status,
+         o.status AS base_status
+  FROM f_order_status f JOIN m_orders o ON o.id = f.order_id),
+ch AS (SELECT order_id, coalesce(lag(new_status) OVER (PARTITION BY order_id ORDER BY seq), base_status)
+              AS old_status, new_status FROM st)
+SELECT 'reviews' AS table_name, 'INSERT' AS action_type, review_id AS record_id,
+       'Product ' || CAST(product_id AS VARCHAR) || ' rated ' || CAST(rating AS VARCHAR) || '/5' AS details,
+       changed_at AS created_at
+FROM f_review_changes WHERE op = 'INSERT'
+UNION ALL
+SELECT 'reviews', 'DELETE', review_id, 'Deleted review for product ' || CAST(product_id AS VARCHAR), changed_at
+FROM f_review_changes WHERE op = 'DELETE'
+UNION ALL
+SELECT 'products', 'INSERT', id, 'Product added: ' || name, created_at
+FROM np WHERE id NOT IN (SELECT id FROM m_products)
+UNION ALL
+SELECT 'orders', 'STATUS_CHANGE', order_id, old_status || ' -> ' || new_status, {T0}
+FROM ch WHERE old_status <> new_status"""
+
+SQL["order_status_audit"] = """
+SELECT 'orders' AS table_name, 'STATUS_CHANGE' AS action_type, order_id AS record_id,
+       old_status || ' -> ' || new_status AS details, event_time AS created_at
+FROM (SELECT order_id, lag(status) OVER (PARTITION BY order_id ORDER BY event_time) AS old_status,
+             status AS new_status, event_time FROM f_order_events)
+WHERE old_status <> new_status"""
+
+SQL["stream_rating_summary"] = """
+SELECT p.id AS product_id, CAST(coalesce(s.n, 0) AS BIGINT) AS review_count,
+       CAST(CASE WHEN coalesce(s.n, 0) > 0 THEN ((200 * CAST(s.rs AS HUGEINT) + s.n) // (2 * s.n)) / 100
+                 ELSE 0 END AS DECIMAL(3,2)) AS average_rating
+FROM m_products p
+LEFT JOIN (SELECT product_id, sum(sign) AS n, sum(sign * rating) AS rs FROM f_review_changes GROUP BY product_id) s
+  ON s.product_id = p.id"""
+
+SQL["stream_mark_delivered"] = """
+WITH c AS (SELECT order_id, min(event_time) FILTER (WHERE status = 'pending') AS created
+           FROM f_order_events GROUP BY order_id),
+s AS (SELECT c.order_id, c.created, arg_max(e.status, e.event_time) AS st
+      FROM c JOIN f_order_events e ON e.order_id = c.order_id AND e.event_time <= c.created + INTERVAL 1 MINUTE
+      GROUP BY c.order_id, c.created)
+SELECT order_id, created + INTERVAL 1 MINUTE AS delivered_at, st AS previous_status
+FROM s WHERE st IN ('pending', 'completed')"""
+
+SQL["stream_cart_guard"] = """
+SELECT seq, user_id, product_id, quantity, reason, reason IS NULL AS accepted FROM (
+  SELECT f.seq, f.user_id, f.product_id, f.quantity,
+         CASE WHEN f.quantity <= 0 THEN 'Cart quantity must be positive'
+              WHEN p.stock IS NULL OR f.quantity > p.stock THEN 'Cart quantity exceeds available stock' END AS reason
+  FROM f_cart f LEFT JOIN m_products p ON p.id = f.product_id
+  WHERE f.op IN ('add', 'set'))"""
+
+SQL["stream_daily_sales"] = SQL["daily_sales"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in SQL.items()}

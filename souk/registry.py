@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from souk.operators import catalog, changes, checkout, listings, quality, reports, reviews
+from souk.operators import audit, catalog, changes, checkout, listings, quality, reports, reviews
 from souk.sources import feeds
 from souk.sources.fixtures import Fixture
+from souk.streaming import streams
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -144,5 +145,37 @@ _on_fixture("checkout_stock", lambda fx: _checkout(fx).stock)
 _on_fixture("checkout_orders", lambda fx: _checkout(fx).orders)
 
 
+
+# audit log (batch form of the triggers)
+def _audit_log(fx):
+    t = fx.tables()
+    new_products = changes.apply_product_changes(t, feeds.product_feed(fx))[0] \
+        .join(t.products.select("id"), "id", "left_anti")
+    status = audit.feed_status_changes(t.orders, feeds.order_status_feed(fx))
+    return (audit.review_audit(feeds.review_changes(fx))
+            .unionByName(audit.product_insert_audit(new_products))
+            .unionByName(audit.status_change_audit(status)))
+
+
+_on_fixture("audit_log", _audit_log)
+_on_fixture("order_status_audit", lambda fx: audit.status_change_audit(
+    audit.order_status_transitions(feeds.order_status_events(fx)), time_col="event_time"))
+
+
+# streams
+def _stream_lines(fx):
+    t = fx.tables()
+    live = reports.live_orders(t.orders).select(F.col("id").alias("order_id"), "created_at")
+    return t.order_items.join(live, "order_id").select("order_id", "created_at", "quantity", "price")
+
+
+_on_fixture("stream_rating_summary", lambda fx: streams.stream_rating_summary(
+    fx.spark, streams.rating_change_feed(feeds.review_changes(fx), fx.products())))
+_on_fixture("stream_mark_delivered", lambda fx: streams.stream_mark_delivered(
+    fx.spark, feeds.order_status_events(fx)))
+_on_fixture("stream_cart_guard", lambda fx: streams.stream_cart_guard(fx.spark, feeds.cart_feed(fx), fx.products()))
+_on_fixture("stream_daily_sales", lambda fx: streams.stream_daily_sales(fx.spark, _stream_lines(fx)))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
