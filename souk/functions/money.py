@@ -31,6 +31,21 @@ def line_amount(quantity: Column, price: Column) -> Column:
     return quantity.cast("decimal(12,0)") * price
 
 
+def line_cents(quantity: Column, price: Column) -> Column:
+    """quantity * unit price in whole cents, as a long (exact)."""
+    return quantity.cast("long") * (price * 100).cast("long")
+
+
+def sum_of_lines(quantity: Column, price: Column) -> Column:
+    """Exact sum of line amounts for one order or one cart, as MONEY.
+
+    Summed in long cents, which keeps the aggregation buffer a primitive
+    instead of a BigDecimal. A long holds 92 quadrillion currency units, far
+    above any single order or cart; store-wide sums use ``sum`` on MONEY.
+    """
+    return money(F.sum(line_cents(quantity, price)).cast("decimal(38,0)") / F.lit(100))
+
+
 def tax(subtotal: Column, rate: Decimal = TAX_RATE) -> Column:
     return money(F.round(subtotal * F.lit(rate), 2))
 

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.money import invoice_number, line_amount, money, with_totals
+from souk.functions.money import invoice_number, money, sum_of_lines, with_totals
 from souk.functions.text import ts_literal
 from souk.plans.numbering import number_rows, order_bucket, running_sums
 from souk.session import ensure_checkpoint_dir
@@ -72,29 +72,26 @@ def _decide_round(lines: DataFrame) -> DataFrame:
 def decide(lines: DataFrame) -> tuple[DataFrame, int]:
     """Iterate rounds to the fixpoint. ``lines``: seq, product_id, quantity, stock.
 
-    Returns (seq, status) for every cart that has lines, and the round count.
+    The line set is checkpointed once; each round rewrites only the per-cart
+    status table (one row per cart), which is checkpointed so lineage stays
+    one round deep. Returns (seq, status) for every cart with lines, and the
+    round count.
     """
-    spark = lines.sparkSession
-    ensure_checkpoint_dir(spark)
-    work = lines.withColumn("status", F.lit("U"))
-    work = work.withColumn("bucket", order_bucket(work, "seq")).checkpoint()
-    decided = []
+    ensure_checkpoint_dir(lines.sparkSession)
+    static = lines.withColumn("bucket", order_bucket(lines, "seq")).checkpoint()
+    status = static.select("seq").distinct().withColumn("status", F.lit("U")).checkpoint()
     rounds = 0
     while True:
         rounds += 1
+        # Rejected carts no longer affect anyone: their lines leave the working set.
+        work = static.join(status.filter(F.col("status") != "R"), "seq")
         new = _decide_round(work)
-        work = (work.join(new, "seq", "left")
-                    .withColumn("status", F.coalesce("new_status", "status")).drop("new_status"))
-        # Rejected carts no longer affect anyone: keep their decision, drop their lines.
-        done_r = work.filter(F.col("status") == "R").select("seq", "status").distinct()
-        decided.append(done_r.checkpoint())
-        work = work.filter(F.col("status") != "R").checkpoint()
-        left = work.filter(F.col("status") == "U").select("seq").distinct().count()
+        status = (status.join(new, "seq", "left")
+                  .select("seq", F.coalesce("new_status", "status").alias("status"))
+                  .checkpoint())
+        left = status.filter(F.col("status") == "U").count()
         if left == 0 or rounds >= MAX_ROUNDS:
             break
-    status = work.select("seq", "status").distinct()
-    for d in decided:
-        status = status.unionByName(d)
     return status, rounds
 
 
@@ -102,9 +99,10 @@ def checkout(t: Tables, requests: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF)
     """Serve ``requests`` (seq, user_id, address_id, payment_method, card_last4) in seq order."""
     prods = t.products.select(F.col("id").alias("product_id"), "price", "stock")
     req = requests.select("seq", "user_id", "address_id", "payment_method", "card_last4")
-    lines = req.select("seq", "user_id").join(t.cart, "user_id").join(prods, "product_id")
+    ensure_checkpoint_dir(requests.sparkSession)
+    lines = req.select("seq", "user_id").join(t.cart, "user_id").join(prods, "product_id").checkpoint()
     quotes = lines.groupBy("seq").agg(
-        money(F.sum(line_amount(F.col("quantity"), F.col("price")))).alias("subtotal"),
+        sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal"),
         F.count(F.lit(1)).alias("n_lines"))
     nonempty = quotes.filter(F.col("subtotal") > 0).select("seq")
     work_lines = lines.join(nonempty, "seq", "left_semi").select("seq", "product_id", "quantity", "stock")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.money import (DELIVERY_FEE, TAX_RATE, average_money, average_rating, line_amount, money,
-                                  with_totals)
+                                  sum_of_lines, with_totals)
 from souk.sources.tables import Tables
 
 
@@ -27,8 +27,7 @@ def live_orders(orders: DataFrame) -> DataFrame:
 
 def order_subtotals(items: DataFrame) -> DataFrame:
     """Per order: sum(quantity * price) over its lines. Lines are summed exactly."""
-    return items.groupBy("order_id").agg(
-        money(F.sum(line_amount(F.col("quantity"), F.col("price")))).alias("subtotal"))
+    return items.groupBy("order_id").agg(sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal"))
 
 
 def order_totals(t: Tables, fee: Decimal = DELIVERY_FEE, rate: Decimal = TAX_RATE) -> DataFrame:
@@ -189,5 +188,5 @@ def cart_totals(t: Tables) -> DataFrame:
     agg = lines.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.sum("quantity").cast("bigint").alias("units"),
-        money(F.sum(line_amount(F.col("quantity"), F.col("price")))).alias("subtotal"))
+        sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal"))
     return with_totals(agg)

@@ -22,8 +22,16 @@ CARD_BASE = 4_000_000_000_000_000
 PHONE_PREFIX = "55501"
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The scan of one driver table. The DataFrame (a plan, not data) is reused
+    per session, so file listing and footer reads happen once per table."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _SCANS[key]
 
 
 def days_after_epoch(n: Column) -> Column:
@@ -199,10 +207,12 @@ class Fixture:
         return self._get("cart", build)
 
     def tables(self) -> Tables:
-        return Tables(users=self.users(), user_addresses=self.user_addresses(), categories=self.categories(),
-                      products=self.products(), cart=self.cart(), orders=self.orders(),
-                      order_items=self.order_items(), reviews=self.reviews(), payments=self.payments(),
-                      invoices=self.invoices(), extras={"fixture": self})
+        if "tables" not in self._cache:
+            self._cache["tables"] = Tables(
+                users=self.users, user_addresses=self.user_addresses, categories=self.categories,
+                products=self.products, cart=self.cart, orders=self.orders, order_items=self.order_items,
+                reviews=self.reviews, payments=self.payments, invoices=self.invoices, extras={"fixture": self})
+        return self._cache["tables"]
 
 
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:

@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.sources.schema import RETIRED_COLUMNS, SCHEMAS, TABLE_NAMES
 
 
-@dataclass(frozen=True)
 class Tables:
-    """One DataFrame per marketplace base table. Immutable: jobs return new state."""
-
-    users: DataFrame
-    user_addresses: DataFrame
-    categories: DataFrame
-    products: DataFrame
-    cart: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
-    reviews: DataFrame
-    payments: DataFrame
-    invoices: DataFrame
-    extras: dict = field(default_factory=dict)
+    """One DataFrame per marketplace base table. Immutable: jobs return new state.
+
+    A table may be given as a zero-argument builder; it is built on first
+    access, so a job that reads three tables never plans the other seven.
+    """
+
+    __slots__ = ("_src", "extras")
+
+    def __init__(self, extras: dict | None = None, **tables):
+        unknown = set(tables) - set(TABLE_NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        missing = set(TABLE_NAMES) - set(tables)
+        if missing:
+            raise TypeError(f"missing tables: {sorted(missing)}")
+        object.__setattr__(self, "_src", dict(tables))
+        object.__setattr__(self, "extras", dict(extras or {}))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        src = object.__getattribute__(self, "_src")
+        if name not in src:
+            raise AttributeError(name)
+        value = src[name]
+        if not isinstance(value, DataFrame):
+            value = value()
+            src[name] = value
+        return value
+
+    def __setattr__(self, name, value):
+        raise AttributeError("Tables is immutable; use with_()")
 
     def with_(self, **changes) -> "Tables":
-        return replace(self, **changes)
+        src = dict(object.__getattribute__(self, "_src"))
+        src.update(changes)
+        return Tables(extras=self.extras, **src)
 
     def items(self):
-        for f in fields(self):
-            if f.name != "extras":
-                yield f.name, getattr(self, f.name)
+        for name in TABLE_NAMES:
+            yield name, getattr(self, name)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:

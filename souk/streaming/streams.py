@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from souk.functions.money import average_rating, line_amount, money, with_totals
+from souk.functions.money import average_rating, money, sum_of_lines, with_totals
 from souk.operators.changes import last_per_key
 from souk.streaming.runner import run_sliced
 
@@ -170,7 +170,7 @@ def daily_sales_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
     then per-day sums."""
     per_order = (stream.withWatermark("created_at", late)
                  .groupBy(F.window("created_at", "1 day").alias("w"), "order_id")
-                 .agg(money(F.sum(line_amount(F.col("quantity"), F.col("price")))).alias("subtotal")))
+                 .agg(sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal")))
     per_order = with_totals(per_order).withColumn("t", F.window_time("w"))
     return (per_order.groupBy(F.window("t", "1 day").alias("d"))
             .agg(F.count(F.lit(1)).alias("total_orders"),
