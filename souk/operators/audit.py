@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.text import ts_literal
+from souk.plans.numbering import previous_values
 
 DEFAULT_AS_OF = dt.datetime(2000, 1, 1)
 
@@ -48,19 +49,19 @@ def status_change_audit(changes: DataFrame, time_col: str = "created_at") -> Dat
 def order_status_transitions(events: DataFrame) -> DataFrame:
     """Consecutive status pairs per order from a time-ordered status event feed.
 
-    The previous status is a ``lag`` over one order's own history.
+    The previous status comes from the bucketed ``previous_values``, so an
+    order with an unusually long history is not processed by one task.
     """
-    w = Window.partitionBy("order_id").orderBy("event_time")
-    return events.select("order_id", F.lag("status").over(w).alias("old_status"),
-                         F.col("status").alias("new_status"), "event_time")
+    prev = previous_values(events.select("order_id", "status", "event_time"), ["order_id"], ["event_time"],
+                           ["status"])
+    return prev.select("order_id", F.col("prev_status").alias("old_status"), F.col("status").alias("new_status"),
+                       "event_time")
 
 
 def feed_status_changes(orders: DataFrame, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF) -> DataFrame:
     """Old and new status for each request of an order-status feed applied in ``seq`` order."""
     from souk.operators.changes import order_status_updates
 
-    upd = order_status_updates(orders, feed)
-    w = Window.partitionBy("order_id").orderBy("seq")
-    prev = F.lag("new_status").over(w)
-    return upd.select("order_id", F.coalesce(prev, F.col("old_status")).alias("old_status"), "new_status",
+    upd = previous_values(order_status_updates(orders, feed), ["order_id"], ["seq"], ["new_status"])
+    return upd.select("order_id", F.coalesce("prev_new_status", "old_status").alias("old_status"), "new_status",
                       ts_literal(as_of).alias("created_at"))

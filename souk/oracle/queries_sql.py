@@ -649,6 +649,7 @@ SELECT seq, user_id, product_id, quantity, reason, reason IS NULL AS accepted FR
   WHERE f.op IN ('add', 'set'))"""
 
 SQL["stream_daily_sales"] = SQL["daily_sales"]
+SQL["stream_order_status_audit"] = SQL["order_status_audit"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,18 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
+def _numeric_key(df: DataFrame, col: str) -> Column | None:
+    """A double that orders like ``col``, or None for types without one."""
+    name = df.schema[col].dataType.typeName()
+    if name in ("long", "integer", "short", "byte", "double", "float", "decimal"):
+        return F.col(col).cast("double")
+    if name in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if name == "date":
+        return F.unix_date(F.col(col)).cast("double")
+    return None
+
+
 def order_bucket(df: DataFrame, order_col: str, buckets: int = DEFAULT_BUCKETS,
                  rel_error: float = 0.001) -> Column:
     """Monotone bucket number of ``order_col`` from approximate quantiles.
@@ -28,17 +40,15 @@ def order_bucket(df: DataFrame, order_col: str, buckets: int = DEFAULT_BUCKETS,
     Runs one small aggregation job (the quantile sketch); the bounds that
     reach the driver are ``buckets - 1`` numbers. Equal keys share a bucket.
     """
-    numeric = df.schema[order_col].dataType.typeName() in (
-        "long", "integer", "short", "byte", "double", "float", "decimal", "timestamp", "timestamp_ntz", "date")
-    if buckets <= 1 or not numeric:
+    key = _numeric_key(df, order_col)
+    if buckets <= 1 or key is None:
         # Text keys: one ordered pass (callers use this only for small sets such as new names).
         return F.lit(0)
     probs = [i / buckets for i in range(1, buckets)]
-    probe = df.select(F.col(order_col).cast("double").alias("k"))
+    probe = df.select(key.alias("k"))
     bounds = sorted(set(probe.approxQuantile("k", probs, rel_error)))
     if not bounds:
         return F.lit(0)
-    key = F.col(order_col).cast("double")
     arr = F.array(*[F.lit(float(b)) for b in bounds])
     return F.size(F.filter(arr, lambda b: b <= key))
 
@@ -82,3 +92,28 @@ def number_rows(df: DataFrame, order_col: str | list[str], out_col: str, start:
     numbered = running_sums(df, [], order_cols, {"__rn": F.lit(1)}, inclusive=True, buckets=buckets)
     start_col = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(out_col, (F.col("__rn") - 1 + start_col).cast("bigint")).drop("__rn")
+
+
+def previous_values(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
+                    buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None,
+                    prefix: str = "prev_") -> DataFrame:
+    """``lag(value)`` per key in ``order_cols`` order, without one task per key.
+
+    Inside a (key, bucket) chunk the previous row comes from a window; the
+    first row of a chunk takes the last row of the key's nearest earlier
+    non-empty chunk, found over the chunk table (at most ``buckets`` rows per
+    key).
+    """
+    b = "__pb"
+    df = df.withColumn(b, bucket if bucket is not None else order_bucket(df, order_cols[0], buckets))
+    w = Window.partitionBy(*keys, b).orderBy(*order_cols)
+    staged = df.select("*", F.row_number().over(w).alias("__rn"),
+                       *[F.lag(v).over(w).alias(f"__lag_{v}") for v in value_cols])
+    last = df.groupBy(*keys, b).agg(F.max_by(F.struct(*value_cols), F.struct(*order_cols)).alias("__last"))
+    wb = Window.partitionBy(*keys).orderBy(b)
+    prev_chunk = last.select(*keys, b, F.lag("__last").over(wb).alias("__prev"))
+    out = staged.join(prev_chunk, keys + [b], "left")
+    for v in value_cols:
+        out = out.withColumn(f"{prefix}{v}", F.when(F.col("__rn") == 1, F.col(f"__prev.{v}"))
+                             .otherwise(F.col(f"__lag_{v}")))
+    return out.drop(b, "__rn", "__prev", *[f"__lag_{v}" for v in value_cols])

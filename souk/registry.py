@@ -174,6 +174,8 @@ _on_fixture("stream_rating_summary", lambda fx: streams.stream_rating_summary(
 _on_fixture("stream_mark_delivered", lambda fx: streams.stream_mark_delivered(
     fx.spark, feeds.order_status_events(fx)))
 _on_fixture("stream_cart_guard", lambda fx: streams.stream_cart_guard(fx.spark, feeds.cart_feed(fx), fx.products()))
+_on_fixture("stream_order_status_audit", lambda fx: streams.stream_order_status_audit(
+    fx.spark, feeds.order_status_events(fx)))
 _on_fixture("stream_daily_sales", lambda fx: streams.stream_daily_sales(fx.spark, _stream_lines(fx)))
 
 

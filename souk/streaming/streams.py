@@ -194,3 +194,50 @@ def stream_daily_sales(spark: SparkSession, lines: DataFrame, slices: int = 3) -
 
     out = run_sliced(spark, "daily-sales", feed, "created_at", build, slices, tail=tail)
     return spark.read.parquet(out).filter(F.col("order_date") < F.lit(SENTINEL_TIME[:10]).cast("date"))
+
+
+# ------------------------------------------------------------------ X2 (status changes)
+X2_OUT = "order_id long, old_status string, new_status string, event_time timestamp"
+X2_STATE = "status string, last_us long"
+STATUS_RETENTION = dt.timedelta(days=7)
+
+
+def _status_changes(key, batches, state):
+    """Per order: compare each status event with the previous one (kept in state).
+
+    State expires ``STATUS_RETENTION`` after the order's last event, so it
+    does not grow with the number of orders ever seen.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(batches)).sort_values("event_time")
+    prev = state.get[0] if state.exists else None
+    last_us = state.get[1] if state.exists else None
+    out = []
+    for t, status in zip(rows["event_time"], rows["status"]):
+        if prev is not None and status is not None and prev != status:
+            out.append((key[0], prev, status, t))
+        prev, last_us = status, pd.Timestamp(t).value // 1000
+    state.update((prev, last_us))
+    state.setTimeoutTimestamp(last_us // 1000 + int(STATUS_RETENTION.total_seconds() * 1000))
+    if out:
+        yield pd.DataFrame(out, columns=["order_id", "old_status", "new_status", "event_time"])
+
+
+def stream_order_status_audit(spark: SparkSession, events: DataFrame, slices: int = 3,
+                              late: str = "1 hour") -> DataFrame:
+    """X2. The order status-change trigger as a stream: 'old -> new' audit rows."""
+    from souk.operators.audit import status_change_audit
+
+    feed = events.select("order_id", "status", F.col("event_time").cast("timestamp").alias("event_time"))
+
+    def build(stream, out):
+        res = (stream.withWatermark("event_time", late).groupBy("order_id")
+               .applyInPandasWithState(_status_changes, X2_OUT, X2_STATE, "append",
+                                       GroupStateTimeout.EventTimeTimeout))
+        return res.writeStream.outputMode("append").format("parquet").option("path", out)
+
+    out = run_sliced(spark, "status-audit", feed, "event_time", build, slices)
+    changes = spark.read.parquet(out).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    return status_change_audit(changes, time_col="event_time")
