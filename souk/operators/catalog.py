@@ -114,17 +114,22 @@ def load_catalog_feed(feed: DataFrame, categories: DataFrame) -> tuple[DataFrame
     return loaded, rejected
 
 
-def reload_catalog(t: Tables, feed: DataFrame) -> Tables:
+def reload_catalog(t: Tables, feed: DataFrame, as_of=None) -> Tables:
     """S4. Full catalog reload: dependants emptied child first, products replaced by the feed.
 
     New product ids follow the feed's ``seq`` order (ids 1..n); this is a
     replacement, so nothing else keeps old product ids.
     """
+    import datetime as dt
+
+    from souk.functions.text import ts_literal
     from souk.plans.numbering import number_rows
 
     loaded, _ = load_catalog_feed(feed, t.categories)
     numbered = number_rows(loaded, "seq", "id", start=1)
-    products = conform(numbered.withColumn("name", php_trim(F.col("name"))), "products")
+    stamp = ts_literal(as_of or dt.datetime(2000, 1, 1))
+    products = conform(numbered.withColumn("name", php_trim(F.col("name"))).withColumn("created_at", stamp),
+                       "products")
     empty = {name: df.limit(0) for name, df in t.items()
              if name in ("reviews", "cart", "invoices", "payments", "order_items", "orders")}
     return t.with_(products=products, **empty)

@@ -54,6 +54,7 @@ _on_fixture("catalog_feed_load",
             lambda fx: catalog.load_catalog_feed(feeds.catalog_feed(fx), fx.categories())[0])
 _on_fixture("catalog_feed_rejects",
             lambda fx: catalog.load_catalog_feed(feeds.catalog_feed(fx), fx.categories())[1])
+_on_fixture("catalog_reload", lambda fx: catalog.reload_catalog(fx.tables(), feeds.catalog_feed(fx)).products)
 _on_tables("user_listing", listings.user_listing)
 _on_tables("category_listing", listings.category_listing)
 _on_tables("default_address", listings.default_address)
