@@ -138,7 +138,10 @@ class Fixture:
 
     def order_items(self) -> DataFrame:
         def build():
-            li = self.raw("lineitem")
+            # Hash-partition by order once: the (order, part) grouping and every later
+            # per-order aggregation or join on order_id reuse this partitioning.
+            li = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice") \
+                .repartition("l_orderkey")
             g = li.groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id")).agg(
                 F.floor(F.sum("l_quantity")).cast("int").alias("quantity"),
                 F.min(F.col("l_extendedprice").cast("decimal(10,2)")).alias("price"))
