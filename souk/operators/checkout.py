@@ -78,7 +78,8 @@ def decide(lines: DataFrame) -> tuple[DataFrame, int]:
     round count.
     """
     ensure_checkpoint_dir(lines.sparkSession)
-    static = lines.withColumn("bucket", order_bucket(lines, "seq")).checkpoint()
+    bucket = order_bucket(lines, "seq")
+    static = lines.withColumn("bucket", bucket if bucket is not None else F.lit(0)).checkpoint()
     status = static.select("seq").distinct().withColumn("status", F.lit("U")).checkpoint()
     rounds = 0
     while True:

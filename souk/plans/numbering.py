@@ -34,16 +34,18 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
 
 
 def order_bucket(df: DataFrame, order_col: str, buckets: int = DEFAULT_BUCKETS,
-                 rel_error: float = 0.001) -> Column:
+                 rel_error: float = 0.001) -> Column | None:
     """Monotone bucket number of ``order_col`` from approximate quantiles.
 
     Runs one small aggregation job (the quantile sketch); the bounds that
     reach the driver are ``buckets - 1`` numbers. Equal keys share a bucket.
+    Returns None when the column has no numeric order (text keys): callers
+    then use one ordered pass, which they do only for small sets such as
+    new category names.
     """
     key = _numeric_key(df, order_col)
     if buckets <= 1 or key is None:
-        # Text keys: one ordered pass (callers use this only for small sets such as new names).
-        return F.lit(0)
+        return None
     probs = [i / buckets for i in range(1, buckets)]
     probe = df.select(key.alias("k"))
     bounds = sorted(set(probe.approxQuantile("k", probs, rel_error)))
@@ -61,10 +63,17 @@ def running_sums(df: DataFrame, keys: list[str], order_cols: list[str], values:
     ``order_cols`` must give a total order within each key. ``inclusive``
     includes the current row. Null values count as 0.
     """
+    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    if bucket is None:
+        bucket = order_bucket(df, order_cols[0], buckets)
+    if bucket is None:
+        w = (Window.partitionBy(*keys) if keys else Window).orderBy(*order_cols).rowsBetween(*frame)
+        for name, v in values.items():
+            df = df.withColumn(name, F.coalesce(F.sum(v).over(w), F.lit(0)))
+        return df
     b = "__bucket"
-    df = df.withColumn(b, bucket if bucket is not None else order_bucket(df, order_cols[0], buckets))
+    df = df.withColumn(b, bucket)
     part = keys + [b]
-    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     w = Window.partitionBy(*part).orderBy(*order_cols).rowsBetween(*frame)
     staged = df
     for name, v in values.items():
@@ -104,8 +113,13 @@ def previous_values(df: DataFrame, keys: list[str], order_cols: list[str], value
     non-empty chunk, found over the chunk table (at most ``buckets`` rows per
     key).
     """
+    if bucket is None:
+        bucket = order_bucket(df, order_cols[0], buckets)
+    if bucket is None:
+        w1 = Window.partitionBy(*keys).orderBy(*order_cols)
+        return df.select("*", *[F.lag(v).over(w1).alias(f"{prefix}{v}") for v in value_cols])
     b = "__pb"
-    df = df.withColumn(b, bucket if bucket is not None else order_bucket(df, order_cols[0], buckets))
+    df = df.withColumn(b, bucket)
     w = Window.partitionBy(*keys, b).orderBy(*order_cols)
     staged = df.select("*", F.row_number().over(w).alias("__rn"),
                        *[F.lag(v).over(w).alias(f"__lag_{v}") for v in value_cols])
