@@ -79,7 +79,9 @@ def decide(lines: DataFrame) -> tuple[DataFrame, int]:
     """
     ensure_checkpoint_dir(lines.sparkSession)
     bucket = order_bucket(lines, "seq")
-    static = lines.withColumn("bucket", bucket if bucket is not None else F.lit(0)).checkpoint()
+    # Lines and the status table are both hash-partitioned by cart, so the
+    # per-round join of the two needs no shuffle of the line set.
+    static = lines.withColumn("bucket", bucket if bucket is not None else F.lit(0)).repartition("seq").checkpoint()
     status = static.select("seq").distinct().withColumn("status", F.lit("U")).checkpoint()
     rounds = 0
     while True:

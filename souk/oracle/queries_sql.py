@@ -655,6 +655,13 @@ SELECT seq, user_id, product_id, quantity, reason, reason IS NULL AS accepted FR
 
 SQL["stream_daily_sales"] = SQL["daily_sales"]
 SQL["stream_order_status_audit"] = SQL["order_status_audit"]
+SQL["stream_review_audit"] = """
+SELECT 'reviews' AS table_name, op AS action_type, review_id AS record_id,
+       CASE WHEN op = 'INSERT'
+            THEN 'Product ' || CAST(product_id AS VARCHAR) || ' rated ' || CAST(rating AS VARCHAR) || '/5'
+            ELSE 'Deleted review for product ' || CAST(product_id AS VARCHAR) END AS details,
+       changed_at AS created_at
+FROM f_review_changes"""
 
 
 def oracle_sql() -> dict[str, str]:

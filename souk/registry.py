@@ -177,6 +177,7 @@ _on_fixture("stream_mark_delivered", lambda fx: streams.stream_mark_delivered(
 _on_fixture("stream_cart_guard", lambda fx: streams.stream_cart_guard(fx.spark, feeds.cart_feed(fx), fx.products()))
 _on_fixture("stream_order_status_audit", lambda fx: streams.stream_order_status_audit(
     fx.spark, feeds.order_status_events(fx)))
+_on_fixture("stream_review_audit", lambda fx: streams.stream_review_audit(fx.spark, feeds.review_changes(fx)))
 _on_fixture("stream_daily_sales", lambda fx: streams.stream_daily_sales(fx.spark, _stream_lines(fx)))
 
 

@@ -241,3 +241,16 @@ def stream_order_status_audit(spark: SparkSession, events: DataFrame, slices: in
     out = run_sliced(spark, "status-audit", feed, "event_time", build, slices)
     changes = spark.read.parquet(out).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
     return status_change_audit(changes, time_col="event_time")
+
+
+def stream_review_audit(spark: SparkSession, changes: DataFrame, slices: int = 3) -> DataFrame:
+    """X2 (stateless part). Review insert / delete audit rows, appended as changes arrive."""
+    from souk.operators.audit import review_audit
+
+    feed = changes.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+
+    def build(stream, out):
+        return review_audit(stream).writeStream.outputMode("append").format("parquet").option("path", out)
+
+    out = run_sliced(spark, "review-audit", feed, "changed_at", build, slices)
+    return spark.read.parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
