@@ -165,7 +165,18 @@ def stream_cart_guard(spark: SparkSession, cart_feed: DataFrame, products: DataF
 
 
 # ------------------------------------------------------------------ X5
-def daily_sales_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
+def _wall_clock_instant(col, tz: str):
+    """The instant whose UTC wall clock equals the ``timestamp_ntz`` value, so
+    event-time day windows (aligned to UTC midnight) are wall-clock days in
+    any session time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), col).cast("timestamp")
+
+
+def _wall_clock_date(col, tz: str):
+    return F.to_date(F.convert_timezone(F.lit(tz), F.lit("UTC"), col.cast("timestamp_ntz")))
+
+
+def daily_sales_stream(stream: DataFrame, tz: str = "UTC", late: str = "1 day") -> DataFrame:
     """Two chained event-time aggregations: per-order totals (tax rounded per order),
     then per-day sums."""
     per_order = (stream.withWatermark("created_at", late)
@@ -178,19 +189,22 @@ def daily_sales_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
                  money(F.sum("delivery_fee")).alias("delivery_fees"),
                  money(F.sum("tax_amount")).alias("taxes"),
                  money(F.sum("total_amount")).alias("revenue"))
-            .select(F.to_date(F.col("d.start")).alias("order_date"), "total_orders", "subtotal",
+            .select(_wall_clock_date(F.col("d.start"), tz).alias("order_date"), "total_orders", "subtotal",
                     "delivery_fees", "taxes", "revenue"))
 
 
 def stream_daily_sales(spark: SparkSession, lines: DataFrame, slices: int = 3) -> DataFrame:
     """X5. Daily sales as a running stream over order lines of non-cancelled orders."""
-    feed = lines.select("order_id", F.col("created_at").cast("timestamp").alias("created_at"), "quantity", "price")
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    feed = lines.select("order_id", _wall_clock_instant(F.col("created_at"), tz).alias("created_at"),
+                        "quantity", "price")
     tail = _sentinel(spark, {"order_id": F.lit(SENTINEL_ID).cast("bigint"),
-                             "created_at": F.lit(SENTINEL_TIME).cast("timestamp"),
+                             "created_at": _wall_clock_instant(F.lit(SENTINEL_TIME).cast("timestamp_ntz"), tz),
                              "quantity": F.lit(0).cast("int"), "price": F.lit(0).cast("decimal(10,2)")})
 
     def build(stream, out):
-        return daily_sales_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out)
+        return daily_sales_stream(stream, tz).writeStream.outputMode("append").format("parquet") \
+            .option("path", out)
 
     out = run_sliced(spark, "daily-sales", feed, "created_at", build, slices, tail=tail)
     return spark.read.parquet(out).filter(F.col("order_date") < F.lit(SENTINEL_TIME[:10]).cast("date"))
