@@ -40,10 +40,10 @@ class Tables:
     def __setattr__(self, name, value):
         raise AttributeError("Tables is immutable; use with_()")
 
-    def with_(self, **changes) -> "Tables":
+    def with_(self, extras: dict | None = None, **changes) -> "Tables":
         src = dict(object.__getattribute__(self, "_src"))
         src.update(changes)
-        return Tables(extras=self.extras, **src)
+        return Tables(extras={**self.extras, **(extras or {})}, **src)
 
     def items(self):
         for name in TABLE_NAMES:

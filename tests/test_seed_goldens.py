@@ -131,3 +131,35 @@ def test_mark_delivered(seed):
 def test_default_address(seed):
     a = listings.default_address(seed).collect()
     assert [(r["user_id"], r["id"]) for r in a] == [(5, 1)]
+
+
+def test_q9_summary_update_as_delete_plus_insert(spark, seed):
+    """A review edit reaches the incremental summary as a signed delete + insert."""
+    from souk.streaming import streams
+    ch = spark.createDataFrame(
+        [("2024-02-01 00:00:00", "INSERT", 1, 8, 4, 1), ("2024-02-02 00:00:00", "DELETE", 1, 8, 4, -1),
+         ("2024-02-02 00:00:00", "INSERT", 1, 8, 2, 1), ("2024-02-03 00:00:00", "INSERT", 2, 8, 5, 1)],
+        "changed_at string, op string, review_id long, product_id long, rating int, sign int",
+    ).withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    got = {r["product_id"]: r for r in streams.stream_rating_summary(spark, ch, slices=2).collect()}
+    assert got[8]["review_count"] == 2 and got[8]["average_rating"] == D("3.50")
+
+
+def test_q11_cascade_writes_no_audit_rows(seed):
+    """Only direct deletes are audited: cascaded review deletes leave no audit rows."""
+    from souk.operators import audit
+    ids = seed.categories.sparkSession.createDataFrame([(7,)], "id long")
+    t2 = changes.cascade_delete(seed, "categories", ids)
+    assert t2.reviews.count() == 0
+    direct = seed.reviews.sparkSession.createDataFrame(
+        [], "changed_at timestamp_ntz, op string, review_id long, product_id long, rating int, sign int")
+    assert audit.review_audit(direct).count() == 0
+
+
+def test_q12_search_live_average_vs_stale_summary(seed):
+    """Catalog search reads live reviews; the full catalog view reads the stored summary."""
+    stale = reports.rating_summary(seed.with_(reviews=seed.reviews.limit(0)))
+    full = catalog.product_catalog_full(seed.with_(extras={"rating_summary": stale}))
+    live = {r["id"]: r["avg_rating"] for r in catalog.catalog_search(seed).collect()}
+    stored = {r["id"]: r["average_rating"] for r in full.collect()}
+    assert live[8] == D("4.0000") and stored[8] == D("0.00")

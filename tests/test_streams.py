@@ -21,3 +21,17 @@ def test_daily_sales_stream_equals_batch(fx):
     lines = t.order_items.join(live, "order_id").select("order_id", "created_at", "quantity", "price")
     got = sorted(streams.stream_daily_sales(fx.spark, lines, slices=4).collect())
     assert got == sorted(reports.daily_sales(t).collect())
+
+
+def test_mark_delivered_stream_any_slicing(fx):
+    ev = feeds.order_status_events(fx)
+    one = sorted(streams.stream_mark_delivered(fx.spark, ev, slices=1).collect())
+    three = sorted(streams.stream_mark_delivered(fx.spark, ev, slices=3).collect())
+    assert one == three and len(one) == fx.orders().count()
+
+
+def test_status_audit_stream_equals_batch(fx):
+    from souk.operators import audit
+    ev = feeds.order_status_events(fx)
+    batch = sorted(audit.status_change_audit(audit.order_status_transitions(ev), time_col="event_time").collect())
+    assert sorted(streams.stream_order_status_audit(fx.spark, ev, slices=2).collect()) == batch
