@@ -55,16 +55,23 @@ class CheckoutResult:
     rounds: int
 
 
-def _decide_round(lines: DataFrame) -> DataFrame:
-    """One round: new status per undecided cart from the two running sums."""
+def _decide_round(lines: DataFrame, base: DataFrame) -> DataFrame:
+    """One round: new status per undecided cart from the two running sums.
+
+    ``lines`` carries each line's cart status (A or U); ``base`` holds, per
+    product, the units of accepted carts already folded away (all of them
+    earlier than every undecided cart of that product).
+    """
     sums = running_sums(
         lines, ["product_id"], ["seq"],
         {"sure": F.when(F.col("status") == "A", F.col("quantity")).otherwise(F.lit(0)),
          "possible": F.col("quantity")},
         inclusive=False, bucket=F.col("bucket"))
-    flags = sums.filter(F.col("status") == "U").groupBy("seq").agg(
-        F.max((F.col("sure") + F.col("quantity") > F.col("stock")).cast("int")).alias("fail"),
-        F.min((F.col("possible") + F.col("quantity") <= F.col("stock")).cast("int")).alias("ok"))
+    sums = sums.filter(F.col("status") == "U").join(base, "product_id", "left") \
+        .withColumn("base", F.coalesce("base", F.lit(0)))
+    flags = sums.groupBy("seq").agg(
+        F.max((F.col("base") + F.col("sure") + F.col("quantity") > F.col("stock")).cast("int")).alias("fail"),
+        F.min((F.col("base") + F.col("possible") + F.col("quantity") <= F.col("stock")).cast("int")).alias("ok"))
     return flags.select("seq", F.when(F.col("fail") == 1, "R").when(F.col("ok") == 1, "A").otherwise("U")
                         .alias("new_status"))
 
@@ -72,23 +79,30 @@ def _decide_round(lines: DataFrame) -> DataFrame:
 def decide(lines: DataFrame) -> tuple[DataFrame, int]:
     """Iterate rounds to the fixpoint. ``lines``: seq, product_id, quantity, stock.
 
-    The line set is checkpointed once; each round rewrites only the per-cart
-    status table (one row per cart), which is checkpointed so lineage stays
-    one round deep. Returns (seq, status) for every cart with lines, and the
+    Each round first shrinks the working set: per product, accepted lines
+    earlier than the product's first undecided cart are folded into a
+    per-product base, products without undecided carts leave, and rejected
+    carts' lines leave. Only the shrinking line set, the per-cart status
+    table and the per-product base are checkpointed, so lineage stays one
+    round deep. Returns (seq, status) for every cart with lines, and the
     round count.
     """
     ensure_checkpoint_dir(lines.sparkSession)
     bucket = order_bucket(lines, "seq")
-    # Lines and the status table are both hash-partitioned by cart, so the
-    # per-round join of the two needs no shuffle of the line set.
-    static = lines.withColumn("bucket", bucket if bucket is not None else F.lit(0)).repartition("seq").checkpoint()
-    status = static.select("seq").distinct().withColumn("status", F.lit("U")).checkpoint()
+    work = lines.withColumn("bucket", bucket if bucket is not None else F.lit(0)).checkpoint()
+    status = work.select("seq").distinct().withColumn("status", F.lit("U")).checkpoint()
+    base = work.select("product_id", F.lit(0).cast("bigint").alias("base")).limit(0)
     rounds = 0
     while True:
         rounds += 1
-        # Rejected carts no longer affect anyone: their lines leave the working set.
-        work = static.join(status.filter(F.col("status") != "R"), "seq")
-        new = _decide_round(work)
+        cur = work.join(status.filter(F.col("status") != "R"), "seq")
+        front = cur.filter(F.col("status") == "U").groupBy("product_id").agg(F.min("seq").alias("front"))
+        cur = cur.join(front, "product_id")
+        folded = cur.filter(F.col("seq") < F.col("front")).groupBy("product_id").agg(
+            F.sum("quantity").cast("bigint").alias("base"))
+        base = base.unionByName(folded).groupBy("product_id").agg(F.sum("base").alias("base")).checkpoint()
+        work = cur.filter(F.col("seq") >= F.col("front")).drop("front", "status").checkpoint()
+        new = _decide_round(work.join(status, "seq"), base)
         status = (status.join(new, "seq", "left")
                   .select("seq", F.coalesce("new_status", "status").alias("status"))
                   .checkpoint())
