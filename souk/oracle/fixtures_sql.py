@@ -239,11 +239,11 @@ LEFT JOIN v_default_address da ON da.user_id = co.user_id
 WHERE co.user_id IN (SELECT user_id FROM m_cart)"""
 
 CTES["f_order_events"] = """
-SELECT id AS order_id, 'pending' AS status, created_at AS event_time FROM m_orders
+SELECT id AS order_id, 'pending' AS status, created_at AS event_time, created_at FROM m_orders
 UNION ALL
-SELECT id, 'completed', created_at + INTERVAL 1 HOUR FROM m_orders WHERE status <> 'pending'
+SELECT id, 'completed', created_at + INTERVAL 1 HOUR, created_at FROM m_orders WHERE status <> 'pending'
 UNION ALL
-SELECT id, status, created_at + INTERVAL 1 DAY FROM m_orders WHERE status IN ('delivered', 'cancelled')"""
+SELECT id, status, created_at + INTERVAL 1 DAY, created_at FROM m_orders WHERE status IN ('delivered', 'cancelled')"""
 
 CTES["f_contacts"] = f"""
 SELECT c_custkey AS user_id, {_phone('c_custkey')} AS phone,

@@ -126,15 +126,20 @@ def checkout_requests(fx: Fixture) -> DataFrame:
 
 
 def order_status_events(fx: Fixture) -> DataFrame:
-    """X2 / X3 input: pending at creation, completed an hour later, final status a day later."""
+    """X2 / X3 input: pending at creation, completed an hour later, final status a day later.
+
+    Each event carries the order row image after the change (status and
+    creation time), as an UPDATE's new row would.
+    """
     o = fx.orders()
     created = o.select(F.col("id").alias("order_id"), F.lit("pending").alias("status"),
-                       F.col("created_at").alias("event_time"))
+                       F.col("created_at").alias("event_time"), "created_at")
     completed = o.filter(F.col("status") != "pending").select(
         F.col("id").alias("order_id"), F.lit("completed").alias("status"),
-        (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("event_time"))
+        (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("event_time"), "created_at")
     final = o.filter(F.col("status").isin("delivered", "cancelled")).select(
-        F.col("id").alias("order_id"), "status", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("event_time"))
+        F.col("id").alias("order_id"), "status", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("event_time"),
+        "created_at")
     return created.unionByName(completed).unionByName(final)
 
 

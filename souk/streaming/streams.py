@@ -68,72 +68,37 @@ def rating_change_feed(review_changes: DataFrame, products: DataFrame) -> DataFr
 
 
 # ------------------------------------------------------------------ X3
-X3_OUT = "order_id long, delivered_at timestamp, previous_status string"
-X3_STATE = "created_us long, status string"
-
-
-def _deliver_after_delay(key, batches, state):
-    """Per order: deliver at creation + 1 minute if still pending or completed then.
-
-    Events of one order are applied in event-time order; an event later than
-    the due time means the timer would already have fired, so delivery is
-    emitted first. Timers fire when the watermark passes the due time.
+def delivered_after_delay(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The once-a-minute delivery event as an event-time aggregation.
+
+    An order is delivered one minute after creation if its status at that
+    moment is pending or completed. Events later than that moment cannot
+    change the outcome and are dropped before the aggregation; the status at
+    the due time is the latest remaining event, and each order's row is
+    final (emitted in append mode) once the watermark on ``created_at``
+    passes it. Partial aggregation keeps a busy order cheap.
     """
-    delay_us = int(DELIVERY_DELAY.total_seconds() * 1_000_000)
-    order_id = key[0]
-    out = []
-
-    def emit(created_us, status):
-        if status in ("pending", "completed"):
-            out.append((order_id, pd.Timestamp(created_us + delay_us, unit="us"), status))
-
-    if state.hasTimedOut:
-        created_us, status = state.get
-        emit(created_us, status)
-        state.remove()
-    else:
-        rows = pd.concat(list(batches)).sort_values("event_time")
-        current = state.get if state.exists else None
-        finished = False
-        for t, status in zip(rows["event_time"], rows["status"]):
-            t_us = pd.Timestamp(t).value // 1000
-            if current is None:
-                if finished or status != "pending":
-                    continue
-                current = (t_us, status)
-                continue
-            if t_us > current[0] + delay_us:
-                emit(*current)
-                current, finished = None, True
-                continue
-            current = (current[0], status)
-        if current is None:
-            if state.exists:
-                state.remove()
-        else:
-            due_ms = (current[0] + delay_us) // 1000
-            if due_ms <= state.getCurrentWatermarkMs():
-                emit(*current)
-                state.remove()
-            else:
-                state.update(current)
-                state.setTimeoutTimestamp(due_ms)
-    if out:
-        yield pd.DataFrame(out, columns=["order_id", "delivered_at", "previous_status"])
+    due = F.col("created_at") + F.expr("INTERVAL 1 MINUTE")
+    last = (stream.withWatermark("created_at", late)
+            .filter(F.col("event_time") <= due)
+            .groupBy("order_id", "created_at")
+            .agg(F.max_by("status", "event_time").alias("previous_status")))
+    return last.filter(F.col("previous_status").isin("pending", "completed")).select(
+        "order_id", (F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).alias("delivered_at"), "previous_status")
 
 
 def stream_mark_delivered(spark: SparkSession, events: DataFrame, slices: int = 3,
                           late: str = "1 hour") -> DataFrame:
-    """X3. The once-a-minute delivery event as keyed state with an event-time timer."""
-    feed = events.select("order_id", "status", F.col("event_time").cast("timestamp").alias("event_time"))
+    """X3. Orders the scheduler marks delivered, from the order status event stream."""
+    feed = events.select("order_id", "status", F.col("event_time").cast("timestamp").alias("event_time"),
+                         F.col("created_at").cast("timestamp").alias("created_at"))
+    sentinel_time = F.lit(SENTINEL_TIME).cast("timestamp")
     tail = _sentinel(spark, {"order_id": F.lit(SENTINEL_ID).cast("bigint"), "status": F.lit("pending"),
-                             "event_time": F.lit(SENTINEL_TIME).cast("timestamp")})
+                             "event_time": sentinel_time, "created_at": sentinel_time})
 
     def build(stream, out):
-        res = (stream.withWatermark("event_time", late).groupBy("order_id")
-               .applyInPandasWithState(_deliver_after_delay, X3_OUT, X3_STATE, "append",
-                                       GroupStateTimeout.EventTimeTimeout))
-        return res.writeStream.outputMode("append").format("parquet").option("path", out)
+        return delivered_after_delay(stream, late).writeStream.outputMode("append").format("parquet") \
+            .option("path", out)
 
     out = run_sliced(spark, "mark-delivered", feed, "event_time", build, slices, tail=tail)
     return spark.read.parquet(out).filter(F.col("order_id") != SENTINEL_ID).select(
