@@ -34,6 +34,11 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _SCANS[key]
 
 
+def forget_scans() -> None:
+    """Drop the reused scan definitions (after the files under a folder changed)."""
+    _SCANS.clear()
+
+
 def days_after_epoch(n: Column) -> Column:
     return F.date_add(F.lit(EPOCH), n.cast("int")).cast("timestamp_ntz")
 
