@@ -126,7 +126,7 @@ def reload_catalog(t: Tables, feed: DataFrame, as_of=None) -> Tables:
     from souk.plans.numbering import number_rows
 
     loaded, _ = load_catalog_feed(feed, t.categories)
-    numbered = number_rows(loaded, "seq", "id", start=1)
+    numbered = number_rows(loaded, "seq", "id", start=1, bounds_from=feed)
     stamp = ts_literal(as_of or dt.datetime(2000, 1, 1))
     products = conform(numbered.withColumn("name", php_trim(F.col("name"))).withColumn("created_at", stamp),
                        "products")

@@ -242,7 +242,7 @@ def upsert_addresses(t: Tables, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS
     updates = g.filter(F.col("saved_id").isNotNull()).select(
         F.col("saved_id").alias("id"), "phone", "city", "address")
     start = t.user_addresses.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    inserts = number_rows(g.filter(F.col("saved_id").isNull()), "seq", "id", start=start).select(
+    inserts = number_rows(g.filter(F.col("saved_id").isNull()), "seq", "id", start=start, bounds_from=feed).select(
         "id", "user_id", "phone", "city", "address", F.lit(True).alias("is_default"),
         ts_literal(as_of).alias("created_at"))
     base = t.user_addresses.join(updates.select("id", *[F.col(c).alias(f"n_{c}") for c in ("phone", "city",
@@ -334,7 +334,8 @@ def apply_cart_changes(t: Tables, feed: DataFrame) -> tuple[DataFrame, DataFrame
     kept = live.filter(F.col("created_seq").isNull()).select(
         F.col("init_id").alias("id"), "user_id", "product_id", F.col("qty_after").alias("quantity"))
     start = t.cart.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    fresh = number_rows(live.filter(F.col("created_seq").isNotNull()), "created_seq", "id", start=start).select(
+    fresh = number_rows(live.filter(F.col("created_seq").isNotNull()), "created_seq", "id", start=start,
+                        bounds_from=feed, bounds_col="seq").select(
         "id", "user_id", "product_id", F.col("qty_after").alias("quantity"))
     state = untouched.unionByName(conform(kept, "cart")).unionByName(conform(fresh, "cart"))
     rejects = ev.filter(~F.col("accepted")).select("seq", "user_id", "product_id", "op", "reason")

@@ -131,7 +131,7 @@ def checkout(t: Tables, requests: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF)
                  .withColumn("decision", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")))
     accepted = decisions.filter(F.col("decision") == "accepted")
     start = t.orders.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    numbered = number_rows(accepted, "seq", "order_id", start=start).checkpoint()
+    numbered = number_rows(accepted, "seq", "order_id", start=start, bounds_from=requests).checkpoint()
     totals = with_totals(numbered.select("seq", "order_id", "subtotal"))
     decisions = (decisions.join(totals.select("seq", "order_id", "tax_amount", "total_amount"), "seq", "left")
                  .select("seq", "user_id", "decision", "reason",

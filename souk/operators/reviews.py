@@ -72,7 +72,7 @@ def apply_reviews(t: Tables, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF
          .when(F.col("reviewed").isNotNull() | (F.col("seq") != F.col("first_seq")), F.lit(ALREADY_REVIEWED)))
     accepted = decided.filter(F.col("reason").isNull())
     start = t.reviews.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    new_rows = number_rows(accepted, "seq", "id", start=start).select(
+    new_rows = number_rows(accepted, "seq", "id", start=start, bounds_from=feed).select(
         "id", "user_id", "product_id", "rating", "comment", ts_literal(as_of).alias("created_at"))
     state = t.reviews.unionByName(conform(new_rows, "reviews"))
     rejects = decided.filter(F.col("reason").isNotNull()).select("seq", "user_id", "product_id", "reason")

@@ -34,23 +34,29 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
 
 
 def order_bucket(df: DataFrame, order_col: str, buckets: int = DEFAULT_BUCKETS,
-                 rel_error: float = 0.001) -> Column | None:
+                 rel_error: float = 0.001, bounds_from: DataFrame | None = None,
+                 bounds_col: str | None = None) -> Column | None:
     """Monotone bucket number of ``order_col`` from approximate quantiles.
 
     Runs one small aggregation job (the quantile sketch); the bounds that
     reach the driver are ``buckets - 1`` numbers. Equal keys share a bucket.
+    Any monotone bucketing gives correct running sums; quantiles only balance
+    the work. So the sketch may be taken from a cheaper DataFrame with the
+    same key domain (``bounds_from``, e.g. the raw change feed instead of the
+    joined result), which avoids computing an expensive input twice.
     Returns None when the column has no numeric order (text keys): callers
     then use one ordered pass, which they do only for small sets such as
     new category names.
     """
     key = _numeric_key(df, order_col)
-    if buckets <= 1 or key is None:
+    src = bounds_from if bounds_from is not None else df
+    src_key = _numeric_key(src, bounds_col or order_col)
+    if buckets <= 1 or key is None or src_key is None:
         return None
     probs = [i / buckets for i in range(1, buckets)]
-    probe = df.select(key.alias("k"))
-    bounds = sorted(set(probe.approxQuantile("k", probs, rel_error)))
+    bounds = sorted(set(src.select(src_key.alias("k")).approxQuantile("k", probs, rel_error)))
     if not bounds:
-        return F.lit(0)
+        return None
     arr = F.array(*[F.lit(float(b)) for b in bounds])
     return F.size(F.filter(arr, lambda b: b <= key))
 
@@ -64,7 +70,7 @@ def running_sums(df: DataFrame, keys: list[str], order_cols: list[str], values:
     includes the current row. Null values count as 0.
     """
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    if bucket is None:
+    if bucket is None and buckets > 1:
         bucket = order_bucket(df, order_cols[0], buckets)
     if bucket is None:
         w = (Window.partitionBy(*keys) if keys else Window).orderBy(*order_cols).rowsBetween(*frame)
@@ -95,10 +101,16 @@ def running_sums(df: DataFrame, keys: list[str], order_cols: list[str], values:
 
 
 def number_rows(df: DataFrame, order_col: str | list[str], out_col: str, start: int | Column = 1,
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Consecutive numbers ``start, start+1, ...`` in a total order, computed in parallel."""
+                buckets: int = DEFAULT_BUCKETS, bounds_from: DataFrame | None = None,
+                bounds_col: str | None = None) -> DataFrame:
+    """Consecutive numbers ``start, start+1, ...`` in a total order, computed in parallel.
+
+    ``bounds_from`` / ``bounds_col``: where to sketch the bucket bounds (see ``order_bucket``).
+    """
     order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    numbered = running_sums(df, [], order_cols, {"__rn": F.lit(1)}, inclusive=True, buckets=buckets)
+    bucket = order_bucket(df, order_cols[0], buckets, bounds_from=bounds_from, bounds_col=bounds_col)
+    numbered = running_sums(df, [], order_cols, {"__rn": F.lit(1)}, inclusive=True, buckets=buckets,
+                            bucket=bucket)
     start_col = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(out_col, (F.col("__rn") - 1 + start_col).cast("bigint")).drop("__rn")
 
