@@ -45,6 +45,8 @@ def run_sliced(spark: SparkSession, name: str, feed: DataFrame, time_col: str,
     Returns the output folder."""
     base = scratch_dir(spark, name)
     src, out, ckpt = f"{base}/source", f"{base}/output", f"{base}/checkpoint"
+    # The feed is derived by joins over the tables: compute it once, then cut it.
+    feed = feed.checkpoint()
     parts = time_slices(feed, time_col, slices)
     if tail is not None:
         parts.append(tail)
