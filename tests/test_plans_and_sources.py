@@ -5,7 +5,6 @@ import tempfile
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from souk.operators import quality, reports
 from souk.plans.numbering import previous_values

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from souk.operators import changes, checkout, quality, reports
 from souk.plans.numbering import number_rows, running_sums
 from souk.sources.seed import seed_tables
-from souk.sources.tables import Tables
 
 
 def test_daily_sales_sum_equals_summary(fx):
