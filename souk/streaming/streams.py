@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from souk.functions.money import average_rating, money, sum_of_lines, with_totals
 from souk.operators.changes import last_per_key
@@ -176,49 +174,59 @@ def stream_daily_sales(spark: SparkSession, lines: DataFrame, slices: int = 3) -
 
 
 # ------------------------------------------------------------------ X2 (status changes)
-X2_OUT = "order_id long, old_status string, new_status string, event_time timestamp"
-X2_STATE = "status string, last_us long"
-STATUS_RETENTION = dt.timedelta(days=7)
+STATUS_RETENTION_DAYS = 7
+_STATE_SCHEMA = "order_id long, status string, event_time timestamp"
 
 
-def _status_changes(key, batches, state):
-    """Per order: compare each status event with the previous one (kept in state).
+def _status_batch(spark: SparkSession, out: str, state_root: str):
+    """foreachBatch body: 'old -> new' pairs for one micro-batch of status events.
 
-    State expires ``STATUS_RETENTION`` after the order's last event, so it
-    does not grow with the number of orders ever seen.
+    Inside the batch the previous status of each event comes from the
+    bucketed ``previous_values`` (no order's history lands in one task); an
+    order's first event in the batch takes the last status kept in the state
+    table written by the previous batch. The new state (last event per order,
+    older than the retention dropped) and the batch's output are written
+    under the batch id, so a replayed batch overwrites its own files.
     """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values("event_time")
-    prev = state.get[0] if state.exists else None
-    last_us = state.get[1] if state.exists else None
-    out = []
-    for t, status in zip(rows["event_time"], rows["status"]):
-        if prev is not None and status is not None and prev != status:
-            out.append((key[0], prev, status, t))
-        prev, last_us = status, pd.Timestamp(t).value // 1000
-    state.update((prev, last_us))
-    state.setTimeoutTimestamp(last_us // 1000 + int(STATUS_RETENTION.total_seconds() * 1000))
-    if out:
-        yield pd.DataFrame(out, columns=["order_id", "old_status", "new_status", "event_time"])
-
-
-def stream_order_status_audit(spark: SparkSession, events: DataFrame, slices: int = 3,
-                              late: str = "1 hour") -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    from souk.operators.changes import upsert
+    from souk.plans.numbering import previous_values
+
+    def run(batch: DataFrame, batch_id: int):
+        ev = batch.select("order_id", "status", "event_time").persist()
+        try:
+            prev = spark.read.parquet(f"{state_root}/batch={batch_id - 1}")
+        except AnalysisException:
+            prev = spark.createDataFrame([], _STATE_SCHEMA)
+        pv = previous_values(ev, ["order_id"], ["event_time"], ["status"])
+        pv = pv.join(prev.select("order_id", F.col("status").alias("state_status")), "order_id", "left")
+        pairs = pv.select("order_id", F.coalesce("prev_status", "state_status").alias("old_status"),
+                          F.col("status").alias("new_status"), "event_time")
+        pairs.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = last_per_key(ev.withColumnRenamed("event_time", "seq"), ["order_id"]) \
+            .withColumnRenamed("seq", "event_time").select("order_id", "status", "event_time")
+        state = upsert(prev, last, ["order_id"])
+        horizon = state.agg(F.max("event_time")).scalar() - F.expr(f"INTERVAL {STATUS_RETENTION_DAYS} DAYS")
+        state.filter(F.col("event_time") >= horizon).write.mode("overwrite").parquet(
+            f"{state_root}/batch={batch_id}")
+        ev.unpersist()
+
+    return run
+
+
+def stream_order_status_audit(spark: SparkSession, events: DataFrame, slices: int = 3) -> DataFrame:
     """X2. The order status-change trigger as a stream: 'old -> new' audit rows."""
     from souk.operators.audit import status_change_audit
 
     feed = events.select("order_id", "status", F.col("event_time").cast("timestamp").alias("event_time"))
 
     def build(stream, out):
-        res = (stream.withWatermark("event_time", late).groupBy("order_id")
-               .applyInPandasWithState(_status_changes, X2_OUT, X2_STATE, "append",
-                                       GroupStateTimeout.EventTimeTimeout))
-        return res.writeStream.outputMode("append").format("parquet").option("path", out)
+        return stream.writeStream.foreachBatch(_status_batch(spark, out, out + "_state"))
 
     out = run_sliced(spark, "status-audit", feed, "event_time", build, slices)
-    changes = spark.read.parquet(out).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+    changes = spark.read.parquet(out).drop("batch").withColumn("event_time",
+                                                               F.col("event_time").cast("timestamp_ntz"))
     return status_change_audit(changes, time_col="event_time")
 
 
