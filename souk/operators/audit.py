@@ -65,3 +65,29 @@ def feed_status_changes(orders: DataFrame, feed: DataFrame, as_of: dt.datetime =
     upd = previous_values(order_status_updates(orders, feed), ["order_id"], ["seq"], ["new_status"])
     return upd.select("order_id", F.coalesce("prev_new_status", "old_status").alias("old_status"), "new_status",
                       ts_literal(as_of).alias("created_at"))
+
+
+def append_audit(rows: DataFrame, path: str) -> int:
+    """S7. Append audit rows to the append-only audit table at ``path``.
+
+    Ids continue after the table's current maximum, in (created_at, table,
+    record, action, details) order, numbered in parallel. Existing rows are
+    never rewritten. Returns the number of rows appended.
+    """
+    from pyspark.errors import AnalysisException
+
+    from souk.plans.numbering import number_rows
+    from souk.sources.tables import conform
+
+    spark = rows.sparkSession
+    try:
+        start = spark.read.parquet(path).select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
+    except AnalysisException:
+        start = F.lit(1)
+    staged = rows.select("table_name", "action_type", "record_id", "details", "created_at").persist()
+    numbered = number_rows(staged, ["created_at", "table_name", "record_id", "action_type", "details"], "id",
+                           start=start)
+    conform(numbered, "audit_log").write.mode("append").parquet(path)
+    n = staged.count()
+    staged.unpersist()
+    return n

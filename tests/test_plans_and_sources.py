@@ -61,3 +61,17 @@ def test_contacts_checks(spark):
     ], "user_id long, email string, phone string, card_number string")
     got = {r["user_id"]: (r["email_ok"], r["phone_ok"], r["card_ok"]) for r in quality.check_contacts(df).collect()}
     assert got == {1: (True, True, True), 2: (False, False, False), 3: (False, True, False)}
+
+
+def test_append_audit_sink(spark, fx):
+    from souk.operators import audit
+    from souk.sources import feeds
+    path = tempfile.mkdtemp(prefix="souk-audit-") + "/audit_log"
+    rows = audit.review_audit(feeds.review_changes(fx))
+    n1 = audit.append_audit(rows.filter("action_type = 'INSERT'"), path)
+    n2 = audit.append_audit(rows.filter("action_type = 'DELETE'"), path)
+    log = spark.read.parquet(path)
+    ids = sorted(r["id"] for r in log.select("id").collect())
+    assert ids == list(range(1, n1 + n2 + 1))
+    first_delete = log.filter("action_type = 'DELETE'").agg(F.min("id")).collect()[0][0]
+    assert first_delete == n1 + 1
