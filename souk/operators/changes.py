@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.text import collapse_ws, php_trim, phone_valid, ts_literal
-from souk.plans.numbering import number_rows
+from souk.plans.numbering import number_rows, running_sums
 from souk.sources.schema import ACCOUNT_STATUSES, ORDER_STATUSES, USER_ROLES
 from souk.sources.tables import Tables, conform
 
@@ -262,10 +262,11 @@ CART_FOLD_SCHEMA = ("seq long, user_id long, product_id long, op string, quantit
 
 
 def _cart_fold(batches):
-    """Sequential cart rules within each (user, product), rows arriving sorted.
+    """Sequential cart rules within each (user, product, segment), rows arriving sorted.
 
-    State carries across Arrow batches, so a very long history of one pair is
-    streamed, never held whole.
+    A segment starts at a ``remove`` (state 0) or, for segment 0, at the
+    pair's current cart quantity. State carries across Arrow batches, so a
+    long segment is streamed, never held whole.
     """
     key, s, created = None, 0, None
     for pdf in batches:
@@ -274,14 +275,15 @@ def _cart_fold(batches):
         why = [None] * n
         after = [0] * n
         cseq = [None] * n
-        users, prods, ops = pdf["user_id"].to_numpy(), pdf["product_id"].to_numpy(), pdf["op"].to_numpy()
+        users, prods, segs, ops = (pdf["user_id"].to_numpy(), pdf["product_id"].to_numpy(),
+                                   pdf["seg"].to_numpy(), pdf["op"].to_numpy())
         qs, stocks, inits, seqs = (pdf["quantity"].to_numpy(), pdf["stock"].to_numpy(),
                                    pdf["init_qty"].to_numpy(), pdf["seq"].to_numpy())
         for i in range(n):
-            k = (users[i], prods[i])
+            k = (users[i], prods[i], segs[i])
             if k != key:
                 key = k
-                s = 0 if pd.isna(inits[i]) else int(inits[i])
+                s = 0 if segs[i] > 0 or pd.isna(inits[i]) else int(inits[i])
                 created = None
             op = ops[i]
             q = max(1, 0 if pd.isna(qs[i]) else int(qs[i]))
@@ -313,13 +315,22 @@ def _cart_fold(batches):
 
 
 def cart_events(t: Tables, feed: DataFrame) -> DataFrame:
-    """M3 core: every feed row with its decision and the pair's quantity after it."""
+    """M3 core: every feed row with its decision and the pair's quantity after it.
+
+    A ``remove`` resets a pair to an empty line, so a pair's history splits
+    exactly into independent segments at removes. The segment number is a
+    bucketed running count of removes (``running_sums``), and each segment is
+    folded on its own: a pair with a very long history is spread over tasks
+    wherever it has removes.
+    """
     prods = t.products.select(F.col("id").alias("product_id"), "stock")
     init = t.cart.select("user_id", "product_id", F.col("quantity").alias("init_qty"), F.col("id").alias("init_id"))
-    ev = (feed.select("seq", "user_id", "product_id", "op", "quantity")
-              .join(prods, "product_id", "left")
-              .join(init, ["user_id", "product_id"], "left"))
-    ordered = ev.repartition("user_id", "product_id").sortWithinPartitions("user_id", "product_id", "seq")
+    ev = feed.select("seq", "user_id", "product_id", "op", "quantity")
+    ev = running_sums(ev, ["user_id", "product_id"], ["seq"],
+                      {"seg": (F.col("op") == "remove").cast("long")}, inclusive=True)
+    ev = ev.join(prods, "product_id", "left").join(init, ["user_id", "product_id"], "left")
+    ordered = ev.repartition("user_id", "product_id", "seg") \
+        .sortWithinPartitions("user_id", "product_id", "seg", "seq")
     return ordered.mapInPandas(_cart_fold, CART_FOLD_SCHEMA)
 
 
