@@ -163,3 +163,13 @@ def test_q12_search_live_average_vs_stale_summary(seed):
     live = {r["id"]: r["avg_rating"] for r in catalog.catalog_search(seed).collect()}
     stored = {r["id"]: r["average_rating"] for r in full.collect()}
     assert live[8] == D("4.0000") and stored[8] == D("0.00")
+
+
+def test_accent_insensitive_search(spark, seed):
+    extra = spark.createDataFrame([(11, "Café Top", "d", "img/11.jpg", D("10.00"), 3, 1, 3, None)],
+                                  seed.products.schema)
+    t = seed.with_(products=seed.products.unionByName(extra))
+    assert catalog.catalog_search(t, search="cafe", accent_insensitive=True).count() == 1
+    assert catalog.catalog_search(t, search="cafe").count() == 0          # ILIKE keeps accents
+    assert catalog.catalog_search(t, search="JEANS", accent_insensitive=True).count() == 2
+    assert catalog.catalog_search(t, search="%", accent_insensitive=True).count() == 0  # literal text
