@@ -153,3 +153,28 @@ def test_review_submissions(fx):
     assert quality.check_unique(t.with_(reviews=state)).filter("table_name = 'reviews'").count() == 0
     assert state.filter("rating < 1 or rating > 5").count() == 0
     assert rej.count() + state.count() - t.reviews.count() == feeds.review_feed(fx).count()
+
+
+def test_checkout_hot_product_equals_sequential(spark):
+    """Every cart wants the same hot product: rounds, folding and buckets against the plain loop."""
+    rng = random.Random(17)
+    seed = seed_tables(spark)
+    stock = {1: 40, **{p: rng.randint(0, 8) for p in range(2, 9)}}
+    price = {p: D("5.00") + p for p in stock}
+    carts, cart_rows, cid = {}, [], 1
+    for user in range(1000, 1080):
+        others = rng.sample(range(2, 9), rng.randint(0, 2))
+        carts[user] = [(1, rng.randint(1, 3), price[1])] + [(p, rng.randint(1, 2), price[p]) for p in others]
+        for p, q, _ in carts[user]:
+            cart_rows.append((cid, user, p, q))
+            cid += 1
+    prods = spark.createDataFrame(
+        [(p, f"P{p}", "d", "i", price[p], stock[p], 1, 3, None) for p in stock], seed.products.schema)
+    t = seed.with_(products=prods, cart=spark.createDataFrame(cart_rows, seed.cart.schema))
+    req = spark.createDataFrame([(u, u, None, "cash", None) for u in carts],
+                                "seq long, user_id long, address_id long, payment_method string, card_last4 string")
+    res = checkout.checkout(t, req)
+    got = sorted(r["user_id"] for r in res.decisions.filter("decision = 'accepted'").collect())
+    exp_acc, exp_stock = _sequential_checkout(carts, stock)
+    assert got == sorted(exp_acc)
+    assert {r["id"]: r["stock"] for r in res.stock.collect()} == exp_stock
