@@ -84,28 +84,3 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     out = np.arange(total, dtype=np.int64)
     return out + np.repeat(starts - (ends - lengths), lengths)
-
-
-class BloomFilter:
-    """Fixed-size Bloom filter over 64-bit keys; ``bits`` is a power of two and bounds its size."""
-
-    def __init__(self, bits: int, probes: int = 4, data: np.ndarray | None = None):
-        self.bits, self.probes = bits, probes
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
-
-    def positions(self, keys: np.ndarray) -> np.ndarray:
-        """(probes, n) bit positions by double hashing."""
-        with np.errstate(over="ignore"):
-            h = mix64(keys.astype(np.int64).view(_U64))
-            step = mix64(h ^ _U64(0x9E3779B97F4A7C15)) | _U64(1)
-            k = np.arange(self.probes, dtype=_U64)[:, None]
-            return ((h[None, :] + k * step[None, :]) & _U64(self.bits - 1)).astype(np.int64)
-
-    def contains(self, keys: np.ndarray) -> np.ndarray:
-        p = self.positions(keys)
-        return ((self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
-
-
-def filter_bits(rows: int, bits_per_key: int, max_bits: int) -> int:
-    """Power of two near ``rows * bits_per_key``, between 2^13 and ``max_bits``."""
-    return min(max_bits, 1 << max(13, int(rows * bits_per_key).bit_length()))

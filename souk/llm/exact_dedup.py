@@ -15,18 +15,11 @@ them. Extra columns, whatever their names, stay untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import BloomFilter, filter_bits, materialise
-
-#: Upper bound of the broadcast filter: 2^28 bits are 32 MiB. Bits a row, and slices it is built in.
-MAX_BITS, BITS_PER_ROW, SLICES, PROBES = 1 << 28, 16, 64, 3
+from souk.llm.bloom import MAX_BITS, build_filter, membership
+from souk.llm.common import materialise
 
 
 def text_digest(text: Column) -> Column:
@@ -35,70 +28,6 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(plain, 256))
 
 
-def repeated_filter(keys: DataFrame, max_bits: int = MAX_BITS) -> BloomFilter:
-    """Filter of the 64-bit ``key`` values that may occur more than once.
-
-    Each task sends its rows' bit positions to the slice that owns them; a slice is a
-    bounded bitmap pair. A key's bits are all "met again" if it occurs twice, and the
-    finished "met again" bitmap is what the driver broadcasts: ``max_bits`` bounds it.
-    """
-    spark = keys.sparkSession
-    bits = filter_bits(keys.count(), BITS_PER_ROW, max_bits)
-    width = bits // SLICES
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = BloomFilter(bits, PROBES, np.empty(0, np.uint8))
-        for b in batches:
-            key, n = np.unique(np.asarray(b.column(0)), return_counts=True)
-            p = shape.positions(key)
-            # probes of one key may meet in one bit: that is still one meeting
-            p.sort(axis=0)
-            new = np.ones(p.shape, bool)
-            new[1:] = p[1:] != p[:-1]
-            again = np.broadcast_to(n > 1, p.shape)[new]
-            p = p[new]
-            order = np.argsort(p // width, kind="stable")
-            p, again = p[order], again[order]
-            cut = np.searchsorted(p // width, np.arange(SLICES + 1))
-            for s in range(SLICES):
-                at = slice(cut[s], cut[s + 1])
-                if at.start < at.stop:
-                    once, twice = p[at] - s * width, (p[at] - s * width)[again[at]]
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([once.astype("<u4").tobytes()], pa.binary()),
-                                                      pa.array([twice.astype("<u4").tobytes()], pa.binary())], ["slice", "once", "again"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for s, once, again in zip(*(c.to_pylist() for c in b.columns)):
-                met, twice = maps.setdefault(s, (np.zeros(width, bool), np.zeros(width, bool)))
-                p, n = np.unique(np.frombuffer(once, "<u4"), return_counts=True)
-                twice[p[met[p] | (n > 1)]] = True
-                met[p] = True
-                twice[np.frombuffer(again, "<u4")] = True
-        for s, (_, twice) in maps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
-
-    # the last bit of np.packbits(little) is bit p & 7 of byte p >> 3, as BloomFilter reads it
-    sent = keys.select("key").mapInArrow(spread, "slice int, once binary, again binary")
-    slices = sent.repartition(SLICES, "slice").mapInArrow(build, "slice int, bits binary").collect()
-    data = np.zeros(bits // 8, np.uint8)
-    for row in slices:
-        data[row["slice"] * width // 8:(row["slice"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
-    return BloomFilter(bits, PROBES, data)
-
-
-def membership(df: DataFrame, key: Column, bloom: BloomFilter) -> Column:
-    """Boolean column: whether the filter holds the 64-bit key (false for null keys)."""
-    shared = df.sparkSession.sparkContext.broadcast(bloom)
-
-    @F.pandas_udf("boolean")
-    def held(k: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.contains(k.fillna(0).to_numpy(np.int64))) & k.notna()
-
-    return held(key)
-
-
 def _groups(maybe: DataFrame) -> DataFrame:
     """(sha, keep_id, group_size) of the rows that may have copies; partial aggregation absorbs hot groups."""
     return maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -108,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     hashed = materialise(docs.select(docs[id_col].alias("doc_id"), text_digest(docs[text_col]).alias("sha"))
                          .withColumn("key", F.xxhash64("sha")), "op9-hashes")
-    bloom = repeated_filter(hashed, max_bits)
+    bloom = build_filter(hashed, repeated=True, max_bits=max_bits)
     hashed = hashed.withColumn("maybe", membership(hashed, F.col("key"), bloom)).drop("key")
     single = hashed.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"),
                                                    F.lit(1).cast("long").alias("group_size"), "sha")
@@ -125,7 +54,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows surely met once never leave their partition. The others travel as (hash, order key)
     first, and their texts only if they stay."""
     keys = materialise(docs.select(F.xxhash64(text_digest(docs[text_col])).alias("key")), "op9-keys")
-    bloom = repeated_filter(keys, max_bits)
+    bloom = build_filter(keys, repeated=True, max_bits=max_bits)
     cols = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
     at = f"c{docs.columns.index(id_col)}"
     rows = docs.select(*cols, text_digest(docs[text_col]).alias("sha"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import bpe, exact_dedup, token_files
+from souk.llm import bpe, exact_dedup, minhash, token_files
 from souk.llm.common import table
 from souk.session import scratch_dir
 
@@ -25,13 +25,38 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path(), bpe.digests, bpe.DIGEST_SCHEMA)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op7_bpe, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op7_bpe, op8_near_dedup, op9_exact_dedup)}
 
 ORACLE_SQL = {
+    "op8_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+            FROM words),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (
+            SELECT a.doc_id AS u, b.doc_id AS v
+            FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach(doc_id, seen) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.doc_id, p.v FROM reach r JOIN pairs p ON p.u = r.seen),
+        least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+        FROM sets s JOIN least l ON l.doc_id = s.doc_id""",
     "op9_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
