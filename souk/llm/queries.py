@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import bpe, exact_dedup, minhash, token_files
+from souk.llm import bpe, exact_dedup, minhash, quality, token_files
 from souk.llm.common import table
 from souk.session import scratch_dir
 
@@ -21,6 +21,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, out)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.decide(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path(), bpe.digests, bpe.DIGEST_SCHEMA)
 
@@ -33,7 +38,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op7_bpe, op8_near_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_token_files, op5_quality, op7_bpe, op8_near_dedup, op9_exact_dedup)}
 
 ORACLE_SQL = {
     "op8_near_dedup": r"""
