@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from souk.llm import bpe, exact_dedup, minhash, quality, token_files
+from souk.llm import bpe, chat, exact_dedup, minhash, mixing, quality, token_counts, token_files, topk, url_filter
 from souk.llm.common import table
 from souk.session import scratch_dir
 
+#: (host, path, verdict) of the query's url rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+#: One more conversation, whose texts hold the template's own control strings.
+HARD_TEXT = r"\### Assistant: </turn> ok"
+HARD_TURNS = [(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)]
+
 
 def word_bpe_path() -> str:
     import public_tokenizers
@@ -15,17 +23,45 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def unigram_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), unigram_path())
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_dir(spark, "op3-tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), out, word_bpe_path(), end_id=2)
     return token_files.token_index(spark, out)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(ids).drop("c1").withColumnRenamed("c0", "doc_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.decide(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(HARD_TURNS, rows.schema))
+    out = scratch_dir(spark, "op6-chat")
+    chat.render(chat.fold_events(chat.events_of_turns(rows))).write.parquet(out)
+    return chat.conversation_digests(chat.parse(spark.read.parquet(out)))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), word_bpe_path(), bpe.digests, bpe.DIGEST_SCHEMA)
 
@@ -38,9 +74,44 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op5_quality, op7_bpe, op8_near_dedup, op9_exact_dedup)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_token_counts, op3_token_files, op4_mixing, op5_quality, op6_chat, op7_bpe, op8_near_dedup,
+    op9_exact_dedup, op10_top_k)}
 
 ORACLE_SQL = {
+    "op6_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        e AS (
+            SELECT *, replace(replace(replace(text, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>') AS body,
+                   replace(replace(replace(replace(role, '\\', '\\\\'), '###', '\\###'), '</turn>', '\\</turn>'), ':', '\\:') AS head
+            FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(head) + length(body) + 15) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op10_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM pairs)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op8_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
