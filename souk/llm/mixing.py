@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows a block, slots a period at most, rows an order bucket holds on average.
-BLOCK_ROWS, PERIOD, BUCKET_ROWS = 32, 1000, 2000
+BLOCK_ROWS, PERIOD, BUCKET_ROWS = 16, 1000, 2000
 
 
 def period_schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int]]:
