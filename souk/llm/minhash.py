@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     whole = described.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left") \
         .join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return whole.select(F.col("doc_id").alias(id_col), "n_shingles",
-                        F.coalesce("component", "rep", "doc_id").alias("component_id")) \
+                        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")) \
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
