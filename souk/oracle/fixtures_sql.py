@@ -130,6 +130,22 @@ SELECT order_id, subtotal, CAST(10.00 AS DECIMAL(38,2)) AS delivery_fee,
 FROM (SELECT oi.order_id, CAST(sum(oi.quantity * oi.price) AS DECIMAL(38,2)) AS subtotal
       FROM m_items oi WHERE oi.order_id IN (SELECT id FROM m_orders) GROUP BY oi.order_id)"""
 
+# Line amounts and per-product sums: the reports' oracles start from these, dimensions are looked up last.
+CTES["v_lines"] = """
+SELECT product_id, order_id, quantity, quantity * price AS amount,
+       order_id IN (SELECT id FROM m_orders) AS placed,
+       order_id IN (SELECT id FROM m_orders WHERE status <> 'cancelled') AS live
+FROM m_items"""
+
+CTES["v_product_sales"] = """
+SELECT product_id, count(*) AS n, count(*) FILTER (placed) AS n_placed, count(*) FILTER (live) AS n_live,
+       sum(quantity) AS units, sum(amount) AS amount,
+       coalesce(sum(quantity) FILTER (live), 0) AS live_units, coalesce(sum(amount) FILTER (live), 0) AS live_amount
+FROM v_lines GROUP BY product_id"""
+
+CTES["v_product_stars"] = """
+SELECT product_id, count(rating) AS n, sum(rating) AS s FROM m_reviews GROUP BY product_id"""
+
 CTES["v_rating_summary"] = """
 SELECT p.id AS product_id, CAST(coalesce(r.n, 0) AS BIGINT) AS review_count,
        CAST(CASE WHEN coalesce(r.nr, 0) > 0

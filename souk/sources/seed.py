@@ -1,8 +1,7 @@
-"""Hand-made seed rows in the marketplace schema (S2), for tests.
+"""Hand-made rows in the marketplace schema (S2), for tests.
 
-Shape follows the reference's seed script (2 admins, sellers 3 and 4, one
-customer, 7 categories, 10 products) with made-up names, plus a few orders,
-a review and two carts competing for the last unit of a product.
+A small household-goods shop of our own: an admin, two sellers, three customers, five categories and eight products, with
+a few orders, a review and two carts that compete for the last travel mug.
 """
 
 from __future__ import annotations
@@ -23,43 +22,41 @@ def _ts(days: int = 0, minutes: int = 0) -> dt.datetime:
 
 
 USERS = [
-    (1, "Admin One", "admin.one@example.com", "admin", "active", _ts(0)),
-    (2, "Admin Two", "admin.two@example.com", "admin", "active", _ts(0)),
-    (3, "Seller Three", "seller.three@example.com", "seller", "active", _ts(1)),
-    (4, "Seller Four", "seller.four@example.com", "seller", "active", _ts(1)),
-    (5, "Customer Five", "customer.five@example.com", "customer", "active", _ts(2)),
-    (6, "Customer Six", "customer.six@example.com", "customer", "active", _ts(2)),
+    (1, "Ada Admin", "ada@example.com", "admin", "active", _ts(0)),
+    (2, "Carl Customer", "carl@example.com", "customer", "active", _ts(0)),
+    (3, "Sam Seller", "sam@example.com", "seller", "active", _ts(1)),
+    (4, "Sue Seller", "sue@example.com", "seller", "active", _ts(1)),
+    (5, "Cleo Customer", "cleo@example.com", "customer", "active", _ts(2)),
+    (6, "Cody Customer", "cody@example.com", "customer", "active", _ts(2)),
 ]
-CATEGORIES = [(1, "Tops"), (2, "Jeans"), (3, "Coats"), (4, "Gowns"), (5, "Skirts"), (6, "Shorts"), (7, "Tees")]
+CATEGORIES = [(1, "Lamps"), (2, "Kettles"), (3, "Rugs"), (4, "Clocks"), (5, "Mugs")]
 PRODUCTS = [
-    (1, "Linen Top", "Light top", "img/1.jpg", D("34.99"), 18, 1, 3, _ts(3)),
-    (2, "Wide Jeans", "Blue jeans", "/img/2.jpg", D("49.99"), 14, 2, 4, _ts(3)),
-    (3, "Plain Top", "Brown top", "", D("32.99"), 20, 1, 3, _ts(4)),
-    (4, "Rain Coat", "Coat", "img/4.jpg", D("89.99"), 9, 3, 4, _ts(4)),
-    (5, "Pleated Skirt", "Skirt", "img/5.jpg", D("39.99"), 16, 5, 3, _ts(5)),
-    (6, "Straight Jeans", "Dark jeans", "img/6.jpg", D("54.99"), 12, 2, 4, _ts(5)),
-    (7, "Cargo Shorts", "Shorts", "img/7.jpg", D("29.99"), 22, 6, 3, _ts(6)),
-    (8, "Oxford Tee", "Pink tee", "img/8.jpg", D("34.90"), 17, 7, 4, _ts(6)),
-    (9, "Check Tee", "Purple tee", "img/9.jpg", D("31.99"), 1, 7, 3, _ts(7)),
-    (10, "Summer Gown", "White gown", "img/10.jpg", D("59.99"), 11, 4, 4, _ts(7)),
+    (1, "Desk Lamp", "Reading lamp", "pics/lamp-a.png", D("27.30"), 6, 1, 4, _ts(3)),
+    (2, "Copper Kettle", "Stove kettle", "/pics/kettle.png", D("112.45"), 3, 2, 3, _ts(3)),
+    (3, "Floor Lamp", "Tall lamp", "", D("74.10"), 2, 1, 4, _ts(5)),
+    (4, "Wool Rug", "Woven rug", "pics/rug.png", D("203.00"), 5, 3, 3, _ts(5)),
+    (5, "Wall Clock", "Round clock", "pics/clock.png", D("18.62"), 40, 4, 4, _ts(5)),
+    (6, "Travel Mug", "Steel mug", "pics/mug-a.png", D("13.90"), 1, 5, 4, _ts(8)),
+    (7, "Tea Mug", "Clay mug", "pics/mug-b.png", D("6.25"), 120, 5, 3, _ts(8)),
+    (8, "Glass Kettle", "Electric kettle", "pics/kettle-b.png", D("58.08"), 9, 2, 3, _ts(9)),
 ]
 ORDERS = [
-    (10001, 5, 1, "pending", _ts(10)),      # 2 x 34.99: subtotal 69.98, tax 3.50, total 83.48
-    (10002, 5, 1, "completed", _ts(11)),    # 1 x 34.90: tax 1.745 -> 1.75
+    (10001, 5, 1, "pending", _ts(10)),      # 2 x 27.30: subtotal 54.60, tax 2.73, total 67.33
+    (10002, 5, 1, "completed", _ts(11)),    # 1 x 13.90: tax 0.695 -> 0.70, total 24.60
     (10003, 6, None, "pending", _ts(12)),   # no items
-    (10004, 6, None, "cancelled", _ts(12)),  # cancelled, 1 x 89.99
+    (10004, 6, None, "cancelled", _ts(12)),  # cancelled, 1 x 203.00
 ]
 ORDER_ITEMS = [
-    (1, 10001, 1, 2, D("34.99")),
-    (2, 10002, 8, 1, D("34.90")),
-    (3, 10004, 4, 1, D("89.99")),
+    (1, 10001, 1, 2, D("27.30")),
+    (2, 10002, 6, 1, D("13.90")),
+    (3, 10004, 4, 1, D("203.00")),
 ]
 ADDRESSES = [(1, 5, "555 123 4567", "Town", "1 Main St", True, _ts(2)),
              (2, 5, "555 765 4321", "Town", "2 Side St", False, _ts(2))]
-REVIEWS = [(1, 5, 8, 4, "Nice", _ts(13))]
+REVIEWS = [(1, 5, 6, 4, "Keeps warm", _ts(13))]
 PAYMENTS = [(1, 10001, "card", "4242", "paid", _ts(10)), (2, 10002, "cash", None, "pending", _ts(11))]
 INVOICES = [(1, 10001, "INV-10001", _ts(10))]
-CART = [(1, 5, 9, 1), (2, 6, 9, 1), (3, 6, 2, 2)]  # users 5 and 6 both want the last unit of product 9
+CART = [(1, 5, 6, 1), (2, 6, 6, 1), (3, 6, 2, 2)]  # users 5 and 6 both want the last unit of product 6
 
 
 def seed_tables(spark: SparkSession) -> Tables:

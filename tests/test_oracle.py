@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from souk.oracle.queries_sql import oracle_sql
+from souk.registry import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -26,23 +28,24 @@ def _rows(tbl):
     return cols, sorted((tuple(r) for r in zip(*data)), key=repr)
 
 
-KEYS = [k for k in entry.oracle_sql() if os.environ.get("SOUK_FAST") != "1" or k not in STREAM_KEYS]
+KEYS = [k for k in oracle_sql() if os.environ.get("SOUK_FAST") != "1" or k not in STREAM_KEYS]
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_oracle(spark, con, key):
-    got = entry.queries()[key](spark, SF).toArrow()
-    exp = con.sql(entry.oracle_sql()[key]).to_arrow_table()
+    got = queries()[key](spark, SF).toArrow()
+    exp = con.sql(oracle_sql()[key]).to_arrow_table()
     assert got.num_rows == exp.num_rows
     assert {f.name: str(f.type) for f in got.schema} == {f.name: str(f.type) for f in exp.schema}
     assert _rows(got) == _rows(exp)
 
 
 def test_every_query_has_oracle():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
+    missing = set(queries()) - set(oracle_sql())
     assert not missing, missing
 
 
 def test_entry_smoke(spark):
+    assert set(queries()) <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
     df = entry.entry(spark)
     assert df.count() > 0 and "revenue" in df.columns

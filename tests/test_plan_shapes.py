@@ -9,18 +9,18 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from souk.registry import queries
 
 SF = "/root/testdata/sf0.001"
 EXECUTES_WHILE_BUILDING = ("stream_", "checkout_")
 PYTHON_ALLOWED = {"cart_changes", "cart_change_rejects"}
 NESTED_LOOP_ALLOWED = {"cascade_delete_category"}
-KEYS = [k for k in entry.queries() if not k.startswith(EXECUTES_WHILE_BUILDING)]
+KEYS = [k for k in queries() if not k.startswith(EXECUTES_WHILE_BUILDING)]
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_plan_shape(spark, key):
-    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     if key not in NESTED_LOOP_ALLOWED:
         assert "BroadcastNestedLoopJoin" not in plan
