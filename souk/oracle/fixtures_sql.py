@@ -257,9 +257,12 @@ WHERE co.user_id IN (SELECT user_id FROM m_cart)"""
 CTES["f_order_events"] = """
 SELECT id AS order_id, 'pending' AS status, created_at AS event_time, created_at FROM m_orders
 UNION ALL
-SELECT id, 'completed', created_at + INTERVAL 1 HOUR, created_at FROM m_orders WHERE status <> 'pending'
+SELECT id, 'completed', created_at + INTERVAL 1 HOUR, created_at FROM m_orders
+WHERE status <> 'pending' AND NOT (status = 'cancelled' AND id % 3 = 0)
 UNION ALL
-SELECT id, status, created_at + INTERVAL 1 DAY, created_at FROM m_orders WHERE status IN ('delivered', 'cancelled')"""
+SELECT id, status, created_at + CASE WHEN status = 'cancelled' AND id % 3 = 0 THEN INTERVAL 30 SECOND
+                                     WHEN id % 4 = 1 THEN INTERVAL 10 DAY ELSE INTERVAL 1 DAY END, created_at
+FROM m_orders WHERE status IN ('delivered', 'cancelled')"""
 
 CTES["f_contacts"] = f"""
 SELECT c_custkey AS user_id, {_phone('c_custkey')} AS phone,

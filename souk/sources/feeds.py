@@ -126,20 +126,25 @@ def checkout_requests(fx: Fixture) -> DataFrame:
 
 
 def order_status_events(fx: Fixture) -> DataFrame:
-    """X2 / X3 input: pending at creation, completed an hour later, final status a day later.
+    """X2 / X3 input: pending at creation, completed an hour later, the final status days later.
 
-    Each event carries the order row image after the change (status and
-    creation time), as an UPDATE's new row would.
+    Each event carries the order row as an UPDATE shows it: old and new status and the creation time. A third of the
+    cancelled orders are cancelled after half a minute, before the delivery event sees them; other final events come
+    after one or ten days.
     """
     o = fx.orders()
-    created = o.select(F.col("id").alias("order_id"), F.lit("pending").alias("status"),
+    early = (F.col("status") == "cancelled") & (F.col("id") % 3 == 0)
+    wait = F.when(early, F.expr("INTERVAL 30 SECONDS")).when(F.col("id") % 4 == 1, F.expr("INTERVAL 240 HOURS")) \
+        .otherwise(F.expr("INTERVAL 24 HOURS"))
+    oid, none = F.col("id").alias("order_id"), F.lit(None).cast("string")
+    created = o.select(oid, none.alias("old_status"), F.lit("pending").alias("status"),
                        F.col("created_at").alias("event_time"), "created_at")
-    completed = o.filter(F.col("status") != "pending").select(
-        F.col("id").alias("order_id"), F.lit("completed").alias("status"),
+    completed = o.filter((F.col("status") != "pending") & ~early).select(
+        oid, F.lit("pending").alias("old_status"), F.lit("completed").alias("status"),
         (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("event_time"), "created_at")
     final = o.filter(F.col("status").isin("delivered", "cancelled")).select(
-        F.col("id").alias("order_id"), "status", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("event_time"),
-        "created_at")
+        oid, F.when(early, "pending").otherwise("completed").alias("old_status"), "status",
+        (F.col("created_at") + wait).alias("event_time"), "created_at")
     return created.unionByName(completed).unionByName(final)
 
 

@@ -1,8 +1,9 @@
-"""Structured Streaming forms of the reference's triggers and scheduled event.
+"""Structured Streaming forms of the reference's triggers and scheduled event.
 
-Every stream reads event-time ``timestamp`` columns (the tables carry
-``timestamp_ntz``, which watermarks reject, so sources cast at the edge) and
-writes results back as ``timestamp_ntz``.
+``start_*`` functions attach to any streaming DataFrame and take an output folder and a checkpoint folder of the caller's
+choice, so a job resumes after its process ends; ``read_*`` functions give the current result. No stream drops a late
+row, a row without a time or an old key: keyed results are upserted (``LatestTable``), the others
+are stateless. Per-key state (one row a product or order) is kept for good, as the triggers' tables are.
 """
 
 from __future__ import annotations
@@ -11,50 +12,51 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from souk.functions.money import average_rating, money, sum_of_lines, with_totals
-from souk.operators.changes import last_per_key
-from souk.streaming.runner import run_sliced
+from souk.operators.audit import review_audit, status_change_audit
+from souk.streaming.latest import LatestTable
+from souk.streaming.replay import replay
 
 # Trigger messages and the scheduler's delay.
 MSG_POSITIVE = "Cart quantity must be positive"
 MSG_EXCEEDS = "Cart quantity exceeds available stock"
 DELIVERY_DELAY = dt.timedelta(minutes=1)
-SENTINEL_TIME = "2100-01-01 00:00:00"
-SENTINEL_ID = -1
 
 
-def _sentinel(spark: SparkSession, cols: dict) -> DataFrame:
-    """One control row far in event time, so the final watermark passes every real window."""
-    return spark.range(1).select(*[v.alias(k) for k, v in cols.items()])
+def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _append(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return _start(rows.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, trigger)
 
 
 # ------------------------------------------------------------------ X1
+_RATING_KEYS = ["product_id"]
+
+
 def rating_summary_changes(stream: DataFrame) -> DataFrame:
     """Signed review changes (+1 insert, -1 delete, 0 new product) to running per-product totals."""
     return stream.groupBy("product_id").agg(
-        F.sum("sign").alias("review_count"),
-        F.sum(F.col("sign") * F.coalesce(F.col("rating"), F.lit(0))).alias("rating_sum"))
+        F.sum("sign").cast("long").alias("review_count"),
+        F.sum(F.col("sign") * F.coalesce(F.col("rating"), F.lit(0))).cast("long").alias("rating_sum"))
+
 
+def start_rating_summary(changes: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X1 / X1b. Keep per-product totals current from review inserts, deletes and new products."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        LatestTable(batch.sparkSession, out, _RATING_KEYS).write(batch, batch_id)
 
-def stream_rating_summary(spark: SparkSession, changes: DataFrame, slices: int = 3) -> DataFrame:
-    """X1 / X1b. Keep the rating summary current from review inserts and deletes.
+    totals = rating_summary_changes(changes)
+    return _start(totals.writeStream.outputMode("update").foreachBatch(sink), checkpoint, trigger)
 
-    Update mode emits the current totals of changed products; ``foreachBatch``
-    appends them with the batch id, and the summary is the latest row per
-    product (a replayed batch writes identical rows, so retries are harmless).
-    """
-    def build(stream, out):
-        def sink(batch: DataFrame, batch_id: int):
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
-        return rating_summary_changes(stream).writeStream.outputMode("update").foreachBatch(sink)
 
-    out = run_sliced(spark, "rating-summary", changes, "changed_at", build, slices)
-    log = spark.read.parquet(out)
-    latest = last_per_key(log.select("batch_id", "product_id", "review_count", "rating_sum"), ["product_id"],
-                          seq="batch_id")
-    return latest.select("product_id", F.col("review_count").cast("bigint").alias("review_count"),
-                         average_rating("rating_sum", "review_count").alias("average_rating"))
+def read_rating_summary(spark: SparkSession, out: str) -> DataFrame:
+    schema = spark.range(0).selectExpr("id AS product_id", "id AS review_count", "id AS rating_sum").schema
+    latest = LatestTable(spark, out, _RATING_KEYS).read(schema)
+    return latest.select("product_id", "review_count", average_rating("rating_sum", "review_count").alias("average_rating"))
 
 
 def rating_change_feed(review_changes: DataFrame, products: DataFrame) -> DataFrame:
@@ -62,45 +64,63 @@ def rating_change_feed(review_changes: DataFrame, products: DataFrame) -> DataFr
     prods = products.select(F.col("created_at").alias("changed_at"), F.lit("PRODUCT").alias("op"),
                             F.lit(None).cast("bigint").alias("review_id"), F.col("id").alias("product_id"),
                             F.lit(None).cast("int").alias("rating"), F.lit(0).alias("sign"))
-    return review_changes.unionByName(prods).withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    return review_changes.unionByName(prods)
+
+
+def stream_rating_summary(spark: SparkSession, changes: DataFrame) -> DataFrame:
+    return read_rating_summary(spark, replay(spark, "rating-summary", changes, start_rating_summary))
+
+
+# ------------------------------------------------------------------ X2
+def start_order_status_audit(changes: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X2. 'old -> new' audit rows; a change row carries both images (old_status, status), as the trigger's does: no state."""
+    pairs = changes.select("order_id", "old_status", F.col("status").alias("new_status"), "event_time")
+    return _append(status_change_audit(pairs, time_col="event_time"), out, checkpoint, trigger)
+
+
+def stream_order_status_audit(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return spark.read.parquet(replay(spark, "status-audit", events, start_order_status_audit))
+
+
+def start_review_audit(changes: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X2 (reviews). Insert and delete audit rows, appended as changes arrive."""
+    return _append(review_audit(changes), out, checkpoint, trigger)
+
+
+def stream_review_audit(spark: SparkSession, changes: DataFrame) -> DataFrame:
+    return spark.read.parquet(replay(spark, "review-audit", changes, start_review_audit))
 
 
 # ------------------------------------------------------------------ X3
-def delivered_after_delay(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The once-a-minute delivery event as an event-time aggregation.
-
-    An order is delivered one minute after creation if its status at that
-    moment is pending or completed. Events later than that moment cannot
-    change the outcome and are dropped before the aggregation; the status at
-    the due time is the latest remaining event, and each order's row is
-    final (emitted in append mode) once the watermark on ``created_at``
-    passes it. Partial aggregation keeps a busy order cheap.
-    """
+_DELIVERY_KEYS = ["order_id", "created_at"]
+
+
+def status_when_due(stream: DataFrame) -> DataFrame:
+    """Each order's status one minute after creation: later events cannot change it, a late earlier one corrects it."""
     due = F.col("created_at") + F.expr("INTERVAL 1 MINUTE")
-    last = (stream.withWatermark("created_at", late)
-            .filter(F.col("event_time") <= due)
-            .groupBy("order_id", "created_at")
-            .agg(F.max_by("status", "event_time").alias("previous_status")))
-    return last.filter(F.col("previous_status").isin("pending", "completed")).select(
-        "order_id", (F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).alias("delivered_at"), "previous_status")
+    last = F.max(F.struct("event_time", "status"))
+    return stream.filter(F.col("event_time") <= due).groupBy("order_id", "created_at") \
+        .agg(last.alias("last")).select("order_id", "created_at", F.col("last.status").alias("previous_status"))
+
+
+def start_mark_delivered(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X3. The once-a-minute delivery event, in event time; results of late events are upserted."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        LatestTable(batch.sparkSession, out, _DELIVERY_KEYS).write(batch, batch_id)
 
+    return _start(status_when_due(events).writeStream.outputMode("update").foreachBatch(sink), checkpoint, trigger)
 
-def stream_mark_delivered(spark: SparkSession, events: DataFrame, slices: int = 3,
-                          late: str = "1 hour") -> DataFrame:
-    """X3. Orders the scheduler marks delivered, from the order status event stream."""
-    feed = events.select("order_id", "status", F.col("event_time").cast("timestamp").alias("event_time"),
-                         F.col("created_at").cast("timestamp").alias("created_at"))
-    sentinel_time = F.lit(SENTINEL_TIME).cast("timestamp")
-    tail = _sentinel(spark, {"order_id": F.lit(SENTINEL_ID).cast("bigint"), "status": F.lit("pending"),
-                             "event_time": sentinel_time, "created_at": sentinel_time})
 
-    def build(stream, out):
-        return delivered_after_delay(stream, late).writeStream.outputMode("append").format("parquet") \
-            .option("path", out)
+def read_mark_delivered(spark: SparkSession, out: str) -> DataFrame:
+    schema = spark.range(0).selectExpr("id AS order_id", "CAST(NULL AS timestamp_ntz) AS created_at", "'' AS previous_status").schema
+    latest = LatestTable(spark, out, _DELIVERY_KEYS).read(schema)
+    return latest.filter(F.col("previous_status").isin("pending", "completed")).select(
+        "order_id", (F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).alias("delivered_at"), "previous_status")
+
 
-    out = run_sliced(spark, "mark-delivered", feed, "event_time", build, slices, tail=tail)
-    return spark.read.parquet(out).filter(F.col("order_id") != SENTINEL_ID).select(
-        "order_id", F.col("delivered_at").cast("timestamp_ntz").alias("delivered_at"), "previous_status")
+def stream_mark_delivered(spark: SparkSession, events: DataFrame) -> DataFrame:
+    feed = events.select("order_id", "status", "event_time", "created_at")
+    return read_mark_delivered(spark, replay(spark, "mark-delivered", feed, start_mark_delivered))
 
 
 # ------------------------------------------------------------------ X4
@@ -114,130 +134,61 @@ def cart_guard(stream: DataFrame, products: DataFrame) -> DataFrame:
                     reason.isNull().alias("accepted"))
 
 
-def stream_cart_guard(spark: SparkSession, cart_feed: DataFrame, products: DataFrame,
-                      slices: int = 3) -> DataFrame:
+def start_cart_guard(writes: DataFrame, products: DataFrame, out: str, checkpoint: str,
+                     trigger: dict | None = None) -> StreamingQuery:
     """X4. Stream-static join of attempted cart writes (add / set) against product stock."""
-    feed = cart_feed.filter(F.col("op").isin("add", "set")).withColumn(
-        "requested_at", F.col("requested_at").cast("timestamp"))
+    return _append(cart_guard(writes.filter(F.col("op").isin("add", "set")), products), out, checkpoint, trigger)
 
-    def build(stream, out):
-        return cart_guard(stream, products).writeStream.outputMode("append").format("parquet").option("path", out)
 
-    out = run_sliced(spark, "cart-guard", feed, "requested_at", build, slices)
-    return spark.read.parquet(out)
+def stream_cart_guard(spark: SparkSession, cart_feed: DataFrame, products: DataFrame) -> DataFrame:
+    return spark.read.parquet(replay(spark, "cart-guard", cart_feed,
+                                     lambda stream, out, ckpt: start_cart_guard(stream, products, out, ckpt)))
 
 
 # ------------------------------------------------------------------ X5
-def _wall_clock_instant(col, tz: str):
-    """The instant whose UTC wall clock equals the ``timestamp_ntz`` value, so
-    event-time day windows (aligned to UTC midnight) are wall-clock days in
-    any session time zone."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(tz), col).cast("timestamp")
-
-
-def _wall_clock_date(col, tz: str):
-    return F.to_date(F.convert_timezone(F.lit(tz), F.lit("UTC"), col.cast("timestamp_ntz")))
-
-
-def daily_sales_stream(stream: DataFrame, tz: str = "UTC", late: str = "1 day") -> DataFrame:
-    """Two chained event-time aggregations: per-order totals (tax rounded per order),
-    then per-day sums."""
-    per_order = (stream.withWatermark("created_at", late)
-                 .groupBy(F.window("created_at", "1 day").alias("w"), "order_id")
-                 .agg(sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal")))
-    per_order = with_totals(per_order).withColumn("t", F.window_time("w"))
-    return (per_order.groupBy(F.window("t", "1 day").alias("d"))
-            .agg(F.count(F.lit(1)).alias("total_orders"),
-                 money(F.sum("subtotal")).alias("subtotal"),
-                 money(F.sum("delivery_fee")).alias("delivery_fees"),
-                 money(F.sum("tax_amount")).alias("taxes"),
-                 money(F.sum("total_amount")).alias("revenue"))
-            .select(_wall_clock_date(F.col("d.start"), tz).alias("order_date"), "total_orders", "subtotal",
-                    "delivery_fees", "taxes", "revenue"))
-
-
-def stream_daily_sales(spark: SparkSession, lines: DataFrame, slices: int = 3) -> DataFrame:
-    """X5. Daily sales as a running stream over order lines of non-cancelled orders."""
-    tz = spark.conf.get("spark.sql.session.timeZone")
-    feed = lines.select("order_id", _wall_clock_instant(F.col("created_at"), tz).alias("created_at"),
-                        "quantity", "price")
-    tail = _sentinel(spark, {"order_id": F.lit(SENTINEL_ID).cast("bigint"),
-                             "created_at": _wall_clock_instant(F.lit(SENTINEL_TIME).cast("timestamp_ntz"), tz),
-                             "quantity": F.lit(0).cast("int"), "price": F.lit(0).cast("decimal(10,2)")})
-
-    def build(stream, out):
-        return daily_sales_stream(stream, tz).writeStream.outputMode("append").format("parquet") \
-            .option("path", out)
-
-    out = run_sliced(spark, "daily-sales", feed, "created_at", build, slices, tail=tail)
-    return spark.read.parquet(out).filter(F.col("order_date") < F.lit(SENTINEL_TIME[:10]).cast("date"))
-
-
-# ------------------------------------------------------------------ X2 (status changes)
-STATUS_RETENTION_DAYS = 7
-_STATE_SCHEMA = "order_id long, status string, event_time timestamp"
-
-
-def _status_batch(spark: SparkSession, out: str, state_root: str):
-    """foreachBatch body: 'old -> new' pairs for one micro-batch of status events.
-
-    Inside the batch the previous status of each event comes from the
-    bucketed ``previous_values`` (no order's history lands in one task); an
-    order's first event in the batch takes the last status kept in the state
-    table written by the previous batch. The new state (last event per order,
-    older than the retention dropped) and the batch's output are written
-    under the batch id, so a replayed batch overwrites its own files.
-    """
-    from pyspark.errors import AnalysisException
-
-    from souk.operators.changes import upsert
-    from souk.plans.numbering import previous_values
-
-    def run(batch: DataFrame, batch_id: int):
-        ev = batch.select("order_id", "status", "event_time").persist()
-        try:
-            prev = spark.read.parquet(f"{state_root}/batch={batch_id - 1}")
-        except AnalysisException:
-            prev = spark.createDataFrame([], _STATE_SCHEMA)
-        pv = previous_values(ev, ["order_id"], ["event_time"], ["status"])
-        pv = pv.join(prev.select("order_id", F.col("status").alias("state_status")), "order_id", "left")
-        pairs = pv.select("order_id", F.coalesce("prev_status", "state_status").alias("old_status"),
-                          F.col("status").alias("new_status"), "event_time")
-        pairs.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = last_per_key(ev.withColumnRenamed("event_time", "seq"), ["order_id"]) \
-            .withColumnRenamed("seq", "event_time").select("order_id", "status", "event_time")
-        state = upsert(prev, last, ["order_id"])
-        horizon = state.agg(F.max("event_time")).scalar() - F.expr(f"INTERVAL {STATUS_RETENTION_DAYS} DAYS")
-        state.filter(F.col("event_time") >= horizon).write.mode("overwrite").parquet(
-            f"{state_root}/batch={batch_id}")
-        ev.unpersist()
-
-    return run
-
-
-def stream_order_status_audit(spark: SparkSession, events: DataFrame, slices: int = 3) -> DataFrame:
-    """X2. The order status-change trigger as a stream: 'old -> new' audit rows."""
-    from souk.operators.audit import status_change_audit
-
-    feed = events.select("order_id", "status", F.col("event_time").cast("timestamp").alias("event_time"))
-
-    def build(stream, out):
-        return stream.writeStream.foreachBatch(_status_batch(spark, out, out + "_state"))
-
-    out = run_sliced(spark, "status-audit", feed, "event_time", build, slices)
-    changes = spark.read.parquet(out).drop("batch").withColumn("event_time",
-                                                               F.col("event_time").cast("timestamp_ntz"))
-    return status_change_audit(changes, time_col="event_time")
-
-
-def stream_review_audit(spark: SparkSession, changes: DataFrame, slices: int = 3) -> DataFrame:
-    """X2 (stateless part). Review insert / delete audit rows, appended as changes arrive."""
-    from souk.operators.audit import review_audit
-
-    feed = changes.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
-
-    def build(stream, out):
-        return review_audit(stream).writeStream.outputMode("append").format("parquet").option("path", out)
-
-    out = run_sliced(spark, "review-audit", feed, "changed_at", build, slices)
-    return spark.read.parquet(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+_DAY_KEYS, _ORDER_KEYS = ["order_date"], ["order_date", "order_id"]
+
+
+def order_sums(lines: DataFrame) -> DataFrame:
+    """Running subtotal of each order (one creation day each), whatever order its lines come in."""
+    return lines.groupBy(F.to_date("created_at").alias("order_date"), "order_id") \
+        .agg(sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal"))
+
+
+def _day_totals(orders: DataFrame) -> DataFrame:
+    t = with_totals(orders)
+    return t.groupBy("order_date").agg(
+        F.count(F.lit(1)).alias("total_orders"), money(F.sum("subtotal")).alias("subtotal"),
+        money(F.sum("delivery_fee")).alias("delivery_fees"), money(F.sum("tax_amount")).alias("taxes"),
+        money(F.sum("total_amount")).alias("revenue"))
+
+
+def start_daily_sales(lines: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X5. Daily sales over order lines of live orders.
+
+    A batch's changed orders are upserted into a table partitioned by day; the days they touch are summed
+    anew from that table (tax is rounded per order) and upserted. A line of any age corrects its day."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        orders = LatestTable(spark, f"{out}/orders", _ORDER_KEYS, partition_by=["order_date"])
+        orders.write(batch, batch_id)
+        touched = batch.select(F.col("order_date").alias("day")).distinct()
+        current = orders.read(batch.schema, batch_id)
+        changed = current.join(touched, F.col("order_date").eqNullSafe(F.col("day")), "left_semi")
+        LatestTable(spark, f"{out}/days", _DAY_KEYS).write(_day_totals(changed), batch_id)
+        batch.unpersist()
+
+    return _start(order_sums(lines).writeStream.outputMode("update").foreachBatch(sink), checkpoint, trigger)
+
+
+def read_daily_sales(spark: SparkSession, out: str) -> DataFrame:
+    m = "CAST(0 AS decimal(38,2))"
+    schema = spark.range(0).selectExpr("CAST(NULL AS date) AS order_date", "id AS total_orders", f"{m} AS subtotal",
+                                       f"{m} AS delivery_fees", f"{m} AS taxes", f"{m} AS revenue").schema
+    return LatestTable(spark, f"{out}/days", _DAY_KEYS).read(schema)
+
+
+def stream_daily_sales(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    feed = lines.select("order_id", "created_at", "quantity", "price")
+    return read_daily_sales(spark, replay(spark, "daily-sales", feed, start_daily_sales))

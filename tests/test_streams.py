@@ -1,37 +1,95 @@
-"""Stream = batch: stream results equal the batch job for any slicing,
-with a restart from the checkpoint between slices."""
+"""Stream = batch: results equal the batch job for any slicing and order of arrival, with a restart from a new
+session on the same checkpoint between slices."""
 
-from souk.operators import reports
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from souk.operators import audit, reports
+from souk.session import scratch_dir
 from souk.sources import feeds
 from souk.streaming import streams
+from souk.streaming.latest import LatestTable
+
+
+def sliced(spark, feed, start, slices, shuffled=False):
+    """Feed ``start`` slice by slice; each slice runs in a new session from the same checkpoint folder."""
+    base = scratch_dir(spark, "sliced")
+    key = F.xxhash64(*feed.columns) if shuffled else F.lit(0)
+    cut = feed.withColumn("__slice", F.pmod(F.xxhash64(*feed.columns, key), F.lit(slices)))
+    for i in range(slices):
+        cut.filter(F.col("__slice") == i).drop("__slice").write.mode("append").parquet(f"{base}/source")
+        own = spark.newSession()
+        query = start(own.readStream.schema(feed.schema).parquet(f"{base}/source"), f"{base}/out", f"{base}/checkpoint")
+        query.awaitTermination()
+    return f"{base}/out"
 
 
-def test_rating_summary_stream_equals_batch(fx):
+@pytest.mark.parametrize("slices", [1, 4])
+def test_rating_summary_stream_equals_batch(fx, slices):
     t = fx.tables()
     changes = streams.rating_change_feed(feeds.review_changes(fx), fx.products())
     kept = t.reviews.filter("id % 4 <> 0")
-    batch = sorted(reports.rating_summary(t.with_(reviews=kept)).collect())
-    for n in (1, 3):
-        assert sorted(streams.stream_rating_summary(fx.spark, changes, slices=n).collect()) == batch
+    out = sliced(fx.spark, changes, streams.start_rating_summary, slices)
+    assert sorted(streams.read_rating_summary(fx.spark, out).collect()) == sorted(reports.rating_summary(t.with_(reviews=kept)).collect())
+
+
+def test_product_without_a_time_keeps_its_zero_row(spark, seed):
+    products = seed.products.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    none = spark.createDataFrame([], "changed_at timestamp_ntz, op string, review_id long, product_id long, rating int, sign int")
+    got = streams.stream_rating_summary(spark, streams.rating_change_feed(none, products))
+    assert sorted((r["product_id"], r["review_count"]) for r in got.collect()) == [(i, 0) for i in range(1, 9)]
 
 
-def test_daily_sales_stream_equals_batch(fx):
+def test_daily_sales_stream_equals_batch_for_any_order_of_arrival(fx):
     t = fx.tables()
     live = reports.live_orders(t.orders).selectExpr("id as order_id", "created_at")
     lines = t.order_items.join(live, "order_id").select("order_id", "created_at", "quantity", "price")
-    got = sorted(streams.stream_daily_sales(fx.spark, lines, slices=4).collect())
-    assert got == sorted(reports.daily_sales(t).collect())
+    out = sliced(fx.spark, lines, streams.start_daily_sales, 3)  # slices by hash: every day arrives in all of them
+    assert sorted(streams.read_daily_sales(fx.spark, out).collect()) == sorted(reports.daily_sales(t).collect())
+
+
+def test_daily_sales_late_far_future_and_null_days(spark):
+    day = lambda d: dt.datetime(d, 1, 5, 3)
+    rows = [[(1, day(2024), 2, 1000)], [(2, day(2199), 1, 500)], [(1, day(2024), 1, 100), (3, None, 1, 700)], [(4, day(2001), 1, 300)]]
+    schema = "order_id long, created_at timestamp_ntz, quantity int, price decimal(10,2)"
+    base = scratch_dir(spark, "late")
+    for part in rows:
+        spark.createDataFrame([(o, c, q, __import__("decimal").Decimal(p) / 100) for o, c, q, p in part], schema) \
+            .write.mode("append").parquet(f"{base}/source")
+        streams.start_daily_sales(spark.readStream.schema(schema).parquet(f"{base}/source"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    got = {r["order_date"] and r["order_date"].year: (r["total_orders"], str(r["subtotal"])) for r in streams.read_daily_sales(spark, f"{base}/out").collect()}
+    assert got == {2024: (1, "21.00"), 2199: (1, "5.00"), None: (1, "7.00"), 2001: (1, "3.00")}
 
 
 def test_mark_delivered_stream_any_slicing(fx):
-    ev = feeds.order_status_events(fx)
-    one = sorted(streams.stream_mark_delivered(fx.spark, ev, slices=1).collect())
-    three = sorted(streams.stream_mark_delivered(fx.spark, ev, slices=3).collect())
-    assert one == three and len(one) == fx.orders().count()
+    ev = feeds.order_status_events(fx).select("order_id", "status", "event_time", "created_at")
+    results = []
+    for n in (1, 3):
+        out = sliced(fx.spark, ev, streams.start_mark_delivered, n)
+        results.append(sorted(streams.read_mark_delivered(fx.spark, out).collect()))
+    early = fx.orders().filter("status = 'cancelled' AND id % 3 = 0").count()
+    assert results[0] == results[1] and early > 0 and len(results[0]) == fx.orders().count() - early
 
 
 def test_status_audit_stream_equals_batch(fx):
-    from souk.operators import audit
     ev = feeds.order_status_events(fx)
     batch = sorted(audit.status_change_audit(audit.order_status_transitions(ev), time_col="event_time").collect())
-    assert sorted(streams.stream_order_status_audit(fx.spark, ev, slices=2).collect()) == batch
+    out = sliced(fx.spark, ev, streams.start_order_status_audit, 3)
+    assert sorted(fx.spark.read.parquet(out).collect()) == batch
+
+
+def test_latest_table_compacts_and_survives_replayed_batches(spark):
+    root = scratch_dir(spark, "latest")
+    table = LatestTable(spark, root, ["k"], compact_every=3)
+    rng, want = random.Random(1), {}
+    for batch in range(11):
+        rows = [(k, batch * 100 + k) for k in rng.sample(range(20), 6)]
+        for _ in range(2):  # every batch is replayed
+            table.write(spark.createDataFrame(rows, "k long, v long").coalesce(1), batch)
+        want.update(rows)
+    read = table.read(spark.createDataFrame([], "k long, v long").schema)
+    assert {r["k"]: r["v"] for r in read.collect()} == want
+    assert len(table._finished("base")) == 1 and len(table._finished("delta")) <= 3
