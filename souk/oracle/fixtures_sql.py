@@ -244,8 +244,8 @@ SELECT user_id, id, phone, city, address, is_default, created_at FROM (
                                ORDER BY CASE WHEN is_default THEN 0 WHEN NOT is_default THEN 1 ELSE 2 END, id) AS rn
   FROM m_addresses) WHERE rn = 1"""
 
-CTES["f_checkout"] = """
-SELECT co.user_id AS seq, co.user_id, da.id AS address_id,
+CTES["f_checkout_first"] = """
+SELECT co.user_id * 2 AS seq, co.user_id, da.id AS address_id,
        CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'card' ELSE 'cash' END AS payment_method,
        CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH')
             THEN right(CAST(4000000000000000 + co.user_id * 7 AS VARCHAR), 4) END AS card_last4
@@ -254,6 +254,11 @@ JOIN orders o ON o.o_orderkey = co.oid
 LEFT JOIN v_default_address da ON da.user_id = co.user_id
 WHERE co.user_id IN (SELECT user_id FROM m_cart)"""
 
+CTES["f_checkout"] = """
+SELECT * FROM f_checkout_first
+UNION ALL SELECT * REPLACE (seq + 1 AS seq) FROM f_checkout_first WHERE user_id % 6 = 0
+UNION ALL SELECT * REPLACE (seq + 1000000000000 AS seq) FROM f_checkout_first WHERE user_id % 10 = 0"""
+
 CTES["f_order_events"] = """
 SELECT id AS order_id, 'pending' AS status, created_at AS event_time, created_at FROM m_orders
 UNION ALL

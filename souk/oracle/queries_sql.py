@@ -530,35 +530,38 @@ ln AS (SELECT r.seq, c.product_id, c.quantity, p.price, p.stock
        FROM req r JOIN m_cart c ON c.user_id = r.user_id JOIN m_products p ON p.id = c.product_id),
 q AS (SELECT seq, CAST(sum(quantity * price) AS {M}) AS subtotal FROM ln GROUP BY seq),
 cand AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn FROM q WHERE subtotal > 0),
-cl AS (SELECT c.rn, list(ln.product_id ORDER BY ln.product_id) AS pids,
+cl AS (SELECT c.rn, any_value(r.user_id) AS uid, list(ln.product_id ORDER BY ln.product_id) AS pids,
               list(CAST(ln.quantity AS BIGINT) ORDER BY ln.product_id) AS qtys,
               list(CAST(ln.stock AS BIGINT) ORDER BY ln.product_id) AS stocks
-       FROM cand c JOIN ln ON ln.seq = c.seq GROUP BY c.rn),
+       FROM cand c JOIN ln ON ln.seq = c.seq JOIN req r ON r.seq = c.seq GROUP BY c.rn),
 st AS (
-  SELECT CAST(0 AS BIGINT) AS rn, CAST(MAP() AS MAP(BIGINT, BIGINT)) AS used, CAST(NULL AS BOOLEAN) AS ok
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(MAP() AS MAP(BIGINT, BIGINT)) AS used, CAST([] AS BIGINT[]) AS served,
+         CAST(NULL AS BOOLEAN) AS ok, CAST(NULL AS BOOLEAN) AS emptied
   UNION ALL
   SELECT st.rn + 1,
-         CASE WHEN {_OK}
+         CASE WHEN NOT list_contains(st.served, cl.uid) AND {_OK}
               THEN map_concat(st.used, map_from_entries(list_transform(cl.pids, lambda p, i:
                      {{'k': p, 'v': coalesce(map_extract_value(st.used, p), 0) + cl.qtys[i]}})))
               ELSE st.used END,
-         {_OK}
+         CASE WHEN NOT list_contains(st.served, cl.uid) AND {_OK} THEN list_append(st.served, cl.uid) ELSE st.served END,
+         NOT list_contains(st.served, cl.uid) AND {_OK},
+         list_contains(st.served, cl.uid)
   FROM st JOIN cl ON cl.rn = st.rn + 1),
-dec AS (SELECT c.seq, st.ok FROM st JOIN cand c ON c.rn = st.rn),
+dec AS (SELECT c.seq, st.ok, st.emptied FROM st JOIN cand c ON c.rn = st.rn),
 acc AS (SELECT seq, (SELECT max(id) FROM m_orders) + row_number() OVER (ORDER BY seq) AS order_id
         FROM dec WHERE ok)"""
 
 SQL["checkout_decisions"] = _CHECKOUT_CTES + f"""
 SELECT r.seq, r.user_id,
        CASE WHEN acc.seq IS NOT NULL THEN 'accepted' ELSE 'rejected' END AS decision,
-       CASE WHEN coalesce(q.subtotal, 0) <= 0 THEN '{checkout.MSG_EMPTY}'
+       CASE WHEN coalesce(q.subtotal, 0) <= 0 OR d.emptied THEN '{checkout.MSG_EMPTY}'
             WHEN acc.seq IS NULL THEN '{checkout.MSG_STOCK}' END AS reason,
-       CAST(coalesce(q.subtotal, 0) AS {M}) AS subtotal,
+       CAST(CASE WHEN d.emptied THEN 0 ELSE coalesce(q.subtotal, 0) END AS {M}) AS subtotal,
        CASE WHEN acc.seq IS NOT NULL THEN CAST(round(q.subtotal * 0.05, 2) AS {M}) END AS tax_amount,
        CASE WHEN acc.seq IS NOT NULL THEN CAST(q.subtotal + 10.00 + round(q.subtotal * 0.05, 2) AS {M}) END
          AS total_amount,
        acc.order_id
-FROM req r LEFT JOIN q ON q.seq = r.seq LEFT JOIN acc ON acc.seq = r.seq"""
+FROM req r LEFT JOIN q ON q.seq = r.seq LEFT JOIN acc ON acc.seq = r.seq LEFT JOIN dec d ON d.seq = r.seq"""
 
 SQL["checkout_stock"] = _CHECKOUT_CTES + """
 SELECT p.id, CAST(p.stock - coalesce(u.used, 0) AS INTEGER) AS stock

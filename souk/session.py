@@ -1,9 +1,8 @@
 """Session construction and the shared scratch area.
 
-Jobs never use a machine-local folder for data that must outlive a task:
-lineage cuts and streaming checkpoints go under the cluster's
-``spark.checkpoint.dir``. Only when that setting is absent (tests, local
-runs) do we point it at a fresh temporary folder.
+Data that must outlive a task never goes to a machine-local folder: lineage cuts and streaming checkpoints go under the
+cluster's ``spark.checkpoint.dir``. Only on a local master (tests, local runs) a missing setting is replaced by a fresh
+temporary folder; on a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CKPT: str | None = None
 
@@ -39,7 +38,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "souk
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder, creating a local one only if unset on a local master."""
     global _LOCAL_CKPT
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="souk-ckpt-")
         configured = _LOCAL_CKPT
@@ -58,3 +59,19 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint area for one job run."""
     base = ensure_checkpoint_dir(spark)
     return f"{base}/souk-{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written under the shared checkpoint area and read again: a lineage cut that ``discard`` can free."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of ``written`` frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,6 +14,7 @@ from souk.sources.fixtures import Fixture, card_text, phone_text
 # Fixed values of the feed mapping.
 UNKNOWN_CATEGORY_NAME = "NO_SUCH"
 UNKNOWN_CATEGORY_ID = 999_999
+LATE_SEQ = 1_000_000_000_000  # added to a request's seq to put it after all others
 USER_FEED_ROLES = ("seller", "customer", "owner")            # by custkey % 3
 USER_FEED_STATUSES = ("active", "suspended", "pending", "gone")  # by custkey % 4
 ORDER_FEED_STATUSES = ("cancelled", "delivered", "shipped", "completed", "pending")  # by id % 5
@@ -109,7 +110,7 @@ def cart_feed(fx: Fixture) -> DataFrame:
 
 
 def checkout_requests(fx: Fixture) -> DataFrame:
-    """M5 input: one checkout per user with a cart, served in user id order."""
+    """M5 input: a checkout per user with a cart, in user id order; every sixth user asks again at once, every tenth at the end."""
     from souk.operators.listings import default_address
 
     t = fx.tables()
@@ -120,9 +121,12 @@ def checkout_requests(fx: Fixture) -> DataFrame:
     card = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     addr = default_address(t).select("user_id", F.col("id").alias("address_id"))
     j = users.join(pri, "o_orderkey").join(addr, "user_id", "left")
-    return j.select(F.col("user_id").alias("seq"), "user_id", "address_id",
-                    F.when(card, "card").otherwise("cash").alias("payment_method"),
-                    F.when(card, F.substring(card_text(F.col("user_id")), -4, 4)).alias("card_last4"))
+    first = j.select((F.col("user_id") * 2).alias("seq"), "user_id", "address_id",
+                     F.when(card, "card").otherwise("cash").alias("payment_method"),
+                     F.when(card, F.substring(card_text(F.col("user_id")), -4, 4)).alias("card_last4"))
+    again = first.filter(F.col("user_id") % 6 == 0).withColumn("seq", F.col("seq") + 1)
+    late = first.filter(F.col("user_id") % 10 == 0).withColumn("seq", F.col("seq") + LATE_SEQ)
+    return first.unionByName(again).unionByName(late)
 
 
 def order_status_events(fx: Fixture) -> DataFrame:

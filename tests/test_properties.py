@@ -155,15 +155,14 @@ def test_review_submissions(fx):
     assert rej.count() + state.count() - t.reviews.count() == feeds.review_feed(fx).count()
 
 
-def test_checkout_hot_product_equals_sequential(spark):
-    """Every cart wants the same hot product: rounds, folding and buckets against the plain loop."""
-    rng = random.Random(17)
+def _contended(spark, rng, users, products=9, repeat=0.0):
+    """Every cart wants product 1; some want others too; some users ask again later. Returns tables, requests, carts, stock."""
     seed = seed_tables(spark)
-    stock = {1: 40, **{p: rng.randint(0, 8) for p in range(2, 9)}}
+    stock = {1: len(users) // 2, **{p: rng.randint(0, 8) for p in range(2, products)}}
     price = {p: D("5.00") + p for p in stock}
     carts, cart_rows, cid = {}, [], 1
-    for user in range(1000, 1080):
-        others = rng.sample(range(2, 9), rng.randint(0, 2))
+    for user in users:
+        others = rng.sample(range(2, products), rng.randint(0, 2))
         carts[user] = [(1, rng.randint(1, 3), price[1])] + [(p, rng.randint(1, 2), price[p]) for p in others]
         for p, q, _ in carts[user]:
             cart_rows.append((cid, user, p, q))
@@ -171,10 +170,80 @@ def test_checkout_hot_product_equals_sequential(spark):
     prods = spark.createDataFrame(
         [(p, f"P{p}", "d", "i", price[p], stock[p], 1, 3, None) for p in stock], seed.products.schema)
     t = seed.with_(products=prods, cart=spark.createDataFrame(cart_rows, seed.cart.schema))
-    req = spark.createDataFrame([(u, u, None, "cash", None) for u in carts],
-                                "seq long, user_id long, address_id long, payment_method string, card_last4 string")
+    asks = [*users, *[u for u in users if rng.random() < repeat]]
+    first = asks[:len(users)]
+    requests = [(i, u, None, "cash", None) for i, u in enumerate(first + rng.sample(asks[len(users):], len(asks) - len(users)))]
+    req = spark.createDataFrame(requests, "seq long, user_id long, address_id long, payment_method string, card_last4 string")
+    return t, req, requests, carts, stock
+
+
+def _serve(requests, carts, stock):
+    """The plain loop over requests: decision by seq, and the stock left."""
+    stock, carts, out = dict(stock), dict(carts), {}
+    for seq, user, *_ in requests:
+        lines = carts.get(user, [])
+        if not lines:
+            out[seq] = "Cart is empty"
+        elif all(q <= stock[p] for p, q, _ in lines):
+            for p, q, _ in lines:
+                stock[p] -= q
+            carts[user], out[seq] = [], None
+        else:
+            out[seq] = "Insufficient stock"
+    return out, stock
+
+
+def test_checkout_hot_product_equals_sequential(spark):
+    """300 carts that want the same hot product, a third of the users asking twice, against the plain loop."""
+    t, req, requests, carts, stock = _contended(spark, random.Random(17), range(1000, 1300), repeat=0.3)
     res = checkout.checkout(t, req)
-    got = sorted(r["user_id"] for r in res.decisions.filter("decision = 'accepted'").collect())
-    exp_acc, exp_stock = _sequential_checkout(carts, stock)
-    assert got == sorted(exp_acc)
-    assert {r["id"]: r["stock"] for r in res.stock.collect()} == exp_stock
+    want, left = _serve(requests, carts, stock)
+    assert {r["seq"]: r["reason"] for r in res.decisions.collect()} == want and len(want) > 300
+    assert {r["id"]: r["stock"] for r in res.stock.collect()} == left
+    assert res.rounds <= 3
+    for name, df in res.tables.items():  # numbered after each table's own largest id
+        if name in ("orders", "order_items", "payments", "invoices"):
+            ids = [r["id"] for r in df.select("id").collect()]
+            assert len(ids) == len(set(ids)) and max(ids) - max(r["id"] for r in getattr(t, name).collect()) == len(ids) - getattr(t, name).count()
+
+
+def test_checkout_blocks_and_components_change_nothing(spark):
+    """Tiny blocks: prefixes of the request order, cut into components, several rounds; the same decisions."""
+    rng = random.Random(23)
+    lines, stock, carts = [], {}, {}
+    for group in range(4):  # groups of carts that share no product
+        products = [10 * group + p for p in range(3)]
+        stock |= {p: rng.randint(2, 9) for p in products}
+        for seq in range(group, 80, 4):
+            carts[seq] = [(p, rng.randint(1, 3)) for p in rng.sample(products, rng.randint(1, 3))]
+            lines += [(seq, p, q, stock[p]) for p, q in carts[seq]]
+    want, left = {}, dict(stock)
+    for seq in sorted(carts):
+        want[seq] = "A" if all(q <= left[p] for p, q in carts[seq]) else "R"
+        if want[seq] == "A":
+            for p, q in carts[seq]:
+                left[p] -= q
+    df = spark.createDataFrame(lines, "seq long, product_id long, quantity int, stock int")
+    for sizes in ((2, 9), (3, 1000)):
+        status, _ = checkout.decide(df, *sizes)
+        assert {r["seq"]: r["status"] for r in status.collect()} == want
+
+
+def test_checkout_forms(spark):
+    """Address upsert, card check and payment default around the order, as the checkout page does."""
+    seed = seed_tables(spark)
+    forms = [(1, 5, " 555 123 4567 ", "Town", "9 New Rd", "paypal", None), (2, 6, "555-765-4321", "City", "1 First St", "card", "4111 1111 1111 1111"),
+             (3, 6, "555-765-4321", "City", "1 First St", "card", "4111 1111 1111 1112"), (4, 1, "", "x", "y", "cash", None), (5, 1, "12", "x", "y", "cash", None),
+             (6, 5, "555 999 9999", "Other", "2 Late St", "cash", None)]
+    seed = seed.with_(products=seed.products.withColumn("stock", F.lit(5)))
+    done, rejects = checkout.serve_forms(seed, spark.createDataFrame(
+        forms, "seq long, user_id long, phone string, city string, address string, payment_method string, card_number string"))
+    assert {r["seq"]: r["reason"] for r in rejects.collect()} == {3: checkout.MSG_CARD, 4: changes.MSG_ADDRESS, 5: changes.MSG_PHONE}
+    assert {r["seq"]: r["reason"] for r in done.decisions.collect()} == {1: None, 2: None, 6: "Cart is empty"}
+    orders = {r["user_id"]: r for r in done.orders.collect()}
+    assert orders[5]["delivery_address_id"] == 1 and orders[6]["delivery_address_id"] == 3
+    assert (orders[5]["payment_method"], orders[6]["payment_method"], orders[6]["card_last4"]) == ("cash", "card", "1111")
+    saved = {r["id"]: r for r in done.tables.user_addresses.collect()}
+    assert saved[1]["address"] == "9 New Rd" and saved[3]["city"] == "City"
+    placed = {r["id"]: r["delivery_address_id"] for r in done.tables.orders.collect()}
+    assert placed[10005] == 1 and placed[10006] == 3
