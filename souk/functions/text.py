@@ -10,9 +10,13 @@ PHP_TRIM_CLASS = r"[ \t\n\r\x00\x0B]"
 EMAIL_MAX = 100
 PHONE_DIGITS = (10, 15)
 CARD_DIGITS = (13, 19)
-# Email shape accepted by the contact check (local part @ dotted domain).
-EMAIL_PATTERN = (r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-                 r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+$")
+EMAIL_LOCAL_MAX, EMAIL_LABEL_MAX = 64, 63
+# Email shape accepted by the contact check: dot-separated atoms @ dot-separated host labels (no quoted local parts).
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
+_LABEL = rf"[A-Za-z0-9](?:[A-Za-z0-9-]{{0,{EMAIL_LABEL_MAX - 2}}}[A-Za-z0-9])?"
+EMAIL_PATTERN = rf"^(?=[^@]{{1,{EMAIL_LOCAL_MAX}}}@){_ATOM}(?:\.{_ATOM})*@{_LABEL}(?:\.{_LABEL})+$"
+# Leading number of a text, as an (int) cast reads it.
+_LEADING_NUMBER = r"^[ \t\n\r\x0B\f]*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
 def php_trim(c: Column) -> Column:
@@ -29,11 +33,9 @@ def collapse_ws(c: Column) -> Column:
 
 
 def php_int(c: Column) -> Column:
-    """(int) cast of form text: a non-numeric value becomes 0.
-
-    PHP would also read a numeric prefix ("3a" -> 3); such values give 0 here.
-    """
-    return F.coalesce(c.try_cast("int"), F.lit(0))
+    """(int) cast of form text: the leading number, cut at the decimal point; 0 for NULL and for text without one."""
+    number = F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), _LEADING_NUMBER, 1).try_cast("double")
+    return F.coalesce(number.try_cast("int"), F.lit(0))
 
 
 def email_valid(c: Column) -> Column:

@@ -72,22 +72,17 @@ def append_audit(rows: DataFrame, path: str) -> int:
 
     Ids continue after the table's current maximum, in (created_at, table,
     record, action, details) order, numbered in parallel. Existing rows are
-    never rewritten. Returns the number of rows appended.
+    never rewritten. One writer at a time: two that append together would read
+    the same maximum. Returns the number of rows appended.
     """
-    from pyspark.errors import AnalysisException
-
     from souk.plans.numbering import number_rows
     from souk.sources.tables import conform
 
     spark = rows.sparkSession
-    try:
-        start = spark.read.parquet(path).select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    except AnalysisException:
-        start = F.lit(1)
-    staged = rows.select("table_name", "action_type", "record_id", "details", "created_at").persist()
-    numbered = number_rows(staged, ["created_at", "table_name", "record_id", "action_type", "details"], "id",
-                           start=start)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    start = spark.read.parquet(path).select(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0] if exists else 1
+    staged = rows.select("table_name", "action_type", "record_id", "details", "created_at")
+    numbered = number_rows(staged, ["created_at", "table_name", "record_id", "action_type", "details"], "id", start=start)
     conform(numbered, "audit_log").write.mode("append").parquet(path)
-    n = staged.count()
-    staged.unpersist()
-    return n
+    return numbered.count()

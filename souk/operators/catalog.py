@@ -106,11 +106,12 @@ def catalog_card(df: DataFrame) -> DataFrame:
 
 
 def load_catalog_feed(feed: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3. Resolve category by name. Unmatched rows are dropped by the load and
+    """S3. Resolve category by name, whatever its case. Unmatched rows are dropped by the load and
     returned separately as rejects."""
-    cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    loaded = feed.join(cats, "category_name")
-    rejected = feed.join(cats, "category_name", "left_anti").withColumn("reason", F.lit("unknown category"))
+    cats = categories.select(F.col("id").alias("category_id"), F.lower("name").alias("__name"))
+    named = feed.withColumn("__name", F.lower("category_name"))
+    loaded = named.join(cats, "__name").drop("__name")
+    rejected = named.join(cats, "__name", "left_anti").drop("__name").withColumn("reason", F.lit("unknown category"))
     return loaded, rejected
 
 
@@ -126,7 +127,7 @@ def reload_catalog(t: Tables, feed: DataFrame, as_of=None) -> Tables:
     from souk.plans.numbering import number_rows
 
     loaded, _ = load_catalog_feed(feed, t.categories)
-    numbered = number_rows(loaded, "seq", "id", start=1, bounds_from=feed)
+    numbered = number_rows(loaded, "seq", "id", start=1)
     stamp = ts_literal(as_of or dt.datetime(2000, 1, 1))
     products = conform(numbered.withColumn("name", php_trim(F.col("name"))).withColumn("created_at", stamp),
                        "products")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.text import collapse_ws, php_trim, phone_valid, ts_literal
+from souk.functions.text import collapse_ws, php_int, php_trim, phone_valid, ts_literal
 from souk.plans.numbering import number_rows, running_sums
 from souk.sources.schema import ACCOUNT_STATUSES, ORDER_STATUSES, USER_ROLES
 from souk.sources.tables import Tables, conform
@@ -24,6 +24,7 @@ from souk.sources.tables import Tables, conform
 MSG_FIELDS = "Please fill in all product fields correctly."
 MSG_NO_CATEGORY = "Selected category does not exist."
 MSG_NOT_FOUND = "Product not found."
+MSG_ID_TAKEN = "Product id is already assigned."  # the bulk job's own: a database would assign the id
 MSG_STOCK = "Requested quantity is more than available stock."
 MSG_NO_CART_ITEM = "Cart item not found."
 MSG_ADDRESS = "Please enter your complete delivery address."
@@ -56,17 +57,16 @@ def upsert(base: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insert_ignore_categories(categories: DataFrame, feed: DataFrame) -> DataFrame:
-    """M2b. Add new category names; an existing name (case-insensitive) wins, blanks skipped.
+    """M2b. Add new category names (``seq``, ``name``): an existing name wins whatever its case, blanks are skipped.
 
-    New ids continue after the current maximum in name order.
+    Of spellings that differ in case the first to arrive is kept; new ids continue after the current maximum in
+    order of arrival.
     """
-    names = feed.select(php_trim(F.col("name")).alias("name")).filter(F.col("name") != "")
-    first = names.groupBy(F.lower("name").alias("k")).agg(F.min("name").alias("name"))
-    existing = categories.select(F.lower("name").alias("k"))
-    new = first.join(existing, "k", "left_anti")
+    names = feed.select("seq", php_trim(F.col("name")).alias("name")).filter(F.col("name") != "")
+    first = names.groupBy(F.lower("name").alias("k")).agg(F.min(F.struct("seq", "name")).alias("f"))
+    new = first.join(categories.select(F.lower("name").alias("k")), "k", "left_anti").select("f.seq", "f.name")
     start = categories.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    numbered = number_rows(new, ["name", "k"], "id", start=start)
-    return categories.unionByName(conform(numbered, "categories"))
+    return categories.unionByName(conform(number_rows(new, "seq", "id", start=start), "categories"))
 
 
 def mark_delivered(orders: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF) -> DataFrame:
@@ -110,46 +110,57 @@ def apply_order_status(orders: DataFrame, feed: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- products (M1)
 def apply_product_changes(t: Tables, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M1. Seller product add / update / delete with the seller page's checks.
+    """M1. Seller product add / update / delete requests, served one after the other (``seq``).
 
-    Each change is checked against the current table; among valid changes the
-    latest per product id wins. Deletes by a non-owner match nothing and are
-    ignored, as in the reference.
+    Each request sees the state that the ones before left: a product can be changed from the add that made it up to its
+    owner's first delete, after which nothing matches it. An add carries the id that it is assigned, so an id that is or
+    was in use is a mistake in the feed and rejected. Deletes that match nothing are ignored, as in the reference.
+
+    In columns: per product, the first valid add, then the owner's first delete after it, then the owner's last valid
+    update between the two; no request list of a product is ever held in one place.
     """
     f = feed.select("seq", "op", "product_id",
                     php_trim(F.col("name")).alias("name"), php_trim(F.col("description")).alias("description"),
-                    php_trim(F.col("image_url")).alias("image_url"), "price", "stock", "category_id",
-                    F.col("seller_id").alias("actor"))
-    cur = t.products.select(F.col("id").alias("product_id"), F.col("seller_id").alias("owner"),
-                            F.lit(True).alias("exists"))
+                    php_trim(F.col("image_url")).alias("image_url"), "price", php_int(F.col("stock")).alias("stock"),
+                    php_int(F.col("category_id")).cast("long").alias("category_id"), F.col("seller_id").alias("actor"))
     cats = t.categories.select(F.col("id").alias("category_id"), F.lit(True).alias("cat_ok"))
-    j = f.join(cur, "product_id", "left").join(cats, "category_id", "left")
     fields_bad = ((F.coalesce(F.col("name"), F.lit("")) == "") | (F.coalesce(F.col("description"), F.lit("")) == "")
                   | (F.coalesce(F.col("image_url"), F.lit("")) == "") | ~(F.coalesce(F.col("price") > 0, F.lit(False)))
-                  | ~(F.coalesce(F.col("stock") >= 0, F.lit(False)))
-                  | ~(F.coalesce(F.col("category_id") > 0, F.lit(False))))
-    owned = F.col("exists").isNotNull() & (F.col("owner") == F.col("actor"))
+                  | (F.col("stock") < 0) | (F.col("category_id") <= 0))
+    f = f.join(cats, "category_id", "left").withColumn(
+        "form_reason", F.when(fields_bad, F.lit(MSG_FIELDS)).when(F.col("cat_ok").isNull(), F.lit(MSG_NO_CATEGORY)))
+    valid = F.col("form_reason").isNull()
+    cur = t.products.select(F.col("id").alias("product_id"), F.col("seller_id").alias("base_owner"), F.lit(True).alias("in_base"))
+    adds = f.filter((F.col("op") == "add") & valid).groupBy("product_id").agg(F.min(F.struct("seq", "actor")).alias("add"))
+    life = adds.join(cur, "product_id", "full_outer").select(
+        "product_id", F.coalesce("in_base", F.lit(False)).alias("in_base"),
+        F.when(F.col("in_base"), F.col("base_owner")).otherwise(F.col("add.actor")).alias("owner"),
+        F.when(~F.coalesce("in_base", F.lit(False)), F.col("add.seq")).alias("add_seq"))
+    seen = f.join(life, "product_id", "left")
+    alive = F.col("in_base") | (F.col("seq") > F.col("add_seq"))
+    mine = F.coalesce(alive & (F.col("owner") == F.col("actor")), F.lit(False))
+    ends = seen.filter((F.col("op") == "delete") & mine).groupBy("product_id").agg(F.min("seq").alias("end_seq"))
+    seen = seen.join(ends, "product_id", "left")
+    matches = mine & (F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))
+    added = F.coalesce(F.col("seq") == F.col("add_seq"), F.lit(False))
     reason = (F.when(F.col("op") == "delete", F.lit(None))
-               .when((F.col("op") == "update") & ~owned, F.lit(MSG_NOT_FOUND))
-               .when(fields_bad, F.lit(MSG_FIELDS))
-               .when(F.col("cat_ok").isNull(), F.lit(MSG_NO_CATEGORY))
-               .when((F.col("op") == "add") & F.col("exists").isNotNull(), F.lit("Duplicate product id.")))
-    j = j.withColumn("reason", reason)
-    rejects = j.filter(F.col("reason").isNotNull()).select("seq", "op", "product_id", "reason")
-    valid = j.filter(F.col("reason").isNull() & ((F.col("op") != "delete") | owned))
-    last = last_per_key(valid.select("seq", "product_id", "op", "name", "description", "image_url", "price",
-                                     "stock", "category_id", "actor"), ["product_id"])
-    base = t.products.withColumnRenamed("id", "product_id")
-    joined = base.join(last.select("product_id", *[F.col(c).alias(f"n_{c}") for c in last.columns
-                                                   if c != "product_id"]), "product_id", "full_outer")
-    upd = F.col("n_op").isin("update", "add")
-    out = joined.filter(F.coalesce(F.col("n_op"), F.lit("")) != "delete").select(
+               .when((F.col("op") == "update") & ~matches, F.lit(MSG_NOT_FOUND))
+               .when(~valid, F.col("form_reason"))
+               .when((F.col("op") == "add") & ~added, F.lit(MSG_ID_TAKEN)))
+    seen = seen.withColumn("reason", reason)
+    rejects = seen.filter(F.col("reason").isNotNull()).select("seq", "op", "product_id", "reason")
+    wins = seen.filter(F.col("reason").isNull() & (F.col("op") != "delete"))
+    fields = ["name", "description", "image_url", "price", "stock", "category_id"]
+    last = last_per_key(wins.select("seq", "product_id", *[F.col(c).alias(f"n_{c}") for c in fields]), ["product_id"]).drop("seq")
+    dead = ends.select("product_id")
+    base = t.products.withColumnRenamed("id", "product_id").join(dead, "product_id", "left_anti")
+    kept = base.join(last.withColumn("hit", F.lit(True)), "product_id", "left").select(
         F.col("product_id").alias("id"),
-        *[F.when(upd, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
-          for c in ("name", "description", "image_url", "price", "stock", "category_id")],
-        F.when(F.col("n_op") == "add", F.col("n_actor")).otherwise(F.col("seller_id")).alias("seller_id"),
-        F.when(F.col("n_op") == "add", ts_literal(DEFAULT_AS_OF)).otherwise(F.col("created_at")).alias("created_at"))
-    return conform(out, "products"), rejects
+        *[F.when(F.col("hit"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in fields], "seller_id", "created_at")
+    new = life.filter(~F.col("in_base") & F.col("add_seq").isNotNull()).join(dead, "product_id", "left_anti").join(last, "product_id").select(
+        F.col("product_id").alias("id"), *[F.col(f"n_{c}").alias(c) for c in fields], F.col("owner").alias("seller_id"),
+        ts_literal(DEFAULT_AS_OF).alias("created_at"))
+    return conform(kept, "products").unionByName(conform(new, "products")), rejects
 
 
 # ----------------------------------------------------------------- cascades (M9)
@@ -205,15 +216,19 @@ def cascade_delete(t: Tables, table: str, ids: DataFrame) -> Tables:
             "delivery_address_id", F.when(F.col("__gone"), F.lit(None).cast("bigint"))
                                     .otherwise(F.col("delivery_address_id"))).drop("__gone")
         orders = conform(orders, "orders")
-    return t.with_(users=users, user_addresses=addresses, categories=categories, products=products,
+    extras = {}
+    if dead_products is not None and t.extras.get("rating_summary") is not None:
+        extras["rating_summary"] = drop(t.extras["rating_summary"], "product_id", dead_products)
+    return t.with_(extras=extras, users=users, user_addresses=addresses, categories=categories, products=products,
                    cart=cart, orders=orders, order_items=items, reviews=reviews, payments=payments,
                    invoices=invoices)
 
 
 def table_row_counts(t: Tables) -> DataFrame:
-    """Rows per table, as one DataFrame (used to report a cascade's effect)."""
+    """Rows per table, the stored rating summary included if there is one (used to report a cascade's effect)."""
+    tables = [*t.items(), *[(n, t.extras[n]) for n in ("rating_summary",) if t.extras.get(n) is not None]]
     parts = [df.agg(F.count(F.lit(1)).alias("rows_left")).select(F.lit(name).alias("table_name"), "rows_left")
-             for name, df in t.items()]
+             for name, df in tables]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -242,7 +257,7 @@ def upsert_addresses(t: Tables, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS
     updates = g.filter(F.col("saved_id").isNotNull()).select(
         F.col("saved_id").alias("id"), "phone", "city", "address")
     start = t.user_addresses.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    inserts = number_rows(g.filter(F.col("saved_id").isNull()), "seq", "id", start=start, bounds_from=feed).select(
+    inserts = number_rows(g.filter(F.col("saved_id").isNull()), "seq", "id", start=start).select(
         "id", "user_id", "phone", "city", "address", F.lit(True).alias("is_default"),
         ts_literal(as_of).alias("created_at"))
     base = t.user_addresses.join(updates.select("id", *[F.col(c).alias(f"n_{c}") for c in ("phone", "city",
@@ -325,7 +340,7 @@ def cart_events(t: Tables, feed: DataFrame) -> DataFrame:
     """
     prods = t.products.select(F.col("id").alias("product_id"), "stock")
     init = t.cart.select("user_id", "product_id", F.col("quantity").alias("init_qty"), F.col("id").alias("init_id"))
-    ev = feed.select("seq", "user_id", "product_id", "op", "quantity")
+    ev = feed.select("seq", "user_id", "product_id", "op", php_int(F.col("quantity")).alias("quantity"))
     ev = running_sums(ev, ["user_id", "product_id"], ["seq"],
                       {"seg": (F.col("op") == "remove").cast("long")}, inclusive=True)
     ev = ev.join(prods, "product_id", "left").join(init, ["user_id", "product_id"], "left")
@@ -345,8 +360,7 @@ def apply_cart_changes(t: Tables, feed: DataFrame) -> tuple[DataFrame, DataFrame
     kept = live.filter(F.col("created_seq").isNull()).select(
         F.col("init_id").alias("id"), "user_id", "product_id", F.col("qty_after").alias("quantity"))
     start = t.cart.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    fresh = number_rows(live.filter(F.col("created_seq").isNotNull()), "created_seq", "id", start=start,
-                        bounds_from=feed, bounds_col="seq").select(
+    fresh = number_rows(live.filter(F.col("created_seq").isNotNull()), "created_seq", "id", start=start).select(
         "id", "user_id", "product_id", F.col("qty_after").alias("quantity"))
     state = untouched.unionByName(conform(kept, "cart")).unionByName(conform(fresh, "cart"))
     rejects = ev.filter(~F.col("accepted")).select("seq", "user_id", "product_id", "op", "reason")

@@ -201,7 +201,7 @@ def checkout(t: Tables, requests: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF)
     accepted = decisions.filter(F.col("decision") == "accepted")
     next_id = lambda df: df.select(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
     start = next_id(t.orders)
-    numbered = written(number_rows(accepted.drop("first_seq", "status"), "seq", "order_id", start=start, bounds_from=requests),
+    numbered = written(number_rows(accepted.drop("first_seq", "status"), "seq", "order_id", start=start),
                        "checkout-orders")
     totals = with_totals(numbered.select("seq", "order_id", "subtotal"))
     decisions = (decisions.join(totals.select("seq", "order_id", "tax_amount", "total_amount"), "seq", "left")

@@ -78,15 +78,16 @@ UNIQUE_KEYS = (
 
 
 def check_unique(t: Tables) -> DataFrame:
-    """D3. Keys that occur more than once (case-insensitive for email and category name)."""
+    """D3. Keys that occur more than once (case-insensitive for email and category name); a key with a NULL never does."""
     tables = dict(t.items())
     parts = []
     for table, keys in UNIQUE_KEYS:
-        exprs = [F.expr(k).cast("string") for k in keys]
-        key_text = F.concat_ws("|", *exprs).alias("key_value")
-        g = tables[table].groupBy(key_text).agg(F.count(F.lit(1)).alias("occurrences")).filter("occurrences > 1")
-        parts.append(g.select(F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-                              "key_value", "occurrences"))
+        typed = [F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)]
+        names = [f"k{i}" for i in range(len(keys))]
+        g = tables[table].select(*typed).dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("occurrences"))
+        parts.append(g.filter("occurrences > 1").select(
+            F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
+            F.concat_ws("|", *[F.col(n).cast("string") for n in names]).alias("key_value"), "occurrences"))
     return _union(parts)
 
 

@@ -40,7 +40,7 @@ def order_totals(t: Tables, fee: Decimal = DELIVERY_FEE, rate: Decimal = TAX_RAT
 def sales_summary(t: Tables) -> DataFrame:
     """A3. Store-wide non-cancelled order count, revenue and average order value; 0 on empty input."""
     live = live_orders(t.orders).select(F.col("id").alias("order_id"))
-    tot = order_totals(t).join(live, "order_id")
+    tot = with_totals(order_subtotals(t.order_items).join(live, "order_id"))
     agg = tot.agg(F.count(F.lit(1)).alias("total_orders"), money(F.sum("total_amount")).alias("revenue_sum"))
     return agg.select(
         "total_orders",
@@ -52,7 +52,7 @@ def daily_sales(t: Tables) -> DataFrame:
     """A4. Per calendar day (session time zone) of non-cancelled orders that have lines."""
     live = live_orders(t.orders).select(F.col("id").alias("order_id"),
                                         F.to_date("created_at").alias("order_date"))
-    tot = order_totals(t).join(live, "order_id")
+    tot = with_totals(order_subtotals(t.order_items).join(live, "order_id"))
     return tot.groupBy("order_date").agg(
         F.count(F.lit(1)).alias("total_orders"),
         money(F.sum("subtotal")).alias("subtotal"),

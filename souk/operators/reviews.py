@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.text import php_trim, ts_literal
+from souk.operators.changes import mark_delivered
 from souk.plans.numbering import number_rows
 from souk.sources.tables import Tables, conform
 
@@ -49,30 +50,35 @@ def user_reviews(t: Tables, user_id: int | None = None) -> DataFrame:
             .orderBy("user_id", F.desc("created_at"), "id")
 
 
-def apply_reviews(t: Tables, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF) -> tuple[DataFrame, DataFrame]:
+def apply_reviews(t: Tables, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS_OF,
+                  deliver_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """M4. Apply review submissions in ``seq`` order; return (reviews, rejects).
 
     A submission is accepted when the user has a delivered order of the
     product, has no review of it yet, and no earlier accepted submission in
     the feed covers the same pair. Ratings are clamped to 1..5 and comments
-    trimmed. New ids continue after the current maximum, in feed order.
+    trimmed. New ids continue after the current maximum, in feed order. With
+    ``deliver_first`` orders due at ``as_of`` are marked delivered before the check,
+    as the page does.
     """
     sub = feed.select("seq", "user_id", "product_id",
                       F.greatest(F.lit(1), F.least(F.lit(5), F.col("rating"))).cast("int").alias("rating"),
                       php_trim(F.col("comment")).alias("comment"))
-    elig = delivered_pairs(t).withColumn("delivered", F.lit(True))
-    have = t.reviews.select("user_id", "product_id").distinct().withColumn("reviewed", F.lit(True))
-    flagged = (sub.join(elig, ["user_id", "product_id"], "left")
-                  .join(have, ["user_id", "product_id"], "left"))
-    candidates = flagged.filter(F.col("delivered").isNotNull() & F.col("reviewed").isNull())
-    first = candidates.groupBy("user_id", "product_id").agg(F.min("seq").alias("first_seq"))
-    decided = flagged.join(first, ["user_id", "product_id"], "left").withColumn(
+    if deliver_first:
+        t = t.with_(orders=mark_delivered(t.orders, as_of))
+    # One table of facts per pair: its first submission, whether it was delivered, whether it has a review.
+    no = F.lit(False)
+    facts = (sub.select("user_id", "product_id", "seq", no.alias("d"), no.alias("r"))
+             .unionByName(delivered_pairs(t).select("user_id", "product_id", F.lit(None).cast("bigint").alias("seq"), F.lit(True).alias("d"), no.alias("r")))
+             .unionByName(t.reviews.select("user_id", "product_id", F.lit(None).cast("bigint").alias("seq"), no.alias("d"), F.lit(True).alias("r"))))
+    facts = facts.groupBy("user_id", "product_id").agg(F.min("seq").alias("first_seq"), F.max("d").alias("delivered"), F.max("r").alias("reviewed"))
+    decided = sub.join(facts, ["user_id", "product_id"]).withColumn(
         "reason",
-        F.when(F.col("delivered").isNull(), F.lit(NOT_DELIVERED))
-         .when(F.col("reviewed").isNotNull() | (F.col("seq") != F.col("first_seq")), F.lit(ALREADY_REVIEWED)))
+        F.when(~F.col("delivered"), F.lit(NOT_DELIVERED))
+         .when(F.col("reviewed") | (F.col("seq") != F.col("first_seq")), F.lit(ALREADY_REVIEWED)))
     accepted = decided.filter(F.col("reason").isNull())
     start = t.reviews.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
-    new_rows = number_rows(accepted, "seq", "id", start=start, bounds_from=feed).select(
+    new_rows = number_rows(accepted, "seq", "id", start=start).select(
         "id", "user_id", "product_id", "rating", "comment", ts_literal(as_of).alias("created_at"))
     state = t.reviews.unionByName(conform(new_rows, "reviews"))
     rejects = decided.filter(F.col("reason").isNotNull()).select("seq", "user_id", "product_id", "reason")

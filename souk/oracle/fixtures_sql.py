@@ -187,43 +187,44 @@ def with_ctes(query: str) -> str:
 # ---------------------------------------------------------------- change feeds
 CTES["f_catalog"] = """
 SELECT id AS seq, name, description, image_url, price, stock,
-       CASE WHEN id % 15 = 0 THEN 'NO_SUCH' ELSE category_name END AS category_name, seller_id
-FROM m_product_cols WHERE id % 5 = 0"""
+       CASE WHEN id % 15 = 0 THEN 'NO_SUCH' WHEN id % 4 = 0 THEN lower(category_name)
+            WHEN id % 4 = 1 THEN upper(category_name) ELSE category_name END AS category_name, seller_id
+FROM m_product_cols"""
 
 CTES["f_products"] = """
-SELECT id AS seq,
-       CASE id % 10 WHEN 0 THEN 'delete' WHEN 1 THEN 'update' ELSE 'add' END AS op,
+SELECT id * 4 + nth AS seq,
+       CASE WHEN nth = 2 THEN 'delete' WHEN nth > 0 THEN 'update'
+            ELSE CASE id % 10 WHEN 0 THEN 'delete' WHEN 2 THEN 'add' ELSE 'update' END END AS op,
        CASE WHEN id % 10 = 2 THEN id + (SELECT count(*) FROM part) ELSE id END AS product_id,
        name, description, image_url,
-       CAST(CASE WHEN id % 10 = 1 THEN (CASE WHEN id % 40 = 1 THEN 0 ELSE round(price * 1.1, 2) END)
-                 ELSE price END AS DECIMAL(10,2)) AS price,
-       stock,
+       CAST(CASE WHEN id % 40 = 1 THEN 0 ELSE price + nth END AS DECIMAL(10,2)) AS price,
+       CASE WHEN id % 7 <> 0 AND id % 7 <> 1 AND id % 70 = 2 THEN 0 ELSE stock END AS stock,  -- what an (int) cast reads
        CASE WHEN id % 10 = 2 AND id % 50 = 2 THEN CAST(999999 AS BIGINT) ELSE category_id END AS category_id,
        CASE WHEN id % 30 = 11 THEN seller_id + 1 ELSE seller_id END AS seller_id
-FROM m_products WHERE id % 10 < 3"""
+FROM m_products, range(4) r(nth)
+WHERE nth = 0 OR (nth = 1 AND id % 3 = 0) OR (nth = 2 AND id % 5 = 0) OR (nth = 3 AND id % 15 = 0)"""
 
 CTES["f_categories"] = """
-SELECT DISTINCT p_brand AS name FROM part
-UNION ALL SELECT p_type FROM part
-UNION ALL SELECT '  '"""
+SELECT p_partkey * 3 AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name FROM part
+UNION ALL SELECT p_partkey * 3 + 1, p_type FROM part
+UNION ALL SELECT p_partkey * 3 + 2, '  ' FROM part WHERE p_partkey % 100 = 0"""
 
 CTES["f_users"] = """
 SELECT c_custkey AS seq, c_custkey AS user_id,
        ['seller', 'customer', 'owner'][c_custkey % 3 + 1] AS role,
        ['active', 'suspended', 'pending', 'gone'][c_custkey % 4 + 1] AS account_status
-FROM customer WHERE c_custkey % 7 = 0"""
+FROM customer"""
 
 CTES["f_order_status"] = """
 SELECT id AS seq, id AS order_id,
        ['cancelled', 'delivered', 'shipped', 'completed', 'pending'][id % 5 + 1] AS status
-FROM m_orders WHERE id % 6 = 0"""
+FROM m_orders"""
 
 CTES["f_reviews"] = """
 SELECT i.order_id * 1000000 + i.product_id AS seq, o.user_id, i.product_id,
        CAST((i.order_id + i.product_id) % 9 - 1 AS INTEGER) AS rating,
        '  Liked item ' || CAST(i.product_id AS VARCHAR) || chr(9) AS comment
-FROM m_items i JOIN m_orders o ON o.id = i.order_id
-WHERE (i.order_id * 17 + i.product_id) % 5 = 0"""
+FROM m_items i JOIN m_orders o ON o.id = i.order_id"""
 
 CTES["f_review_changes"] = """
 SELECT created_at AS changed_at, 'INSERT' AS op, id AS review_id, product_id, rating, 1 AS sign FROM m_reviews
@@ -272,7 +273,9 @@ FROM m_orders WHERE status IN ('delivered', 'cancelled')"""
 CTES["f_contacts"] = f"""
 SELECT c_custkey AS user_id, {_phone('c_custkey')} AS phone,
        CAST(4000000000000000 + c_custkey * 7 AS VARCHAR) AS card_number,
-       CASE WHEN c_custkey % 11 = 0 THEN replace({_email('c_name')}, '@', '') ELSE {_email('c_name')} END AS email,
+       CASE c_custkey % 11 WHEN 0 THEN replace({_email('c_name')}, '@', '') WHEN 1 THEN replace({_email('c_name')}, '@', '..b@')
+            WHEN 2 THEN '.' || {_email('c_name')} WHEN 3 THEN replace({_email('c_name')}, '@', '.@')
+            WHEN 4 THEN repeat('a', 65) || '@example.com' ELSE {_email('c_name')} END AS email,
        c_custkey AS seq
 FROM customer"""
 

@@ -142,6 +142,9 @@ FROM m_products WHERE {KNOWN} AND {{where}}"""
 
 SQL["catalog_search"] = _SEARCH.format(where="contains(lower(name), 'red')")
 
+SQL["catalog_search_category"] = _SEARCH.format(where="category_id = 1")
+SQL["catalog_search_both"] = _SEARCH.format(where="contains(lower(name), 'red') AND category_id = 1")
+
 SQL["seller_catalog"] = f"""
 SELECT id, name, description, image_url, price, stock, category_id, {CATEGORY} AS category_name, seller_id, created_at,
        {STARS} AS avg_rating
@@ -159,16 +162,16 @@ FROM ({_SEARCH.format(where="TRUE")})"""
 SQL["catalog_feed_load"] = """
 SELECT f.category_name, f.seq, f.name, f.description, f.image_url, f.price, f.stock, f.seller_id,
        c.id AS category_id
-FROM f_catalog f JOIN m_categories c ON c.name = f.category_name"""
+FROM f_catalog f JOIN m_categories c ON c.name ILIKE f.category_name"""
 
 SQL["catalog_feed_rejects"] = """
 SELECT f.*, 'unknown category' AS reason FROM f_catalog f
-WHERE NOT EXISTS (SELECT 1 FROM m_categories c WHERE c.name = f.category_name)"""
+WHERE upper(f.category_name) NOT IN (SELECT upper(name) FROM m_categories)"""
 
 SQL["catalog_reload"] = f"""
 SELECT row_number() OVER (ORDER BY f.seq) AS id, {ptrim('f.name')} AS name, f.description, f.image_url, f.price,
        f.stock, c.id AS category_id, f.seller_id, {T0} AS created_at
-FROM f_catalog f JOIN m_categories c ON c.name = f.category_name"""
+FROM f_catalog f JOIN m_categories c ON upper(c.name) = upper(f.category_name)"""
 
 # ---------------------------------------------------------------- listings
 SQL["user_listing"] = "SELECT id, name, email, role, account_status, created_at FROM m_users"
@@ -255,6 +258,9 @@ SELECT (SELECT max(id) FROM m_reviews) + row_number() OVER (ORDER BY seq), user_
        {T0}
 FROM acc"""
 
+SQL["review_submissions_after_delivery"] = SQL["review_submissions"].replace(
+    "o.status = 'delivered'", f"(o.status = 'delivered' OR o.status IN ('pending', 'completed') AND o.created_at < {T0})")
+
 SQL["review_rejects"] = _REVIEW_CTES + f"""
 SELECT seq, user_id, product_id,
        CASE WHEN NOT delivered THEN '{reviews.NOT_DELIVERED}'
@@ -262,52 +268,55 @@ SELECT seq, user_id, product_id,
 FROM sub WHERE seq NOT IN (SELECT seq FROM acc)"""
 
 # ---------------------------------------------------------------- change jobs
+# One request per step and product: the state is (exists, ever existed, owner, current fields).
 _PRODUCT_CTES = f"""
-WITH f AS (
+WITH RECURSIVE f AS (
   SELECT seq, op, product_id, {ptrim('name')} AS name, {ptrim('description')} AS description,
-         {ptrim('image_url')} AS image_url, price, stock, category_id, seller_id AS actor
+         {ptrim('image_url')} AS image_url, price, stock, category_id, seller_id AS actor,
+         row_number() OVER (PARTITION BY product_id ORDER BY seq) AS rn
   FROM f_products),
-j AS (
-  SELECT f.*, p.id IS NOT NULL AS ex, p.seller_id AS owner, c.id IS NOT NULL AS cat_ok
-  FROM f LEFT JOIN m_products p ON p.id = f.product_id LEFT JOIN m_categories c ON c.id = f.category_id),
-d AS (
-  SELECT *, CASE
-      WHEN op = 'delete' THEN NULL
-      WHEN op = 'update' AND NOT (ex AND owner = actor) THEN '{changes.MSG_NOT_FOUND}'
-      WHEN coalesce(name, '') = '' OR coalesce(description, '') = '' OR coalesce(image_url, '') = ''
-           OR NOT coalesce(price > 0, false) OR NOT coalesce(stock >= 0, false)
-           OR NOT coalesce(category_id > 0, false) THEN '{changes.MSG_FIELDS}'
-      WHEN NOT cat_ok THEN '{changes.MSG_NO_CATEGORY}'
-      WHEN op = 'add' AND ex THEN 'Duplicate product id.' END AS reason
-  FROM j),
-v AS (SELECT * FROM d WHERE reason IS NULL AND (op <> 'delete' OR (ex AND owner = actor))),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seq DESC) AS rn FROM v)
-      WHERE rn = 1)"""
+chk AS (
+  SELECT *, CASE WHEN least(length(name), length(description), length(image_url)) = 0 OR price <= 0 OR stock < 0
+                      OR category_id <= 0 THEN '{changes.MSG_FIELDS}'
+                 WHEN category_id NOT IN (SELECT id FROM m_categories) THEN '{changes.MSG_NO_CATEGORY}' END AS bad
+  FROM f),
+st AS (
+  SELECT DISTINCT f.product_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS op,
+         p.id IS NOT NULL AS here, p.id IS NOT NULL AS ever, p.seller_id AS owner, CAST(NULL AS VARCHAR) AS reason,
+         CAST(NULL AS BIGINT) AS won, FALSE AS fresh
+  FROM f LEFT JOIN m_products p ON p.id = f.product_id
+  UNION ALL
+  SELECT st.product_id, c.rn, c.seq, c.op,
+         CASE c.op WHEN 'add' THEN st.here OR (c.bad IS NULL AND NOT st.ever)
+                   WHEN 'delete' THEN st.here AND st.owner <> c.actor ELSE st.here END,
+         st.ever OR (c.op = 'add' AND c.bad IS NULL),
+         CASE WHEN c.op = 'add' AND c.bad IS NULL AND NOT st.ever THEN c.actor ELSE st.owner END,
+         CASE WHEN c.op = 'update' AND NOT (st.here AND st.owner = c.actor) THEN '{changes.MSG_NOT_FOUND}'
+              WHEN c.op <> 'delete' AND c.bad IS NOT NULL THEN c.bad
+              WHEN c.op = 'add' AND st.ever THEN '{changes.MSG_ID_TAKEN}' END,
+         CASE WHEN c.bad IS NULL AND ((c.op = 'add' AND NOT st.ever) OR (c.op = 'update' AND st.here AND st.owner = c.actor))
+              THEN c.seq ELSE st.won END,
+         st.fresh OR (c.op = 'add' AND c.bad IS NULL AND NOT st.ever)
+  FROM st JOIN chk c ON c.product_id = st.product_id AND c.rn = st.rn + 1),
+fin AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY rn DESC) = 1)"""
 
 SQL["product_changes"] = _PRODUCT_CTES + f"""
-SELECT p.id,
-       CASE WHEN l.op = 'update' THEN l.name ELSE p.name END AS name,
-       CASE WHEN l.op = 'update' THEN l.description ELSE p.description END AS description,
-       CASE WHEN l.op = 'update' THEN l.image_url ELSE p.image_url END AS image_url,
-       CASE WHEN l.op = 'update' THEN l.price ELSE p.price END AS price,
-       CASE WHEN l.op = 'update' THEN l.stock ELSE p.stock END AS stock,
-       CASE WHEN l.op = 'update' THEN l.category_id ELSE p.category_id END AS category_id,
-       p.seller_id, p.created_at
-FROM m_products p LEFT JOIN l ON l.product_id = p.id
-WHERE l.op IS NULL OR l.op <> 'delete'
+SELECT id, name, description, image_url, price, stock, category_id, seller_id, created_at
+FROM m_products WHERE id NOT IN (SELECT product_id FROM fin WHERE NOT here OR won IS NOT NULL)
 UNION ALL
-SELECT product_id, name, description, image_url, price, stock, category_id, actor, {T0}
-FROM l WHERE op = 'add'"""
+SELECT fin.product_id, c.name, c.description, c.image_url, c.price, c.stock, c.category_id, fin.owner,
+       CASE WHEN fin.fresh THEN {T0} ELSE (SELECT created_at FROM m_products WHERE id = fin.product_id) END
+FROM fin JOIN chk c ON c.seq = fin.won WHERE fin.here"""
 
-SQL["product_change_rejects"] = _PRODUCT_CTES + "\nSELECT seq, op, product_id, reason FROM d WHERE reason IS NOT NULL"
+SQL["product_change_rejects"] = _PRODUCT_CTES + "\nSELECT seq, op, product_id, reason FROM st WHERE reason IS NOT NULL"
 
 SQL["category_insert_ignore"] = f"""
-WITH n AS (SELECT {ptrim('name')} AS name FROM f_categories),
-f AS (SELECT lower(name) AS k, min(name) AS name FROM n WHERE name <> '' GROUP BY lower(name)),
-nw AS (SELECT * FROM f WHERE k NOT IN (SELECT lower(name) FROM m_categories))
+WITH n AS (SELECT seq, {ptrim('name')} AS name FROM f_categories),
+f AS (SELECT min(seq) AS seq, arg_min(name, seq) AS name FROM n WHERE name <> '' GROUP BY lower(name)),
+nw AS (SELECT * FROM f WHERE lower(name) NOT IN (SELECT lower(name) FROM m_categories))
 SELECT id, name FROM m_categories
 UNION ALL
-SELECT (SELECT max(id) FROM m_categories) + row_number() OVER (ORDER BY name, k), name FROM nw"""
+SELECT (SELECT max(id) FROM m_categories) + row_number() OVER (ORDER BY seq), name FROM nw"""
 
 SQL["mark_delivered"] = f"""
 SELECT id, user_id, delivery_address_id,
@@ -416,22 +425,48 @@ FROM g WHERE saved_id IS NULL"""
 
 SQL["address_rejects"] = _ADDRESS_CTES + "\nSELECT seq, user_id, reason FROM r WHERE reason IS NOT NULL"
 
-SQL["rating_summary_upsert"] = "SELECT * FROM v_rating_summary"
-
-SQL["cascade_delete_category"] = """
-WITH v AS (SELECT min(category_id) AS id FROM m_products),
-dp AS (SELECT id FROM m_products WHERE category_id IN (SELECT id FROM v))
-SELECT 'users' AS table_name, count(*) AS rows_left FROM m_users
-UNION ALL SELECT 'user_addresses', count(*) FROM m_addresses
-UNION ALL SELECT 'categories', count(*) FROM m_categories WHERE id NOT IN (SELECT id FROM v)
-UNION ALL SELECT 'products', count(*) FROM m_products WHERE id NOT IN (SELECT id FROM dp)
-UNION ALL SELECT 'cart', count(*) FROM m_cart WHERE product_id NOT IN (SELECT id FROM dp)
-UNION ALL SELECT 'orders', count(*) FROM m_orders
-UNION ALL SELECT 'order_items', count(*) FROM m_items WHERE product_id NOT IN (SELECT id FROM dp)
-UNION ALL SELECT 'reviews', count(*) FROM m_reviews WHERE product_id NOT IN (SELECT id FROM dp)
-UNION ALL SELECT 'payments', count(*) FROM m_payments
-UNION ALL SELECT 'invoices', count(*) FROM m_invoices"""
-
+SQL["rating_summary_upsert"] = """
+SELECT product_id,
+       CASE WHEN product_id % 3 = 0 OR product_id IN (SELECT product_id FROM m_reviews WHERE created_at >= TIMESTAMP '1997-01-01')
+            THEN review_count ELSE review_count + 1000 END AS review_count,
+       average_rating
+FROM v_rating_summary"""
+
+_TABLES = {"users": "m_users", "user_addresses": "m_addresses", "categories": "m_categories", "products": "m_products",
+           "cart": "m_cart", "orders": "m_orders", "order_items": "m_items", "reviews": "m_reviews", "payments": "m_payments",
+           "invoices": "m_invoices", "rating_summary": "v_rating_summary"}
+
+
+def _cascade(victim: str, gone: dict[str, str]) -> str:
+    """Rows left per table; ``gone`` holds the condition on a row of each table that the delete reaches (v.id: the victim)."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS rows_left FROM {src} t"
+        + (f" WHERE ({gone[t]}) IS NOT TRUE" if t in gone else "") for t, src in _TABLES.items())
+    return f"WITH v AS ({victim})\n{rows}"
+
+
+def _of_products(which: str) -> dict[str, str]:
+    """Conditions on the tables below products, for the products that ``which`` selects."""
+    child = f"t.product_id IN (SELECT id FROM m_products WHERE {which})"
+    return {"products": f"t.id IN (SELECT id FROM m_products WHERE {which})", **{c: child for c in ("cart", "order_items", "reviews", "rating_summary")}}
+
+
+_V = "(SELECT id FROM v)"
+_OWN_ORDERS = f"(SELECT id FROM m_orders WHERE user_id = {_V})"
+_OF_USER = _of_products(f"seller_id = {_V}")
+_USER_GONE = {
+    **_OF_USER, "users": f"t.id = {_V}", "user_addresses": f"t.user_id = {_V}", "orders": f"t.user_id = {_V}",
+    "cart": f"{_OF_USER['cart']} OR t.user_id = {_V}", "reviews": f"{_OF_USER['reviews']} OR t.user_id = {_V}",
+    "order_items": f"{_OF_USER['order_items']} OR t.order_id IN {_OWN_ORDERS}",
+    "payments": f"t.order_id IN {_OWN_ORDERS}", "invoices": f"t.order_id IN {_OWN_ORDERS}"}
+SQL["cascade_delete_category"] = _cascade("SELECT min(category_id) AS id FROM m_products",
+                                          {"categories": f"t.id = {_V}", **_of_products(f"category_id = {_V}")})
+SQL["cascade_delete_user"] = _cascade("SELECT min(seller_id) AS id FROM m_products", _USER_GONE)
+SQL["cascade_delete_customer"] = _cascade("SELECT min(user_id) AS id FROM m_reviews", _USER_GONE)
+SQL["cascade_delete_product"] = _cascade("SELECT min(product_id) AS id FROM m_items", _of_products(f"id = {_V}"))
+SQL["cascade_delete_order"] = _cascade("SELECT min(order_id) AS id FROM m_invoices", {
+    "orders": f"t.id = {_V}", **{c: f"t.order_id = {_V}" for c in ("order_items", "payments", "invoices")}})
+SQL["cascade_delete_review"] = _cascade("SELECT min(id) AS id FROM m_reviews", {"reviews": f"t.id = {_V}"})
 
 
 # ---------------------------------------------------------------- data quality
@@ -461,13 +496,18 @@ UNION ALL SELECT 'payments', 'payment_status allowed', id FROM m_payments
 UNION ALL SELECT 'products', 'name not null', id FROM m_products WHERE name IS NULL
 UNION ALL SELECT 'products', 'price not null', id FROM m_products WHERE price IS NULL"""
 
-_EMAIL_RE = ("^[A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-             "(?:\\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+$")
+_LOCAL, _HOST = "split_part(email, '@', 1)", "split_part(email, '@', 2)"
+_LABELS = f"string_split({_HOST}, '.')"
+_EMAIL_OK = f"""len(string_split(email, '@')) = 2 AND length(email) <= 100 AND length({_LOCAL}) BETWEEN 1 AND 64
+            AND NOT list_contains(string_split({_LOCAL}, '.'), '') AND len({_LABELS}) > 1
+            AND len(list_filter({_LABELS}, lambda x: length(x) NOT BETWEEN 1 AND 63 OR x LIKE '-%' OR x LIKE '%-'
+                                OR translate(lower(x), 'abcdefghijklmnopqrstuvwxyz0123456789-', '') <> '')) = 0
+            AND translate(lower({_LOCAL}), 'abcdefghijklmnopqrstuvwxyz0123456789.!#$%&''*+/=?^_`{{|}}~-', '') = ''"""
 _CARD = "regexp_replace(card_number, '\\D+', '', 'g')"
 
 SQL["dq_contacts"] = f"""
 SELECT user_id,
-       coalesce(regexp_matches(email, '{_EMAIL_RE}') AND length(email) <= 100, false) AS email_ok,
+       coalesce({_EMAIL_OK}, false) AS email_ok,
        coalesce(length(regexp_replace(phone, '\\D+', '', 'g')) BETWEEN 10 AND 15, false) AS phone_ok,
        coalesce(length({_CARD}) BETWEEN 13 AND 19 AND
                 list_sum(list_transform(string_split(reverse({_CARD}), ''), lambda x, i:

@@ -18,7 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
+from souk.session import written
+
+#: Buckets of a keyed running sum at most: every row compares its key with each bucket's bound.
+MAX_BUCKETS = 512
+
+
+def default_buckets(spark) -> int:
+    """As many buckets as the session has shuffle partitions, between 8 and ``MAX_BUCKETS``: a hot key uses the whole cluster."""
+    return min(MAX_BUCKETS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _numeric_key(df: DataFrame, col: str) -> Column | None:
@@ -33,36 +41,42 @@ def _numeric_key(df: DataFrame, col: str) -> Column | None:
     return None
 
 
-def order_bucket(df: DataFrame, order_col: str, buckets: int = DEFAULT_BUCKETS,
-                 rel_error: float = 0.001, bounds_from: DataFrame | None = None,
-                 bounds_col: str | None = None) -> Column | None:
-    """Monotone bucket number of ``order_col`` from approximate quantiles.
-
-    Runs one small aggregation job (the quantile sketch); the bounds that
-    reach the driver are ``buckets - 1`` numbers. Equal keys share a bucket.
-    Any monotone bucketing gives correct running sums; quantiles only balance
-    the work. So the sketch may be taken from a cheaper DataFrame with the
-    same key domain (``bounds_from``, e.g. the raw change feed instead of the
-    joined result), which avoids computing an expensive input twice.
-    Returns None when the column has no numeric order (text keys): callers
-    then use one ordered pass, which they do only for small sets such as
-    new category names.
+def order_bucket(df: DataFrame, order_cols: str | list[str], buckets: int | None = None,
+                 rel_error: float = 0.001) -> Column | None:
+    """Monotone bucket number of the order key, from approximate quantiles (one numeric column) or a sample (any other key).
+
+    The key may be a tuple of columns of any orderable types: a constant first column or a text key spreads as well.
+    The bounds that reach the driver are ``buckets - 1`` keys. Any monotone bucketing gives correct running sums; the
+    bounds only balance the work. Returns None when there is nothing to cut (an empty table, one bucket).
     """
-    key = _numeric_key(df, order_col)
-    src = bounds_from if bounds_from is not None else df
-    src_key = _numeric_key(src, bounds_col or order_col)
-    if buckets <= 1 or key is None or src_key is None:
+    cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    buckets = buckets or default_buckets(df.sparkSession)
+    if buckets <= 1:
+        return None
+    key = _numeric_key(df, cols[0]) if len(cols) == 1 else None
+    if key is not None:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = sorted(set(df.select(key.alias("k")).approxQuantile("k", probs, rel_error)))
+        if not bounds:
+            return None
+        arr = F.array(*[F.lit(float(b)) for b in bounds])
+        return F.size(F.filter(arr, lambda b: b <= key))
+    rows = df.count()
+    if rows == 0:
         return None
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(src.select(src_key.alias("k")).approxQuantile("k", probs, rel_error)))
-    if not bounds:
+    keys = df.select(*cols).sample(min(1.0, 20 * buckets / rows), seed=11)
+    ranked = keys.orderBy(*cols).limit(40 * buckets).collect()
+    picked = ranked[len(ranked) // buckets::max(1, len(ranked) // buckets)][:buckets - 1]
+    if not picked:
         return None
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= key))
+    kinds = [df.schema[c].dataType for c in cols]
+    row = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    bounds = [F.struct(*[F.lit(v).cast(k).alias(f"_{i}") for i, (v, k) in enumerate(zip(r, kinds))]) for r in picked]
+    return F.size(F.filter(F.array(*bounds), lambda b: b <= row))
 
 
 def running_sums(df: DataFrame, keys: list[str], order_cols: list[str], values: dict[str, Column],
-                 inclusive: bool = False, buckets: int = DEFAULT_BUCKETS,
+                 inclusive: bool = False, buckets: int | None = None,
                  bucket: Column | None = None) -> DataFrame:
     """Add one running-sum column per ``values`` entry, per ``keys``, in ``order_cols`` order.
 
@@ -70,8 +84,8 @@ def running_sums(df: DataFrame, keys: list[str], order_cols: list[str], values:
     includes the current row. Null values count as 0.
     """
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    if bucket is None and buckets > 1:
-        bucket = order_bucket(df, order_cols[0], buckets)
+    if bucket is None and buckets != 1:
+        bucket = order_bucket(df, order_cols, buckets)
     if bucket is None:
         w = (Window.partitionBy(*keys) if keys else Window).orderBy(*order_cols).rowsBetween(*frame)
         for name, v in values.items():
@@ -100,23 +114,27 @@ def running_sums(df: DataFrame, keys: list[str], order_cols: list[str], values:
     return out.drop(*drop)
 
 
-def number_rows(df: DataFrame, order_col: str | list[str], out_col: str, start: int | Column = 1,
-                buckets: int = DEFAULT_BUCKETS, bounds_from: DataFrame | None = None,
-                bounds_col: str | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order_col: str | list[str], out_col: str, start: int | Column = 1) -> DataFrame:
     """Consecutive numbers ``start, start+1, ...`` in a total order, computed in parallel.
 
-    ``bounds_from`` / ``bounds_col``: where to sketch the bucket bounds (see ``order_bucket``).
+    The rows are range-partitioned on the whole key (any orderable types) and written with their range's number; ranges
+    are counted, and each row's number is its place in its range plus the rows of the ranges before. There are as
+    many ranges as shuffle partitions. ``out_col`` is null nowhere; equal keys are numbered in any order.
     """
     order_cols = [order_col] if isinstance(order_col, str) else list(order_col)
-    bucket = order_bucket(df, order_cols[0], buckets, bounds_from=bounds_from, bounds_col=bounds_col)
-    numbered = running_sums(df, [], order_cols, {"__rn": F.lit(1)}, inclusive=True, buckets=buckets,
-                            bucket=bucket)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order_cols).withColumn("__range", F.spark_partition_id())
+    dealt = written(dealt, "number-rows")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = dealt.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order_cols))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    return numbered.withColumn(out_col, (F.col("__rn") - 1 + start_col).cast("bigint")).drop("__rn")
+    return dealt.withColumn("__rn", inside).join(F.broadcast(offsets), "__range") \
+        .withColumn(out_col, (F.col("__rn") + F.col("__off") - 1 + start_col).cast("bigint")).drop("__range", "__rn", "__off")
 
 
 def previous_values(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
-                    buckets: int = DEFAULT_BUCKETS, bucket: Column | None = None,
+                    buckets: int | None = None, bucket: Column | None = None,
                     prefix: str = "prev_") -> DataFrame:
     """``lag(value)`` per key in ``order_cols`` order, without one task per key.
 
@@ -126,7 +144,7 @@ def previous_values(df: DataFrame, keys: list[str], order_cols: list[str], value
     key).
     """
     if bucket is None:
-        bucket = order_bucket(df, order_cols[0], buckets)
+        bucket = order_bucket(df, order_cols, buckets)
     if bucket is None:
         w1 = Window.partitionBy(*keys).orderBy(*order_cols)
         return df.select("*", *[F.lag(v).over(w1).alias(f"{prefix}{v}") for v in value_cols])

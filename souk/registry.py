@@ -47,6 +47,8 @@ _on_tables("cart_totals", reports.cart_totals)
 _on_tables("product_catalog", catalog.product_catalog)
 _on_tables("product_catalog_full", catalog.product_catalog_full)
 _on_tables("catalog_search", lambda t: catalog.catalog_search(t, search="Red"))
+_on_tables("catalog_search_category", lambda t: catalog.catalog_search(t, category_id=1))
+_on_tables("catalog_search_both", lambda t: catalog.catalog_search(t, search="Red", category_id=1))
 _on_tables("seller_catalog", catalog.seller_catalog)
 _on_tables("catalog_card", lambda t: catalog.catalog_card(catalog.catalog_search(t)))
 _on_fixture("catalog_feed_load",
@@ -73,6 +75,8 @@ _on_fixture("review_eligibility",
             lambda fx: reviews.review_eligibility(feeds.review_feed(fx), fx.tables())
             .select("seq", "user_id", "product_id"))
 _on_fixture("review_submissions", lambda fx: reviews.apply_reviews(fx.tables(), feeds.review_feed(fx))[0])
+_on_fixture("review_submissions_after_delivery", lambda fx: reviews.apply_reviews(
+    fx.tables(), feeds.review_feed(fx), deliver_first=True)[0])
 _on_fixture("review_rejects", lambda fx: reviews.apply_reviews(fx.tables(), feeds.review_feed(fx))[1])
 
 # change jobs
@@ -94,11 +98,11 @@ _on_fixture("address_rejects",
 
 
 def _rating_summary_upsert(t):
-    """Stale summary (reviews before 1997, products with id % 3 <> 0) upserted with
-    fresh rows for every product the stale copy misses or got reviews since."""
+    """A stored summary (reviews before 1997, no product with id % 3 = 0, counts off by a thousand as a mark) upserted with
+    fresh rows for every product it misses or that got reviews since; untouched rows keep their mark."""
     cutoff = F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")
     stale = reports.rating_summary(t.with_(reviews=t.reviews.filter(F.col("created_at") < cutoff))) \
-        .filter(F.col("product_id") % 3 != 0)
+        .filter(F.col("product_id") % 3 != 0).withColumn("review_count", F.col("review_count") + 1000)
     touched = t.reviews.filter(F.col("created_at") >= cutoff).select("product_id")
     fresh = reports.rating_summary(t)
     updates = fresh.join(stale.select("product_id"), "product_id", "left_anti").unionByName(
@@ -109,13 +113,20 @@ def _rating_summary_upsert(t):
 _on_tables("rating_summary_upsert", _rating_summary_upsert)
 
 
-def _cascade_category(t):
-    """Delete the lowest-id category that has products; report rows left per table."""
-    victim = t.products.agg(F.min("category_id").alias("id"))
-    return changes.table_row_counts(changes.cascade_delete(t, "categories", victim))
+def _cascade(table, victim):
+    """Delete the row that ``victim`` picks; report the rows left per table, the stored summary included."""
+    def run(t):
+        t = t.with_(extras={"rating_summary": reports.rating_summary(t)})
+        return changes.table_row_counts(changes.cascade_delete(t, table, victim(t)))
+    return run
 
 
-_on_tables("cascade_delete_category", _cascade_category)
+_on_tables("cascade_delete_category", _cascade("categories", lambda t: t.products.agg(F.min("category_id").alias("id"))))
+_on_tables("cascade_delete_user", _cascade("users", lambda t: t.products.agg(F.min("seller_id").alias("id"))))
+_on_tables("cascade_delete_customer", _cascade("users", lambda t: t.reviews.agg(F.min("user_id").alias("id"))))
+_on_tables("cascade_delete_product", _cascade("products", lambda t: t.order_items.agg(F.min("product_id").alias("id"))))
+_on_tables("cascade_delete_order", _cascade("orders", lambda t: t.invoices.agg(F.min("order_id").alias("id"))))
+_on_tables("cascade_delete_review", _cascade("reviews", lambda t: t.reviews.agg(F.min("id").alias("id"))))
 
 
 

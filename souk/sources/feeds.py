@@ -25,59 +25,64 @@ def _pick(values: tuple, idx: Column) -> Column:
 
 
 def catalog_feed(fx: Fixture) -> DataFrame:
-    """S3 input: every fifth part as a catalog row, category named by text."""
-    part = fx.raw("part").filter(F.col("p_partkey") % 5 == 0)
-    cols = fx.product_columns(part)
-    name = F.when(F.col("id") % 15 == 0, F.lit(UNKNOWN_CATEGORY_NAME)).otherwise(F.col("category_name"))
+    """S3 input: every part as a catalog row, category named by text in mixed case, every fifteenth by an unknown name."""
+    cols = fx.product_columns(fx.raw("part"))
+    name = F.when(F.col("id") % 15 == 0, F.lit(UNKNOWN_CATEGORY_NAME)) \
+        .when(F.col("id") % 4 == 0, F.lower("category_name")).when(F.col("id") % 4 == 1, F.upper("category_name")).otherwise(F.col("category_name"))
     return cols.select(F.col("id").alias("seq"), "name", "description", "image_url", "price", "stock",
                        name.alias("category_name"), "seller_id")
 
 
 def product_feed(fx: Fixture) -> DataFrame:
-    """M1 input: delete / update / add requests with the acting seller."""
-    p = fx.products().filter(F.col("id") % 10 < 3)
+    """M1 input: requests of the acting sellers for every part, up to four in a row for one product.
+
+    By id % 10 the first request is a delete (0), an add of a new product (2) or an update; every third target gets an
+    update with another price, every fifth a delete and every fifteenth an update after it. Stock comes as form text.
+    """
     k = F.col("id")
-    op = _pick(("delete", "update", "add"), k % 10)
-    price = (F.when(k % 10 == 1,
-                    F.when(k % 40 == 1, F.lit(0).cast("decimal(10,2)"))
-                     .otherwise(F.round(F.col("price") * F.lit(1.1).cast("decimal(2,1)"), 2)))
-              .otherwise(F.col("price"))).cast("decimal(10,2)")
-    category = F.when((k % 10 == 2) & (k % 50 == 2), F.lit(UNKNOWN_CATEGORY_ID).cast("bigint")) \
-                .otherwise(F.col("category_id"))
+    p = fx.products().withColumn("nth", F.explode(F.array(*[F.lit(i) for i in range(4)]))).filter(
+        (F.col("nth") == 0) | (F.col("nth") == 1) & (k % 3 == 0) | (F.col("nth") == 2) & (k % 5 == 0) | (F.col("nth") == 3) & (k % 15 == 0))
+    first = F.when(k % 10 == 0, "delete").when(k % 10 == 2, "add").otherwise("update")
+    op = F.when(F.col("nth") == 0, first).when(F.col("nth") == 2, "delete").otherwise("update")
+    price = F.when(k % 40 == 1, F.lit(0)).otherwise(F.col("price") + F.col("nth")).cast("decimal(10,2)")
+    category = F.when((k % 10 == 2) & (k % 50 == 2), F.lit(UNKNOWN_CATEGORY_ID).cast("bigint")).otherwise(F.col("category_id"))
     actor = F.when(k % 30 == 11, F.col("seller_id") + 1).otherwise(F.col("seller_id"))
     target = F.when(k % 10 == 2, k + fx.part_count()).otherwise(k)
-    return p.select(k.alias("seq"), op.alias("op"), target.alias("product_id"), "name", "description",
-                    "image_url", price.alias("price"), "stock", category.alias("category_id"),
+    stock = F.when(k % 7 == 0, F.concat(F.lit(" "), F.col("stock").cast("string"), F.lit(" pcs"))) \
+        .when(k % 7 == 1, F.concat(F.col("stock").cast("string"), F.lit(".9"))).when(k % 70 == 2, F.lit("many")).otherwise(F.col("stock").cast("string"))
+    return p.select((k * 4 + F.col("nth")).alias("seq"), op.alias("op"), target.alias("product_id"), "name", "description",
+                    "image_url", price.alias("price"), stock.alias("stock"), category.alias("category_id"),
                     actor.alias("seller_id"))
 
 
 def category_feed(fx: Fixture) -> DataFrame:
-    """M2b input: brand names (new), every part's type (existing, repeated) and one blank."""
+    """M2b input: for every part its brand (new, in two spellings), its type (existing), and now and then a blank."""
     part = fx.raw("part")
-    brands = part.select(F.col("p_brand").alias("name")).distinct()
-    types = part.select(F.col("p_type").alias("name"))
-    blank = fx.spark.range(1).select(F.lit("  ").alias("name"))
-    return brands.unionByName(types).unionByName(blank)
+    k = F.col("p_partkey")
+    brand = F.when(k % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    return part.select((k * 3).alias("seq"), brand.alias("name")) \
+        .unionByName(part.select((k * 3 + 1).alias("seq"), F.col("p_type").alias("name"))) \
+        .unionByName(part.filter(k % 100 == 0).select((k * 3 + 2).alias("seq"), F.lit("  ").alias("name")))
 
 
 def user_feed(fx: Fixture) -> DataFrame:
-    """M7 input: role and status changes, some with values outside the allowed sets."""
-    c = fx.raw("customer").filter(F.col("c_custkey") % 7 == 0)
+    """M7 input: role and status changes of every customer, some with values outside the allowed sets."""
+    c = fx.raw("customer")
     k = F.col("c_custkey")
     return c.select(k.alias("seq"), k.alias("user_id"), _pick(USER_FEED_ROLES, k % 3).alias("role"),
                     _pick(USER_FEED_STATUSES, k % 4).alias("account_status"))
 
 
 def order_status_feed(fx: Fixture) -> DataFrame:
-    """M8 / X2 input: status changes for every sixth order, one invalid value."""
-    o = fx.orders().filter(F.col("id") % 6 == 0)
+    """M8 / X2 input: a status change of every order, one value invalid."""
+    o = fx.orders()
     return o.select(F.col("id").alias("seq"), F.col("id").alias("order_id"),
                     _pick(ORDER_FEED_STATUSES, F.col("id") % 5).alias("status"))
 
 
 def review_feed(fx: Fixture) -> DataFrame:
-    """M4 input: review submissions with raw (unclamped) ratings and untrimmed comments."""
-    items = fx.order_items().filter((F.col("order_id") * 17 + F.col("product_id")) % 5 == 0)
+    """M4 input: a review submission per order line, with raw (unclamped) ratings and untrimmed comments."""
+    items = fx.order_items()
     orders = fx.orders().select(F.col("id").alias("order_id"), "user_id")
     j = items.join(orders, "order_id")
     oid, pid = F.col("order_id"), F.col("product_id")
@@ -152,13 +157,20 @@ def order_status_events(fx: Fixture) -> DataFrame:
     return created.unionByName(completed).unionByName(final)
 
 
+def _odd_email(k: Column, email: Column) -> Column:
+    """By k % 11: no @, two dots in a row, a leading or trailing dot, a local part of 65 characters; else well formed."""
+    put = lambda text, to: F.replace(email, F.lit(text), F.lit(to))
+    return (F.when(k % 11 == 0, put("@", "")).when(k % 11 == 1, put("@", "..b@")).when(k % 11 == 2, F.concat(F.lit("."), email))
+            .when(k % 11 == 3, put("@", ".@")).when(k % 11 == 4, F.concat(F.lit("a" * 65), F.lit("@example.com"))).otherwise(email))
+
+
 def contacts(fx: Fixture) -> DataFrame:
     """D2 / M10 input: phone, card number and email text per customer."""
     c = fx.raw("customer")
     k = F.col("c_custkey")
     email = F.concat(F.lower(F.translate("c_name", "#", ".")), F.lit("@example.com"))
     return c.select(k.alias("user_id"), phone_text(k).alias("phone"), card_text(k).alias("card_number"),
-                    F.when(k % 11 == 0, F.replace(email, F.lit("@"), F.lit(""))).otherwise(email).alias("email"),
+                    _odd_email(k, email).alias("email"),
                     F.col("c_custkey").alias("seq"))
 
 

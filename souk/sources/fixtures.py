@@ -22,23 +22,6 @@ CARD_BASE = 4_000_000_000_000_000
 PHONE_PREFIX = "55501"
 
 
-_SCANS: dict[tuple, DataFrame] = {}
-
-
-def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The scan of one driver table. The DataFrame (a plan, not data) is reused
-    per session, so file listing and footer reads happen once per table."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _SCANS[key]
-
-
-def forget_scans() -> None:
-    """Drop the reused scan definitions (after the files under a folder changed)."""
-    _SCANS.clear()
-
-
 def days_after_epoch(n: Column) -> Column:
     return F.date_add(F.lit(EPOCH), n.cast("int")).cast("timestamp_ntz")
 
@@ -72,7 +55,8 @@ class Fixture:
         return self._cache[name]
 
     def raw(self, name: str) -> DataFrame:
-        return raw(self.spark, self.sf_dir, name)
+        """The scan of one driver table; the plan, not data, is kept with this Fixture."""
+        return self._get(f"raw {name}", lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     # ---- base tables -------------------------------------------------
     def users(self) -> DataFrame:
