@@ -31,7 +31,7 @@ def test_write_load_roundtrip_and_views(spark, seed):
     register_views(spark, loaded)
     got = spark.sql("SELECT sum(total_amount) AS s FROM order_totals_view").collect()[0]["s"]
     assert got == reports.order_totals(seed).agg(F.sum("total_amount")).collect()[0][0]
-    assert spark.sql("SELECT count(*) FROM product_catalog_full_view").collect()[0][0] == 10
+    assert spark.sql("SELECT count(*) FROM product_catalog_full_view").collect()[0][0] == 8
 
 
 def test_load_drops_password_and_retired_columns(spark, seed):

@@ -6,8 +6,9 @@ from decimal import Decimal as D
 import pandas as pd
 from pyspark.sql import functions as F
 
+from souk.functions.text import email_valid, php_int
 from souk.operators import changes, checkout, quality, reports
-from souk.plans.numbering import number_rows, running_sums
+from souk.plans.numbering import number_rows, order_bucket, running_sums
 from souk.sources.seed import seed_tables
 
 
@@ -39,10 +40,95 @@ def test_running_sums_match_pandas_with_hot_key(spark):
 
 def test_number_rows_dense(spark):
     df = spark.createDataFrame([(x * 7 % 1001,) for x in range(1001)], "seq long")
-    got = sorted((r["seq"], r["n"]) for r in number_rows(df, "seq", "n", start=5, buckets=8).collect())
+    got = sorted((r["seq"], r["n"]) for r in number_rows(df, "seq", "n", start=5).collect())
     assert [n for _, n in got] == list(range(5, 1006))
 
 
+def test_number_rows_by_text_and_by_a_tuple_with_a_constant(spark):
+    rows = [(0, f"name {i % 977:04d}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "c int, name string, i long")
+    got = number_rows(df, ["c", "name", "i"], "n").orderBy("n").collect()
+    assert [(r["c"], r["name"], r["i"]) for r in got] == sorted(rows) and [r["n"] for r in got] == list(range(1, 4001))
+
+
+def test_order_buckets_spread_constant_first_and_text_keys(spark):
+    df = spark.createDataFrame([(0, f"name {i:05d}") for i in range(5000)], "c int, name string")
+    for key in (["c", "name"], ["name"]):
+        sizes = [r["count"] for r in df.groupBy(order_bucket(df, key, buckets=16).alias("b")).count().collect()]
+        assert len(sizes) >= 12 and max(sizes) < 1500
+    got = running_sums(df, ["c"], ["name"], {"run": F.lit(1)}, inclusive=True, buckets=16).orderBy("name").collect()
+    assert [r["run"] for r in got] == list(range(1, 5001))
+    assert order_bucket(df.limit(0), ["name"]) is None
+
+
+def test_product_requests_equal_one_at_a_time(spark):
+    """Random add / update / delete requests against a plain loop that serves them in order."""
+    rng = random.Random(3)
+    seed = seed_tables(spark)
+    base = {r["id"]: {"owner": r["seller_id"], "name": r["name"], "stock": r["stock"]} for r in seed.products.collect()}
+    rows = []
+    for seq in range(400):
+        bad = rng.random()
+        rows.append((seq, rng.choice(["add", "update", "update", "delete"]), rng.randint(1, 40), "" if bad < 0.1 else f"  n{seq}\t", "d", "i",
+                     D("0.00") if bad > 0.95 else D("2.50"), rng.choice(["7", " 12 pcs", "3.9", "x", "-1"]), "99" if 0.1 < bad < 0.2 else "2", rng.choice([3, 4])))
+    feed = spark.createDataFrame(rows, "seq long, op string, product_id long, name string, description string, image_url string, "
+                                       "price decimal(10,2), stock string, category_id string, seller_id long")
+    state, ever, rejects = dict(base), set(base), {}
+    for seq, op, pid, name, _, _, price, stock, category, actor in rows:
+        stock = {"7": 7, " 12 pcs": 12, "3.9": 3, "x": 0, "-1": -1}[stock]
+        bad = changes.MSG_FIELDS if not name.strip() or price <= 0 or stock < 0 else changes.MSG_NO_CATEGORY if category == "99" else None
+        mine = pid in state and state[pid]["owner"] == actor
+        if op == "delete":
+            if mine:
+                del state[pid]
+        elif op == "update" and not mine:
+            rejects[seq] = changes.MSG_NOT_FOUND
+        elif bad:
+            rejects[seq] = bad
+        elif op == "update":
+            state[pid] = {"owner": actor, "name": name.strip(), "stock": stock}
+        elif pid in ever:
+            rejects[seq] = changes.MSG_ID_TAKEN
+        else:
+            state[pid] = {"owner": actor, "name": name.strip(), "stock": stock}
+            ever.add(pid)
+    got, rej = changes.apply_product_changes(seed, feed)
+    assert {r["id"]: {"owner": r["seller_id"], "name": r["name"], "stock": r["stock"]} for r in got.collect()} == state
+    assert {r["seq"]: r["reason"] for r in rej.collect()} == rejects
+
+
+def test_int_cast_of_form_text(spark):
+    want = {"3a": 3, " 12 ": 12, "1.9": 1, "-4.2x": -4, "": 0, "abc": 0, "1e3": 1000, ".5": 0, "+7": 7, "99999999999": 0, "--1": 0}
+    df = spark.createDataFrame([(k,) for k in want] + [(None,)], "t string").select("t", php_int(F.col("t")).alias("n"))
+    assert {r["t"]: r["n"] for r in df.collect()} == {**want, None: 0}
+
+
+def test_email_shape(spark):
+    good = ["a@b.co", "first.last+tag@sub.example-site.org", "o'neil@x.io", "a" * 64 + "@example.com"]
+    bad = ["a..b@x.com", ".a@x.com", "a.@x.com", "a" * 65 + "@x.com", "a@b", "a@-b.com", "a@b-.com", "a@@b.com", "a b@c.de", "", "a@" + "b" * 64 + ".com",
+           "a@b.com\n" + "x" * 100, None]
+    df = spark.createDataFrame([(e,) for e in good + bad], "e string").select("e", email_valid(F.col("e")).alias("ok"))
+    assert {r["e"] for r in df.collect() if r["ok"]} == set(good)
+
+
+def test_unique_check_passes_nulls_and_tells_pairs_apart(spark):
+    seed = seed_tables(spark)
+    invoices = spark.createDataFrame([(1, None, "A", None), (2, None, "B", None), (3, 7, "C", None), (4, 7, None, None), (5, 8, None, None)],
+                                     "id long, order_id long, invoice_number string, issued_at timestamp_ntz")
+    cart = spark.createDataFrame([(1, None, 5, 1), (2, 5, None, 1), (3, None, 5, 1), (4, 2, 3, 1), (5, 2, 3, 1)],
+                                 "id long, user_id long, product_id long, quantity int")
+    got = quality.check_unique(seed.with_(invoices=invoices, cart=cart)).collect()
+    assert {(r["table_name"], r["key_columns"], r["key_value"], r["occurrences"]) for r in got} == {
+        ("invoices", "order_id", "7", 2), ("cart", "user_id,product_id", "2|3", 2)}
+
+
+def test_insert_ignore_keeps_the_first_spelling_in_order_of_arrival(spark):
+    seed = seed_tables(spark)
+    feed = spark.createDataFrame([(5, "zinc"), (1, "Zinc"), (3, " lamps "), (2, "Apple"), (4, ""), (6, "APPLE")], "seq long, name string")
+    got = sorted((r["id"], r["name"]) for r in changes.insert_ignore_categories(seed.categories, feed).collect())
+    assert got[5:] == [(6, "Zinc"), (7, "Apple")] and len(got) == 7
+
+
 def _sequential_checkout(carts, stock):
     stock = dict(stock)
     accepted = []
