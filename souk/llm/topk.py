@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from souk.llm.common import materialise
 
 PIVOTS, CANDIDATE_BLOCK, QUERY_BLOCK = 24, 4096, 1024
-#: Candidates evaluated at a time, in bound order.
+#: Candidates evaluated first, in bound order; each further step takes four times as many.
 STEP = 256
 
 _MOST = 2**63 - 1
@@ -79,41 +79,57 @@ def pivot_table(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
 
 
 def _exact(block: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact; clamped to 64 bits."""
-    if len(q) == 0 or np.abs(block).max(initial=0) * np.abs(q).max() * len(q) < 2**53:
+    """Integer inner products, exact; clamped to 64 bits. ``block`` and ``q`` are floats that hold all their sums, or objects."""
+    if block.dtype != object:
         return (block @ q).astype(np.int64)
-    whole = [int(x) for x in q]
-    return np.array([max(-_MOST - 1, min(_MOST, sum(int(a) * b for a, b in zip(row, whole)))) for row in block], np.int64)
+    return np.array([max(-_MOST - 1, min(_MOST, sum(a * b for a, b in zip(row, q)))) for row in block.tolist()], np.int64)
+
+
+def _holding(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices in the narrowest type in which every partial sum of their products is exact."""
+    most = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1])
+    if most < 2**24:
+        return q.astype(np.float32), v.astype(np.float32)
+    if most < 2**53:
+        return q, v
+    whole = np.vectorize(int, otypes=[object])
+    return (whole(q), whole(v)) if q.size and v.size else (q, v)
 
 
 def best_of_block(qs: pd.DataFrame, vs: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best of ``vs`` for each query of ``qs`` whose score reaches the query's ``floor``."""
     dim = int(qs["dim"].iloc[0])
-    q, v = matrix(qs["data"], dim), matrix(vs["data"], dim)
-    q_far, v_far = matrix(qs["far"], -1), matrix(vs["far"], -1)
+    q, v = _holding(matrix(qs["data"], dim), matrix(vs["data"], dim))
+    q_far, v_far = matrix(qs["far"], -1), np.ascontiguousarray(matrix(vs["far"], -1).T)
     v_id, out = vs["vec_id"].to_numpy(), []
-    q_norm, v_norm = q_far[:, 0] ** 2, v_far[:, 0] ** 2
-    columns = np.ascontiguousarray(v_far.T)
+    q_norm, v_norm = q_far[:, 0] ** 2, v_far[0] ** 2
+    # distances in single precision where their rounding stays far below one score; the slack covers it
+    fine = max(q_norm.max(initial=0), v_norm.max(initial=0)) < 1e6
+    near, slack = (np.float32, 1e-5) if fine else (np.float64, 1e-9)
+    columns, rows = v_far.astype(near), q_far.astype(near)
+    gap = np.empty_like(columns)
     for i, (own, floor) in enumerate(zip(qs["vec_id"].to_numpy(), qs["floor"].to_numpy())):
-        bound = np.zeros(len(v))
-        for p, far in enumerate(columns):
-            np.maximum(bound, np.abs(far - q_far[i, p]), out=bound)
+        np.abs(np.subtract(columns, rows[i][:, None], out=gap), out=gap)
         size = q_norm[i] + v_norm
-        most = (size - bound**2) / 2 + 1e-9 * size + 1e-6  # above rounding errors
-        rest = np.flatnonzero((v_id != own) & (most >= floor))
-        rest = rest[np.argsort(-most[rest], kind="stable")]
-        scores, ids, least = np.empty(0, np.int64), np.empty(0, np.int64), floor
-        for at in range(0, len(rest), STEP):
-            part = rest[at:at + STEP]
-            if most[part[0]] < least:
-                break  # nothing left can reach the k-th best
-            scores, ids = np.concatenate((scores, _exact(v[part], q[i]))), np.concatenate((ids, v_id[part]))
-            order = np.lexsort((ids, -scores.astype(object) if scores.min(initial=0) == -_MOST - 1 else -scores))[:k]
-            scores, ids = scores[order], ids[order]
-            if len(scores) == k:
-                least = max(least, scores[-1])
-        good = scores >= floor
-        out.append(pd.DataFrame({"query_id": own, "vec_id": ids[good], "score": scores[good]}))
+        most = (size - gap.max(axis=0).astype(np.float64) ** 2) / 2 + slack * size + 1e-6
+        rest = np.flatnonzero((most >= floor) & (v_id != own))
+        scores, ids, least, step = np.empty(0, np.int64), np.empty(0, np.int64), floor, STEP
+        while len(rest):  # the highest bounds first; what can no longer reach the k-th best leaves
+            if len(rest) > step:
+                cut = np.argpartition(-most[rest], step)
+                part, rest = rest[cut[:step]], rest[cut[step:]]
+            else:
+                part, rest = rest, rest[:0]
+            found = _exact(v, q[i])[part] if 4 * len(part) > len(v) else _exact(v[part], q[i])
+            good = found >= least
+            if good.any():
+                scores, ids = np.concatenate((scores, found[good])), np.concatenate((ids, v_id[part[good]]))
+                order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, without overflow
+                scores, ids = scores[order], ids[order]
+                if len(scores) == k:
+                    least = max(least, scores[-1])
+            rest, step = rest[most[rest] >= least], step * 4
+        out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
     return pd.concat(out, ignore_index=True)
 
 
