@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,8 +88,9 @@ def membership(df: DataFrame, key: Column, bloom: BloomFilter) -> Column:
     """Boolean column: whether the filter may hold the 64-bit key (false for null keys). Only the key goes to Python."""
     shared = df.sparkSession.sparkContext.broadcast(bloom)
 
-    @F.pandas_udf("boolean")
-    def held(k: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.contains(k.fillna(0).to_numpy(np.int64))) & k.notna()
+    @F.arrow_udf("boolean")
+    def held(k: pa.Array) -> pa.Array:
+        known = np.asarray(k.is_valid())
+        return pa.array(shared.value.contains(np.asarray(k.fill_null(0)).astype(np.int64)) & known)
 
     return held(key)

@@ -29,6 +29,9 @@ from souk.llm.words import WordSplitter, WordTable, encode_texts, load
 
 NEVER = 1 << 62
 
+#: Token pairs whose stability a worker remembers. Changes speed, never results.
+MAX_PAIRS = 1_000_000
+
 
 @functools.lru_cache(maxsize=1)
 def _byte_chars() -> list[str]:
@@ -59,6 +62,7 @@ class TrieEncoder:
         self.inner = {t: self.vocab[t] for t in made if not (suffix and t.endswith(suffix))}
         self.final = {t.removesuffix(suffix): self.vocab[t] for t in made if suffix and t.endswith(suffix)} \
             if suffix else self.inner
+        self._reachable.cache_clear()
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.stable: dict[int, bool] = {}
         chars = _byte_chars()
@@ -95,7 +99,9 @@ class TrieEncoder:
         return self._reachable(a) and self._reachable(b) and not self._crossed(a, b, but=rank)
 
     def _fits(self, key: int) -> bool:
-        """Whether the border of the token pair ``left << 32 | right`` is stable; remembered."""
+        """Whether the border of the token pair ``left << 32 | right`` is stable; remembered, in bounded memory."""
+        if len(self.stable) >= MAX_PAIRS:
+            self.stable.clear()
         ok = self.stable[key] = not self._crossed(key >> 32, key & 0xFFFFFFFF)
         return ok
 

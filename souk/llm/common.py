@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from souk.session import scratch_dir
 
 #: Text bytes that one vectorised step works on; documents are never cut, so one long document may exceed it.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _U64 = np.uint64
 
@@ -59,6 +59,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text",
             to = max(at + 1, int(np.searchsorted(ends, base + step_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,8 @@ WORDS, BANDS, ROWS = 5, 40, 6
 PERMUTATIONS = BANDS * ROWS
 #: Classes a bucket block and shingles a group block holds; larger ones are dealt to block pairs.
 BUCKET_BLOCK, GROUP_BLOCK = 4096, 1 << 20
+#: Text bytes a vectorised step works on; its arrays hold several 64-bit values a byte.
+STEP_BYTES = 1 << 19
 
 _U64 = np.uint64
 _WHITE = np.zeros(256, bool)
@@ -254,7 +256,7 @@ def _block_pairs(rows: DataFrame, blocks: str) -> DataFrame:
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_hash, sketch, bands) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             sets = shingle_sets(b.column(1))
             minima = [signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
@@ -288,7 +290,7 @@ def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_c
 
     ``groups``: (id, component, set_hash). A Bloom filter of the ids keeps other texts out of the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             sets = shingle_sets(b.column(3))
             own = pa.array([set_hash(s) == h for s, h in zip(sets, b.column(2).to_pylist())])
             yield pa.RecordBatch.from_arrays([

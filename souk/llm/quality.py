@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,9 @@ from souk.llm.minhash import word_hashes
 DIMENSIONS, PER_CLASS, CURVE_SHARE = 1 << 18, 4000, 0.25
 SMOOTHING, COST, EPOCHS = 1.0, 1.0, 12
 
+#: Text bytes a vectorised step works on; its arrays hold several 64-bit values a byte.
+STEP_BYTES = 1 << 19
+
 _U64 = np.uint64
 _SPACE, _LOWER, _UPPER, _DIGIT, _MARK = range(5)
 _CLASS = np.full(256, _LOWER, np.uint8)  # bytes of other scripts count as lower-case letters
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(sample[0].unionByName(sample[1]))  # at most 2 * per_class pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             found = [f.astype("<i4").tobytes() for f in features(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "found"])
 
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(features(b.column(1))))], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -220,12 +222,10 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3, text_col
     """``docs`` without the rows whose score is below ``least``; only the texts go to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        out = []
-        for step in text_steps(iter([pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], ["text"])])):
-            out.append(shared.value.scores(features(step.column(0))) >= least)
-        return pd.Series(np.concatenate([np.empty(0, bool), *out]))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        steps = text_steps(iter([pa.RecordBatch.from_arrays([text], ["text"])]), step_bytes=STEP_BYTES)
+        return pa.array(np.concatenate([np.empty(0, bool), *(shared.value.scores(features(s.column(0))) >= least for s in steps)]))
 
     return docs.filter(good(docs[text_col]))
 

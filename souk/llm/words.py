@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 from tokenizers.normalizers import NFC
 
@@ -22,7 +23,7 @@ from souk.llm.common import gather
 SPACE, LETTER, NUMBER, OTHER = 1, 2, 3, 4
 
 #: Words a worker remembers; beyond it the table starts anew. Changes speed, never results.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,35 +128,55 @@ class WordSplitter:
 
 
 class WordTable:
-    """Distinct word -> its token ids; ``encode`` maps sorted new words to (all their ids, ids of each)."""
+    """Distinct word -> its token ids; ``encode`` maps sorted new words to (all their ids, ids of each).
+
+    Flat arrays in hash order, some tens of bytes a word; a hit is compared with the word itself."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[list[int], list[int]]], max_words: int = MAX_WORDS):
         self.encode, self.max_words = encode, max_words
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.hashes = self.slot_of = np.empty(0, np.int64)  # sorted hashes and the slots they lead to
+        self.words = pa.array([], pa.large_string())
         self.ids = np.empty(0, np.int32)
         self.start = self.size = np.empty(0, np.int64)
 
-    def _add(self, words: list[str]) -> None:
+    def _find(self, hashes: np.ndarray, words: pa.Array) -> np.ndarray:
+        """Slot of each word, -1 where it is new."""
+        if len(self.hashes) == 0:
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        slots = np.where(self.hashes[at] == hashes, self.slot_of[at], 0)
+        same = pc.equal(self.words.take(pa.array(slots)), words)
+        return np.where(np.asarray(same) & (self.hashes[at] == hashes), slots, -1)
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        """Encode new words (in sorted order) and return their slots."""
         flat, sizes = self.encode(words)
-        first = len(self.slot)
-        self.slot.update(zip(words, range(first, first + len(words))))
-        self.ids = np.concatenate((self.ids, np.array(flat, np.int32)))
-        size = np.array(sizes, np.int64)
-        self.start = np.concatenate((self.start, len(self.ids) - len(flat) + np.cumsum(size) - size))
+        size, first = np.array(sizes, np.int64), len(self.start)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, np.array(flat, np.int32)))
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.large_string())])
+        slots = np.arange(first, first + len(words))
+        merged, slot_of = np.concatenate((self.hashes, hashes)), np.concatenate((self.slot_of, slots))
+        order = np.argsort(merged, kind="stable")
+        self.hashes, self.slot_of = merged[order], slot_of[order]
+        return slots
 
     def lookup(self, indices: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number of ids of each word)."""
-        new = sorted(w for w in words if w not in self.slot)
-        if len(self.slot) + len(new) > self.max_words and self.slot:
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        slots = self._find(hashes, pa.array(words, pa.large_string()))
+        new = np.flatnonzero(slots < 0)
+        if len(self.start) + len(new) > self.max_words and len(self.start):
             self._reset()
-            new = sorted(words)
-        if new:
-            self._add(new)
-        slots = np.fromiter((self.slot[w] for w in words), np.int64, len(words))[indices]
+            slots, new = np.full(len(words), -1), np.arange(len(words))
+        if len(new):
+            new = new[sorted(range(len(new)), key=[words[i] for i in new].__getitem__)]
+            slots[new] = self._add(hashes[new], [words[i] for i in new])
+        slots = slots[indices]
         size = self.size[slots]
         return self.ids[gather(self.start[slots], size)], size
 
