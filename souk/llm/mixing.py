@@ -58,7 +58,7 @@ def integer_shares(weights: dict[str | None, float], period: int = PERIOD) -> di
         for s in by_rest[:period - sum(shares.values())]:
             shares[s] += 1
     while sum(shares.values()) > period:
-        shares[max(shares, key=lambda s: (shares[s] - exact[s], shares[s]))] -= 1
+        shares[max((s for s in shares if shares[s] > 1), key=lambda s: (shares[s] - exact[s], shares[s]))] -= 1
     common = math.gcd(*shares.values())
     return {s: a // common for s, a in shares.items()}
 

@@ -104,6 +104,14 @@ def test_op4_schedule_stays_within_one_block(weights):
         assert all(abs(seen[x] - slot * shares[x] / total) < 1 for x in shares)
 
 
+@pytest.mark.parametrize("tiny", [2, 30, 999, 1500])
+def test_op4_long_tail_keeps_a_share_each(tiny):
+    weights = mixing.tempered({"big": 10_000_000, "middle": 40_000, **{f"t{i}": 1 for i in range(tiny)}}, 0.8)
+    shares = mixing.integer_shares(weights)
+    assert set(shares) == set(weights) and min(shares.values()) >= 1
+    assert len(mixing.period_schedule(shares)) == sum(shares.values())
+
+
 def test_op4_rows(spark):
     rng = random.Random(1)
     rows = [(i, None, None, rng.choice(["a"] * 6 + ["b", "c", None]), 1) for i in range(900)] + [(None, None, None, "a", 1), (5, None, None, "b", 1)]
