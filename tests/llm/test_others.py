@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,44 @@ def test_op4_long_tail_keeps_a_share_each(tiny):
     assert len(mixing.period_schedule(shares)) == sum(shares.values())
 
 
+LONG_TAILS = [{"a": 10_000_000, "b": 1, "c": 1}, {"a": 9000, "b": 8999, None: 40, **{f"t{i}": 1 for i in range(30)}}]
+
+
+@pytest.mark.parametrize("rows", LONG_TAILS)
+@pytest.mark.parametrize("chunk", [1, 37, 5000])
+def test_op4_chunks_stay_within_one_block_of_the_weights(rows, chunk):
+    weights = {s: Fraction(w) for s, w in mixing.tempered(rows, 0.8).items()}
+    whole = mixing.whole_weights(weights)
+    assert all(Fraction(whole[s], sum(whole.values())) == w / sum(weights.values()) for s, w in weights.items())
+    shares, total, slots = list(whole.values()), sum(whole.values()), 7000
+    got, ahead = [], set()
+    for start in range(0, slots, chunk):
+        stop = min(start + chunk, slots)
+        got += mixing.place(shares, start, stop, ahead)
+        ahead = mixing.done_ahead(shares, start, stop, ahead, mixing.free_slots(shares, start, stop))
+    assert got == mixing.place(shares, 0, slots)
+    seen = [0] * len(shares)
+    for slot, (no, k, release, deadline) in enumerate(got, 1):
+        assert k == seen[no] and k * total // shares[no] == release < slot <= deadline == -(-(k + 1) * total // shares[no])
+        seen[no] += 1
+        assert all(abs(n * total - slot * a) < total for n, a in zip(seen, shares))
+
+
+def test_op4_stream_follows_small_weights(spark):
+    rows = [(i, None, None, "a", 1) for i in range(20_000)] + [(-1, None, None, "b", 1), (-2, None, None, "c", 1)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    weights = mixing.tempered({"a": 20_000, "b": 1, "c": 1}, 0.8)
+    out, slots = mixing._scheduled(docs, None, 0.8, "all_exhausted", 1, "doc_id", "source", chunk=3000)
+    got = sorted(out.select("position", "source", "slot", "release", "deadline", "block").collect())
+    assert [r["position"] for r in got] == list(range(slots)) and {r["source"] for r in got} == {"a", "b", "c"}
+    seen, total = Counter(), sum(weights.values())
+    for n, r in enumerate(got, 1):
+        assert r["release"] <= r["slot"] < r["deadline"] and r["block"] == seen[r["source"]]
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - n * w / total) < 1 for s, w in weights.items())
+    assert seen["a"] == 20_000 and 6 <= seen["b"] <= 9  # 7.3 by weight; thousandths gave 20
+
+
 def test_op4_rows(spark):
     rng = random.Random(1)
     rows = [(i, None, None, rng.choice(["a"] * 6 + ["b", "c", None]), 1) for i in range(900)] + [(None, None, None, "a", 1), (5, None, None, "b", 1)]
