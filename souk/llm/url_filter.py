@@ -7,7 +7,8 @@ against the links' direction. A host's seed is the share of its pages that rules
 exceeds its trust by more than a margin is blocked, every other host is allowed.
 
 Links are absolute or protocol-relative addresses in the pages' html attributes; links inside one host are not edges.
-Iterations run until no host changes by more than a tolerance; each is one join and one aggregation over the host edges.
+Iterations run until no host's score can still move by more than a tolerance: the sum of all hosts' changes falls by the damping at
+least each round, so what is still to come is bounded by it. Each is one join and one aggregation over the host edges.
 
 Defined results: a null url, or one without ``://``, has host '' and path '', no rule, and is allowed; null html has no
 links; repeated rows are judged row by row; only the id, url and html columns are read.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import drop_table, materialise
 
-#: Share of a score that follows links, convergence tolerance, and distrust beyond trust that blocks a host.
+#: Share of a score that follows links, error left in any host's score, and distrust beyond trust that blocks a host.
 DAMPING, TOLERANCE, MARGIN = 0.85, 1e-3, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,7 +60,8 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): fixed point of score = seed + damping * sum over in-edges of score / out-degree.
 
-    ``seeds`` (host, seed); ``edges`` (src, dst), distinct. The seeds' own scale is kept: an unlinked host scores its seed."""
+    ``seeds`` (host, seed); ``edges`` (src, dst), distinct. The seeds' own scale is kept: an unlinked host scores its seed.
+    Stops when the sum of changes times damping / (1 - damping), all that later rounds can add up to, is within ``tolerance``."""
     shares = edges.join(edges.groupBy("src").agg((F.lit(damping) / F.count(F.lit(1))).alias("part")), "src")
     shares = materialise(shares, "op1-shares")
     now = materialise(seeds.select("host", F.col("seed").cast("double").alias("score")).filter("score > 0"), "op1-scores")
@@ -72,10 +74,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tole
             .groupBy("host").agg(F.sum("score").alias("score")).filter("score > 0")
         new = materialise(new, "op1-scores")
         change = new.join(now.withColumnRenamed("score", "old"), "host", "full") \
-            .agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+            .agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         drop_table(now)
         now = new
-        if change <= tolerance:
+        if change * damping <= tolerance * (1 - damping):
             return now
 
 

@@ -87,6 +87,20 @@ def test_op1_rows_and_link_flow(spark):
     assert {r[0]: r[4] for r in got}[6] == "block" and {r[0]: r[4] for r in got}[12] == "allow"
 
 
+def test_op1_many_small_flows_meet_again(spark):
+    link = lambda *hs: "".join(f'<a href="https://{h}/x">y</a>' for h in hs)
+    middle = [f"h{i}.edu" for i in range(1200)]
+    pages = [(-1, "http://bad.net/", ""), (-2, "http://farm.edu/", link(*middle)), *((i, f"http://{h}/", link("bad.net")) for i, h in enumerate(middle))]
+    got = judged(spark, [(*p, "h", "r") for p in pages])
+    assert got == sorted(brute_verdicts(pages))
+    assert {r[0]: r[4] for r in got}[-2] == "block"
+    edges = [(a, b) for h in middle for a, b in (("bad.net", h), (h, "farm.edu"))] + [("farm.edu", "bad.net"), ("farm.edu", "x.edu")]
+    want = propagated({"bad.net": 1.0}, edges)
+    found = url_filter.propagate(spark.createDataFrame([("bad.net", 1.0)], "host string, seed double"), spark.createDataFrame(edges, "src string, dst string"))
+    found = {r["host"]: r["score"] for r in found.collect()}
+    assert set(found) == set(want) and all(abs(found[h] - x) <= url_filter.TOLERANCE for h, x in want.items())
+
+
 def test_op1_empty(spark):
     assert judged(spark, []) == []
 
