@@ -1,7 +1,7 @@
 """Operator 8: near-duplicate documents by MinHash, banding, verification and components.
 
 1. Each document's set is its distinct 5-word shingles (64-bit hashes). Documents with equal
-   sets form a class, represented by its smallest doc_id.
+   sets form a numbered class, whose set is read from its smallest doc_id.
 2. 240 universal hash minima a class, in 40 bands of 6; classes that share a band's minima
    share a bucket. At similarity 0.85 a pair misses every bucket once in 10^8, at 0.8 once in 10^5.
 3. Signature verification: inside a bucket, classes whose 2-bit signatures agree nearly as often as the
@@ -15,7 +15,7 @@ task while no task holds more than two blocks.
 
 Defined results: words are runs of anything but space, tab, LF, VT, FF, CR; A-Z is lower-cased; fewer than
 five words are one shingle; null text or no words is an empty set, linked with nothing. Rows that share a doc_id
-are one document, of which the set with the least hash is compared. A null doc_id is linked with nothing and kept. Other columns are not read.
+are one document, linked with whatever any of its sets is linked with. A null doc_id is linked with nothing and kept. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -273,9 +273,9 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     """(node, component): classes joined by bucket neighbours whose signatures agree."""
     least = least_agreement(percent)
-    placed = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    placed = reps.select(F.explode("bands").alias("key"), "id")
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = placed.join(shared, "key").join(reps.select(F.col("rep").alias("id"), F.col("sketch").alias("data")), "id")
+    members = placed.join(shared, "key").join(reps.select("id", F.col("sketch").alias("data")), "id")
     members = _block_pairs(members.withColumn("blocks", F.expr(f"int(ceil(n / {BUCKET_BLOCK}))")), "blocks")
 
     def forest(ids: np.ndarray, data: list[bytes]):
@@ -288,7 +288,7 @@ def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Edges confirmed on the full sets of the groups' members (at most a spanning forest a task).
 
-    ``groups``: (id, component, set_hash). A Bloom filter of the ids keeps other texts out of the shuffle."""
+    ``groups``: (id, component, rep, set_hash). A Bloom filter of the representatives keeps other texts out of the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_steps(batches, step_bytes=STEP_BYTES):
             sets = shingle_sets(b.column(3))
@@ -297,10 +297,10 @@ def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_c
                 b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "component", "n", "data"]).filter(own)
 
-    bloom = build_filter(groups.select(F.col("id").alias("key")))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    rows = rows.filter(membership(rows, F.col("id"), bloom))
-    sets = materialise(rows.join(groups, "id").select("id", "component", "set_hash", "text")
+    bloom = build_filter(groups.select(F.col("rep").alias("key")))
+    rows = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
+    rows = rows.filter(membership(rows, F.col("rep"), bloom))
+    sets = materialise(rows.join(groups, "rep").select("id", "component", "set_hash", "text")
                        .mapInArrow(run, "id bigint, component bigint, n bigint, data binary"), "op8-sets")
     sizes = sets.groupBy("component").agg(F.expr(f"int(ceil(sum(n) / {GROUP_BLOCK}))").alias("blocks"))
     dealt = _block_pairs(sets.join(sizes, "component"), "blocks")
@@ -311,19 +311,31 @@ def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_c
     return _in_groups(dealt, ["component", "i", "j"], forest)
 
 
+def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) from each doc_id that occurs with different sets to the representatives of their classes."""
+    known = described.filter("doc_id IS NOT NULL").select("doc_id", "set_hash")
+    several = known.withColumn("h", F.xxhash64("set_hash")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")) \
+        .filter("lo <> hi").select("doc_id")
+    return known.join(several, "doc_id").join(classes, "set_hash").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     described = materialise(describe(docs, id_col, text_col), "op8-described")
     some = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "op8-classes")
-    chosen = classes.groupBy("rep").agg(F.min("set_hash").alias("set_hash"))
-    reps = some.join(chosen, "set_hash").filter("doc_id = rep").dropDuplicates(["rep"])
-    reps = materialise(reps.select("rep", "set_hash", "sketch", "bands"), "op8-reps")
+    classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+                          .withColumn("id", F.monotonically_increasing_id()), "op8-classes")
+    reps = some.join(classes, "set_hash").filter("doc_id = rep").dropDuplicates(["id"])
+    reps = materialise(reps.select("id", "rep", "set_hash", "sketch", "bands"), "op8-reps")
     groups = _candidate_groups(reps, percent).select(F.col("node").alias("id"), "component")
-    groups = materialise(groups.join(reps.select(F.col("rep").alias("id"), "set_hash"), "id"), "op8-candidates")
-    linked = connected_components(_links(docs, groups, percent, id_col, text_col), "op8-components")
+    groups = materialise(groups.join(reps.select("id", "rep", "set_hash"), "id"), "op8-candidates")
+    links = _links(docs, groups, percent, id_col, text_col)
+    for end in ("u", "v"):  # from classes to documents
+        links = links.join(groups.select(F.col("id").alias(end), F.col("rep").alias(f"{end}_doc")), end)
+    links = links.select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+    linked = connected_components(links.unionByName(_shared_ids(described, classes)), "op8-components")
     whole = described.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left") \
-        .join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        .withColumn("node", F.coalesce("rep", "doc_id")).join(linked, "node", "left")
     return whole.select(F.col("doc_id").alias(id_col), "n_shingles",
                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")) \
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -144,6 +144,29 @@ def test_op8_hard_rows(hard_docs, hard_rows):
     assert minhash.keep_one(hard_docs, 85).columns == hard_docs.columns
 
 
+def test_op8_ids_with_several_texts_keep_all_links(spark):
+    rng = random.Random(4)
+    a, b, c = (words(rng, 120) for _ in range(3))
+    rows = [(200 * g + i, t) for g in range(6) for i, t in  # either text may have the smaller hash
+            [(100, f"g{g} " + a.replace(" ", f" {g}", 30)), (100, f"g{g} " + b.replace(" ", f" {g}", 30)), (105, f"g{g} " + b.replace(" ", f" {g}", 30)),
+             (106, f"g{g} " + b.replace(" ", f" {g}", 30) + " end")]]
+    rows += [(5000, c), (5002, c), (5001, c + " far " + a), (5002, c + " far " + a), (5003, ""), (5003, c + " more"), (5004, ""), (5004, "one")]
+    texts, want = {}, {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(shingles(t))
+    near = lambda x, y: bool(x & y) and 100 * len(x & y) >= 85 * len(x | y)
+    for i in sorted(texts):
+        todo = [] if i in want else [i]
+        while todo:
+            j = todo.pop()
+            want[j] = i
+            todo += [k for k in texts if k not in want and any(near(x, y) for x in texts[j] for y in texts[k])]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOC_SCHEMA)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 85).collect())
+    assert got == sorted((i, len(shingles(t)), want[i]) for i, t in rows)
+    assert want[106] == 100 and want[5001] == want[5003] == 5000
+
+
 def test_shingle_sets_equal_plain_sets(hard_rows):
     import pyarrow as pa
 
