@@ -170,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(sample, "id").select("id", "y", "text")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(sample, "id")
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("id", "y", "least.text")  # a row an id
     got = rows.mapInArrow(run, f"id {kind}, y int, found binary").toArrow()
     order = np.argsort([int(x) for x in mix64(np.asarray(got["id"]).astype(np.int64).view(_U64))], kind="stable")
     y = np.asarray(got["y"])[order]

@@ -257,6 +257,17 @@ def test_op5_dual_coordinate_descent_reaches_the_optimum():
     assert np.abs(gradient).max() < 1e-3
 
 
+def test_op5_sample_holds_one_row_of_a_repeated_id(spark, monkeypatch):
+    rng, seen, fit_sample = random.Random(8), [], quality._fit_sample
+    rows = [(i, words(rng, 20), None, "s", 1) for i in range(60)] + [(1, words(rng, 20), None, "s", 1) for _ in range(300)]
+    monkeypatch.setattr(quality, "_fit_sample", lambda found, y, counts: seen.append(len(found)) or fit_sample(found, y, counts))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60))
+    assert zlib.crc32(b"1") % 5
+    quality.fit(spark.createDataFrame(rows, DOC_SCHEMA), labels)
+    assert seen == [60 - held]
+
+
 # ---- operator 6
 
 
