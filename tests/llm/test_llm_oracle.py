@@ -1,4 +1,4 @@
-"""The operators' queries against their DuckDB SQL at sf0.001, and the counts of those without SQL."""
+"""The operators' queries against their DuckDB SQL at sf0.001."""
 
 import duckdb
 import pytest
