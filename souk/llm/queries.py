@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, chat, exact_dedup, minhash, mixing, quality, token_counts, token_files, topk, url_filter
+from souk.llm import bpe, chat, exact_dedup, fim, lexical, minhash, mixing, quality, sentencepieces, token_counts, token_files, topk, url_filter
 from souk.llm.common import table
 from souk.session import scratch_dir
 
@@ -78,9 +78,25 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepieces.round_trip(docs, unigram_path(), bpe.digests, bpe.DIGEST_SCHEMA)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    text = fim.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_token_counts, op3_token_files, op4_mixing, op5_quality, op6_chat, op7_bpe, op8_near_dedup,
-    op9_exact_dedup, op10_top_k)}
+    op9_exact_dedup, op10_top_k, op11_lexical_search, op12_sentencepiece, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op6_chat": r"""
@@ -112,6 +128,54 @@ ORACLE_SQL = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
             FROM pairs)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+        p AS (
+            SELECT row, doc_id, term, count(*) AS tf, any_value(n) AS n
+            FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+            WHERE term IN (SELECT term FROM i) GROUP BY row, doc_id, term),
+        df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+        s AS (
+            SELECT item_id, row, any_value(doc_id) AS doc_id,
+                   CAST(sum(CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT)
+                            * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+            FROM i JOIN p USING (term) JOIN df USING (term) CROSS JOIN c GROUP BY item_id, row),
+        r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank,
+                   doc_id, score
+            FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
+    "op13_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+                   [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h
+            FROM d),
+        v AS (
+            SELECT *, CAST(len(w) AS BIGINT) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a,
+                   greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS z,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+                        WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM u),
+        x AS (
+            SELECT doc_id, t, n, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:z], '') AS m,
+                   array_to_string(w[z + 1:], '') AS s
+            FROM v)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM x""",
     "op8_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
