@@ -115,10 +115,18 @@ class Backtracker:
         failed = bytearray(n + 1)  # the bitfield
         out: list[int] = []
         at, token = 0, longest[0] if length[0] else -1 - ord(word[0])
-        sizes, shorter = self.size, self.shorter
+        sizes, shorter, known = self.size, self.shorter, self.pairs.get
         while at < n:
-            end = at + (sizes[token] if token >= 0 else 1)
-            if not failed[end] and (self.compatible(out[-1], token) if out else token < 0 or self.alone(token)):
+            end = at + sizes[token] if token >= 0 else at + 1
+            if failed[end]:
+                fits = False
+            elif out:
+                fits = known(out[-1] << 32 | token)
+                if fits is None:
+                    fits = self.compatible(out[-1], token)
+            else:
+                fits = token < 0 or self.alone(token)
+            if fits:
                 out.append(token)
                 at = end
                 if at < n:
@@ -162,11 +170,12 @@ class Codec:
         lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.begin, self.end, self.n_ids = lib.bos_id(), lib.eos_id(), lib.get_piece_size()
         kinds = [p.type for p in proto.pieces]
-        self.surface = pa.array(["" if k == _CONTROL else proto.trainer_spec.unk_surface if k == _UNKNOWN else
-                                 "" if k == _BYTE else p.piece.replace(SPACE, " ") for p, k in zip(proto.pieces, kinds)], pa.large_string())
-        self.byte_of = np.full(self.n_ids, -1, np.int16)
-        for b, i in self.encoder.bytes.items():
-            self.byte_of[i] = b
+        value = {i: bytes([b]) for b, i in self.encoder.bytes.items()}
+        surface = [b"" if k == _CONTROL else proto.trainer_spec.unk_surface.encode() if k == _UNKNOWN else
+                   value[i] if k == _BYTE else p.piece.replace(SPACE, " ").encode()
+                   for i, (p, k) in enumerate(zip(proto.pieces, kinds))]
+        #: Every id's bytes, and again without their first space.
+        self.surface = pa.array(surface + [s.removeprefix(b" ") for s in surface], pa.large_binary())
         self.silent = np.array([k == _CONTROL for k in kinds])
         self.spaced = np.array([k == _NORMAL and p.piece.startswith(SPACE) for p, k in zip(proto.pieces, kinds)])
 
@@ -206,44 +215,22 @@ class Codec:
             offsets = offsets + 2 * np.arange(rows + 1)
         return ids.astype(np.int32, copy=False), offsets.astype(np.int64, copy=False)
 
-    def _first(self, ids: np.ndarray) -> int:
-        """Index of the first id that is no control symbol."""
-        return next((i for i, x in enumerate(ids) if not self.silent[x]), len(ids))
-
-    def _with_bytes(self, ids: np.ndarray, words: list[str]) -> str:
-        """Surfaces joined, with runs of byte pieces read as UTF-8; a byte that fits nowhere becomes U+FFFD."""
-        out, run = [], bytearray()
-        for b, w in zip(self.byte_of[ids].tolist(), words):
-            if b >= 0:
-                run.append(b)
-                continue
-            if run:
-                out.append(utf8(bytes(run)))
-                run.clear()
-            out.append(w)
-        out.append(utf8(bytes(run)))
-        return "".join(out)
-
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
-        """large_string array: what the library's decode(ids) gives for each list."""
-        pieces = self.surface.take(pa.array(ids))
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pieces)
-        text = pc.binary_join(lists, pa.scalar("", pa.large_string()))
-        byte = self.byte_of[ids] >= 0
-        count = np.concatenate(([0], np.cumsum(byte)))
-        odd = np.flatnonzero(count[offsets[1:]] > count[offsets[:-1]])
-        if len(odd):
-            whole = text.to_pylist()
-            for i in odd:
-                a, z = int(offsets[i]), int(offsets[i + 1])
-                whole[i] = self._with_bytes(ids[a:z], pieces.slice(a, z - a).to_pylist())
-            text = pa.array(whole, pa.large_string())
-        if self.dummy:  # the space that encoding put first
-            drop = np.zeros(len(text), bool)
-            for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                at = a + self._first(ids[a:z])
-                drop[i] = at < z and self.spaced[ids[at]]
-            text = pc.if_else(pa.array(drop), pc.utf8_slice_codeunits(text, 1), text)
+        """large_string array: what the library's decode(ids) gives for each list.
+
+        Byte pieces stand for their byte; a byte that is part of no well-formed character becomes U+FFFD."""
+        if self.dummy and len(ids):  # the space that encoding put first
+            loud = np.flatnonzero(~self.silent[ids])
+            first = np.append(loud, len(ids))[np.searchsorted(loud, offsets[:-1])]
+            first = first[first < offsets[1:]]
+            ids = ids.copy()
+            ids[first[self.spaced[ids[first]]]] += self.n_ids
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), self.surface.take(pa.array(ids)))
+        raw = pc.binary_join(lists, pa.scalar(b"", pa.large_binary()))
+        try:
+            text = raw.cast(pa.large_string())  # checks that all are well formed
+        except pa.ArrowInvalid:
+            text = pa.array([utf8(r) for r in raw.to_pylist()], pa.large_string())
         return text
 
 
