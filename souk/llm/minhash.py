@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -288,20 +289,24 @@ def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Edges confirmed on the full sets of the groups' members (at most a spanning forest a task).
 
-    ``groups``: (id, component, rep, set_hash). A Bloom filter of the representatives keeps other texts out of the shuffle."""
+    ``groups``: (id, component, rep, set_hash). One Python step asks a Bloom filter of the representatives, so that other
+    texts are neither cut nor shuffled, and one set of each (rep, set_hash) is kept before the groups are joined."""
+    bloom = docs.sparkSession.sparkContext.broadcast(build_filter(groups.select(F.col("rep").alias("key"))))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_steps(batches, step_bytes=STEP_BYTES):
-            sets = shingle_sets(b.column(3))
-            own = pa.array([set_hash(s) == h for s, h in zip(sets, b.column(2).to_pylist())])
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "component", "n", "data"]).filter(own)
+        for b in batches:
+            known = b.column(0).is_valid()
+            held = pa.array(bloom.value.contains(np.asarray(b.column(0).fill_null(0)).astype(np.int64)))
+            b = b.filter(pc.and_(known, held))
+            for c in text_steps(iter([b]), step_bytes=STEP_BYTES):
+                sets = shingle_sets(c.column(1))
+                yield pa.RecordBatch.from_arrays([
+                    c.column(0), pa.array([set_hash(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set_hash", "n", "data"])
 
-    bloom = build_filter(groups.select(F.col("rep").alias("key")))
     rows = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
-    rows = rows.filter(membership(rows, F.col("rep"), bloom))
-    sets = materialise(rows.join(groups, "rep").select("id", "component", "set_hash", "text")
-                       .mapInArrow(run, "id bigint, component bigint, n bigint, data binary"), "op8-sets")
+    sets = rows.mapInArrow(run, "rep bigint, set_hash binary, n bigint, data binary").dropDuplicates(["rep", "set_hash"])
+    sets = materialise(sets.join(groups, ["rep", "set_hash"]).select("id", "component", "n", "data"), "op8-sets")
     sizes = sets.groupBy("component").agg(F.expr(f"int(ceil(sum(n) / {GROUP_BLOCK}))").alias("blocks"))
     dealt = _block_pairs(sets.join(sizes, "component"), "blocks")
 

@@ -220,15 +220,20 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score is below ``least``; only the texts go to Python."""
+    """``docs`` without the rows whose score is below ``least``; rows stream through in small slices, none waits in the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
 
-    @F.arrow_udf("boolean")
-    def good(text: pa.Array) -> pa.Array:
-        steps = text_steps(iter([pa.RecordBatch.from_arrays([text], ["text"])]), step_bytes=STEP_BYTES)
-        return pa.array(np.concatenate([np.empty(0, bool), *(shared.value.scores(features(s.column(0))) >= least for s in steps)]))
-
-    return docs.filter(good(docs[text_col]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in text_steps(iter([pa.RecordBatch.from_arrays([b.column(at), pa.array(np.arange(b.num_rows))], ["text", "row"])]),
+                                step_bytes=STEP_BYTES):
+                good = shared.value.scores(features(s.column(0))) >= least
+                yield b.take(s.column(1).filter(pa.array(good)))
+
+    rows = docs.toDF(*names)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def decide(docs: DataFrame, model: QualityModel, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
