@@ -33,9 +33,20 @@ def collapse_ws(c: Column) -> Column:
 
 
 def php_int(c: Column) -> Column:
-    """(int) cast of form text: the leading number, cut at the decimal point; 0 for NULL and for text without one."""
-    number = F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), _LEADING_NUMBER, 1).try_cast("double")
-    return F.coalesce(number.try_cast("int"), F.lit(0))
+    """(int) cast of form text, as a long: the leading number, cut at the decimal point; 0 for NULL and for text without one.
+
+    Numbers beyond 64 bits become the largest or smallest long."""
+    text = F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), _LEADING_NUMBER, 1)
+    number = text.try_cast("double")
+    least, most = -(2**63), 2**63 - 1
+    cut = F.when(number >= F.lit(float(2**63)), F.lit(most)).when(number <= F.lit(float(least)), F.lit(least)) \
+        .otherwise(number.try_cast("long"))
+    return F.coalesce(F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long")), cut, F.lit(0).cast("long"))
+
+
+def fits_int(c: Column) -> Column:
+    """Whether a long fits an INT column."""
+    return c.between(-(2**31), 2**31 - 1)
 
 
 def email_valid(c: Column) -> Column:

@@ -3,6 +3,8 @@ and the catalog feed load (P1, P8, P9, J1, J2, S3, S4)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,14 @@ def _with_live_rating(products: DataFrame, reviews: DataFrame) -> DataFrame:
                    .drop("rated_count", "rating_sum")
 
 
+def like_text(pattern: str) -> str:
+    """A LIKE pattern as the database reads it: a backslash before anything but a wildcard or a backslash stands for
+    nothing, one at the end for itself."""
+    kept = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], pattern, flags=re.DOTALL)
+    loose = len(kept) - len(kept.rstrip("\\"))
+    return kept + "\\" if loose % 2 else kept
+
+
 def catalog_search(t: Tables, search: str = "", category_id: int = 0,
                    accent_insensitive: bool = False) -> DataFrame:
     """P1. Optional case-insensitive name search and optional category, newest first.
@@ -74,7 +84,7 @@ def catalog_search(t: Tables, search: str = "", category_id: int = 0,
         if accent_insensitive:
             p = p.filter(F.contains(F.col("name").cast("string collate UNICODE_CI_AI"), F.lit(search)))
         else:
-            p = p.filter(F.col("name").ilike(f"%{search}%"))
+            p = p.filter(F.col("name").ilike(like_text(f"%{search}%")))
     if category_id:
         p = p.filter(F.col("category_id") == category_id)
     base = p.join(_cat_names(t), "category_id").join(_seller_names(t), "seller_id")

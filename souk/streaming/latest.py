@@ -1,8 +1,8 @@
 """A keyed table that a stream keeps current: the newest row per key, in bounded files.
 
 Every micro-batch writes its changed rows under its batch id (a replayed batch overwrites its own files).
-Every ``compact_every`` batches the rows are merged into one base and the files merged before are deleted, so a reader opens
-one base and a few deltas, however long the stream has run. One stream writes one table.
+Every ``compact_every`` batches the rows of all earlier batches are merged into one base and their files deleted, so a reader opens
+one base and a few deltas, however long the stream has run, and a replayed batch can read the state before it. One stream writes one table.
 """
 
 from __future__ import annotations
@@ -39,12 +39,15 @@ class LatestTable:
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Take the batch's rows (one per key) as the newest; call it from ``foreachBatch``."""
         rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.root}/delta/b{batch_id}")
-        if (batch_id + 1) % self.compact_every == 0:
-            self.read(rows.schema, batch_id).write.mode("overwrite").partitionBy(*self.partition_by) \
-                .parquet(f"{self.root}/base/b{batch_id}")
+        if (batch_id + 1) % self.compact_every == 0 and batch_id > 0:  # a replayed batch still finds the state before it
+            last = batch_id - 1
+            merged = self.read(rows.schema, last)
+            if self.partition_by:
+                merged = merged.repartition(*self.partition_by)
+            merged.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.root}/base/b{last}")
             for kind in ("base", "delta"):
                 for i in self._finished(kind):
-                    if i < batch_id or kind == "delta" and i == batch_id:
+                    if i < last or kind == "delta" and i == last:
                         self._fs.delete(self._path(f"{self.root}/{kind}/b{i}"), True)
 
     def read(self, schema, upto: int | None = None) -> DataFrame:

@@ -9,8 +9,9 @@ are stateless. Per-key state (one row a product or order) is kept for good, as t
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -19,10 +20,9 @@ from souk.operators.audit import review_audit, status_change_audit
 from souk.streaming.latest import LatestTable
 from souk.streaming.replay import replay
 
-# Trigger messages and the scheduler's delay.
+# Trigger messages.
 MSG_POSITIVE = "Cart quantity must be positive"
 MSG_EXCEEDS = "Cart quantity exceeds available stock"
-DELIVERY_DELAY = dt.timedelta(minutes=1)
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -95,27 +95,48 @@ def stream_review_audit(spark: SparkSession, changes: DataFrame) -> DataFrame:
 _DELIVERY_KEYS = ["order_id", "created_at"]
 
 
+def _due() -> Column:
+    return F.col("created_at") + F.expr("INTERVAL 1 MINUTE")  # fixed value: the scheduler's delay
+
+
 def status_when_due(stream: DataFrame) -> DataFrame:
-    """Each order's status one minute after creation: later events cannot change it, a late earlier one corrects it."""
-    due = F.col("created_at") + F.expr("INTERVAL 1 MINUTE")
-    last = F.max(F.struct("event_time", "status"))
-    return stream.filter(F.col("event_time") <= due).groupBy("order_id", "created_at") \
-        .agg(last.alias("last")).select("order_id", "created_at", F.col("last.status").alias("previous_status"))
+    """Each order's status one minute after creation, and the latest time its events tell (``seen``).
+
+    Later events cannot change the status, a late earlier one corrects it."""
+    last = F.max(F.when(F.col("event_time") <= _due(), F.struct("event_time", "status")))
+    return stream.groupBy("order_id", "created_at").agg(last.alias("last"), F.max("event_time").alias("seen")) \
+        .select("order_id", "created_at", F.col("last.status").alias("previous_status"), "seen")
+
+
+def _wall(moment: dt.datetime) -> Column:
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def start_mark_delivered(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """X3. The once-a-minute delivery event, in event time; results of late events are upserted."""
+def start_mark_delivered(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None,
+                         clock: Callable[[], dt.datetime] | None = None) -> StreamingQuery:
+    """X3. The once-a-minute delivery event.
+
+    An order is delivered when the clock has passed its creation by a minute, not before. The clock is the latest event
+    time the stream has brought, or what ``clock()``, which must not go back, gives when a batch runs (the wall clock, say).
+    Late events are upserted: an order cancelled within its minute is not delivered, whenever that is learnt."""
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if clock:
+            batch = batch.withColumn("seen", _wall(clock()))
         LatestTable(batch.sparkSession, out, _DELIVERY_KEYS).write(batch, batch_id)
 
     return _start(status_when_due(events).writeStream.outputMode("update").foreachBatch(sink), checkpoint, trigger)
 
 
-def read_mark_delivered(spark: SparkSession, out: str) -> DataFrame:
-    schema = spark.range(0).selectExpr("id AS order_id", "CAST(NULL AS timestamp_ntz) AS created_at", "'' AS previous_status").schema
-    latest = LatestTable(spark, out, _DELIVERY_KEYS).read(schema)
-    return latest.filter(F.col("previous_status").isin("pending", "completed")).select(
-        "order_id", (F.col("created_at") + F.expr("INTERVAL 1 MINUTE")).alias("delivered_at"), "previous_status")
+def read_mark_delivered(spark: SparkSession, out: str, as_of: dt.datetime | None = None) -> DataFrame:
+    """Deliveries up to the stream's clock, or as seen at ``as_of`` where that is later (a quiet stream brings no new time)."""
+    time = "CAST(NULL AS timestamp_ntz)"
+    schema = spark.range(0).selectExpr("id AS order_id", f"{time} AS created_at", "'' AS previous_status", f"{time} AS seen").schema
+    orders = LatestTable(spark, out, _DELIVERY_KEYS).read(schema)
+    now = orders.agg(F.max("seen")).scalar()
+    if as_of is not None:
+        now = F.greatest(now, _wall(as_of))
+    return orders.filter(F.col("previous_status").isin("pending", "completed") & (_due() <= now)).select(
+        "order_id", _due().alias("delivered_at"), "previous_status")
 
 
 def stream_mark_delivered(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -146,40 +167,65 @@ def stream_cart_guard(spark: SparkSession, cart_feed: DataFrame, products: DataF
 
 
 # ------------------------------------------------------------------ X5
-_DAY_KEYS, _ORDER_KEYS = ["order_date"], ["order_date", "order_id"]
+_DAY_KEYS, _ORDER_KEYS = ["order_date"], ["order_month", "order_day", "order_id"]
+#: Months a batch may name for its order rows to be looked up by folder; a batch of more reads the whole table.
+_MOST_MONTHS = 1000
+_DAY_SUMS = ["subtotal", "delivery_fees", "taxes", "revenue"]
 
 
 def order_sums(lines: DataFrame) -> DataFrame:
-    """Running subtotal of each order (one creation day each), whatever order its lines come in."""
-    return lines.groupBy(F.to_date("created_at").alias("order_date"), "order_id") \
+    """Subtotal of each order's lines, with its creation day and month as texts ('none' without a time)."""
+    text = lambda form: F.coalesce(F.date_format("created_at", form), F.lit("none"))
+    return lines.groupBy(text("yyyy-MM").alias("order_month"), text("yyyy-MM-dd").alias("order_day"), "order_id") \
         .agg(sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal"))
 
 
-def _day_totals(orders: DataFrame) -> DataFrame:
-    t = with_totals(orders)
-    return t.groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("total_orders"), money(F.sum("subtotal")).alias("subtotal"),
-        money(F.sum("delivery_fee")).alias("delivery_fees"), money(F.sum("tax_amount")).alias("taxes"),
-        money(F.sum("total_amount")).alias("revenue"))
+def order_images(added: DataFrame, orders: DataFrame) -> DataFrame:
+    """(keys, old subtotal or null, new subtotal) of each order that ``added`` sums add to; ``orders`` holds the subtotals before."""
+    before = orders.select(*_ORDER_KEYS, F.col("subtotal").alias("old"))
+    return added.join(before, _ORDER_KEYS, "left").select(
+        *_ORDER_KEYS, "old", money(F.coalesce("old", F.lit(0)) + F.col("subtotal")).alias("new"))
+
+
+def day_differences(images: DataFrame) -> DataFrame:
+    """What the changed orders add to each day: their new totals less their old ones (tax is rounded per order)."""
+    def side(column: str, sign: int) -> DataFrame:
+        t = with_totals(images.filter(F.col(column).isNotNull()).select("order_day", F.col(column).alias("subtotal")))
+        return t.select("order_day", F.lit(sign).alias("total_orders"), *[
+            (F.col(c) * sign).alias(n) for c, n in zip(("subtotal", "delivery_fee", "tax_amount", "total_amount"), _DAY_SUMS)])
+
+    both = side("new", 1).unionByName(side("old", -1))
+    return both.groupBy(F.when(F.col("order_day") != "none", F.to_date("order_day")).alias("order_date")).agg(
+        F.sum("total_orders").cast("long").alias("total_orders"), *[money(F.sum(c)).alias(c) for c in _DAY_SUMS])
 
 
 def start_daily_sales(lines: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """X5. Daily sales over order lines of live orders.
+    """X5. Daily sales over order lines of live orders, kept by change images.
 
-    A batch's changed orders are upserted into a table partitioned by day; the days they touch are summed
-    anew from that table (tax is rounded per order) and upserted. A line of any age corrects its day."""
+    A batch's lines give each order they touch an old and a new subtotal; the order table, in folders by month, takes the new
+    one, and the touched days take the difference of the two. No day is summed anew and only
+    the touched months' orders are looked up. A line of any age corrects its day; a replayed batch starts from the state before it."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        orders = LatestTable(spark, f"{out}/orders", _ORDER_KEYS, partition_by=["order_date"])
-        orders.write(batch, batch_id)
-        touched = batch.select(F.col("order_date").alias("day")).distinct()
-        current = orders.read(batch.schema, batch_id)
-        changed = current.join(touched, F.col("order_date").eqNullSafe(F.col("day")), "left_semi")
-        LatestTable(spark, f"{out}/days", _DAY_KEYS).write(_day_totals(changed), batch_id)
-        batch.unpersist()
-
-    return _start(order_sums(lines).writeStream.outputMode("update").foreachBatch(sink), checkpoint, trigger)
+        orders = LatestTable(spark, f"{out}/orders", _ORDER_KEYS, partition_by=["order_month"])
+        days = LatestTable(spark, f"{out}/days", _DAY_KEYS)
+        sums = order_sums(batch).persist()
+        months = [r[0] for r in sums.select("order_month").distinct().limit(_MOST_MONTHS + 1).collect()]
+        before = orders.read(sums.schema, batch_id - 1)
+        if len(months) <= _MOST_MONTHS:
+            before = before.filter(F.col("order_month").isin(months))
+        images = order_images(sums, before).persist()
+        orders.write(images.select(*_ORDER_KEYS, F.col("new").alias("subtotal")).repartition("order_month"), batch_id)
+        added = day_differences(images)
+        touched = days.read(added.schema, batch_id - 1).join(
+            added.select(F.col("order_date").alias("day")), F.col("order_date").eqNullSafe(F.col("day")), "left_semi")
+        total = added.unionByName(touched).groupBy("order_date").agg(
+            F.sum("total_orders").alias("total_orders"), *[money(F.sum(c)).alias(c) for c in _DAY_SUMS])
+        days.write(total.coalesce(1), batch_id)  # a row a day
+        images.unpersist()
+        sums.unpersist()
+
+    return _start(lines.writeStream.foreachBatch(sink), checkpoint, trigger)
 
 
 def read_daily_sales(spark: SparkSession, out: str) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 from decimal import Decimal as D
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from souk.functions.text import email_valid, php_int
-from souk.operators import changes, checkout, quality, reports
+from souk.operators import catalog, changes, checkout, quality, reports
+from souk.plans import scans
 from souk.plans.numbering import number_rows, order_bucket, running_sums
 from souk.sources.seed import seed_tables
 
@@ -98,11 +100,80 @@ def test_product_requests_equal_one_at_a_time(spark):
 
 
 def test_int_cast_of_form_text(spark):
-    want = {"3a": 3, " 12 ": 12, "1.9": 1, "-4.2x": -4, "": 0, "abc": 0, "1e3": 1000, ".5": 0, "+7": 7, "99999999999": 0, "--1": 0}
+    want = {"3a": 3, " 12 ": 12, "1.9": 1, "-4.2x": -4, "": 0, "abc": 0, "1e3": 1000, ".5": 0, "+7": 7, "99999999999": 99999999999, "--1": 0,
+            "9007199254740993": 2**53 + 1, "99999999999999999999": 2**63 - 1, "-1e30": -(2**63), "1e400": 2**63 - 1}
     df = spark.createDataFrame([(k,) for k in want] + [(None,)], "t string").select("t", php_int(F.col("t")).alias("n"))
     assert {r["t"]: r["n"] for r in df.collect()} == {**want, None: 0}
 
 
+def test_scan_of_piecewise_changes_equals_one_after_the_other():
+    rng = np.random.default_rng(7)
+    for n, runs in ((1, 1), (2, 1), (7, 3), (500, 9), (3000, 1)):
+        op, quantity = rng.integers(0, 3, n), rng.integers(1, 12, n)
+        if n == 3000:
+            op[:] = 1  # adds alone: every one a break point
+        stock, known = rng.integers(0, 60 if n < 3000 else 4000, n), rng.random(n) < 0.95
+        run = np.sort(rng.integers(0, runs, n))
+        run = np.unique(run, return_inverse=True)[1]
+        start = rng.integers(-2, 30, run[-1] + 1)
+        f = changes._cart_changes(op, quantity, stock, known)
+        whole, tree = scans.compose_runs(f, run)
+        before = scans.states_before(tree, start)
+        state = None
+        for i in range(n):
+            s = start[run[i]] if i == 0 or run[i] != run[i - 1] else state
+            assert before[i] == s
+            if op[i] == 0:
+                state = 0
+            elif op[i] == 1:
+                state = s + quantity[i] if known[i] and s + quantity[i] <= stock[i] else s
+            else:
+                state = quantity[i] if s != 0 and known[i] and quantity[i] <= stock[i] else s
+            assert f.at(np.array([i]), np.array([s]))[0] == state
+            if i == n - 1 or run[i + 1] != run[i]:
+                assert whole.at(np.array([run[i]]), np.array([start[run[i]]]))[0] == state
+
+
+def test_hot_cart_pair_runs_in_many_tasks(spark, seed):
+    """A pair with adds alone, without a remove to cut at: ranges side by side equal the plain loop."""
+    rng, n = random.Random(3), 100_000
+    stock = 60_000
+    products = seed.products.withColumn("stock", F.when(F.col("id") == 1, F.lit(stock)).otherwise(F.col("stock")))
+    quantity = [rng.randrange(1, 40) for _ in range(n)]
+    feed = spark.createDataFrame(pd.DataFrame({"seq": range(n), "quantity": quantity})).selectExpr(
+        "seq", "5L AS user_id", "1L AS product_id", "'add' AS op", "int(quantity) AS quantity")
+    ev = changes.cart_events(seed.with_(products=products, cart=seed.cart.filter("user_id <> 5")), feed)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the test's rows would all fit one task
+    try:
+        got = ev.withColumn("task", F.spark_partition_id()).toPandas().sort_values("seq")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    s, after = 0, []
+    for q in quantity:
+        s = s + q if s + q <= stock else s
+        after.append(s)
+    assert got["qty_after"].tolist() == after and got["accepted"].tolist() == [a != b for a, b in zip(after, [0, *after])]
+    assert got["task"].nunique() >= 4
+
+
+def test_huge_cart_quantity_is_rejected(spark, seed):
+    feed = spark.createDataFrame([(1, 5, 1, "add", "9999999999"), (2, 5, 1, "add", "99999999999999999999999")],
+                                 "seq long, user_id long, product_id long, op string, quantity string")
+    rejects = changes.apply_cart_changes(seed, feed)[1]
+    assert sorted((r["seq"], r["reason"]) for r in rejects.collect()) == [(1, changes.MSG_STOCK), (2, changes.MSG_STOCK)]
+
+
+def test_search_text_with_backslashes(spark, seed):
+    names = ["a\\b", "ab", "100%", "100x", "a_c", "abc", "end\\", "50% off"]
+    rows = [(i, n) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id long, name string")
+    found = lambda s: {r["name"] for r in df.filter(F.col("name").ilike(catalog.like_text(f"%{s}%"))).collect()}
+    assert found("a\\b") == {"ab", "abc"} and found("a\\\\b") == {"a\\b"}
+    assert found("100\\%") == {"100%"} and found("100%") == {"100%", "100x"} and found("a\\_c") == {"a_c"}
+    assert found("0\\") == {"50% off", "100%"} - {"50% off"}  # the closing wildcard becomes a plain sign
+    assert catalog.catalog_search(seed, search="a\\b").count() == 0
+
+
 def test_email_shape(spark):
     good = ["a@b.co", "first.last+tag@sub.example-site.org", "o'neil@x.io", "a" * 64 + "@example.com"]
     bad = ["a..b@x.com", ".a@x.com", "a.@x.com", "a" * 65 + "@x.com", "a@b", "a@-b.com", "a@b-.com", "a@@b.com", "a b@c.de", "", "a@" + "b" * 64 + ".com",
@@ -203,6 +274,8 @@ def test_cart_changes_equal_brute_force(spark):
     events = [(i, rng.choice([5, 6]), rng.choice([1, 2, 6, 99]), rng.choice(["add", "add", "set", "remove"]),
                rng.randint(-1, 6)) for i in range(300)]
     feed = spark.createDataFrame(events, "seq long, user_id long, product_id long, op string, quantity int")
+    plain = sorted(map(tuple, changes.cart_events(seed, feed).collect()))
+    assert plain == sorted(map(tuple, changes.cart_events(seed, feed, pair_rows=20).collect()))  # long pairs cut into ranges
     state, rej = changes.apply_cart_changes(seed, feed)
     init = {(r["user_id"], r["product_id"]): r["quantity"] for r in seed.cart.collect()}
     exp_state, exp_rej = _cart_brute(init, stock, events)

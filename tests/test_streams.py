@@ -74,6 +74,74 @@ def test_mark_delivered_stream_any_slicing(fx):
     assert results[0] == results[1] and early > 0 and len(results[0]) == fx.orders().count() - early
 
 
+def feed_by_feed(spark, start, slices, schema, read):
+    """What ``read`` gives after each slice."""
+    base, seen = scratch_dir(spark, "feeds"), []
+    for rows in slices:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/source")
+        start(spark.readStream.schema(schema).parquet(f"{base}/source"), f"{base}/out", f"{base}/ckpt").awaitTermination()
+        seen.append(sorted(map(tuple, read(f"{base}/out").collect())))
+    return seen
+
+
+def test_nothing_is_delivered_before_its_minute_is_over(spark):
+    at = lambda s: dt.datetime(2024, 1, 1, 9) + dt.timedelta(seconds=s)
+    event = lambda i, status, born, s: (i, status, at(s), at(born))
+    slices = [[event(1, "pending", 0, 0), event(2, "pending", 0, 0)], [event(3, "pending", 20, 20)], [event(2, "cancelled", 0, 45)],
+              [event(4, "pending", 60, 60)], [event(1, "completed", 0, 30)], [event(5, "pending", 79, 79)], [event(6, "pending", 80, 80)]]
+    schema = "order_id long, status string, event_time timestamp_ntz, created_at timestamp_ntz"
+    got = feed_by_feed(spark, streams.start_mark_delivered, slices, schema, lambda out: streams.read_mark_delivered(spark, out))
+    one, late = (1, at(60), "pending"), (1, at(60), "completed")  # a late event corrects the status it had
+    assert got == [[], [], [], [one], [late], [late], [late, (3, at(80), "pending")]]
+
+
+def test_delivery_by_a_given_clock(spark):
+    born = dt.datetime(2024, 1, 1, 9)
+    schema = "order_id long, status string, event_time timestamp_ntz, created_at timestamp_ntz"
+    wall = iter([born + dt.timedelta(seconds=20), born + dt.timedelta(seconds=70), born])
+    got = feed_by_feed(spark, lambda *a: streams.start_mark_delivered(*a, clock=lambda: next(wall)),
+                       [[(1, "pending", born, born)], [(2, "pending", born, born)], [(3, "pending", born, born)]], schema,
+                       lambda out: streams.read_mark_delivered(spark, out))
+    assert [[r[0] for r in g] for g in got] == [[], [1, 2], [1, 2, 3]]  # the clock never goes back
+    quiet = feed_by_feed(spark, streams.start_mark_delivered, [[(1, "pending", born, born)]], schema,
+                         lambda out: streams.read_mark_delivered(spark, out, as_of=born + dt.timedelta(minutes=1)))
+    assert [r[0] for r in quiet[0]] == [1]
+
+
+def _day_rows(spark, rows):
+    from decimal import Decimal
+
+    return spark.createDataFrame([(o, c, q, Decimal(p) / 100) for o, c, q, p in rows],
+                                 "order_id long, created_at timestamp_ntz, quantity int, price decimal(10,2)")
+
+
+def test_daily_sales_files_do_not_grow_with_days_and_replays_change_nothing(spark):
+    rng = random.Random(3)
+    born = {o: dt.datetime(2024, 1 + o % 2, 1 + o % 28, o % 24) for o in range(400)}
+    rows = [(o, born[o], rng.randrange(1, 5), rng.randrange(100, 9000)) for o in rng.choices(range(400), k=1500)]
+    base, all_rows = scratch_dir(spark, "days"), []
+    for at in range(0, 1500, 500):
+        part = rows[at:at + 500]
+        all_rows += part
+        _day_rows(spark, part).coalesce(1).write.mode("append").parquet(f"{base}/source")
+        stream = spark.readStream.schema(_day_rows(spark, []).schema).parquet(f"{base}/source")
+        streams.start_daily_sales(stream, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    schema = streams.order_sums(_day_rows(spark, [])).schema
+    files = [len(spark.read.schema(schema).parquet(f"{base}/out/orders/delta/b{i}").inputFiles()) for i in range(3)]
+    assert max(files) <= 2  # a file a month and batch, whatever the days and tasks
+    want = sorted(map(tuple, streams.day_differences(streams.order_images(streams.order_sums(_day_rows(spark, all_rows)), spark.createDataFrame([], schema))).collect()))
+    assert sorted(map(tuple, streams.read_daily_sales(spark, f"{base}/out").collect())) == want
+    seen = {}
+    for o, c, q, p in all_rows:
+        seen[o] = seen.get(o, 0) + q * p
+    assert sum(r[2] for r in want) * 100 == sum(seen.values()) and sum(r[1] for r in want) == len(seen)
+    # the last batch once more, as after a crash before its commit
+    orders = LatestTable(spark, f"{base}/out/orders", ["order_month", "order_day", "order_id"], partition_by=["order_month"])
+    images = streams.order_images(streams.order_sums(_day_rows(spark, rows[1000:])), orders.read(schema, 1))
+    again = {tuple(r) for r in images.select("order_id", "new").collect()}
+    assert again <= {tuple(r) for r in orders.read(schema).select("order_id", "subtotal").collect()}
+
+
 def test_status_audit_stream_equals_batch(fx):
     ev = feeds.order_status_events(fx)
     batch = sorted(audit.status_change_audit(audit.order_status_transitions(ev), time_col="event_time").collect())
