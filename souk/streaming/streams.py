@@ -167,16 +167,16 @@ def stream_cart_guard(spark: SparkSession, cart_feed: DataFrame, products: DataF
 
 
 # ------------------------------------------------------------------ X5
-_DAY_KEYS, _ORDER_KEYS = ["order_date"], ["order_month", "order_day", "order_id"]
-#: Months a batch may name for its order rows to be looked up by folder; a batch of more reads the whole table.
-_MOST_MONTHS = 1000
+_DAY_KEYS, _ORDER_KEYS = ["order_date"], ["order_quarter", "order_day", "order_id"]
+#: Quarters a batch may name for its order rows to be looked up by folder; a batch of more reads the whole table.
+_MOST_QUARTERS = 1000
 _DAY_SUMS = ["subtotal", "delivery_fees", "taxes", "revenue"]
 
 
 def order_sums(lines: DataFrame) -> DataFrame:
-    """Subtotal of each order's lines, with its creation day and month as texts ('none' without a time)."""
+    """Subtotal of each order's lines, with its creation day and quarter as texts ('none' without a time)."""
     text = lambda form: F.coalesce(F.date_format("created_at", form), F.lit("none"))
-    return lines.groupBy(text("yyyy-MM").alias("order_month"), text("yyyy-MM-dd").alias("order_day"), "order_id") \
+    return lines.groupBy(text("yyyy-'Q'q").alias("order_quarter"), text("yyyy-MM-dd").alias("order_day"), "order_id") \
         .agg(sum_of_lines(F.col("quantity"), F.col("price")).alias("subtotal"))
 
 
@@ -202,25 +202,26 @@ def day_differences(images: DataFrame) -> DataFrame:
 def start_daily_sales(lines: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """X5. Daily sales over order lines of live orders, kept by change images.
 
-    A batch's lines give each order they touch an old and a new subtotal; the order table, in folders by month, takes the new
+    A batch's lines give each order they touch an old and a new subtotal; the order table, in folders by quarter, takes the new
     one, and the touched days take the difference of the two. No day is summed anew and only
-    the touched months' orders are looked up. A line of any age corrects its day; a replayed batch starts from the state before it."""
+    the touched quarters' orders are looked up. A line of any age corrects its day; a replayed batch starts from the state before it."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        orders = LatestTable(spark, f"{out}/orders", _ORDER_KEYS, partition_by=["order_month"])
+        orders = LatestTable(spark, f"{out}/orders", _ORDER_KEYS, partition_by=["order_quarter"])
         days = LatestTable(spark, f"{out}/days", _DAY_KEYS)
         sums = order_sums(batch).persist()
-        months = [r[0] for r in sums.select("order_month").distinct().limit(_MOST_MONTHS + 1).collect()]
+        quarters = [r[0] for r in sums.select("order_quarter").distinct().limit(_MOST_QUARTERS + 1).collect()]
         before = orders.read(sums.schema, batch_id - 1)
-        if len(months) <= _MOST_MONTHS:
-            before = before.filter(F.col("order_month").isin(months))
+        if len(quarters) <= _MOST_QUARTERS:
+            before = before.filter(F.col("order_quarter").isin(quarters))
         images = order_images(sums, before).persist()
-        orders.write(images.select(*_ORDER_KEYS, F.col("new").alias("subtotal")).repartition("order_month"), batch_id)
+        orders.write(images.select(*_ORDER_KEYS, F.col("new").alias("subtotal")).repartition("order_quarter"), batch_id)
         added = day_differences(images)
-        touched = days.read(added.schema, batch_id - 1).join(
-            added.select(F.col("order_date").alias("day")), F.col("order_date").eqNullSafe(F.col("day")), "left_semi")
-        total = added.unionByName(touched).groupBy("order_date").agg(
-            F.sum("total_orders").alias("total_orders"), *[money(F.sum(c)).alias(c) for c in _DAY_SUMS])
+        both = added.withColumn("touched", F.lit(True)).unionByName(
+            days.read(added.schema, batch_id - 1).withColumn("touched", F.lit(False)))
+        total = both.groupBy("order_date").agg(
+            F.sum("total_orders").alias("total_orders"), *[money(F.sum(c)).alias(c) for c in _DAY_SUMS], F.max("touched").alias("touched"))
+        total = total.filter("touched").drop("touched")
         days.write(total.coalesce(1), batch_id)  # a row a day
         images.unpersist()
         sums.unpersist()
