@@ -49,6 +49,11 @@ def fits_int(c: Column) -> Column:
     return c.between(-(2**31), 2**31 - 1)
 
 
+def name_key(c: Column) -> Column:
+    """A text as the database compares names: blind to case, accents and trailing blanks. Equality, grouping and joins follow it."""
+    return c.cast("string collate UNICODE_CI_AI_RTRIM")
+
+
 def email_valid(c: Column) -> Column:
     return F.coalesce(c.rlike(EMAIL_PATTERN) & (F.length(c) <= EMAIL_MAX), F.lit(False))
 

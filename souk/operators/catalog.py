@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.money import DEFAULT_IMAGE
-from souk.functions.text import php_trim
+from souk.functions.text import name_key, php_trim
 from souk.operators.reports import rating_summary, review_aggregates
 from souk.sources.tables import Tables, conform
 
@@ -116,10 +116,10 @@ def catalog_card(df: DataFrame) -> DataFrame:
 
 
 def load_catalog_feed(feed: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3. Resolve category by name, whatever its case. Unmatched rows are dropped by the load and
+    """S3. Resolve category by name, whatever its case, accents and trailing blanks. Unmatched rows are dropped by the load and
     returned separately as rejects."""
-    cats = categories.select(F.col("id").alias("category_id"), F.lower("name").alias("__name"))
-    named = feed.withColumn("__name", F.lower("category_name"))
+    cats = categories.select(F.col("id").alias("category_id"), name_key(F.col("name")).alias("__name"))
+    named = feed.withColumn("__name", name_key(F.col("category_name")))
     loaded = named.join(cats, "__name").drop("__name")
     rejected = named.join(cats, "__name", "left_anti").drop("__name").withColumn("reason", F.lit("unknown category"))
     return loaded, rejected

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.text import collapse_ws, fits_int, php_int, php_trim, phone_valid, ts_literal
+from souk.functions.text import collapse_ws, fits_int, name_key, php_int, php_trim, phone_valid, ts_literal
 from souk.plans.numbering import number_rows, order_bucket
 from souk.plans.scans import LIMIT, Pieces, compose_runs, states_before
 from souk.session import written
@@ -62,14 +62,14 @@ def upsert(base: DataFrame, updates: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insert_ignore_categories(categories: DataFrame, feed: DataFrame) -> DataFrame:
-    """M2b. Add new category names (``seq``, ``name``): an existing name wins whatever its case, blanks are skipped.
+    """M2b. Add new category names (``seq``, ``name``): an existing name wins whatever its case or accents, blanks are skipped.
 
-    Of spellings that differ in case the first to arrive is kept; new ids continue after the current maximum in
+    Of spellings that are one name to the database the first to arrive is kept; new ids continue after the current maximum in
     order of arrival.
     """
     names = feed.select("seq", php_trim(F.col("name")).alias("name")).filter(F.col("name") != "")
-    first = names.groupBy(F.lower("name").alias("k")).agg(F.min(F.struct("seq", "name")).alias("f"))
-    new = first.join(categories.select(F.lower("name").alias("k")), "k", "left_anti").select("f.seq", "f.name")
+    first = names.groupBy(name_key(F.col("name")).alias("k")).agg(F.min(F.struct("seq", "name")).alias("f"))
+    new = first.join(categories.select(name_key(F.col("name")).alias("k")), "k", "left_anti").select("f.seq", "f.name")
     start = categories.select(F.coalesce(F.max("id"), F.lit(0)) + 1).scalar()
     return categories.unionByName(conform(number_rows(new, "seq", "id", start=start), "categories"))
 

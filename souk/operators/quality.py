@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions.text import email_valid, luhn_valid, phone_valid
+from souk.functions.text import email_valid, luhn_valid, name_key, phone_valid
 from souk.sources.schema import (ACCOUNT_STATUSES, ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES, SCHEMAS,
                                  USER_ROLES)
 from souk.sources.tables import Tables, retired_columns_present
@@ -78,13 +78,19 @@ UNIQUE_KEYS = (
 
 
 def check_unique(t: Tables) -> DataFrame:
-    """D3. Keys that occur more than once (case-insensitive for email and category name); a key with a NULL never does."""
+    """D3. Keys that occur more than once; a key with a NULL never does.
+
+    Email and category name compare as names do (``name_key``); of several spellings the least is shown, in lower case."""
     tables = dict(t.items())
     parts = []
     for table, keys in UNIQUE_KEYS:
         typed = [F.expr(k).alias(f"k{i}") for i, k in enumerate(keys)]
         names = [f"k{i}" for i in range(len(keys))]
-        g = tables[table].select(*typed).dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("occurrences"))
+        rows = tables[table].select(*typed).dropna(subset=names)
+        if keys[0].startswith("lower("):
+            g = rows.groupBy(name_key(F.col("k0")).alias("name")).agg(F.min("k0").alias("k0"), F.count(F.lit(1)).alias("occurrences"))
+        else:
+            g = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("occurrences"))
         parts.append(g.filter("occurrences > 1").select(
             F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
             F.concat_ws("|", *[F.col(n).cast("string") for n in names]).alias("key_value"), "occurrences"))

@@ -188,7 +188,8 @@ def with_ctes(query: str) -> str:
 CTES["f_catalog"] = """
 SELECT id AS seq, name, description, image_url, price, stock,
        CASE WHEN id % 15 = 0 THEN 'NO_SUCH' WHEN id % 4 = 0 THEN lower(category_name)
-            WHEN id % 4 = 1 THEN upper(category_name) ELSE category_name END AS category_name, seller_id
+            WHEN id % 4 = 1 THEN upper(category_name)
+            WHEN id % 4 = 2 THEN translate(category_name, 'AEOaeo', 'ÁÉÖáéö') || ' ' ELSE category_name END AS category_name, seller_id
 FROM m_product_cols"""
 
 CTES["f_products"] = """
@@ -205,8 +206,9 @@ FROM m_products, range(4) r(nth)
 WHERE nth = 0 OR (nth = 1 AND id % 3 = 0) OR (nth = 2 AND id % 5 = 0) OR (nth = 3 AND id % 15 = 0)"""
 
 CTES["f_categories"] = """
-SELECT p_partkey * 3 AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name FROM part
-UNION ALL SELECT p_partkey * 3 + 1, p_type FROM part
+SELECT p_partkey * 3 AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand)
+                                  WHEN p_partkey % 3 = 0 THEN translate(p_brand, 'AEOaeo', 'ÁÉÖáéö') || ' ' ELSE p_brand END AS name FROM part
+UNION ALL SELECT p_partkey * 3 + 1, CASE WHEN p_partkey % 5 = 0 THEN translate(p_type, 'AEOaeo', 'ÁÉÖáéö') || ' ' ELSE p_type END FROM part
 UNION ALL SELECT p_partkey * 3 + 2, '  ' FROM part WHERE p_partkey % 100 = 0"""
 
 CTES["f_users"] = """

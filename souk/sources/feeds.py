@@ -24,11 +24,18 @@ def _pick(values: tuple, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
 
 
+def _accented(name: Column) -> Column:
+    """The same name to the database: accents on some letters, a blank at the end."""
+    return F.concat(F.translate(name, "AEOaeo", "ÁÉÖáéö"), F.lit(" "))
+
+
 def catalog_feed(fx: Fixture) -> DataFrame:
-    """S3 input: every part as a catalog row, category named by text in mixed case, every fifteenth by an unknown name."""
+    """S3 input: every part as a catalog row, category named by text in mixed case, a quarter with accents, every fifteenth by
+    an unknown name."""
     cols = fx.product_columns(fx.raw("part"))
     name = F.when(F.col("id") % 15 == 0, F.lit(UNKNOWN_CATEGORY_NAME)) \
-        .when(F.col("id") % 4 == 0, F.lower("category_name")).when(F.col("id") % 4 == 1, F.upper("category_name")).otherwise(F.col("category_name"))
+        .when(F.col("id") % 4 == 0, F.lower("category_name")).when(F.col("id") % 4 == 1, F.upper("category_name")) \
+        .when(F.col("id") % 4 == 2, _accented(F.col("category_name"))).otherwise(F.col("category_name"))
     return cols.select(F.col("id").alias("seq"), "name", "description", "image_url", "price", "stock",
                        name.alias("category_name"), "seller_id")
 
@@ -56,12 +63,14 @@ def product_feed(fx: Fixture) -> DataFrame:
 
 
 def category_feed(fx: Fixture) -> DataFrame:
-    """M2b input: for every part its brand (new, in two spellings), its type (existing), and now and then a blank."""
+    """M2b input: for every part its brand (new, in three spellings), its type (existing, some with accents), and now and then a
+    blank."""
     part = fx.raw("part")
     k = F.col("p_partkey")
-    brand = F.when(k % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    brand = F.when(k % 2 == 0, F.upper("p_brand")).when(k % 3 == 0, _accented(F.col("p_brand"))).otherwise(F.col("p_brand"))
+    kind = F.when(k % 5 == 0, _accented(F.col("p_type"))).otherwise(F.col("p_type"))
     return part.select((k * 3).alias("seq"), brand.alias("name")) \
-        .unionByName(part.select((k * 3 + 1).alias("seq"), F.col("p_type").alias("name"))) \
+        .unionByName(part.select((k * 3 + 1).alias("seq"), kind.alias("name"))) \
         .unionByName(part.filter(k % 100 == 0).select((k * 3 + 2).alias("seq"), F.lit("  ").alias("name")))
 
 

@@ -193,6 +193,21 @@ def test_unique_check_passes_nulls_and_tells_pairs_apart(spark):
         ("invoices", "order_id", "7", 2), ("cart", "user_id,product_id", "2|3", 2)}
 
 
+def test_names_are_one_whatever_their_case_accents_and_trailing_blanks(spark, seed):
+    feed = spark.createDataFrame([(1, "Café"), (2, "CAFE"), (3, "cafe  "), (4, "Straße"), (5, "STRASSE"), (6, "Tea")], "seq long, name string")
+    got = changes.insert_ignore_categories(seed.categories, feed)
+    new = got.join(seed.categories, "id", "left_anti").orderBy("id").collect()
+    assert [r["name"] for r in new] == ["Café", "Straße", "Tea"]
+    assert changes.insert_ignore_categories(got, feed).count() == got.count()
+    rows = spark.createDataFrame([(1, "CAFÉ "), (2, "strasse"), (3, "Caf"), (4, "Cof_e")], "seq long, category_name string")
+    loaded, rejected = catalog.load_catalog_feed(rows, got)
+    assert sorted(r["seq"] for r in loaded.collect()) == [1, 2] and sorted(r["seq"] for r in rejected.collect()) == [3, 4]
+    assert loaded.columns == ["seq", "category_name", "category_id"]
+    twice = got.unionByName(spark.createDataFrame([(900, "cafe")], got.schema))
+    found = quality.check_unique(seed.with_(categories=twice)).filter("table_name = 'categories'").collect()
+    assert [(r["key_value"], r["occurrences"]) for r in found] == [("cafe", 2)]
+
+
 def test_insert_ignore_keeps_the_first_spelling_in_order_of_arrival(spark):
     seed = seed_tables(spark)
     feed = spark.createDataFrame([(5, "zinc"), (1, "Zinc"), (3, " lamps "), (2, "Apple"), (4, ""), (6, "APPLE")], "seq long, name string")
