@@ -167,6 +167,18 @@ def test_op8_ids_with_several_texts_keep_all_links(spark):
     assert want[106] == 100 and want[5001] == want[5003] == 5000
 
 
+def test_op8_many_rows_of_one_id_and_text_give_one_set(spark, monkeypatch):
+    """3,000 rows of one document beside a near copy: the written sets hold one row a class."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, text)] * 3000 + [(7, text + " end"), (8, "another text of more than five words")]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), {}
+    keep = minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, purpose: seen.setdefault(purpose, keep(df, purpose)))
+    got = minhash.near_duplicates(docs, 85).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 3000), (7, 0, 1), (8, 8, 1)]
+    assert seen["op8-sets"].count() == 2
+
+
 def test_shingle_sets_equal_plain_sets(hard_rows):
     import pyarrow as pa
 

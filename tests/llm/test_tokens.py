@@ -140,3 +140,14 @@ def test_op2_split_of_bytes():
     index, words, per_doc = token_counts.split_words(pa.array(["a b", "", "b\tç\r\nb ", " "], pa.large_string()))
     assert [words[i] for i in index] == ["a", "b", "b", "ç", "b"]
     assert np.diff(per_doc).tolist() == [2, 0, 3, 0]
+
+
+def test_op3_offsets_follow_file_numbers_beyond_five_digits(spark, tmp_path):
+    names = ["part-99998-a.c000.zstd.parquet", "part-99999-a.c000.zstd.parquet", "part-99999-a.c001.zstd.parquet",
+             "part-100000-a.c000.zstd.parquet", "part-100001-a.c000.zstd.parquet"]
+    for i, name in enumerate(names):
+        ids = list(range(i + 1))
+        pq.write_table(pa.table({"doc_id": pa.array([i]), "n_tokens": pa.array([len(ids)], pa.int32()),
+                                 "ids": pa.array([ids], pa.list_(pa.int32()))}), tmp_path / name)
+    rows = token_files.token_index(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["start"] for r in rows] == [0, 1, 3, 6, 10]
