@@ -97,7 +97,7 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
 
     Names are zero-filled to five digits only, so tasks, then a task's files, are ordered as numbers."""
     totals = read_tokens(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).try_cast("long")
     before = Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\."), "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 

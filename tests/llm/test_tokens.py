@@ -143,8 +143,8 @@ def test_op2_split_of_bytes():
 
 
 def test_op3_offsets_follow_file_numbers_beyond_five_digits(spark, tmp_path):
-    names = ["part-99998-a.c000.zstd.parquet", "part-99999-a.c000.zstd.parquet", "part-99999-a.c001.zstd.parquet",
-             "part-100000-a.c000.zstd.parquet", "part-100001-a.c000.zstd.parquet"]
+    names = ["part-99998-a-c000.zstd.parquet", "part-99999-a-c000.zstd.parquet", "part-99999-a-c001.zstd.parquet",
+             "part-100000-a-c000.zstd.parquet", "part-100001-a-c000.zstd.parquet"]
     for i, name in enumerate(names):
         ids = list(range(i + 1))
         pq.write_table(pa.table({"doc_id": pa.array([i]), "n_tokens": pa.array([len(ids)], pa.int32()),
