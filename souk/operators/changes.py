@@ -1,4 +1,4 @@
-"""Bulk change jobs.
+"""Bulk change jobs (M1, M2, M2b, M3, M6-M8, M10; M9 is in ``cascades``).
 
 The reference edits one row per web request. Here each job takes a change
 feed DataFrame (ordered by ``seq``) and returns the new table state, plus
@@ -168,67 +168,7 @@ def apply_product_changes(t: Tables, feed: DataFrame) -> tuple[DataFrame, DataFr
     return conform(kept, "products").unionByName(conform(new, "products")), rejects
 
 
-# ----------------------------------------------------------------- cascades (M9)
-def cascade_delete(t: Tables, table: str, ids: DataFrame) -> Tables:
-    """M9. Delete rows by id and follow the foreign keys: child rows go, an
-    order's deleted delivery address becomes NULL. ``ids`` has one column ``id``."""
-    gone: dict[str, DataFrame] = {}
-
-    def drop(df, col, dead):
-        return df.join(dead.select(F.col("id").alias(col)), col, "left_anti")
-
-    users = t.users
-    addresses, categories, products = t.user_addresses, t.categories, t.products
-    dead_users = ids if table == "users" else None
-    dead_products = ids if table == "products" else None
-    dead_orders = ids if table == "orders" else None
-    if dead_users is not None:
-        users = drop(users, "id", dead_users)
-        addresses = drop(addresses, "user_id", dead_users)
-        owned = t.products.join(dead_users.select(F.col("id").alias("seller_id")), "seller_id", "left_semi")
-        dead_products = owned.select("id")
-        gone["addresses"] = t.user_addresses.join(dead_users.select(F.col("id").alias("user_id")), "user_id",
-                                                  "left_semi").select("id")
-    if table == "categories":
-        categories = drop(categories, "id", ids)
-        dead_products = t.products.join(ids.select(F.col("id").alias("category_id")), "category_id",
-                                        "left_semi").select("id")
-    if table == "user_addresses":
-        addresses = drop(addresses, "id", ids)
-        gone["addresses"] = ids
-    products = drop(products, "id", dead_products) if dead_products is not None else products
-    orders, items, cart, reviews = t.orders, t.order_items, t.cart, t.reviews
-    payments, invoices = t.payments, t.invoices
-    if dead_users is not None:
-        dead_orders = t.orders.join(dead_users.select(F.col("id").alias("user_id")), "user_id",
-                                    "left_semi").select("id")
-        cart = drop(cart, "user_id", dead_users)
-        reviews = drop(reviews, "user_id", dead_users)
-    if table == "reviews":
-        reviews = drop(reviews, "id", ids)
-    if dead_orders is not None:
-        orders = drop(orders, "id", dead_orders)
-        items = drop(items, "order_id", dead_orders)
-        payments = drop(payments, "order_id", dead_orders)
-        invoices = drop(invoices, "order_id", dead_orders)
-    if dead_products is not None:
-        items = drop(items, "product_id", dead_products)
-        cart = drop(cart, "product_id", dead_products)
-        reviews = drop(reviews, "product_id", dead_products)
-    if "addresses" in gone:
-        dead_addr = gone["addresses"].select(F.col("id").alias("delivery_address_id"), F.lit(True).alias("__gone"))
-        orders = orders.join(dead_addr, "delivery_address_id", "left").withColumn(
-            "delivery_address_id", F.when(F.col("__gone"), F.lit(None).cast("bigint"))
-                                    .otherwise(F.col("delivery_address_id"))).drop("__gone")
-        orders = conform(orders, "orders")
-    extras = {}
-    if dead_products is not None and t.extras.get("rating_summary") is not None:
-        extras["rating_summary"] = drop(t.extras["rating_summary"], "product_id", dead_products)
-    return t.with_(extras=extras, users=users, user_addresses=addresses, categories=categories, products=products,
-                   cart=cart, orders=orders, order_items=items, reviews=reviews, payments=payments,
-                   invoices=invoices)
-
-
+# ----------------------------------------------------------------- table sizes
 def table_row_counts(t: Tables) -> DataFrame:
     """Rows per table, the stored rating summary included if there is one (used to report a cascade's effect)."""
     tables = [*t.items(), *[(n, t.extras[n]) for n in ("rating_summary",) if t.extras.get(n) is not None]]

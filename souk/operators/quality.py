@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.text import email_valid, luhn_valid, name_key, phone_valid
-from souk.sources.schema import (ACCOUNT_STATUSES, ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES, SCHEMAS,
-                                 USER_ROLES)
+from souk.sources.schema import (ACCOUNT_STATUSES, FOREIGN_KEYS, ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES,
+                                 SCHEMAS, USER_ROLES)
 from souk.sources.tables import Tables, retired_columns_present
 
 
@@ -97,28 +97,11 @@ def check_unique(t: Tables) -> DataFrame:
     return _union(parts)
 
 
-FOREIGN_KEYS = (
-    ("user_addresses", "user_id", "users"),
-    ("products", "category_id", "categories"),
-    ("products", "seller_id", "users"),
-    ("cart", "user_id", "users"),
-    ("cart", "product_id", "products"),
-    ("orders", "user_id", "users"),
-    ("orders", "delivery_address_id", "user_addresses"),
-    ("order_items", "order_id", "orders"),
-    ("order_items", "product_id", "products"),
-    ("reviews", "user_id", "users"),
-    ("reviews", "product_id", "products"),
-    ("payments", "order_id", "orders"),
-    ("invoices", "order_id", "orders"),
-)
-
-
 def check_references(t: Tables) -> DataFrame:
     """D4. Child rows whose (non-NULL) foreign key has no parent row."""
     tables = dict(t.items())
     parts = []
-    for child, col, parent in FOREIGN_KEYS:
+    for child, col, parent, _ in FOREIGN_KEYS:
         keys = tables[parent].select(F.col("id").alias(col))
         orphans = tables[child].filter(F.col(col).isNotNull()).join(keys, col, "left_anti")
         parts.append(orphans.select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),

@@ -211,6 +211,14 @@ SQL["order_item_lines"] = """
 SELECT order_id, product_id, (SELECT name FROM m_products WHERE id = product_id) AS name, quantity, price
 FROM m_items WHERE product_id IN (SELECT id FROM m_products)"""
 
+SQL["order_item_pages"] = """
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY id) AS line
+                FROM m_items WHERE product_id IN (SELECT id FROM m_products)),
+paged AS (SELECT *, (line + 2) // 3 AS page FROM placed)
+SELECT order_id, page, count(*) OVER (PARTITION BY order_id, page) AS n_lines, line, product_id,
+       (SELECT name FROM m_products WHERE id = product_id) AS name, quantity, price
+FROM paged"""
+
 SQL["admin_order_listing"] = f"""
 SELECT id, status, created_at, (SELECT name FROM m_users WHERE m_users.id = user_id) AS customer_name,
        CAST(coalesce((SELECT total_amount FROM v_order_totals WHERE order_id = m_orders.id), 0) AS {M}) AS total_amount
@@ -474,6 +482,26 @@ SQL["cascade_delete_order"] = _cascade("SELECT min(order_id) AS id FROM m_invoic
 SQL["cascade_delete_review"] = _cascade("SELECT min(id) AS id FROM m_reviews", {"reviews": f"t.id = {_V}"})
 
 
+def _cascade_rows(victims: str, gone: dict[str, str], lost: str = "") -> str:
+    """Ids of the rows of each table that the delete reaches, and of the orders that keep their row and lose their address."""
+    key = lambda t: "product_id" if t == "rating_summary" else "id"
+    parts = [f"SELECT '{t}' AS table_name, t.{key(t)} AS record_id, 'deleted' AS effect, NULL::VARCHAR AS column_name "
+             f"FROM {_TABLES[t]} t WHERE {c}" for t, c in gone.items()]
+    if lost:
+        parts.append(f"SELECT 'orders', t.id, 'set null', 'delivery_address_id' FROM m_orders t WHERE {lost}")
+    return f"WITH v AS ({victims})\n" + " UNION ALL ".join(parts)
+
+
+SQL["cascade_rows_category"] = _cascade_rows("SELECT min(category_id) AS id FROM m_products",
+                                             {"categories": f"t.id = {_V}", **_of_products(f"category_id = {_V}")})
+SQL["cascade_rows_users"] = _cascade_rows(
+    "SELECT id FROM m_users WHERE account_status = 'suspended'",
+    {t: c.replace("= (SELECT", "IN (SELECT") for t, c in _USER_GONE.items()},
+    f"t.user_id NOT IN {_V} AND t.delivery_address_id IN (SELECT id FROM m_addresses WHERE user_id IN {_V})")
+SQL["cascade_rows_addresses"] = _cascade_rows("SELECT id FROM m_addresses WHERE NOT is_default",
+                                              {"user_addresses": f"t.id IN {_V}"}, f"t.delivery_address_id IN {_V}")
+
+
 # ---------------------------------------------------------------- data quality
 _STAGED = """rv AS (SELECT id, user_id, product_id, rating FROM m_reviews
        UNION ALL SELECT seq, user_id, product_id, rating FROM f_reviews)"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.operators import audit, catalog, changes, checkout, listings, quality, reports, reviews
+from souk.operators import audit, cascades, catalog, changes, checkout, listings, quality, reports, reviews
 from souk.session import written
 from souk.sources import feeds
 from souk.sources.fixtures import Fixture
@@ -65,6 +65,7 @@ _on_tables("cart_stock_violations", listings.cart_stock_violations)
 _on_tables("blocked_carts", listings.blocked_carts)
 _on_tables("order_history", listings.order_history)
 _on_tables("order_item_lines", listings.order_item_lines)
+_on_tables("order_item_pages", lambda t: listings.unnest_pages(listings.order_item_pages(t, page_lines=3)))
 _on_tables("admin_order_listing", listings.admin_order_listing)
 _on_tables("admin_product_listing", listings.admin_product_listing)
 _on_tables("admin_review_listing", listings.admin_review_listing)
@@ -118,7 +119,7 @@ def _cascade(table, victim):
     """Delete the row that ``victim`` picks; report the rows left per table, the stored summary included."""
     def run(t):
         t = t.with_(extras={"rating_summary": reports.rating_summary(t)})
-        return changes.table_row_counts(changes.cascade_delete(t, table, victim(t)))
+        return changes.table_row_counts(cascades.cascade_delete(t, table, victim(t)))
     return run
 
 
@@ -130,6 +131,18 @@ _on_tables("cascade_delete_order", _cascade("orders", lambda t: t.invoices.agg(F
 _on_tables("cascade_delete_review", _cascade("reviews", lambda t: t.reviews.agg(F.min("id").alias("id"))))
 
 
+def _cascade_rows(table, victims):
+    """The deleted rows and lost references when the rows that ``victims`` picks are deleted."""
+    def run(t):
+        t = t.with_(extras={"rating_summary": reports.rating_summary(t)})
+        return cascades.cascade_rows(t, table, victims(t))
+    return run
+
+
+_on_tables("cascade_rows_category", _cascade_rows("categories", lambda t: t.products.agg(F.min("category_id").alias("id"))))
+_on_tables("cascade_rows_users", _cascade_rows("users", lambda t: t.users.filter("account_status = 'suspended'").select("id")))
+_on_tables("cascade_rows_addresses", _cascade_rows("user_addresses", lambda t: t.user_addresses.filter("NOT is_default").select("id")))
+
 
 # data quality
 def _staged_reviews(fx):

@@ -56,6 +56,26 @@ SCHEMAS: dict[str, T.StructType] = {
 TABLE_NAMES = ("users", "user_addresses", "categories", "products", "cart", "orders", "order_items",
                "reviews", "payments", "invoices")
 
+# The foreign keys as (child, column, parent, what a delete of the parent does to the child).
+CASCADE, SET_NULL = "cascade", "set null"
+FOREIGN_KEYS = (
+    ("user_addresses", "user_id", "users", CASCADE),
+    ("products", "category_id", "categories", CASCADE),
+    ("products", "seller_id", "users", CASCADE),
+    ("cart", "user_id", "users", CASCADE),
+    ("cart", "product_id", "products", CASCADE),
+    ("orders", "user_id", "users", CASCADE),
+    ("orders", "delivery_address_id", "user_addresses", SET_NULL),
+    ("order_items", "order_id", "orders", CASCADE),
+    ("order_items", "product_id", "products", CASCADE),
+    ("reviews", "user_id", "users", CASCADE),
+    ("reviews", "product_id", "products", CASCADE),
+    ("payments", "order_id", "orders", CASCADE),
+    ("invoices", "order_id", "orders", CASCADE),
+)
+#: The key of the stored rating summary, which goes with its product.
+SUMMARY_KEY = "product_id"
+
 # Columns the schema migrations dropped; a load that still carries them is
 # reported by the schema check and the columns are discarded.
 RETIRED_COLUMNS = {

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from souk.functions.text import email_valid, php_int
-from souk.operators import catalog, changes, checkout, quality, reports
+from souk.operators import cascades, catalog, changes, checkout, quality, reports
 from souk.plans import scans
 from souk.plans.numbering import number_rows, order_bucket, running_sums
 from souk.sources.seed import seed_tables
@@ -302,7 +302,7 @@ def test_cart_changes_equal_brute_force(spark):
 def test_cascade_leaves_no_orphans(fx):
     t = fx.tables()
     victim = t.products.agg(F.min("category_id").alias("id"))
-    t2 = changes.cascade_delete(t, "categories", victim)
+    t2 = cascades.cascade_delete(t, "categories", victim)
     assert quality.check_references(t2).count() == 0
 
 

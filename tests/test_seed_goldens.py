@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from souk.operators import catalog, changes, listings, reports
+from souk.operators import cascades, catalog, changes, listings, reports
 
 
 def rows(df, *cols):
@@ -102,7 +102,7 @@ def test_q8_cancel_keeps_stock(seed):
 
 def test_q10_category_delete_cascades(seed):
     ids = seed.categories.sparkSession.createDataFrame([(5,)], "id long")
-    t2 = changes.cascade_delete(seed, "categories", ids)
+    t2 = cascades.cascade_delete(seed, "categories", ids)
     assert t2.products.filter("category_id = 5").count() == 0
     assert t2.order_items.filter("product_id in (6, 7)").count() == 0
     assert t2.reviews.count() == 0 and t2.cart.filter("product_id = 6").count() == 0
@@ -111,11 +111,11 @@ def test_q10_category_delete_cascades(seed):
 def test_user_delete_cascade_and_set_null(seed):
     from souk.operators import quality
     ids = seed.users.sparkSession.createDataFrame([(4,)], "id long")
-    t2 = changes.cascade_delete(seed, "users", ids)
+    t2 = cascades.cascade_delete(seed, "users", ids)
     assert t2.products.filter("seller_id = 4").count() == 0
     assert quality.check_references(t2).count() == 0
     addr = seed.users.sparkSession.createDataFrame([(1,)], "id long")
-    t3 = changes.cascade_delete(seed, "user_addresses", addr)
+    t3 = cascades.cascade_delete(seed, "user_addresses", addr)
     assert t3.orders.filter("delivery_address_id = 1").count() == 0
     assert t3.orders.count() == seed.orders.count()
 
@@ -150,7 +150,7 @@ def test_q11_cascade_writes_no_audit_rows(seed):
     """Only direct deletes are audited: cascaded review deletes leave no audit rows."""
     from souk.operators import audit
     ids = seed.categories.sparkSession.createDataFrame([(5,)], "id long")
-    t2 = changes.cascade_delete(seed, "categories", ids)
+    t2 = cascades.cascade_delete(seed, "categories", ids)
     assert t2.reviews.count() == 0
     direct = seed.reviews.sparkSession.createDataFrame(
         [], "changed_at timestamp_ntz, op string, review_id long, product_id long, rating int, sign int")
