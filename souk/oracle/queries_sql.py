@@ -709,6 +709,18 @@ SELECT seq, user_id, product_id, quantity, reason, reason IS NULL AS accepted FR
   FROM f_cart f LEFT JOIN m_products p ON p.id = f.product_id
   WHERE f.op IN ('add', 'set'))"""
 
+SQL["stream_cart_guard_as_of"] = f"""
+WITH told AS (
+  SELECT id AS product_id, CAST(-1 AS BIGINT) AS seq, stock FROM m_products
+  UNION ALL SELECT product_id, seq, CAST(seq % 60 AS INTEGER) FROM f_cart WHERE op = 'remove'),
+ruled AS (
+  SELECT f.seq, f.user_id, f.product_id, f.quantity,
+         CASE WHEN f.quantity <= 0 THEN '{streams.MSG_POSITIVE}'
+              WHEN NOT coalesce(f.quantity <= s.stock, s.product_id IS NOT NULL AND s.stock IS NOT NULL) THEN '{streams.MSG_EXCEEDS}' END AS reason
+  FROM f_cart f ASOF LEFT JOIN told s ON s.product_id = f.product_id AND s.seq <= f.seq
+  WHERE f.op <> 'remove')
+SELECT *, reason IS NULL AS accepted FROM ruled"""
+
 SQL["stream_daily_sales"] = SQL["daily_sales"]
 SQL["stream_order_status_audit"] = SQL["order_status_audit"]
 SQL["stream_review_audit"] = """

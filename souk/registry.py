@@ -201,6 +201,7 @@ EVENTS_UNTIL = "1996-06-30 00:00:20"
 _on_fixture("stream_mark_delivered", lambda fx: streams.stream_mark_delivered(fx.spark, feeds.order_status_events(fx).filter(
     F.col("event_time") <= F.lit(EVENTS_UNTIL).cast("timestamp_ntz"))))
 _on_fixture("stream_cart_guard", lambda fx: streams.stream_cart_guard(fx.spark, feeds.cart_feed(fx), fx.products()))
+_on_fixture("stream_cart_guard_as_of", lambda fx: streams.stream_cart_guard_as_of(fx.spark, feeds.stock_and_cart_feed(fx)))
 _on_fixture("stream_order_status_audit", lambda fx: streams.stream_order_status_audit(
     fx.spark, feeds.order_status_events(fx)))
 _on_fixture("stream_review_audit", lambda fx: streams.stream_review_audit(fx.spark, feeds.review_changes(fx)))

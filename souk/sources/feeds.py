@@ -123,6 +123,17 @@ def cart_feed(fx: Fixture) -> DataFrame:
                     product.alias("product_id"), F.floor("value").cast("int").alias("quantity"))
 
 
+def stock_and_cart_feed(fx: Fixture) -> DataFrame:
+    """X4 input against current stock: every product's stock at the start, the cart's writes, and for each error event a new stock."""
+    start = fx.products().select(F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("user_id"),
+                                 F.lit("stock").alias("op"), F.col("id").alias("product_id"), F.col("stock").alias("quantity"))
+    acts = cart_feed(fx).select("seq", "user_id", "op", "product_id", "quantity")
+    changed = acts.filter(F.col("op") == "remove").select(
+        "seq", F.lit(None).cast("bigint").alias("user_id"), F.lit("stock").alias("op"), "product_id",
+        (F.col("seq") % 60).cast("int").alias("quantity"))
+    return start.unionByName(acts.filter(F.col("op") != "remove")).unionByName(changed)
+
+
 def checkout_requests(fx: Fixture) -> DataFrame:
     """M5 input: a checkout per user with a cart, in user id order; every sixth user asks again at once, every tenth at the end."""
     from souk.operators.listings import default_address

@@ -14,9 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
 
 from souk.functions.money import average_rating, money, sum_of_lines, with_totals
 from souk.operators.audit import review_audit, status_change_audit
+from souk.plans.asof import values_as_of
 from souk.streaming.latest import LatestTable
 from souk.streaming.replay import replay
 
@@ -166,6 +168,66 @@ def stream_cart_guard(spark: SparkSession, cart_feed: DataFrame, products: DataF
                                      lambda stream, out, ckpt: start_cart_guard(stream, products, out, ckpt)))
 
 
+_VERSION_KEYS, _VERDICT_KEYS = ["product_id", "seq"], ["span", "seq"]
+#: Numbers of ``seq`` a folder of verdicts holds: a late stock change opens the folders from its own number on, not the others.
+SPAN = 1_000_000
+
+
+def judged(writes: DataFrame, versions: DataFrame) -> DataFrame:
+    """Cart writes (seq, user_id, product_id, quantity) with the guard's reason, by the stock as of each write."""
+    j = values_as_of(writes, versions, ["product_id"], ["seq"], ["stock"])
+    reason = (F.when(F.col("quantity") <= 0, F.lit(MSG_POSITIVE))
+               .when(F.col("stock").isNull() | (F.col("quantity") > F.col("stock")), F.lit(MSG_EXCEEDS)))
+    return j.select(F.floor(F.col("seq") / SPAN).alias("span"), "seq", "user_id", "product_id", "quantity", reason.alias("reason"))
+
+
+def start_cart_guard_as_of(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X4 against current stock. One stream brings cart writes (op add / set, quantity) and stock changes (op stock, the new stock).
+
+    A write is judged by its product's latest stock change with a ``seq`` not after its own. A stock change that comes
+    after writes it bears on judges them anew, so the verdicts do not depend on how the stream is cut or ordered. ``seq`` is unique
+    among the writes. A batch reads the stock changes (three numbers each) and, where it brings changes, the verdicts from the earliest one on."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        versions = LatestTable(spark, f"{out}/versions", _VERSION_KEYS)
+        verdicts = LatestTable(spark, f"{out}/verdicts", _VERDICT_KEYS, partition_by=["span"])
+        batch = batch.persist()
+        new = batch.filter(F.col("op") == "stock").groupBy(*_VERSION_KEYS).agg(F.max("quantity").alias("stock"))
+        writes = batch.filter(F.col("op").isin("add", "set")).select(*_WRITE_COLUMNS)
+        known = versions.read(new.schema, batch_id - 1).join(new, _VERSION_KEYS, "left_anti").unionByName(new)
+        first = batch.filter(F.col("op") == "stock").agg(F.min("seq")).first()[0]
+        if first is not None:  # writes already judged that the new changes bear on
+            since = new.groupBy("product_id").agg(F.min("seq").alias("since"))
+            seen = verdicts.read(_verdict_schema(spark), batch_id - 1).filter(F.col("span") >= first // SPAN)
+            again = seen.join(since, "product_id").filter(F.col("seq") >= F.col("since"))
+            writes = writes.unionByName(again.select(*_WRITE_COLUMNS))
+        result = judged(writes, known)
+        verdicts.write(result.repartition("span", F.pmod(F.xxhash64("seq"), F.lit(_SPAN_FILES))), batch_id)
+        versions.write(new, batch_id)
+        batch.unpersist()
+
+    return _start(events.writeStream.foreachBatch(sink), checkpoint, trigger)
+
+
+_WRITE_COLUMNS = ["seq", "user_id", "product_id", "quantity"]
+#: Tasks that write a folder of verdicts at most, so that one full span is not one task's.
+_SPAN_FILES = 8
+
+
+def _verdict_schema(spark: SparkSession) -> StructType:
+    return spark.range(0).selectExpr("id AS span", "id AS seq", "id AS user_id", "id AS product_id", "0 AS quantity", "'' AS reason").schema
+
+
+def read_cart_guard_as_of(spark: SparkSession, out: str) -> DataFrame:
+    """Every write's verdict by what the stream has told so far."""
+    rows = LatestTable(spark, f"{out}/verdicts", _VERDICT_KEYS).read(_verdict_schema(spark))
+    return rows.select(*_WRITE_COLUMNS, "reason", F.col("reason").isNull().alias("accepted"))
+
+
+def stream_cart_guard_as_of(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return read_cart_guard_as_of(spark, replay(spark, "cart-guard-as-of", events, start_cart_guard_as_of))
+
+
 # ------------------------------------------------------------------ X5
 _DAY_KEYS, _ORDER_KEYS = ["order_date"], ["order_quarter", "order_day", "order_id"]
 #: Quarters a batch may name for its order rows to be looked up by folder; a batch of more reads the whole table.

@@ -421,3 +421,23 @@ def test_checkout_forms(spark):
     assert saved[1]["address"] == "9 New Rd" and saved[3]["city"] == "City"
     placed = {r["id"]: r["delivery_address_id"] for r in done.tables.orders.collect()}
     assert placed[10005] == 1 and placed[10006] == 3
+
+
+def test_as_of_join_equals_a_scan(spark):
+    from souk.plans.asof import values_as_of
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(60)) for i in range(400)]
+    versions = [(rng.choice([1, 1, 2, 4, None]), rng.randrange(60), rng.choice([None, *range(9)])) for _ in range(80)]
+    left, right = spark.createDataFrame(rows, "i long, k long, at long"), spark.createDataFrame(versions, "k long, at long, v long")
+
+    def latest(k, at):  # NULL values sort first, as in Spark
+        past = [(a, v is not None, v or 0, v) for kk, a, v in versions if k is not None and kk == k and a <= at]
+        return max(past, key=lambda p: p[:3])[3] if past else None
+
+    want = sorted((i, latest(k, at)) for i, k, at in rows if latest(k, at) is not None)
+    for buckets in (1, 7, 64):
+        got = values_as_of(left, right, ["k"], ["at"], ["v"], buckets=buckets)
+        assert got.count() == len(rows)
+        assert sorted((r["i"], r["v"]) for r in got.collect() if r["v"] is not None) == want
+    assert values_as_of(left, right.limit(0), ["k"], ["at"], ["v"]).filter("v is not null").count() == 0

@@ -161,3 +161,34 @@ def test_latest_table_compacts_and_survives_replayed_batches(spark):
     read = table.read(spark.createDataFrame([], "k long, v long").schema)
     assert {r["k"]: r["v"] for r in read.collect()} == want
     assert len(table._finished("base")) == 1 and len(table._finished("delta")) <= 3
+
+
+def _guard_brute(events):
+    """Each write by a plain scan of its product's stock changes."""
+    out = []
+    for seq, user, op, product, quantity in events:
+        if op != "stock":
+            past = [(s, q) for s, _, o, p, q in events if o == "stock" and p == product and s <= seq]
+            stock = max(past)[1] if past else None
+            reason = streams.MSG_POSITIVE if quantity <= 0 else streams.MSG_EXCEEDS if stock is None or quantity > stock else None
+            out.append((seq, user, product, quantity, reason, reason is None))
+    return sorted(out, key=repr)
+
+
+def test_guard_judges_by_the_stock_of_the_moment_in_any_slicing(spark):
+    rng = random.Random(5)
+    schema = "seq long, user_id long, op string, product_id long, quantity int"
+    events = [(i, None if op == "stock" else i % 9, op, 1 if rng.random() < 0.6 else rng.randrange(2, 7), rng.randrange(0, 9))
+              for i, op in enumerate(rng.choices(["stock", "add", "set"], k=300))]
+    events.append((streams.SPAN * 3, 1, "add", 1, 2))  # a write of a far span
+    want = _guard_brute(events)
+    for slices in ([events], [events[:100], events[100:200], events[200:]], [events[::-1][i::4] for i in range(4)]):
+        got = feed_by_feed(spark, streams.start_cart_guard_as_of, slices, schema, lambda out: streams.read_cart_guard_as_of(spark, out))
+        assert sorted(got[-1], key=repr) == want
+
+
+def test_guard_learns_of_a_stock_change_late(spark):
+    schema = "seq long, user_id long, op string, product_id long, quantity int"
+    slices = [[(1, None, "stock", 7, 5), (10, 1, "add", 7, 4), (20, 1, "add", 7, 4)], [(15, None, "stock", 7, 3)], [(15, None, "stock", 7, 3)]]
+    got = feed_by_feed(spark, streams.start_cart_guard_as_of, slices, schema, lambda out: streams.read_cart_guard_as_of(spark, out))
+    assert [[r[5] for r in g] for g in got] == [[True, True], [True, False], [True, False]]
