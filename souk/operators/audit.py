@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.functions.text import ts_literal
 from souk.plans.numbering import previous_values
+from souk.sources.schema import SCHEMAS
+
+# The triggers' detail texts, with the row's values in place of the names in braces.
+DETAIL_REVIEW = "Product {product_id} rated {rating}/5"
+DETAIL_REVIEW_GONE = "Deleted review for product {product_id}"
+DETAIL_PRODUCT = "Product added: {name}"
+DETAIL_STATUS = "{old_status} -> {new_status}"
 
 DEFAULT_AS_OF = dt.datetime(2000, 1, 1)
 
@@ -19,21 +27,26 @@ def _row(table: str, action: str, record_id, details, created_at) -> list:
             created_at.alias("created_at")]
 
 
+def _text(template: str) -> Column:
+    """The template with columns in place of ``{column}``; NULL where one of them is NULL."""
+    parts = [F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(re.split(r"[{}]", template))]
+    return F.concat(*parts)
+
+
 def review_audit(review_changes: DataFrame) -> DataFrame:
     """Review insert / delete trigger rows."""
     ins = review_changes.filter(F.col("op") == "INSERT").select(*_row(
         "reviews", "INSERT", F.col("review_id"),
-        F.concat(F.lit("Product "), F.col("product_id").cast("string"), F.lit(" rated "),
-                 F.col("rating").cast("string"), F.lit("/5")), F.col("changed_at")))
+        _text(DETAIL_REVIEW), F.col("changed_at")))
     dele = review_changes.filter(F.col("op") == "DELETE").select(*_row(
         "reviews", "DELETE", F.col("review_id"),
-        F.concat(F.lit("Deleted review for product "), F.col("product_id").cast("string")), F.col("changed_at")))
+        _text(DETAIL_REVIEW_GONE), F.col("changed_at")))
     return ins.unionByName(dele)
 
 
 def product_insert_audit(new_products: DataFrame) -> DataFrame:
     return new_products.select(*_row("products", "INSERT", F.col("id"),
-                                     F.concat(F.lit("Product added: "), F.col("name")), F.col("created_at")))
+                                     _text(DETAIL_PRODUCT), F.col("created_at")))
 
 
 def status_change_audit(changes: DataFrame, time_col: str = "created_at") -> DataFrame:
@@ -43,7 +56,7 @@ def status_change_audit(changes: DataFrame, time_col: str = "created_at") -> Dat
     """
     return changes.filter(F.col("old_status") != F.col("new_status")).select(*_row(
         "orders", "STATUS_CHANGE", F.col("order_id"),
-        F.concat(F.col("old_status"), F.lit(" -> "), F.col("new_status")), F.col(time_col)))
+        _text(DETAIL_STATUS), F.col(time_col)))
 
 
 def order_status_transitions(events: DataFrame) -> DataFrame:
@@ -86,3 +99,33 @@ def append_audit(rows: DataFrame, path: str) -> int:
     numbered = number_rows(staged, ["created_at", "table_name", "record_id", "action_type", "details"], "id", start=start)
     conform(numbered, "audit_log").write.mode("append").parquet(path)
     return numbered.count()
+
+
+#: An audit id is the writer's number, its batch's number and the row's place in the batch, side by side in 63 bits.
+WRITER_BITS, BATCH_BITS, ROW_BITS = 9, 22, 32
+
+
+def append_audit_batch(rows: DataFrame, path: str, writer: int, batch_id: int) -> None:
+    """S7. Append a batch of audit rows to the table at ``path``, once however often it is tried.
+
+    Every (writer, batch) has its own folder and its own range of ids: a batch written again replaces its own rows and no other's, and
+    writers with different numbers append side by side without reading the table or each other. Ids are unique and ascend in (created_at,
+    table, record, action, details) order within a batch; a writer's later batches have larger ids."""
+    from souk.plans.numbering import number_rows
+    from souk.session import discard
+    from souk.sources.tables import conform
+
+    if not (0 <= writer < 1 << WRITER_BITS and 0 <= batch_id < 1 << BATCH_BITS):
+        raise ValueError(f"audit writer {writer} or batch {batch_id} is out of range")
+    staged = rows.select("table_name", "action_type", "record_id", "details", "created_at")
+    first = (writer << BATCH_BITS | batch_id) << ROW_BITS
+    numbered = number_rows(staged, ["created_at", "table_name", "record_id", "action_type", "details"], "id", start=first)
+    fits = F.when(F.col("id") < F.lit(first + (1 << ROW_BITS)), F.col("id")).otherwise(F.raise_error(F.lit("too many audit rows in a batch")))
+    conform(numbered.withColumn("id", fits), "audit_log").write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch_id}")
+    discard(numbered)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The audit table that ``append_audit_batch`` keeps, without its folders' numbers."""
+    return spark.read.schema(SCHEMAS["audit_log"]).option("basePath", path).parquet(f"{path}/writer=*/batch=*") \
+        .select(*SCHEMAS["audit_log"].fieldNames())

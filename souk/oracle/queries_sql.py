@@ -731,6 +731,17 @@ SELECT 'reviews' AS table_name, op AS action_type, review_id AS record_id,
        changed_at AS created_at
 FROM f_review_changes"""
 
+SQL["stream_audit_table"] = f"""
+WITH np AS ({SQL["product_changes"].strip()}),
+told AS (
+  SELECT 'reviews' AS table_name, op AS action_type, review_id AS record_id,
+         CASE op WHEN 'DELETE' THEN concat('Deleted review for product ', product_id) ELSE format('Product {{}} rated {{}}/5', product_id, rating) END AS details,
+         changed_at AS created_at
+  FROM f_review_changes
+  UNION ALL SELECT 'products', 'INSERT', id, concat('Product added: ', name), created_at FROM np ANTI JOIN m_products USING (id)
+  UNION ALL SELECT * FROM ({SQL["order_status_audit"].strip()}))
+SELECT * FROM told"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {k: with_ctes(v) for k, v in SQL.items()}

@@ -172,10 +172,15 @@ _on_fixture("checkout_orders", lambda fx: _checkout(fx).orders)
 
 
 # audit log (batch form of the triggers)
+def _new_products(fx):
+    """The products that the product feed adds."""
+    t = fx.tables()
+    return changes.apply_product_changes(t, feeds.product_feed(fx))[0].join(t.products.select("id"), "id", "left_anti")
+
+
 def _audit_log(fx):
     t = fx.tables()
-    new_products = changes.apply_product_changes(t, feeds.product_feed(fx))[0] \
-        .join(t.products.select("id"), "id", "left_anti")
+    new_products = _new_products(fx)
     status = audit.feed_status_changes(t.orders, feeds.order_status_feed(fx))
     return (audit.review_audit(feeds.review_changes(fx))
             .unionByName(audit.product_insert_audit(new_products))
@@ -205,6 +210,8 @@ _on_fixture("stream_cart_guard_as_of", lambda fx: streams.stream_cart_guard_as_o
 _on_fixture("stream_order_status_audit", lambda fx: streams.stream_order_status_audit(
     fx.spark, feeds.order_status_events(fx)))
 _on_fixture("stream_review_audit", lambda fx: streams.stream_review_audit(fx.spark, feeds.review_changes(fx)))
+_on_fixture("stream_audit_table", lambda fx: streams.stream_audit_table(fx.spark, {
+    "reviews": feeds.review_changes(fx), "products": _new_products(fx), "orders": feeds.order_status_events(fx)}))
 _on_fixture("stream_daily_sales", lambda fx: streams.stream_daily_sales(fx.spark, _stream_lines(fx)))
 
 

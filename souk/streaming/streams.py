@@ -17,8 +17,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from souk.functions.money import average_rating, money, sum_of_lines, with_totals
-from souk.operators.audit import review_audit, status_change_audit
+from souk.operators.audit import append_audit_batch, product_insert_audit, read_audit, review_audit, status_change_audit
 from souk.plans.asof import values_as_of
+from souk.session import scratch_dir
 from souk.streaming.latest import LatestTable
 from souk.streaming.replay import replay
 
@@ -93,6 +94,38 @@ def stream_review_audit(spark: SparkSession, changes: DataFrame) -> DataFrame:
     return spark.read.parquet(replay(spark, "review-audit", changes, start_review_audit))
 
 
+#: Numbers of the writers of one audit table, a stream each.
+AUDIT_WRITERS = {"reviews": 0, "products": 1, "orders": 2}
+
+
+def order_audit(changes: DataFrame) -> DataFrame:
+    """Status audit rows of order changes that carry both images (old_status, status)."""
+    return status_change_audit(changes.select("order_id", "old_status", F.col("status").alias("new_status"), "event_time"), time_col="event_time")
+
+
+_AUDIT_ROWS = {"reviews": review_audit, "products": product_insert_audit, "orders": order_audit}
+
+
+def start_audit_table(changes: DataFrame, source: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """X2 with ids. Audit rows of ``source`` (reviews, products or orders) appended to the audit table at ``out``.
+
+    One table takes the streams of all sources at once: each is a writer of its own, and a replayed batch replaces its own rows."""
+    rows, writer = _AUDIT_ROWS[source], AUDIT_WRITERS[source]
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        append_audit_batch(rows(batch), out, writer, batch_id)
+
+    return _start(changes.writeStream.foreachBatch(sink), checkpoint, trigger)
+
+
+def stream_audit_table(spark: SparkSession, feeds: dict[str, DataFrame]) -> DataFrame:
+    """Rows of the audit table that a stream of each source has filled, without the ids."""
+    out = scratch_dir(spark, "audit-table")
+    for source, feed in feeds.items():
+        replay(spark, f"audit-{source}", feed, lambda stream, _, ckpt, s=source: start_audit_table(stream, s, out, ckpt))
+    return read_audit(spark, out).drop("id")
+
+
 # ------------------------------------------------------------------ X3
 _DELIVERY_KEYS = ["order_id", "created_at"]
 

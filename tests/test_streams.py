@@ -192,3 +192,30 @@ def test_guard_learns_of_a_stock_change_late(spark):
     slices = [[(1, None, "stock", 7, 5), (10, 1, "add", 7, 4), (20, 1, "add", 7, 4)], [(15, None, "stock", 7, 3)], [(15, None, "stock", 7, 3)]]
     got = feed_by_feed(spark, streams.start_cart_guard_as_of, slices, schema, lambda out: streams.read_cart_guard_as_of(spark, out))
     assert [[r[5] for r in g] for g in got] == [[True, True], [True, False], [True, False]]
+
+
+def test_audit_batches_are_written_once_and_writers_do_not_collide(spark):
+    schema = "table_name string, action_type string, record_id long, details string, created_at timestamp_ntz"
+    rows = lambda n, tag: spark.createDataFrame(
+        [("t", "INSERT", i, tag, dt.datetime(2024, 1, 1) if i % 3 else None) for i in range(n)], schema)
+    path = scratch_dir(spark, "audit")
+    for writer, batch, n in [(0, 0, 40), (1, 0, 30), (0, 1, 20), (0, 1, 20), (1, 1, 0), (0, 0, 40), (511, 0, 3)]:  # two are replayed
+        audit.append_audit_batch(rows(n, f"{writer}/{batch}"), path, writer, batch)
+    got = audit.read_audit(spark, path).collect()
+    assert len(got) == 93 == len({r["id"] for r in got}) and min(r["id"] for r in got) >= 0
+    ids = {tag: [r["id"] for r in got if r["details"] == tag] for tag in ("0/0", "0/1")}
+    assert max(ids["0/0"]) < min(ids["0/1"])  # a writer's batches ascend
+    for writer, batch in [(512, 0), (0, 1 << 22), (-1, 0)]:
+        with pytest.raises(ValueError):
+            audit.append_audit_batch(rows(1, "x"), path, writer, batch)
+
+
+def test_audit_streams_fill_one_table(fx):
+    ev, rv = feeds.order_status_events(fx), feeds.review_changes(fx)
+    spark, out = fx.spark, scratch_dir(fx.spark, "audit-table")
+    streams.replay(spark, "a", rv, lambda s, _, c: streams.start_audit_table(s, "reviews", out, c))
+    streams.replay(spark, "b", ev, lambda s, _, c: streams.start_audit_table(s, "orders", out, c))
+    got = audit.read_audit(spark, out)
+    want = audit.review_audit(rv).unionByName(audit.status_change_audit(audit.order_status_transitions(ev), time_col="event_time"))
+    assert got.select("id").distinct().count() == got.count() == want.count()
+    assert got.drop("id").exceptAll(want).count() == 0
