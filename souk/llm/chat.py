@@ -115,12 +115,20 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame, chunk: int = 256) -> DataFrame:
-    """The event log that a chat server would have kept of finished turns: a start, then deltas of ``chunk`` code points."""
+    """The event log that a chat server would have kept of finished turns, in deltas of ``chunk`` code points.
+
+    Every message starts, gets a delta of a draft that does not stay, and is then reset: an assistant's is regenerated and
+    streamed whole, any other's is edited to its first piece and goes on from there."""
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("whole"),
                         F.monotonically_increasing_id().alias("message_id"))
+    again = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    piece = lambda n: F.substr("whole", (n * chunk + 1).cast("int"), F.lit(chunk))
     pieces = F.floor((F.length("whole") + F.lit(chunk - 1)) / F.lit(chunk))
-    rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), pieces)))
-    first = F.col("seq") == 0
-    delta = F.substr("whole", ((F.col("seq") - 1) * chunk + 1).cast("int"), F.lit(chunk))
-    return rows.select("conv_id", "message_id", "turn", "seq", F.when(first, "start").otherwise("delta").alias("kind"),
-                       F.when(first, F.col("role")).alias("role"), F.when(first, "").otherwise(delta).alias("text"))
+    last = F.lit(2) + F.when(again, pieces).otherwise(F.greatest(pieces - 1, F.lit(0)))
+    rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    seq, reset = F.col("seq"), F.when(again, "regenerate").otherwise("edit")
+    kind = F.when(seq == 0, "start").when(seq == 2, reset).otherwise("delta")
+    draft = F.concat(F.lit("draft: "), F.reverse(piece(F.lit(0))))
+    text = (F.when(seq == 0, "").when(seq == 1, draft).when((seq == 2) & again, F.lit(None))
+            .when(seq == 2, piece(F.lit(0))).when(again, piece(seq - 3)).otherwise(piece(seq - 2)))
+    return rows.select("conv_id", "message_id", "turn", "seq", kind.alias("kind"), F.when(seq == 0, F.col("role")).alias("role"), text.alias("text"))

@@ -153,13 +153,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row that ``is_query`` (over ``vec_id``) names."""
-    known = materialise(pivot_table(materialise(integers(vectors, id_col, vector_col), "op10-integers")), "op10-pivots")
+    known = pivot_table(materialise(integers(vectors, id_col, vector_col), "op10-integers"))
+    known = materialise(known.withColumn("row", F.monotonically_increasing_id()), "op10-pivots")
     asked = known.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "data", "far")).alias("v")).select("vec_id", "v.*")
     asked = materialise(asked, "op10-queries")
     n_cb = -(-known.count() // CANDIDATE_BLOCK) or 1
     n_qb = -(-asked.count() // QUERY_BLOCK) or 1
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_qb)).cast("int"))
-    known = known.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(n_cb)).cast("int"))
+    known = known.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(n_cb)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     first = known.filter("cb = 0").withColumn("qb", every(n_qb))

@@ -302,6 +302,19 @@ def test_op6_round_trip_and_digests(spark):
         assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_op6_log_of_turns_holds_every_kind_of_event(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "abcdefgh"), (1, 1, "assistant", "abcdefgh"), (1, 2, "user", ""), (1, 3, "assistant", None)],
+                                  "conv_id long, turn long, role string, text string")
+    log = {}
+    for e in sorted(chat.events_of_turns(turns, chunk=3).collect(), key=lambda e: (e["turn"], e["seq"])):
+        log.setdefault(e["turn"], []).append((e["kind"], e["text"]))
+    draft = ("delta", "draft: cba")
+    assert log[0] == [("start", ""), draft, ("edit", "abc"), ("delta", "def"), ("delta", "gh")]
+    assert log[1] == [("start", ""), draft, ("regenerate", None), ("delta", "abc"), ("delta", "def"), ("delta", "gh")]
+    assert log[2] == [("start", ""), ("delta", "draft: "), ("edit", "")]
+    assert log[3] == [("start", ""), ("delta", "draft: "), ("regenerate", None)]
+
+
 def test_op6_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.conversation_digests(chat.parse(chat.render(chat.fold_events(chat.events_of_turns(none))))).collect() == []
@@ -335,6 +348,16 @@ def test_op10_rows(spark, monkeypatch, blocks):
     assert tuples(topk.top_k(frame, F.col("vec_id") % 20 == 0, k=5)) == brute_top_k(rows, 5)
 
 
+def test_op10_rows_of_one_id_fill_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    met = []
+    monkeypatch.setattr(topk, "_meet", lambda q, c, k, meet=topk._meet: (met.append(c.groupBy("qb", "cb").count().agg(F.max("count")).first()[0]), meet(q, c, k))[1])
+    rows = [(7, [1.0, float(i % 3)]) for i in range(600)] + [(20, [1.0, 1.0]), (40, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert tuples(topk.top_k(frame, F.col("vec_id") % 20 == 0, k=30)) == brute_top_k(rows, 30)
+    assert max(m for m in met if m) < 150  # 602 rows in 13 blocks
+
+
 def test_op10_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect() == []
 
