@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from souk.functions.money import DEFAULT_IMAGE
 from souk.functions.text import name_key, php_trim
 from souk.operators.reports import rating_summary, review_aggregates
+from souk.plans.trigrams import candidates
 from souk.sources.tables import Tables, conform
 
 AVG_SCALE = 4  # AVG over INT columns reports four decimals in the reference database.
@@ -69,14 +70,17 @@ def like_text(pattern: str) -> str:
 
 
 def catalog_search(t: Tables, search: str = "", category_id: int = 0,
-                   accent_insensitive: bool = False) -> DataFrame:
+                   accent_insensitive: bool = False, grams: DataFrame | None = None) -> DataFrame:
     """P1. Optional case-insensitive name search and optional category, newest first.
 
     Filters are added only when their argument is set, so the plan holds only
     the predicates that matter. With the default matcher ``%`` and ``_`` in
     the search text act as wildcards, as with the reference's LIKE; with
     ``accent_insensitive=True`` the text is matched literally under an
-    accent- and case-insensitive collation.
+    accent- and case-insensitive collation. ``grams`` is a trigram table of the
+    product names (``plans.trigrams``): names that cannot match are left out by a
+    join before the exact match; a search without three literal characters in
+    a row, or under the collation, reads all names.
     """
     search = (search or "").strip()
     p = t.products
@@ -84,7 +88,11 @@ def catalog_search(t: Tables, search: str = "", category_id: int = 0,
         if accent_insensitive:
             p = p.filter(F.contains(F.col("name").cast("string collate UNICODE_CI_AI"), F.lit(search)))
         else:
-            p = p.filter(F.col("name").ilike(like_text(f"%{search}%")))
+            pattern = like_text(f"%{search}%")
+            possible = None if grams is None else candidates(grams, pattern)
+            if possible is not None:
+                p = p.join(possible, "id", "left_semi")
+            p = p.filter(F.col("name").ilike(pattern))
     if category_id:
         p = p.filter(F.col("category_id") == category_id)
     base = p.join(_cat_names(t), "category_id").join(_seller_names(t), "seller_id")

@@ -142,6 +142,8 @@ FROM m_products WHERE {KNOWN} AND {{where}}"""
 
 SQL["catalog_search"] = _SEARCH.format(where="contains(lower(name), 'red')")
 
+SQL["catalog_search_indexed"] = SQL["catalog_search"]
+SQL["catalog_search_indexed_wildcards"] = _SEARCH.format(where="regexp_matches(lower(name), 'red.*wid.et')")
 SQL["catalog_search_category"] = _SEARCH.format(where="category_id = 1")
 SQL["catalog_search_both"] = _SEARCH.format(where="contains(lower(name), 'red') AND category_id = 1")
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.operators import audit, cascades, catalog, changes, checkout, listings, quality, reports, reviews
-from souk.session import written
+from souk.plans.trigrams import trigrams, write_trigrams
+from souk.session import scratch_dir, written
 from souk.sources import feeds
 from souk.sources.fixtures import Fixture
 from souk.streaming import streams
@@ -50,6 +51,19 @@ _on_tables("product_catalog_full", catalog.product_catalog_full)
 _on_tables("catalog_search", lambda t: catalog.catalog_search(t, search="Red"))
 _on_tables("catalog_search_category", lambda t: catalog.catalog_search(t, category_id=1))
 _on_tables("catalog_search_both", lambda t: catalog.catalog_search(t, search="Red", category_id=1))
+
+
+def _indexed_search(search):
+    """The catalog search by a stored trigram table of the product names."""
+    def run(t):
+        path = scratch_dir(t.products.sparkSession, "trigrams")
+        write_trigrams(trigrams(t.products, "id", "name"), path)
+        return catalog.catalog_search(t, search=search, grams=t.products.sparkSession.read.parquet(path))
+    return run
+
+
+_on_tables("catalog_search_indexed", _indexed_search("Red"))
+_on_tables("catalog_search_indexed_wildcards", _indexed_search("Red%Wid_et"))
 _on_tables("seller_catalog", catalog.seller_catalog)
 _on_tables("catalog_card", lambda t: catalog.catalog_card(catalog.catalog_search(t)))
 _on_fixture("catalog_feed_load",
