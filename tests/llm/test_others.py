@@ -358,6 +358,32 @@ def test_op10_rows_of_one_id_fill_many_blocks(spark, monkeypatch):
     assert max(m for m in met if m) < 150  # 602 rows in 13 blocks
 
 
+def test_op10_blocks_that_cannot_reach_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    met, every = [], []
+    meet, pairs = topk._meet, topk.block_pairs
+    monkeypatch.setattr(topk, "_meet", lambda q, c, k: (met.append(q.select("qb", "cb").distinct().count()), meet(q, c, k))[1])
+    monkeypatch.setattr(topk, "block_pairs", lambda q, c: (every.append(pairs(q, c).count()), pairs(q, c))[1])
+    rng = np.random.default_rng(8)  # eight clusters, a hundred vectors each
+    centres = rng.normal(size=(8, 16)) * 4
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=16) * 0.1]) for i in range(800)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert tuples(topk.top_k(frame, F.col("vec_id") % 20 == 0, k=5)) == brute_top_k(rows, 5)
+    assert sum(met) < 0.5 * every[0]
+
+
+def test_op10_vectors_beyond_doubles(spark):
+    rows = [(i, [float(x) * 1e160 for x in (i % 7 - 3, i % 5 - 2)]) for i in range(60)] + [(60, [1e290, -1e290]), (80, [1.0, 1.0])]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=4).collect()
+    for q, x in whole:
+        if q % 20 == 0:
+            scores = [(-max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(x, v)))), i) for i, v in whole if i != q]
+            assert sorted((-r["score"], r["vec_id"]) for r in got if r["query_id"] == q) == sorted(scores)[:4]
+
+
 def test_op10_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect() == []
 
