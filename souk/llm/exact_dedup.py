@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.bloom import MAX_BITS, build_filter, membership
-from souk.llm.common import materialise
+from souk.llm.common import drop_table, materialise
 
 
 def text_digest(text: Column) -> Column:
@@ -51,16 +51,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` without the rows whose text another row has; one row of each group stays.
 
-    Rows surely met once never leave their partition. The others travel as (hash, order key)
-    first, and their texts only if they stay."""
+    Rows surely met once never leave their partition. Of the others a task sends on one row a text
+    at most, its first, so a text that fills a third of the table is one row a task in the shuffle."""
     keys = materialise(docs.select(F.xxhash64(text_digest(docs[text_col])).alias("key")), "op9-keys")
     bloom = build_filter(keys, repeated=True, max_bits=max_bits)
+    drop_table(keys)
     cols = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    at = f"c{docs.columns.index(id_col)}"
+    at = F.col(f"c{docs.columns.index(id_col)}")
     rows = docs.select(*cols, text_digest(docs[text_col]).alias("sha"))
     rows = rows.withColumn("maybe", membership(rows, F.xxhash64("sha"), bloom))
-    maybe = rows.filter("maybe").drop("maybe")
-    best = maybe.groupBy("sha").agg(F.min(at).alias("best"))
-    stay = maybe.join(best, "sha").filter(F.col(at).eqNullSafe(F.col("best"))).drop("best")
-    stay = stay.dropDuplicates(["sha"]).drop("sha")
-    return rows.filter(~F.col("maybe")).drop("maybe", "sha").unionByName(stay).toDF(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    first = F.min_by(F.struct(*names), F.struct(at.isNull(), at))
+    stay = rows.filter("maybe").groupBy("sha").agg(first.alias("row")).select("row.*")
+    return rows.filter(~F.col("maybe")).select(*names).unionByName(stay).toDF(*docs.columns)
