@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.bloom import build_filter, membership
-from souk.llm.common import gather, materialise, mix64, raw_text, text_steps
+from souk.llm.common import drop_table, gather, materialise, mix64, raw_text, text_steps
 from souk.llm.components import connected_components
 
 WORDS, BANDS, ROWS = 5, 40, 6
@@ -286,8 +286,8 @@ def _candidate_groups(reps: DataFrame, percent: int) -> DataFrame:
     return connected_components(_in_groups(members, ["key", "i", "j"], forest), "op8-groups")
 
 
-def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Edges confirmed on the full sets of the groups' members (at most a spanning forest a task).
+def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Edges confirmed on the full sets of the groups' members (at most a spanning forest a task), and the table of sets they read.
 
     ``groups``: (id, component, rep, set_hash). One Python step asks a Bloom filter of the representatives, so that other
     texts are neither cut nor shuffled, and one set of each (rep, set_hash) is kept before the groups are joined."""
@@ -313,7 +313,7 @@ def _links(docs: DataFrame, groups: DataFrame, percent: int, id_col: str, text_c
     def forest(ids: np.ndarray, data: list[bytes]):
         return link_forest(ids, [np.frombuffer(d, _U64) for d in data], percent)
 
-    return _in_groups(dealt, ["component", "i", "j"], forest)
+    return _in_groups(dealt, ["component", "i", "j"], forest), sets
 
 
 def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
@@ -326,32 +326,42 @@ def _shared_ids(described: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _near_duplicates(docs, percent, id_col, text_col)[0]
+
+
+def _near_duplicates(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The result and the written tables that it reads; those of the search are freed."""
     described = materialise(describe(docs, id_col, text_col), "op8-described")
     some = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
                           .withColumn("id", F.monotonically_increasing_id()), "op8-classes")
     reps = some.join(classes, "set_hash").filter("doc_id = rep").dropDuplicates(["id"])
     reps = materialise(reps.select("id", "rep", "set_hash", "sketch", "bands"), "op8-reps")
-    groups = _candidate_groups(reps, percent).select(F.col("node").alias("id"), "component")
-    groups = materialise(groups.join(reps.select("id", "rep", "set_hash"), "id"), "op8-candidates")
-    links = _links(docs, groups, percent, id_col, text_col)
+    grouped = _candidate_groups(reps, percent)
+    groups = grouped.select(F.col("node").alias("id"), "component").join(reps.select("id", "rep", "set_hash"), "id")
+    groups = materialise(groups, "op8-candidates")
+    links, sets = _links(docs, groups, percent, id_col, text_col)
     for end in ("u", "v"):  # from classes to documents
         links = links.join(groups.select(F.col("id").alias(end), F.col("rep").alias(f"{end}_doc")), end)
     links = links.select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
     linked = connected_components(links.unionByName(_shared_ids(described, classes)), "op8-components")
+    for search in (reps, grouped, groups, sets):  # the components are written
+        drop_table(search)
     whole = described.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left") \
         .withColumn("node", F.coalesce("rep", "doc_id")).join(linked, "node", "left")
     return whole.select(F.col("doc_id").alias(id_col), "n_shingles",
                         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")) \
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))), [described, classes, linked]
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near-duplicates: of each component the document with the smallest id stays.
 
     Rows whose id the Bloom filter of dropped ids does not hold pass without a shuffle."""
-    dropped = near_duplicates(docs, percent, id_col, text_col).filter(~F.col("kept"))
-    dropped = materialise(dropped.select(F.col(id_col).alias("key")), "op8-dropped")
+    found, tables = _near_duplicates(docs, percent, id_col, text_col)
+    dropped = materialise(found.filter(~F.col("kept")).select(F.col(id_col).alias("key")), "op8-dropped")
+    for read in tables:
+        drop_table(read)
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = F.col(f"c{docs.columns.index(id_col)}").cast("long")
     rows = rows.withColumn("maybe", membership(rows, at, build_filter(dropped)))
