@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from souk.llm.common import materialise
 
-#: Rows a block, slots of a rounded period, rows an order bucket holds on average, slots that one step places.
-BLOCK_ROWS, PERIOD, BUCKET_ROWS, CHUNK_SLOTS = 16, 1000, 2000, 1 << 14
+#: Rows a block, rows an order bucket holds on average, slots that one step places.
+BLOCK_ROWS, BUCKET_ROWS, CHUNK_SLOTS = 16, 2000, 1 << 14
 
 
 def _in_order(sources: Collection[str | None]) -> list[str | None]:
@@ -118,31 +118,6 @@ def done_ahead(shares: Sequence[int], start: int, stop: int, ahead: Collection[i
     return done
 
 
-def period_schedule(shares: dict[str | None, int]) -> list[tuple[str | None, int]]:
-    """(source, block) of each of the W slots after which whole weights repeat."""
-    order = _in_order(shares)
-    return [(order[no], k) for no, k, _, _ in place([shares[s] for s in order], 0, sum(shares.values()))]
-
-
-def integer_shares(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Rounded shares of a short period by largest remainders; every positive weight gets one at least. ``mix`` does not round."""
-    positive = {s: w for s, w in weights.items() if w > 0}
-    if not positive:
-        return {}
-    period = max(period, len(positive))
-    total = math.fsum(positive.values())
-    exact = {s: w * period / total for s, w in positive.items()}
-    shares = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(positive, key=lambda s: (int(exact[s]) - exact[s], s is not None, s))
-    while sum(shares.values()) < period:
-        for s in by_rest[:period - sum(shares.values())]:
-            shares[s] += 1
-    while sum(shares.values()) > period:
-        shares[max((s for s in shares if shares[s] > 1), key=lambda s: (shares[s] - exact[s], shares[s]))] -= 1
-    common = math.gcd(*shares.values())
-    return {s: a // common for s, a in shares.items()}
-
-
 def source_counts(docs: DataFrame, source_col: str = "source") -> dict[str | None, int]:
     """Rows of each source; sources are as few as the weights that a caller can state."""
     return {r["s"]: r["count"] for r in docs.groupBy(docs[source_col].alias("s")).count().collect()}

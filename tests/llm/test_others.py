@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from souk.llm import chat, minhash, mixing, quality, topk, url_filter
-from souk.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
+from souk.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, word_bpe_path
+from souk.llm.words import load
 from tests.llm.conftest import DOC_SCHEMA, tuples, words
+from tests.llm.test_dedup import brute_components
 
 # ---- operator 1
 
@@ -110,21 +113,21 @@ def test_op1_empty(spark):
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 997, "b": 2, "c": 1}, {"a": 0.31, "b": 0.33, "c": 0.36}])
 def test_op4_schedule_stays_within_one_block(weights):
-    shares = mixing.integer_shares(weights)
-    plan, total, seen = mixing.period_schedule(shares), sum(shares.values()), Counter()
-    assert len(plan) == total
-    for slot, (s, k) in enumerate(plan, 1):
-        assert k == seen[s] and k * total // shares[s] <= slot - 1 < -(-(k + 1) * total // shares[s])
-        seen[s] += 1
-        assert all(abs(seen[x] - slot * shares[x] / total) < 1 for x in shares)
+    whole = mixing.whole_weights(weights)
+    shares, total = list(whole.values()), sum(whole.values())
+    assert [Fraction(a, total) for a in shares] == [Fraction(w) / sum(map(Fraction, weights.values())) for w in weights.values()]
+    seen = [0] * len(shares)
+    for slot, (no, k, release, deadline) in enumerate(mixing.place(shares, 0, 2500), 1):
+        assert k == seen[no] and release < slot <= deadline
+        seen[no] += 1
+        assert all(abs(n * total - slot * a) < total for n, a in zip(seen, shares))
 
 
 @pytest.mark.parametrize("tiny", [2, 30, 999, 1500])
 def test_op4_long_tail_keeps_a_share_each(tiny):
     weights = mixing.tempered({"big": 10_000_000, "middle": 40_000, **{f"t{i}": 1 for i in range(tiny)}}, 0.8)
-    shares = mixing.integer_shares(weights)
-    assert set(shares) == set(weights) and min(shares.values()) >= 1
-    assert len(mixing.period_schedule(shares)) == sum(shares.values())
+    whole = mixing.whole_weights(weights)
+    assert set(whole) == set(weights) and min(whole.values()) >= 1
 
 
 LONG_TAILS = [{"a": 10_000_000, "b": 1, "c": 1}, {"a": 9000, "b": 8999, None: 40, **{f"t{i}": 1 for i in range(30)}}]
@@ -170,7 +173,7 @@ def test_op4_rows(spark):
     rows = [(i, None, None, rng.choice(["a"] * 6 + ["b", "c", None]), 1) for i in range(900)] + [(None, None, None, "a", 1), (5, None, None, "b", 1)]
     docs = spark.createDataFrame(rows, DOC_SCHEMA)
     size = Counter(r[3] for r in rows)
-    shares = mixing.integer_shares(mixing.tempered(size, 0.8))
+    shares = mixing.tempered(size, 0.8)
     total = sum(shares.values())
     got = mixing.schedule(docs, block_rows=8).collect()
     assert sorted(r["position"] for r in got) == list(range(len(got)))  # every slot is filled
@@ -232,6 +235,65 @@ def test_op5_learns_from_no_held_out_label(spark, labelled):
     assert np.array_equal(a.weights, b.weights) and (a.slope, a.shift, a.intercept) == (b.slope, b.shift, b.intercept)
 
 
+def plain_features(text):
+    """Feature numbers of one text, value by value."""
+    data, m = text.encode(), 2**64 - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def grams(v, salt):
+        return {mix((a << 42 ^ b << 21 ^ c ^ salt << 62) & m) % quality.DIMENSIONS for a, b, c in zip(v, v[1:], v[2:])}
+
+    def kind(byte):
+        c = chr(byte)
+        return 1 if byte > 126 or byte < 33 or c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4
+
+    shapes, before = [], None
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", data):
+        shapes.append(sum(1 << k for k in {kind(b) for b in w}) + 32 * (w.lower() == before) + 64 * min(3, len(w)))
+        before = w.lower()
+    return sorted(grams(data, 1) | grams(shapes, 2))
+
+
+def test_op5_features_equal_plain_ones(hard_rows):
+    texts = [t or "" for _, t in hard_rows if len(t or "") < 6000] + ["the The the cat 12 !x A-b", "ab", "a  b\tc", "\x01\x7f é É", "A b C d"]
+    got = quality.features(pa.array(texts, pa.large_string()))
+    assert [g.tolist() for g in got] == [plain_features(t) for t in texts]
+
+
+def test_op5_ratios_margins_and_curve_equal_plain_ones():
+    rng = random.Random(9)
+    y = np.array([rng.random() < 0.6 for _ in range(80)], int)
+    texts = [words(rng, 8) + ("." if c or rng.random() < 0.2 else " $$") for c in y]
+    found = [np.array(plain_features(t)) for t in texts]
+    model = quality._fit_sample(found, y, {0: 300, 1: 100})
+    learnt = [i for i in range(80) if i % 4]
+    size = {c: sum(y[i] == c for i in learnt) for c in (0, 1)}
+    seen = {c: Counter(f for i in learnt if y[i] == c for f in found[i].tolist()) for c in (0, 1)}
+    for f in {f for x in found for f in x.tolist()}:
+        want = math.log((1 + seen[1][f]) / (size[1] + 2)) - math.log((1 + seen[0][f]) / (size[0] + 2))
+        assert abs(model.ratio[f] - want) < 1e-12
+    margin = [sum(model.weights[f] * model.ratio[f] for f in x) / math.sqrt(sum(model.ratio[f] ** 2 for f in x)) + model.intercept for x in found]
+    assert np.allclose(model.margins(found), margin) and np.allclose(model.scores(found), [1 / (1 + math.exp(-model.slope * x - model.shift)) for x in margin])
+
+    held = range(0, 80, 4)  # the curve's rows, weighted back to 300 and 100 labelled rows
+    rows = Counter(int(y[i]) for i in held)
+    weight = {0: 300 / rows[0], 1: 100 / rows[1]}
+    each = len(held) / 400
+    ones, zeros = each * 100, each * 300
+    aim = {1: (ones + 1) / (ones + 2), 0: 1 / (zeros + 2)}
+
+    def loss(a, b):
+        ps = [(1 / (1 + math.exp(-a * margin[i] - b)), int(y[i])) for i in held]
+        return -sum(each * weight[c] * (aim[c] * math.log(p) + (1 - aim[c]) * math.log(1 - p)) for p, c in ps)
+
+    best = loss(model.slope, model.shift)
+    assert all(loss(model.slope + da, model.shift + db) > best - 1e-6 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
 def test_op5_without_labels_and_without_documents(spark, labelled, no_docs, hard_docs):
     docs, labels = labelled
     none = quality.fit(docs, labels.limit(0))
@@ -392,7 +454,7 @@ def test_op10_empty(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_pipeline_stages_over_hard_rows(spark, hard_docs, hard_rows, tmp_path):
@@ -411,6 +473,55 @@ def test_pipeline_stages_over_hard_rows(spark, hard_docs, hard_rows, tmp_path):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 0
 
 
+def test_pipeline_run_equals_plain_stages(spark, labelled, tmp_path):
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"], None, rng.choice("aaaaab") if r["doc_id"] != 5 else None, 1)
+            for r in labelled[0].collect() if r["doc_id"] is not None and r["doc_id"] < 200]
+    good = [r for r in rows if r[0] % 4]
+    rows += [(2000 + i, t.replace(" ", "  "), None, "b", 1) for i, t in ((r[0], r[1]) for r in good[:25])]  # exact copies
+    rows += [(3000 + i, t + " end", None, "c", 1) for i, t in ((r[0], r[1]) for r in good[20:40])]  # near copies
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, DOC_SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    labelled[1].write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in quality.decide(docs, quality.fit(docs, labelled[1])).collect()}
+    kept = {}
+    for i, t, _, source, _ in sorted(rows):
+        if scores[i] >= 0.3:
+            kept.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), (i, t, source))
+    assert 100 < len(kept) < len(rows)
+    component = brute_components([(i, t) for i, t, _ in kept.values()], 80)
+    left = {i: (t, s) for i, t, s in kept.values() if component[i][1] == i}
+    assert len(left) < len(kept)
+
+    size = Counter(s for _, s in left.values())
+    weight = {s: Fraction(n**0.8) for s, n in size.items()}
+    slots, done = 0, Counter()
+    order = sorted(size, key=lambda s: (s is not None, s))
+    due = lambda s: (math.ceil((done[s] + 1) * sum(weight.values()) / weight[s]), order.index(s))
+    while any(done[s] * mixing.BLOCK_ROWS < n for s, n in size.items()):  # until every source was used up once
+        free = [s for s in order if math.floor(done[s] * sum(weight.values()) / weight[s]) <= slots]
+        done[min(free, key=due)] += 1
+        slots += 1
+    times = Counter(r["doc_id"] for r in got)
+    assert set(times) == set(left)
+    by_source = Counter()
+    for i, n in times.items():
+        s = left[i][1]
+        by_source[s] += n
+        assert n in (done[s] * mixing.BLOCK_ROWS // size[s], -(-done[s] * mixing.BLOCK_ROWS // size[s]))
+    assert by_source == {s: done[s] * mixing.BLOCK_ROWS for s in size}
+
+    library = load(word_bpe_path())
+    for r in got:
+        ids = library.encode(left[r["doc_id"]][0], add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_pipeline_of_an_empty_table(spark, no_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = no_docs
