@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result is written as Parquet and
 reread as the next one's ``docs``. All stages but the last return the columns of ``docs``.
 
+Defined results of every stage are those of its operator: null and empty texts count as '', very long texts are read whole,
+repeated rows and ids and ties are settled by text and id, an empty table gives an empty one, extra columns pass through.
+
 * ``quality``: documents with a score below 0.3 go (learnt from ``labels``, held-out rows left aside).
 * ``exact_dedup``: of equal texts (white space runs are one space) the one with the smallest doc_id stays.
 * ``near_dedup``: of documents linked by 5-word shingle similarity of 0.8 or more the smallest doc_id stays.
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.llm import bpe, exact_dedup, minhash, mixing, quality
-from souk.llm.common import materialise, table
+from souk.llm.common import drop_table, materialise, table
 from souk.llm.queries import word_bpe_path
 
 
@@ -51,5 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between stages the rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if name != STAGES[0][0]:  # the stage before is read no more; the input stays
+            drop_table(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
