@@ -4,6 +4,7 @@ import random
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from souk.operators import quality, reports
@@ -48,6 +49,19 @@ def test_load_drops_password_and_retired_columns(spark, seed):
     assert ("payments", "card_last4", "missing") in problems
 
 
+def test_load_reads_by_the_declared_schema(spark, seed):
+    path = tempfile.mkdtemp(prefix="souk-typed-") + "/t"
+    write_tables(seed, path)
+    seed.payments.drop("card_last4").write.mode("overwrite").parquet(path + "/payments")
+    seed.products.withColumn("price", F.concat("price", F.lit(" EUR"))).write.mode("overwrite").parquet(path + "/products")
+    loaded = load_tables(spark, path)
+    assert loaded.payments.columns == seed.payments.columns
+    assert loaded.payments.filter("card_last4 IS NOT NULL").count() == 0 < loaded.payments.count()
+    assert loaded.products.select("id").count() == seed.products.count()
+    with pytest.raises(Exception, match="(?i)column.*price"):
+        loaded.products.collect()
+
+
 def test_schema_check_types(seed):
     bad = seed.products.withColumn("price", F.col("price").cast("double"))
     assert quality.check_schema({"products": bad}) == [("products", "price", "type double != decimal(10,2)")]
