@@ -74,6 +74,17 @@ def test_mark_delivered_stream_any_slicing(fx):
     assert results[0] == results[1] and early > 0 and len(results[0]) == fx.orders().count() - early
 
 
+def test_delivery_query_reads_the_events_of_every_order(spark, tmp_path):
+    from souk.registry import queries
+
+    born = [dt.datetime(1992, 3, 1), dt.datetime(1996, 6, 30), dt.datetime(1996, 6, 30, 0, 0, 20), dt.datetime(2031, 5, 5, 7)]
+    rows = [(i, 1, "O", "1-URGENT", b) for i, b in enumerate(born)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries()["stream_mark_delivered"](spark, str(tmp_path)).collect()
+    assert sorted((r["order_id"], r["delivered_at"]) for r in got) == [(i, b + dt.timedelta(minutes=1)) for i, b in enumerate(born)]
+
+
 def feed_by_feed(spark, start, slices, schema, read):
     """What ``read`` gives after each slice."""
     base, seen = scratch_dir(spark, "feeds"), []
