@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from souk.operators import checkout, quality, reviews
+from souk.operators import cascades, checkout, quality, reviews
 from souk.plans import tasks
 from souk.sources.fixtures import Fixture
 from souk.streaming import streams
@@ -59,3 +59,38 @@ def test_day_sums_are_not_made_in_the_task_that_writes_them(spark, monkeypatch):
     monkeypatch.setattr(streams, "_start", lambda writer, checkpoint, trigger: None)
     streams.start_daily_sales(type("Feed", (), {"writeStream": Writer()})(), "/tmp/none", "/tmp/none")
     assert any("Repartition 1, true" in p for p in written) and not any("Repartition 1, false" in p for p in written)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def few_rows_a_task(monkeypatch):
+    monkeypatch.setattr(tasks, "SMALL", 0)
+    monkeypatch.setattr(tasks.tasks_for, "__defaults__", (1,))
+    for f in (tasks.dealt, tasks.spread):
+        monkeypatch.setattr(f, "__kwdefaults__", {"task_rows": 1})
+
+
+def test_references_of_large_tables_are_looked_up_unsorted(seed, few_rows_a_task):
+    lost = seed.with_(orders=seed.orders.limit(1), users=seed.users.unionByName(seed.users))
+    found = quality.check_references(lost)
+    assert "ShuffledHashJoin" in _plan(found)
+    kept = {r["id"] for r in lost.orders.collect()}
+    want = sorted((r["id"], r["order_id"]) for r in seed.order_items.collect() if r["order_id"] not in kept)
+    got = found.filter("table_name = 'order_items'").collect()
+    assert sorted((r["record_id"], r["missing_key"]) for r in got) == want and want
+    assert quality.check_references(seed.with_(users=lost.users)).count() == 0  # a repeated parent is no orphan
+
+
+def test_cascades_of_large_tables_are_looked_up_unsorted(seed, request):
+    def effects(t):
+        return cascades.cascade_rows(t, "users", t.users.select("id"))
+
+    want = sorted(map(tuple, effects(seed).collect()), key=str)
+    assert "ShuffledHashJoin" not in _plan(effects(seed))
+    request.getfixturevalue("few_rows_a_task")
+    found = effects(seed)
+    assert "ShuffledHashJoin" in _plan(found)
+    assert sorted(map(tuple, found.collect()), key=str) == want and want
