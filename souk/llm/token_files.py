@@ -34,6 +34,10 @@ FORMAT = {
 }
 
 
+#: Text bytes encoded at once: a word that is new to a step costs several times one that is known, and larger steps meet fewer.
+STEP_BYTES = 4 << 20
+
+
 class LibraryWords:
     """Encodes distinct words with the tokenizers library, many at a time."""
 
@@ -71,7 +75,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int, id
     sampling reads plain columns and the encoding runs once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, words = _encoder(tokenizer_path)
-        for b in text_steps(batches):
+        for b in text_steps(batches, step_bytes=STEP_BYTES):
             ids, offsets = encode_texts(b.column(1).to_pylist(), splitter, words)
             ids = np.insert(ids, offsets[1:], end_id)
             offsets = offsets + np.arange(len(offsets))

@@ -73,50 +73,61 @@ class WordSplitter:
 
     def split(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """(index of each word into the distinct words, the distinct words, words before each document)."""
-        docs = [self.normal(t) for t in texts]
-        joined = "\n".join(docs)
+        docs = [self.normal(t).encode() for t in texts]
+        joined = b"\n".join(docs)
         ends = np.cumsum([len(d) + 1 for d in docs], dtype=np.int64)
         none = np.zeros(len(docs) + 1, np.int64)
         if not joined:
             return np.empty(0, np.int32), [], none
-        ascii_only = joined.isascii()
-        cp = np.frombuffer(joined.encode("ascii"), np.uint8) if ascii_only else \
-            np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kind = self.kind[cp]
-        if (unknown := kind == 0).any():
-            self._learn(np.unique(cp[unknown]))
-            kind = self.kind[cp]
+        raw = np.frombuffer(joined, np.uint8)
+        kind, later = self._kinds(joined, raw)
         word = kind != SPACE
         start = word.copy()
         start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
-        self._contractions(cp, kind, start)
+        start[later] = False
+        self._contractions(raw, kind, start)
         at = np.flatnonzero(start)
         if len(at) == 0:
             return np.empty(0, np.int32), [], none
-        kept, size = cp[word], word.view(np.uint8).copy()  # size: bytes of each kept code point
-        if ascii_only:
-            data = kept.tobytes()
-        else:
-            wide = np.flatnonzero(cp >= 0x80)
-            high = cp[wide]
-            size[wide] *= (2 + (high >= 0x800) + (high >= 0x10000)).astype(np.uint8)
-            data = kept.tobytes().decode("utf-32-le").encode()
-        offsets = (np.cumsum(size, dtype=np.int32) - size)[at]
+        data = raw[word].tobytes()
+        offsets = np.cumsum(word, dtype=np.int32)[at] - 1
         offsets = np.concatenate((offsets, [len(data)])).astype(np.int32)
         words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         per_doc = np.concatenate(([0], np.searchsorted(at, ends)))
         return np.asarray(words.indices), words.dictionary.to_pylist(), per_doc
 
+    def _kinds(self, joined: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(kind of the code point that each byte belongs to, places of the bytes after a code point's first)."""
+        lead = np.flatnonzero(raw >= 0xC0)
+        first, second = raw[lead].astype(np.uint32), raw[lead + 1] & 0x3F
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = (first & (0x7F >> size)) << 6 | second
+        for n in (3, 4):
+            own = np.flatnonzero(size >= n)
+            point[own] = point[own] << 6 | (raw[lead[own] + n - 1] & 0x3F)
+        points = np.concatenate((np.flatnonzero(np.bincount(raw, minlength=128)[:128]), point))
+        if (unknown := self.kind[points] == 0).any():
+            self._learn(np.unique(points[unknown]))
+        kind = np.frombuffer(joined.translate(self.kind[:256].tobytes()), np.uint8).copy()
+        later = []
+        wide = self.kind[point]
+        kind[lead] = wide
+        for n in (2, 3, 4):
+            own = size >= n
+            later.append(lead[own] + n - 1)
+            kind[later[-1]] = wide[own]
+        return kind, np.concatenate(later)
+
     @staticmethod
-    def _contractions(cp: np.ndarray, kind: np.ndarray, start: np.ndarray) -> None:
+    def _contractions(raw: np.ndarray, kind: np.ndarray, start: np.ndarray) -> None:
         """An apostrophe that begins a run takes 's 't 'm 'd 're 've 'll with it."""
-        i = np.flatnonzero((cp == ord("'")) & start)
-        i = i[i + 1 < len(cp)]
+        i = np.flatnonzero((raw == ord("'")) & start)
+        i = i[i + 1 < len(raw)]
         i = i[kind[i + 1] == LETTER]
         if len(i) == 0:
             return
-        last = len(cp) - 1
-        a, b = cp[i + 1], cp[np.minimum(i + 2, last)]
+        last = len(raw) - 1
+        a, b = raw[i + 1], raw[np.minimum(i + 2, last)]
         b = np.where(i + 2 <= last, b, 0)
         one = np.isin(a, [ord(c) for c in "stmd"])
         two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | \

@@ -15,6 +15,7 @@ from tokenizers.models import Unigram
 
 from souk.llm import bpe, token_counts, token_files
 from souk.llm.queries import unigram_path, word_bpe_path
+from souk.llm.words import WordSplitter
 from tests.llm.conftest import tuples
 
 
@@ -36,6 +37,17 @@ def test_trie_encoder_equals_library_on_random_texts(library):
     assert codec.decode(got).to_pylist() == [library.decode(ids_of(library, t), skip_special_tokens=False) for t in texts]
 
 
+def test_words_are_split_on_bytes_as_the_library_does(library):
+    rng, splitter = random.Random(5), WordSplitter(library)
+    raw = "é漢 😀1".encode()
+    kind, later = splitter._kinds(raw, np.frombuffer(raw, np.uint8))
+    assert sorted(later.tolist()) == [1, 3, 4, 7, 8, 9] and kind.tolist() == [2, 2, 2, 2, 2, 1, 4, 4, 4, 4, 3]
+    alphabet = "aZé߿ࠀ漢𝟘𝄞😀𐍈١²1'sre ,\u00a0\u3000\n\u07fe\uffed"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    got = bpe.Codec(word_bpe_path()).encode(texts)
+    assert got.to_pylist() == [ids_of(library, t) for t in texts]
+
+
 def test_word_table_reset_changes_nothing(library):
     small = bpe.Codec(word_bpe_path())
     small.words.max_words = 3
