@@ -22,20 +22,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node has two smaller neighbours, or smaller and larger ones; if none has, every component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")) \
+        .unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger")))
+    nodes = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return nodes.agg(F.max(F.expr("smaller > 1 OR smaller = 1 AND larger = 1"))).first()[0] is True
+
+
 def connected_components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge to another.
 
     ``edges`` has long columns ``u`` and ``v`` in any order; loops and nulls are ignored. Each round is
     two group-by-minimum joins over the edges, written to the shared folder; the rounds end
-    when a round changes nothing, and their number grows with the logarithm of the nodes."""
+    when all components are stars, and their number grows with the logarithm of the nodes."""
     now = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                       .distinct(), purpose)
-    state = None
-    while True:
-        told = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if told == state or told[0] == 0:
-            break
-        state, before = told, now
+    while _unsettled(now):
+        before = now
         now = materialise(_small_star(_large_star(now)), purpose)
         drop_table(before)
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

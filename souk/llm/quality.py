@@ -113,21 +113,22 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
                             epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept of min |w|^2 / 2 + sum cost_i * max(0, 1 - y_i (w x_i + b))^2, one dual variable at a time.
 
-    x_i is the unit-length vector of the row's ``scale`` values; the intercept is one more feature of value 1."""
-    values = [scale[r] for r in rows]
-    values = [v / max(1e-12, float(np.sqrt(v @ v))) for v in values]
+    x_i is the unit-length vector of the row's ``scale`` values; the intercept is one more feature of value 1. A row's
+    values are made when its turn comes: of all rows together they would take the driver several times the rows' own memory."""
+    length = np.array([max(1e-12, float(np.sqrt(v @ v))) for v in (scale[r] for r in rows)])
     w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
     diagonal = 0.5 / cost
-    curvature = np.array([float(v @ v) for v in values]) + 1.0 + diagonal
+    curvature = np.array([float(v @ v) for v in (scale[r] / n for r, n in zip(rows, length))]) + 1.0 + diagonal
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            slope = y[i] * (w[rows[i]] @ values[i] + b) - 1 + diagonal[i] * alpha[i]
+            values = scale[rows[i]] / length[i]
+            slope = y[i] * (w[rows[i]] @ values + b) - 1 + diagonal[i] * alpha[i]
             new = max(0.0, alpha[i] - slope / curvature[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 b += step
     return w, b
 
@@ -154,6 +155,16 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _in_place(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The feature numbers that each value of a binary column holds, as views of the column's own memory."""
+    out = []
+    for chunk in column.chunks:
+        data, offsets = raw_text(chunk.cast(pa.large_binary()))
+        numbers, at = data.view("<i4"), offsets // 4
+        out += [numbers[a:b] for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
     """Learn from at most ``per_class`` labelled rows of each label that are not held out."""
@@ -175,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = rows.mapInArrow(run, f"id {kind}, y int, found binary").toArrow()
     order = np.argsort([int(x) for x in mix64(np.asarray(got["id"]).astype(np.int64).view(_U64))], kind="stable")
     y = np.asarray(got["y"])[order]
-    blobs = got["found"].to_pylist()
-    found = [np.frombuffer(blobs[i], "<i4").astype(np.int64) for i in order]
+    found = _in_place(got["found"])
+    found = [found[i] for i in order]
     if len(set(y.tolist())) < 2:
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         edge = min(max(share, 1e-6), 1 - 1e-6)

@@ -212,3 +212,15 @@ def test_components_of_random_graphs(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     got = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {(r["node"], r["component"]) for r in got} == {(x, find(x)) for x in linked} and len(got) == len(linked)
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    written, write = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, purpose: written.append(purpose) or write(df, purpose))
+    stars = [(1, 2), (3, 1), (1, 3), (4, 1), (8, 9), (7, 7), (None, 2)]
+    got = components.connected_components(spark.createDataFrame(stars, "u long, v long")).collect()
+    assert sorted((r["node"], r["component"]) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)] and len(written) == 1
+    for edges, nodes in (([(1, 5), (2, 5)], [1, 2, 5]), ([(1, 2), (2, 3)], [1, 2, 3])):  # two smaller neighbours; a smaller and a larger one
+        got = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted((r["node"], r["component"]) for r in got) == [(n, 1) for n in nodes]
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []

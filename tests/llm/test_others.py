@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -330,6 +331,28 @@ def test_op5_sample_holds_one_row_of_a_repeated_id(spark, monkeypatch):
     assert seen == [60 - held]
 
 
+def test_op5_fit_keeps_the_sample_in_place(spark, monkeypatch):
+    rng, seen, fit_sample = random.Random(9), [], quality._fit_sample
+    monkeypatch.setattr(quality, "_fit_sample", lambda found, y, counts: seen.extend(found) or fit_sample(found, y, counts))
+    texts = {i: words(rng, 20) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in texts.items()], DOC_SCHEMA)
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int"))
+    assert seen and all(f.dtype == np.int32 and not f.flags.owndata for f in seen)
+    whole = quality.features(pa.array([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5], pa.large_string()))
+    assert sorted(f.tolist() for f in seen) == sorted(f.tolist() for f in whole)
+
+
+def test_op5_descent_takes_less_memory_than_its_rows():
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.permutation(8000)[:4000]).astype(np.int32) for _ in range(200)]
+    y = np.where(np.arange(200) % 2, 1.0, -1.0)
+    tracemalloc.start()
+    quality.dual_coordinate_descent(rows, y, rng.normal(size=8000), np.ones(200), epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(r.nbytes for r in rows) / 2
+
+
 # ---- operator 6
 
 
